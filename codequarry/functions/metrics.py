@@ -27,89 +27,102 @@ def cyclomatic(code: Column, language: Column) -> Column:
 
 
 def _indent(line: Column) -> Column:
-    return F.length(line) - F.length(F.regexp_replace(line, r"(?U)^\s+", ""))
+    return F.length(line) - F.length(rx.lstrip(line))
 
 
 def _is_code(line: Column) -> Column:
-    stripped = rx.strip(line)
-    return (stripped != "") & ~rx.any_prefix(stripped, ["#", "//", "/*", "*"])
+    return rx.let(rx.lstrip(line), lambda s: (s != "") & ~rx.any_prefix(s, ["#", "//", "/*", "*"]))
 
 
 def cognitive(code: Column, language: Column) -> Column:
     """Struct of complexity, deepest nesting and the nesting penalties; nesting is indentation by four."""
-    lines = F.filter(F.split(code, "\n"), _is_code)
-    base = F.coalesce(_indent(F.get(lines, F.lit(0))), F.lit(0))
     python = ~language.isin(*C_STYLE)
 
-    def measure(line: Column) -> Column:
-        nesting = F.greatest(F.lit(0), F.floor((_indent(line) - base) / 4).cast("int"))
+    def measure(line: Column, base: Column) -> Column:
         flow = F.when(python, rx.matches(line, r"^\s*(if|elif|for|while|except|with)\b")).otherwise(
             rx.matches(line, r"^\s*(if|else\s+if|for|while|catch|switch)\s*[\({]")
         )
         boolean = F.when(python, rx.matches(line, r"^\s*(and|or)\b").cast("int")).otherwise(
             F.regexp_count(line, F.lit(r"&&|\|\|"))
         )
-        penalty = F.when(flow & (nesting > 1), nesting - 1).otherwise(0)
-        return F.struct(
-            nesting.alias("nesting"),
-            penalty.alias("penalty"),
-            (F.when(flow, 1 + penalty).otherwise(boolean)).alias("points"),
+        nesting = F.greatest(F.lit(0), F.floor((_indent(line) - base) / 4).cast("int"))
+        return F.struct(nesting.alias("nesting"), flow.alias("flow"), boolean.alias("boolean"))
+
+    def step(acc: Column, line: Column) -> Column:
+        def add(m: Column) -> Column:
+            penalty = F.when(m["flow"] & (m["nesting"] > 1), m["nesting"] - 1).otherwise(0)
+            points = F.when(m["flow"], 1 + penalty).otherwise(m["boolean"])
+            return F.struct(
+                acc["base"].alias("base"),
+                (acc["complexity"] + points).cast("int").alias("complexity"),
+                F.greatest(acc["nesting_depth_max"], m["nesting"]).alias("nesting_depth_max"),
+                (acc["nested_penalties"] + penalty).cast("int").alias("nested_penalties"),
+            )
+
+        return rx.let(measure(line, acc["base"]), add)
+
+    def fold(lines: Column) -> Column:
+        zero = F.struct(
+            F.coalesce(_indent(F.get(lines, F.lit(0))), F.lit(0)).alias("base"),
+            F.lit(0).alias("complexity"), F.lit(0).alias("nesting_depth_max"), F.lit(0).alias("nested_penalties"),
         )
+        return F.aggregate(lines, zero, step, lambda acc: F.struct(
+            acc["complexity"].alias("complexity"), acc["nesting_depth_max"].alias("nesting_depth_max"), acc["nested_penalties"].alias("nested_penalties")
+        ))
 
-    measured = F.transform(lines, measure)
-    zero = F.struct(F.lit(0).alias("complexity"), F.lit(0).alias("nesting_depth_max"), F.lit(0).alias("nested_penalties"))
-    return F.aggregate(
-        measured,
-        zero,
-        lambda acc, x: F.struct(
-            (acc["complexity"] + x["points"]).cast("int").alias("complexity"),
-            F.greatest(acc["nesting_depth_max"], x["nesting"]).alias("nesting_depth_max"),
-            (acc["nested_penalties"] + x["penalty"]).cast("int").alias("nested_penalties"),
-        ),
-    )
+    return rx.let(F.filter(F.split(code, "\n"), _is_code), fold)
 
 
 def line_counts(code: Column, language: Column) -> Column:
-    """Struct of total, source, comment and blank lines and the comment ratio."""
+    """Struct of total, source, comment and blank lines and the comment ratio.
+
+    Each line is classified once; the fold then only tracks whether a block comment is open.
+    """
     python = ~language.isin(*C_STYLE)
     double, single = '"""', "'''"
 
+    def classify(s: Column) -> Column:
+        quoted = python & (F.startswith(s, F.lit(double)) | F.startswith(s, F.lit(single)))
+        closed_at_once = (F.regexp_count(s, F.lit(double)) >= 2) | (F.regexp_count(s, F.lit(single)) >= 2)
+        return (
+            F.when(s == "", "blank")
+            .when(quoted, F.when(closed_at_once, "quoted once").otherwise("quoted"))
+            .when(~python & F.contains(s, F.lit("*/")), "closes")
+            .when(~python & F.contains(s, F.lit("/*")), "opens")
+            .when(rx.any_prefix(s, ["#", "//"]), "comment")
+            .otherwise("source")
+        )
+
     def step(acc: Column, line: Column) -> Column:
         inside = acc["inside"]
-        stripped = rx.strip(line)
-        quoted = python & (F.startswith(stripped, F.lit(double)) | F.startswith(stripped, F.lit(single)))
-        closed_at_once = (F.regexp_count(stripped, F.lit(double)) >= 2) | (F.regexp_count(stripped, F.lit(single)) >= 2)
-        opens, closes = ~python & F.contains(stripped, F.lit("/*")), ~python & F.contains(stripped, F.lit("*/"))
-        still_inside = inside | opens
-        plain_comment = rx.any_prefix(stripped, ["#", "//"])
-        kind = (
-            F.when(quoted | closes | still_inside, "comment")
-            .when(stripped == "", "blank")
-            .when(plain_comment, "comment")
-            .otherwise("source")
+        plain = ~inside & line.isin("blank", "comment", "source")
+        after = (
+            F.when(line == "quoted", ~inside).when(line == "quoted once", F.lit(False)).when(line == "closes", F.lit(False))
+            .when(line == "opens", F.lit(True)).otherwise(inside)
         )
-        after = F.when(quoted, ~inside & ~closed_at_once).when(closes, F.lit(False)).otherwise(still_inside)
         return F.struct(
             after.alias("inside"),
-            (acc["source"] + (kind == "source").cast("int")).alias("source"),
-            (acc["comment"] + (kind == "comment").cast("int")).alias("comment"),
-            (acc["blank"] + (kind == "blank").cast("int")).alias("blank"),
+            (acc["source"] + (plain & (line == "source")).cast("int")).alias("source"),
+            (acc["blank"] + (plain & (line == "blank")).cast("int")).alias("blank"),
         )
 
-    zero = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("source"), F.lit(0).alias("comment"), F.lit(0).alias("blank"))
-    lines = F.split(code, "\n")
-    return F.aggregate(
-        lines,
-        zero,
-        step,
-        lambda acc: F.struct(
-            F.size(lines).alias("total_lines"),
-            acc["source"].alias("source_lines"),
-            acc["comment"].alias("comment_lines"),
-            acc["blank"].alias("blank_lines"),
-            F.when(acc["source"] > 0, F.bround(acc["comment"] / acc["source"], 3)).otherwise(0.0).alias("comment_ratio"),
-        ),
-    )
+    def finish(kinds: Column) -> Column:
+        zero = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("source"), F.lit(0).alias("blank"))
+        total = F.size(kinds)
+
+        def result(acc: Column) -> Column:
+            comment = total - acc["source"] - acc["blank"]
+            return F.struct(
+                total.alias("total_lines"),
+                acc["source"].alias("source_lines"),
+                comment.alias("comment_lines"),
+                acc["blank"].alias("blank_lines"),
+                F.when(acc["source"] > 0, F.bround(comment / acc["source"], 3)).otherwise(0.0).alias("comment_ratio"),
+            )
+
+        return F.aggregate(kinds, zero, step, result)
+
+    return rx.let(F.transform(F.split(code, "\n"), lambda l: rx.let(rx.strip(l), classify)), finish)
 
 
 def halstead(code: Column, language: Column) -> Column:
@@ -122,21 +135,33 @@ def halstead(code: Column, language: Column) -> Column:
         tokens(fixed.HALSTEAD_OPERATORS["python"])
     )
     operands = tokens(fixed.HALSTEAD_OPERANDS)
-    n1, n2 = F.size(F.array_distinct(operators)), F.greatest(F.size(F.array_distinct(operands)), F.lit(1))
-    big_n1, big_n2 = F.size(operators), F.size(operands)
-    volume = (big_n1 + big_n2) * F.log2((n1 + n2).cast("double"))
-    difficulty = (n1 / 2) * (big_n2 / n2)
-    return F.struct(
-        n1.alias("distinct_operators"),
-        n2.alias("distinct_operands"),
-        big_n1.alias("total_operators"),
-        big_n2.alias("total_operands"),
-        (n1 + n2).alias("vocabulary"),
-        (big_n1 + big_n2).alias("length"),
-        F.bround(volume, 2).alias("volume"),
-        F.bround(difficulty, 2).alias("difficulty"),
-        F.bround(difficulty * volume, 2).alias("effort"),
-    )
+
+    def figures(t: Column) -> Column:
+        n1, n2, big_n1, big_n2 = t["n1"], t["n2"], t["big_n1"], t["big_n2"]
+        volume = (big_n1 + big_n2) * F.log2((n1 + n2).cast("double"))
+        difficulty = (n1 / 2) * (big_n2 / n2)
+        return F.struct(
+            n1.alias("distinct_operators"),
+            n2.alias("distinct_operands"),
+            big_n1.alias("total_operators"),
+            big_n2.alias("total_operands"),
+            (n1 + n2).alias("vocabulary"),
+            (big_n1 + big_n2).alias("length"),
+            F.bround(volume, 2).alias("volume"),
+            F.bround(difficulty, 2).alias("difficulty"),
+            F.bround(difficulty * volume, 2).alias("effort"),
+        )
+
+    def sizes(t: Column) -> Column:
+        return F.struct(
+            F.size(F.array_distinct(t["operators"])).alias("n1"),
+            F.greatest(F.size(F.array_distinct(t["operands"])), F.lit(1)).alias("n2"),
+            F.size(t["operators"]).alias("big_n1"),
+            F.size(t["operands"]).alias("big_n2"),
+        )
+
+    counted = rx.let(F.struct(operators.alias("operators"), operands.alias("operands")), sizes)
+    return rx.let(counted, figures)
 
 
 def split_arguments(text: Column, openers: str = "[<(", closers: str = "]>)") -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -43,9 +44,22 @@ def glob_regex(glob: str) -> str:
     return "^" + re.sub(r"\\[zZ]$", "$", translated).replace("(?>", "(?:").rstrip("$") + "$"
 
 
+# every character that counts as white space at the ends of a text
+WHITE_SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
+def lstrip(text: Column) -> Column:
+    return F.ltrim(text, F.lit(WHITE_SPACE))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def any_contains(text: Column, words: list[str]) -> Column:

@@ -23,24 +23,14 @@ def could_hold_secret(text: Column) -> Column:
 def findings(line: Column, min_severity: str = "info") -> Column:
     """All rule matches of a line: ``array<struct<rule_no, secret_type, severity, description, recommendation, matched>>``."""
     floor = fixed.SEVERITIES.index(min_severity)
-    per_rule = []
-    for number, (kind, severity, regex, description, recommendation) in enumerate(fixed.SECRET_RULES):
-        if fixed.SEVERITIES.index(severity) < floor:
-            continue
-        per_rule.append(
-            F.transform(
-                rx.find_all(line, regex),
-                lambda m, n=number, k=kind, s=severity, d=description, r=recommendation: F.struct(
-                    F.lit(n).alias("rule_no"),
-                    F.lit(k).alias("secret_type"),
-                    F.lit(s).alias("severity"),
-                    F.lit(d).alias("description"),
-                    F.lit(r).alias("recommendation"),
-                    m.alias("matched"),
-                ),
-            )
-        )
-    return F.flatten(F.array(*per_rule))
+
+    def rule(number: int, kind: str, severity: str, regex: str, description: str, recommendation: str) -> Column:
+        constant = [F.lit(number).alias("rule_no"), F.lit(kind).alias("secret_type"), F.lit(severity).alias("severity"),
+                    F.lit(description).alias("description"), F.lit(recommendation).alias("recommendation")]
+        return F.transform(rx.find_all(line, regex), lambda m: F.struct(*constant, m.alias("matched")))
+
+    chosen = [(i, *r) for i, r in enumerate(fixed.SECRET_RULES) if fixed.SEVERITIES.index(r[1]) >= floor]
+    return F.flatten(F.array(*[rule(*r) for r in chosen]))
 
 
 def confidence(line: Column, matched: Column, secret_type: Column) -> Column:

@@ -8,8 +8,8 @@ from codequarry import fixed_values as fixed
 from codequarry.functions import lines as lf, names, regex as rx
 
 
-def pattern_hits(chunks: DataFrame, category: str | None = None) -> DataFrame:
-    """Per chunk and pattern the number of matches and the first two places; a narrow projection."""
+def pattern_hits(chunks: DataFrame, category: str | None = None, places: bool = False) -> DataFrame:
+    """Per chunk and pattern the number of matches, and on demand the first two places; a narrow projection."""
     per_pattern = []
     for group, patterns in fixed.CODE_PATTERNS.items():
         if category is not None and group != category:
@@ -18,17 +18,11 @@ def pattern_hits(chunks: DataFrame, category: str | None = None) -> DataFrame:
             total = F.lit(0)
             for regex in regexes:
                 total = total + rx.count(F.col("content"), regex)
-            first = F.flatten(F.array(*[F.slice(lf.located(F.col("content"), r), 1, 2) for r in regexes]))
-            per_pattern.append(
-                F.struct(
-                    F.lit(group).alias("category"),
-                    F.lit(name).alias("pattern_name"),
-                    total.alias("n"),
-                    F.when(total > 0, first).alias("places"),
-                )
-            )
-    hit = F.filter(F.array(*per_pattern), lambda p: p["n"] > 0)
-    return chunks.select("id", "repo_name", "file_path", "start_line", F.inline(hit))
+            fields = [F.lit(group).alias("category"), F.lit(name).alias("pattern_name"), total.alias("n")]
+            if places:
+                fields.append(F.flatten(F.array(*[F.slice(lf.located(F.col("content"), r), 1, 2) for r in regexes])).alias("places"))
+            per_pattern.append(F.struct(*fields))
+    return chunks.select("id", "repo_name", "file_path", "start_line", F.inline(F.array(*per_pattern))).where("n > 0")
 
 
 def pattern_report(hits: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -48,7 +42,7 @@ def pattern_report(hits: DataFrame, scope: list[str] | None = None) -> DataFrame
 
 
 def pattern_examples(hits: DataFrame, k: int = 3) -> DataFrame:
-    """The first places of every pattern; the limit applies before and after the shuffle."""
+    """The first places of every pattern (hits with places); the limit applies before and after the shuffle."""
     places = hits.select("category", "pattern_name", "repo_name", "file_path", "start_line", F.explode("places").alias("p")).select(
         "category", "pattern_name", "repo_name", "file_path", (F.col("start_line") + F.col("p.line")).alias("line_number"),
         F.substring("p.matched", 1, 100).alias("code_snippet"), F.lit(0.9).alias("confidence"),

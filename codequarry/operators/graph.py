@@ -72,8 +72,8 @@ def spread(
             .agg(F.min("__via").alias("via"))
             .select(*key, F.lit(depth).alias("depth"), "via")
         )
-        for level in levels:
-            step = step.join(level.select(*key), key, "left_anti")
+        if levels:
+            step = step.join(_union(levels).select(*key), key, "left_anti")
         frontier = cut(step)
         if frontier.isEmpty():
             break

@@ -31,17 +31,15 @@ def find_usages(
     qualified = names.qualified_name(F.col("parent_name"), F.col("name"))
     defines = (F.col("name") == symbol) | (qualified == symbol)
     mentioning = in_repo(chunks, repo).where(~defines & F.contains("content", F.lit(symbol)))
-    found = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    lf.located(F.col("content"), regex, flags),
-                    lambda m, c=category, n=number: F.struct(F.lit(c).alias("category"), F.lit(n).alias("rule_no"), m["line"].alias("line"), m["offset"].alias("offset"), m["matched"].alias("matched")),
-                )
-                for number, (category, regex, flags) in enumerate(usage_rules(symbol))
-            ]
+
+    def mentions(number: int, category: str, regex: str, flags: str) -> Column:
+        constant = [F.lit(category).alias("category"), F.lit(number).alias("rule_no")]
+        return F.transform(
+            lf.located(F.col("content"), regex, flags),
+            lambda m: F.struct(*constant, m["line"].alias("line"), m["offset"].alias("offset"), m["matched"].alias("matched")),
         )
-    )
+
+    found = F.flatten(F.array(*[mentions(i, *rule) for i, rule in enumerate(usage_rules(symbol))]))
     hits = mentioning.select("repo_name", "file_path", "start_line", "name", "content", F.inline(found))
     prefix = F.substr("content", F.lit(1), F.col("offset"))
     column = F.length(F.substring_index(prefix, "\n", -1))

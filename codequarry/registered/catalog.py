@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["search", "graphs"]
+MODULES = ["search", "graphs", "texts"]
 
 
 def all_queries() -> dict:

@@ -44,6 +44,52 @@ SELECT concat('d', CAST(doc_id AS STRING)) AS id,
 FROM {documents}
 """
 
+SNIPPETS = [
+    """import requests
+class Loader(BaseService):
+    def __init__(self, client: HttpClient):
+        try:
+            r = requests.get(url)
+        except ValueError:
+            pass""",
+    """def test_order_service(self, a, b: Dict[str, int] = None, *rest):
+    service = OrderService()
+    assert service.total if service else None
+    # done""",
+    """/* block
+ comment */
+public class Shop extends BaseShop implements OrderService {{
+  @Autowired
+  private Store store;
+  if (a && b || c) {{
+    for (int i = 0;;) {{ x = y ? 1 : 2; }}
+  }}
+}}""",
+    """async function load(a, b) {{
+  const s: OrderService = new OrderService();
+  fetch(path).then((r) => axios.get(r));
+  switch (a) {{ case 1: break; }}
+  // the end
+}}""",
+    """from app.services import OrderService
+async def run(order: OrderService, other: Optional[OrderService]) -> OrderService:
+    \"\"\"
+    docs
+    \"\"\"
+    while True:
+        with lock:
+            if a and b:
+                return 1""".replace("\\", ""),
+    """describe("x", () => {{
+  it("works", () => expect(x).to(y));
+}});
+this.bus.subscribe(function(e) {{}});""",
+]
+_SNIPPET = "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SNIPPETS)) + " END"
+
+# the same chunks with a piece of code before each whole text
+CODE = CHUNKS.replace("text AS content", f"concat({_SNIPPET}, chr(10), text) AS content")
+
 # lineitem rows stand for call sites: parts call suppliers, returned parts are called back; a month is a repository
 CALLS = """
 SELECT CASE WHEN l_returnflag = 'R' THEN concat('Supplier', CAST(l_suppkey AS STRING))
@@ -122,6 +168,21 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, CHUNKS).selectExpr("*", f"CAST(NULL AS {as_struct(METADATA)}) AS metadata")
 
 
+def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequarry.schema import METADATA, as_struct
+
+    return view(spark, sf_dir, CODE).selectExpr("*", f"CAST(NULL AS {as_struct(METADATA)}) AS metadata")
+
+
+def route_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as chunks whose metadata holds a route or an outgoing call."""
+    return view(spark, sf_dir, ROUTES).selectExpr(
+        "concat('p', page_id) AS id", "repo_name", "file_path", "CAST(page_id AS INT) AS start_line", "name", "CAST(NULL AS STRING) AS parent_name", "language",
+        "named_struct('route', CASE WHEN is_endpoint THEN named_struct('method', method, 'path', path, 'framework', CAST(NULL AS STRING)) END, "
+        "'outgoing_api_calls', CASE WHEN NOT is_endpoint THEN array(named_struct('method', method, 'url', path)) END) AS metadata",
+    )
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, CALLS)
 
