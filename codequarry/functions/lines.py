@@ -14,8 +14,6 @@ def newlines(text: Column) -> Column:
 def located(text: Column, regex: str, flags: str = "") -> Column:
     """All matches in order: ``array<struct<line, offset, matched>>`` with 0-based line and character offset."""
     compiled = rx.pattern(regex, flags)
-    found = F.regexp_extract_all(text, compiled, F.lit(0))
-    before = F.split(text, compiled)
     zero = F.struct(
         F.lit(0).alias("line"), F.lit(0).alias("offset"),
         F.array().cast("array<struct<line:int,offset:int,matched:string>>").alias("out"),
@@ -31,11 +29,13 @@ def located(text: Column, regex: str, flags: str = "") -> Column:
             F.concat(acc["out"], F.array(here)).alias("out"),
         )
 
-    # the text after the last match has no partner and is left out
-    pairs = F.zip_with(F.slice(before, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("matched")))
-    return F.when(F.size(found) == 0, F.array().cast("array<struct<line:int,offset:int,matched:string>>")).otherwise(
-        F.aggregate(pairs, zero, step, lambda acc: acc["out"])
-    )
+    def walk(found: Column) -> Column:
+        # the text after the last match has no partner and is left out
+        gaps = F.slice(F.split(text, compiled), 1, F.size(found))
+        pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("matched")))
+        return F.when(F.size(found) == 0, zero["out"]).otherwise(F.aggregate(pairs, zero, step, lambda acc: acc["out"]))
+
+    return rx.let(F.regexp_extract_all(text, compiled, F.lit(0)), walk)
 
 
 def line_at(text: Column, line: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["search", "graphs", "texts"]
+MODULES = ["search", "graphs", "texts", "changes"]
 
 
 def all_queries() -> dict:
