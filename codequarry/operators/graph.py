@@ -43,14 +43,16 @@ def spread(
     scope: list[str] | None = None,
     payload: list[str] | None = None,
     seeds_visited: bool = False,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Breadth-first levels from ``seeds`` (column ``node``) along ``near`` -> ``far``.
 
     Columns: scope, ``node``, ``depth``, and ``via``: the smallest (near, payload) of the
-    edges that reach the node at its depth. With ``scope`` every graph is walked separately.
+    edges that reach the node at its depth. With ``scope`` every graph is walked separately;
+    ``carry`` names seed columns (such as the start) whose walks over one graph are kept apart.
     """
-    scope, payload = scope or [], payload or []
-    key = [*scope, "node"]
+    scope, payload, carry = scope or [], payload or [], carry or []
+    key = [*scope, *carry, "node"]
     via_type = F.struct(F.col(near).alias("near"), *[F.col(c) for c in payload])
     hops = edges.select(*scope, F.col(near).alias("__near"), F.col(far).alias("__far"), via_type.alias("__via"))
     if not payload:
@@ -65,10 +67,10 @@ def spread(
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        near_side = frontier.select(*scope, F.col("node").alias("__near"))
+        near_side = frontier.select(*scope, *carry, F.col("node").alias("__near"))
         step = (
             hops.join(near_side, [*scope, "__near"])
-            .groupBy(*scope, F.col("__far").alias("node"))
+            .groupBy(*scope, *carry, F.col("__far").alias("node"))
             .agg(F.min("__via").alias("via"))
             .select(*key, F.lit(depth).alias("depth"), "via")
         )

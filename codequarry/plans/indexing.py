@@ -15,6 +15,9 @@ PARSED_TABLES = ["chunks", "calls", "inheritance", "class_dependencies"]
 
 
 def _deduplicated(table: str, df: DataFrame) -> DataFrame:
+    """One row per key. Chunk ids hold file, name, kind and line, so a parser never repeats one."""
+    if table == "chunks":
+        return df
     keys, wins = schema.KEYS[table]
     order = [F.col(c) for c, t in df.dtypes if c not in keys and t in ("string", "int")]
     return counts.keep_one(df, keys, order or [F.lit(0)], last=(wins == "last"))
