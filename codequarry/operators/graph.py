@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from codequarry.session import cut
@@ -47,44 +48,44 @@ def spread(
 ) -> DataFrame:
     """Breadth-first levels from ``seeds`` (column ``node``) along ``near`` -> ``far``.
 
-    Columns: scope, ``node``, ``depth``, and ``via``: the smallest (near, payload) of the
-    edges that reach the node at its depth. With ``scope`` every graph is walked separately;
-    ``carry`` names seed columns (such as the start) whose walks over one graph are kept apart.
+    Columns: scope, carry, ``node``, ``depth``; with ``payload`` also ``via``, the smallest
+    (near, payload) of the edges that reach the node at its depth. With ``scope`` every graph is
+    walked separately; ``carry`` names seed columns (such as the start) whose walks over one graph
+    are kept apart.
     """
-    scope, payload, carry = scope or [], payload or [], carry or []
+    scope, carry = scope or [], carry or []
     key = [*scope, *carry, "node"]
-    via_type = F.struct(F.col(near).alias("near"), *[F.col(c) for c in payload])
-    hops = edges.select(*scope, F.col(near).alias("__near"), F.col(far).alias("__far"), via_type.alias("__via"))
-    if not payload:
+    hops = edges.select(*scope, F.col(near).alias("__near"), F.col(far).alias("__far"))
+    if payload is None:
         # parallel edges say nothing new to a walk without payload
-        hops = cut(hops.groupBy(*scope, "__near", "__far").agg(F.min("__via").alias("__via")))
+        hops = cut(hops.distinct())
+    else:
+        via = F.struct(F.col(near).alias("near"), *[F.col(c) for c in payload])
+        hops = edges.select(*scope, F.col(near).alias("__near"), F.col(far).alias("__far"), via.alias("__via"))
+    found = [] if payload is None else ["via"]
     frontier = seeds.select(*key).distinct()
     levels: list[DataFrame] = []
-    empty_via = F.lit(None).cast(hops.schema["__via"].dataType.simpleString())
     if seeds_visited:
-        frontier = cut(frontier.select(*key, F.lit(0).alias("depth"), empty_via.alias("via")))
+        start = frontier.select(*key, F.lit(0).alias("depth"))
+        if found:
+            start = start.withColumn("via", F.lit(None).cast(hops.schema["__via"].dataType))
+        frontier = cut(start)
         levels.append(frontier)
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
         near_side = frontier.select(*scope, *carry, F.col("node").alias("__near"))
-        step = (
-            hops.join(near_side, [*scope, "__near"])
-            .groupBy(*scope, *carry, F.col("__far").alias("node"))
-            .agg(F.min("__via").alias("via"))
-            .select(*key, F.lit(depth).alias("depth"), "via")
-        )
+        reached = hops.join(near_side, [*scope, "__near"]).withColumnRenamed("__far", "node")
+        step = reached.groupBy(*key).agg(F.min("__via").alias("via")) if found else reached.select(*key).distinct()
         if levels:
             step = step.join(_union(levels).select(*key), key, "left_anti")
-        frontier = cut(step)
+        frontier = cut(step.select(*key, F.lit(depth).alias("depth"), *found))
         if frontier.isEmpty():
             break
         levels.append(frontier)
         if len(levels) >= 8:
             levels = [cut(_union(levels))]
-    if not levels:
-        return frontier
-    return _union(levels)
+    return _union(levels) if levels else frontier
 
 
 def transitive_callers(calls: DataFrame, symbol: str, max_depth: int, repo: str | None = None) -> DataFrame:
@@ -175,8 +176,7 @@ def entry_points(chunks: DataFrame) -> DataFrame:
 
 def reachable(calls: DataFrame, entries: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Everything some entry point leads to, entries included, with its distance."""
-    found = spread(calls, entries, "caller", "callee", scope=scope, seeds_visited=True)
-    return found.select(*(scope or []), "node", "depth")
+    return spread(calls, entries, "caller", "callee", scope=scope, seeds_visited=True)
 
 
 def unreachable(calls: DataFrame, entries: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -184,12 +184,17 @@ def unreachable(calls: DataFrame, entries: DataFrame, scope: list[str] | None =
     return all_symbols(calls, scope).join(reachable(calls, entries, scope), key, "left_anti")
 
 
-def cycles(edges: DataFrame, src: str, dst: str, scope: list[str] | None = None) -> DataFrame:
+# graphs up to this many edges, counted after peeling, are solved in tasks that hold one scope each
+LOCAL_EDGES = 1_000_000
+
+
+def cycles(edges: DataFrame, src: str, dst: str, scope: list[str] | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Strongly connected components with more than one node: scope, ``node``, ``component`` (its smallest node).
 
-    Distributed throughout: (1) peel edges that cannot lie on a cycle, (2) give each node the
-    largest label that reaches it, (3) walk back from each label's owner inside its colour, which
-    is that owner's component; repeat on what is left.
+    Peeling first drops edges that cannot lie on a cycle. A remainder of a checked size is solved
+    scope by scope inside tasks. A larger one stays distributed: (1) give each node the largest
+    label that reaches it, (2) walk back from each label's owner inside its colour, which is that
+    owner's component, (3) repeat on what is left.
     """
     scope = scope or []
     key = [*scope, "node"]
@@ -197,8 +202,9 @@ def cycles(edges: DataFrame, src: str, dst: str, scope: list[str] | None = None)
     left = cut(left)
     done: list[DataFrame] = []
     while True:
-        left = _peel(left, scope)
-        if left.isEmpty():
+        left, size = _peel(left, scope, local_edges)
+        if size <= local_edges:
+            done.append(_local_components(left, scope))
             break
         colour = _largest_reaching(left, scope)
         here = left.join(colour.select(*scope, F.col("node").alias("s"), F.col("colour").alias("cs")), [*scope, "s"]).join(
@@ -214,17 +220,71 @@ def cycles(edges: DataFrame, src: str, dst: str, scope: list[str] | None = None)
                 gone.withColumnRenamed("node", "t"), [*scope, "t"], "left_anti"
             )
         )
-    if not done:
-        return left.select(*scope, F.col("s").alias("node"), F.col("t").alias("component"))
     members = _union(done)
     named = members.groupBy(*scope, "colour").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
     return members.join(named, [*scope, "colour"]).select(*key, "component")
 
 
-def _peel(edges: DataFrame, scope: list[str]) -> DataFrame:
-    """Keep edges whose source is entered and whose target is left again, until nothing changes."""
+def _local_components(edges: DataFrame, scope: list[str]) -> DataFrame:
+    """Components of an edge table of checked size, one task per scope; ``colour`` labels them."""
+    columns = [*scope, "colour", "node"]
+    types = dict(edges.dtypes)
+    ddl = ", ".join(f"{c} {types.get(c, types['s'])}" for c in columns)
+
+    def solve(pairs: pd.DataFrame) -> pd.DataFrame:
+        labels = strong_labels(pairs["s"].to_numpy(), pairs["t"].to_numpy())
+        result = pd.DataFrame({"node": list(labels), "colour": list(labels.values())})
+        for c in scope:
+            result[c] = pairs[c].iloc[0] if len(pairs) else None
+        return result[columns]
+
+    grouped = edges.groupBy(*scope) if scope else edges.groupBy(F.lit(0))
+    return grouped.applyInPandas(solve, ddl)
+
+
+def strong_labels(sources, targets) -> dict:
+    """Component label of every node of an edge list (iterative depth-first search with low links)."""
+    following: dict = {}
+    for s, t in zip(sources, targets):
+        following.setdefault(s, []).append(t)
+        following.setdefault(t, [])
+    order: dict = {}
+    low: dict = {}
+    label: dict = {}
+    open_nodes: list = []
+    for root in following:
+        if root in order:
+            continue
+        work = [(root, iter(following[root]))]
+        order[root] = low[root] = len(order)
+        open_nodes.append(root)
+        while work:
+            node, rest = work[-1]
+            child = next(rest, None)
+            if child is None:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == order[node]:
+                    while True:
+                        member = open_nodes.pop()
+                        label[member] = node
+                        if member == node:
+                            break
+            elif child not in order:
+                order[child] = low[child] = len(order)
+                open_nodes.append(child)
+                work.append((child, iter(following[child])))
+            elif child not in label:
+                low[node] = min(low[node], order[child])
+    return label
+
+
+def _peel(edges: DataFrame, scope: list[str], enough: int = 0) -> tuple[DataFrame, int]:
+    """Keep edges whose source is entered and whose target is left again, until nothing changes
+    or at most ``enough`` edges are left."""
     size = edges.count()
-    while size:
+    while size > enough:
         entered = edges.select(*scope, F.col("t").alias("s")).distinct()
         left_again = edges.select(*scope, F.col("s").alias("t")).distinct()
         edges = cut(edges.join(entered, [*scope, "s"], "left_semi").join(left_again, [*scope, "t"], "left_semi"))
@@ -232,7 +292,7 @@ def _peel(edges: DataFrame, scope: list[str]) -> DataFrame:
         if now == size:
             break
         size = now
-    return edges
+    return edges, size
 
 
 def _largest_reaching(edges: DataFrame, scope: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["search", "graphs", "texts", "changes"]
+MODULES = ["search", "graphs", "texts", "changes", "sources"]
 
 
 def all_queries() -> dict:

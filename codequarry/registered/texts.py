@@ -125,7 +125,7 @@ def repository_metrics(spark, sf_dir):
 
 
 def secret_scan(spark, sf_dir):
-    docs = views.read(spark, sf_dir, "documents")
+    docs = views.texts(spark, sf_dir, "documents")
     found = security.scan(docs, "text", ["doc_id"])
     return found.select("doc_id", F.col("line_number").cast("bigint").alias("line_number"), "secret_type", "severity", "matched_text", "rule_id", F.round("confidence", 6).alias("confidence"))
 
@@ -146,18 +146,18 @@ found AS (SELECT *, greatest(0, least(1, CASE WHEN secret_type IN ({certain}) TH
 
 
 def secret_severity_summary(spark, sf_dir):
-    docs = views.read(spark, sf_dir, "documents")
+    docs = views.texts(spark, sf_dir, "documents")
     return security.by_severity(security.scan(docs, "text", ["doc_id"]))
 
 
 def secret_scan_result(spark, sf_dir):
-    docs = views.read(spark, sf_dir, "documents")
+    docs = views.texts(spark, sf_dir, "documents")
     return security.scan_result(security.scan(docs, "text", ["doc_id"], "high"), docs, ["doc_id"])
 
 
 def page_secrets(spark, sf_dir):
     """The same rules over raw pages."""
-    pages = views.read(spark, sf_dir, "pages")
+    pages = views.texts(spark, sf_dir, "pages")
     return security.scan(pages, "html", ["page_id"]).groupBy("page_id", "secret_type").agg(F.count("*").alias("n"))
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codequarry.functions.partitions import widened
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
@@ -150,8 +152,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table whose rows are heavy to work on."""
+    return widened(read(spark, sf_dir, table))
+
+
+def view(spark: SparkSession, sf_dir: str, text: str, heavy: bool = False) -> DataFrame:
     used = {t: read(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
+    if "documents" in used and heavy:
+        used["documents"] = widened(used["documents"])
     return spark.sql(text.replace("{array}", "array"), **used)
 
 
@@ -171,7 +180,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codequarry.schema import METADATA, as_struct
 
-    return view(spark, sf_dir, CODE).selectExpr("*", f"CAST(NULL AS {as_struct(METADATA)}) AS metadata")
+    return view(spark, sf_dir, CODE, heavy=True).selectExpr("*", f"CAST(NULL AS {as_struct(METADATA)}) AS metadata")
 
 
 def route_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
