@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 
-def cosine_to(embedding: Column, query: list[float]) -> Column:
+def cosine_to(embedding: Column, query: list[float], scaled: bool = False) -> Column:
     """Cosine similarity to one literal vector; null where the dimension differs or a norm is zero.
 
     One Arrow batch is one matrix-vector product; nothing but the vector column leaves the JVM.
+    ``scaled`` gives ``max(0, 1 - distance / 2)`` instead.
     """
     wanted = np.asarray(query, dtype=np.float64)
     norm = float(np.sqrt(wanted @ wanted))
@@ -29,14 +30,17 @@ def cosine_to(embedding: Column, query: list[float]) -> Column:
             norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix)) * norm
             with np.errstate(divide="ignore", invalid="ignore"):
                 result[usable] = (matrix @ wanted) / norms
-        return pa.array(result, mask=~np.isfinite(result))
+        missing = ~np.isfinite(result)
+        if scaled:
+            result = np.maximum(0.0, 1.0 - (1.0 - result) / 2.0)
+        return pa.array(result, mask=missing)
 
     return score(embedding)
 
 
 def similarity_to(embedding: Column, query: list[float]) -> Column:
     """Cosine distance turned into a score between 0 and 1."""
-    return F.greatest(F.lit(0.0), F.lit(1.0) - (F.lit(1.0) - cosine_to(embedding, query)) / 2.0)
+    return cosine_to(embedding, query, scaled=True)
 
 
 def hash_vector(text: Column, dimension: int = 768) -> Column:

@@ -22,6 +22,10 @@ def _in_repo(df: DataFrame, repo: str | None) -> DataFrame:
     return df if repo is None else df.where(F.col("repo_name") == repo)
 
 
+# graphs up to this many edges, counted first, are walked or split in tasks that hold one scope each
+LOCAL_EDGES = 1_000_000
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -45,13 +49,14 @@ def spread(
     payload: list[str] | None = None,
     seeds_visited: bool = False,
     carry: list[str] | None = None,
+    local_edges: int = LOCAL_EDGES,
 ) -> DataFrame:
     """Breadth-first levels from ``seeds`` (column ``node``) along ``near`` -> ``far``.
 
     Columns: scope, carry, ``node``, ``depth``; with ``payload`` also ``via``, the smallest
     (near, payload) of the edges that reach the node at its depth. With ``scope`` every graph is
     walked separately; ``carry`` names seed columns (such as the start) whose walks over one graph
-    are kept apart.
+    are kept apart. A full walk over a graph of a checked size runs inside tasks, a scope each.
     """
     scope, carry = scope or [], carry or []
     key = [*scope, *carry, "node"]
@@ -59,6 +64,8 @@ def spread(
     if payload is None:
         # parallel edges say nothing new to a walk without payload
         hops = cut(hops.distinct())
+        if max_depth is None and not carry and hops.count() <= local_edges:
+            return _local_spread(hops, seeds.select(*key).distinct(), scope, seeds_visited)
     else:
         via = F.struct(F.col(near).alias("near"), *[F.col(c) for c in payload])
         hops = edges.select(*scope, F.col(near).alias("__near"), F.col(far).alias("__far"), via.alias("__via"))
@@ -85,9 +92,46 @@ def spread(
         levels.append(frontier)
         if len(levels) >= 8:
             levels = [cut(_union(levels))]
+            if payload is None and not carry:
+                # edges into visited nodes lead nowhere new
+                seen = levels[0].select(*scope, F.col("node").alias("__far"))
+                hops = cut(hops.join(seen, [*scope, "__far"], "left_anti"))
     return _union(levels) if levels else frontier
 
 
+def _local_spread(hops: DataFrame, seeds: DataFrame, scope: list[str], seeds_visited: bool) -> DataFrame:
+    """The walk over an edge table of checked size; edges and starts of a scope meet in one task."""
+    ddl = ", ".join([*[f"{c} {t}" for c, t in seeds.dtypes], "depth int"])
+    columns = [*seeds.columns, "depth"]
+
+    def walk(key: tuple, edges: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        depths = levels_from(edges["__near"], edges["__far"], starts["node"], seeds_visited)
+        result = pd.DataFrame({"node": list(depths), "depth": list(depths.values())})
+        for column, value in zip(scope, key):
+            result[column] = value
+        return result[columns]
+
+    if not scope:
+        hops, seeds_keyed = hops.withColumn("__all", F.lit(0)), seeds.withColumn("__all", F.lit(0))
+        return hops.groupBy("__all").cogroup(seeds_keyed.groupBy("__all")).applyInPandas(lambda l, r: walk((), l, r), ddl)
+    return hops.groupBy(*scope).cogroup(seeds.groupBy(*scope)).applyInPandas(walk, ddl)
+
+
+def levels_from(sources, targets, starts, starts_visited: bool) -> dict:
+    """Distance of every node some start leads to."""
+    following: dict = {}
+    for s, t in zip(sources, targets):
+        following.setdefault(s, []).append(t)
+    depths = dict.fromkeys(starts, 0) if starts_visited else {}
+    frontier, depth = list(starts), 0
+    while frontier:
+        depth += 1
+        reached = [t for s in frontier for t in following.get(s, ())]
+        frontier = [t for t in dict.fromkeys(reached) if t not in depths]
+        depths.update(dict.fromkeys(frontier, depth))
+    return depths
+
+
 def transitive_callers(calls: DataFrame, symbol: str, max_depth: int, repo: str | None = None) -> DataFrame:
     """Each new caller once, with the first relation that reached it. The start is not marked visited,
     so inside a cycle it is reported as its own caller."""
@@ -174,9 +218,9 @@ def entry_points(chunks: DataFrame) -> DataFrame:
     return chunks.where(flag).select(qualified_name(F.col("parent_name"), F.col("name")).alias("node"), "repo_name", "file_path")
 
 
-def reachable(calls: DataFrame, entries: DataFrame, scope: list[str] | None = None) -> DataFrame:
+def reachable(calls: DataFrame, entries: DataFrame, scope: list[str] | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Everything some entry point leads to, entries included, with its distance."""
-    return spread(calls, entries, "caller", "callee", scope=scope, seeds_visited=True)
+    return spread(calls, entries, "caller", "callee", scope=scope, seeds_visited=True, local_edges=local_edges)
 
 
 def unreachable(calls: DataFrame, entries: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -184,10 +228,6 @@ def unreachable(calls: DataFrame, entries: DataFrame, scope: list[str] | None =
     return all_symbols(calls, scope).join(reachable(calls, entries, scope), key, "left_anti")
 
 
-# graphs up to this many edges, counted after peeling, are solved in tasks that hold one scope each
-LOCAL_EDGES = 1_000_000
-
-
 def cycles(edges: DataFrame, src: str, dst: str, scope: list[str] | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Strongly connected components with more than one node: scope, ``node``, ``component`` (its smallest node).
 
@@ -212,7 +252,7 @@ def cycles(edges: DataFrame, src: str, dst: str, scope: list[str] | None = None,
         )
         inner = cut(here.where("cs = ct").select(*scope, F.col("cs").alias("colour"), "s", "t"))
         owners = colour.where("node = colour").select(*scope, "colour", "node")
-        members = cut(spread(inner, owners, "t", "s", scope=[*scope, "colour"], seeds_visited=True).select(*scope, "colour", "node"))
+        members = cut(spread(inner, owners, "t", "s", scope=[*scope, "colour"], seeds_visited=True, local_edges=local_edges).select(*scope, "colour", "node"))
         done.append(members)
         gone = members.select(*key)
         left = cut(

@@ -33,7 +33,10 @@ def in_repo(df: DataFrame, repo: str | None) -> DataFrame:
 def lookup(table: DataFrame, name: str, repo: str | None = None) -> DataFrame:
     """Exact match of name or qualified name, exact names first."""
     hit = (F.col("name") == name) | (F.col("qualified_name") == name)
-    return in_repo(table, repo).where(hit).orderBy(
+    # a qualified name ends in the name: a condition on the stored column, which the scan can skip by
+    parts = name.split(".")
+    endings = [".".join(parts[i:]) for i in range(len(parts))]
+    return in_repo(table, repo).where(F.col("name").isin(endings)).where(hit).orderBy(
         F.when(F.col("name") == name, 0).otherwise(1), "repo_name", "file_path", "start_line"
     )
 

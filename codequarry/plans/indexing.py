@@ -24,8 +24,14 @@ def _deduplicated(table: str, df: DataFrame) -> DataFrame:
 
 
 def _parse(store: Store, files: DataFrame) -> parsing.ParsedTables:
-    """Parse once into the shared folder; every table then reads the written result."""
-    return parsing.tables_of(store.staged(parsing.parse_files(sf.decoded(files))))
+    """Read every file once, parse once.
+
+    The texts land in the shared folder by language, so each parser reads its own languages only
+    and many small files become few large ones; the parsed result lands there too, since four
+    tables read it.
+    """
+    texts = store.staged(sf.decoded(files.select("repo_name", "file_path", "content")), by="language")
+    return parsing.tables_of(store.staged(parsing.parse_files(texts)))
 
 
 def _gitignore(path: str) -> list[tuple[str, bool]]:

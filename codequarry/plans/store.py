@@ -24,6 +24,8 @@ TABLES = {
     "embeddings": (schema.EMBEDDING, "id", "id"),
     "manifest": (schema.MANIFEST, "file_path", "file_path"),
 }
+# columns asked for by value: a bloom filter per row group lets a scan skip the others
+LOOKUPS = {"chunks": ["id", "name"], "calls": ["caller", "callee"], "inheritance": ["child_name", "parent_name"], "embeddings": ["id"]}
 
 
 class Store:
@@ -60,7 +62,10 @@ class Store:
         spread = df.withColumn("bucket", self._bucket(path_column))
         # one task per bucket of a repository: a large repository is many buckets, hence many tasks
         laid_out = spread.repartition("repo_name", "bucket").sortWithinPartitions("repo_name", "bucket", lookup)
-        laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_name", "bucket").parquet(self.path(table))
+        writer = laid_out.write.mode("overwrite")
+        for column in LOOKUPS.get(table, []):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy("repo_name", "bucket").parquet(self.path(table))
 
     def _partitions(self, table: str, repos: list[str]) -> set[tuple[str, int]]:
         if not self.exists(table):
@@ -77,9 +82,10 @@ class Store:
             filesystem, target = self._filesystem(f"{self.path(table)}/repo_name={escape(repo)}/bucket={bucket}")
             filesystem.delete(target, True)
 
-    def staged(self, df: DataFrame) -> DataFrame:
+    def staged(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """``df`` written to the shared folder and read back; ``by`` lets readers prune on a column."""
         folder = f"{shared_folder(self.spark, 'staging')}/{uuid.uuid4().hex}"
-        df.write.parquet(folder)
+        (df.write.partitionBy(by) if by else df.write).parquet(folder)
         return self.spark.read.schema(df.schema).parquet(folder)
 
     def replace_repos(self, table: str, df: DataFrame, repos: list[str]) -> None:

@@ -290,6 +290,20 @@ def symbol_stats_grouping_sets(spark, sf_dir):
 SCC_CALLS = f"{CALLS_CTE}, ed AS (SELECT DISTINCT repo_name, caller AS src, callee AS dst FROM calls)"
 SCC_FILES = f"{FILE_EDGES_CTE}, ed AS (SELECT * FROM fe)"
 
+def _scc_ctes(name: str, edges: str) -> str:
+    return f"""{name}_c(repo_name, src, dst) AS (SELECT repo_name, src, dst FROM {edges} UNION SELECT c.repo_name, c.src, e.dst FROM {name}_c c JOIN {edges} e ON e.repo_name = c.repo_name AND e.src = c.dst),
+{name} AS (SELECT a.repo_name, least(a.src, min(a.dst)) AS component FROM {name}_c a JOIN {name}_c b ON a.repo_name = b.repo_name AND a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.repo_name, a.src)"""
+
+
+HEALTH_SQL = f"""WITH RECURSIVE {REACH_CTE}, home AS (SELECT repo_name, caller AS callee, min(caller_file) AS callee_file FROM calls GROUP BY ALL),
+fe AS (SELECT DISTINCT c.repo_name, c.caller_file AS src, h.callee_file AS dst FROM calls c JOIN home h USING (repo_name, callee) WHERE c.caller_file <> h.callee_file),
+ce AS (SELECT DISTINCT repo_name, caller AS src, callee AS dst FROM calls), {_scc_ctes('fn', 'ce')}, {_scc_ctes('fl', 'fe')},
+d AS (SELECT repo_name, count(*) AS dead FROM (SELECT repo_name, node FROM known EXCEPT SELECT repo_name, node FROM r) GROUP BY ALL),
+n AS (SELECT repo_name, coalesce(dead, 0) AS dead, coalesce((SELECT count(DISTINCT component) FROM fl WHERE fl.repo_name = q.repo_name), 0) AS file_cycles,
+ coalesce((SELECT count(DISTINCT component) FROM fn WHERE fn.repo_name = q.repo_name), 0) AS function_cycles FROM (SELECT DISTINCT repo_name FROM calls) q LEFT JOIN d USING (repo_name)),
+s AS (SELECT *, greatest(0, 100 - least(20, dead * 2) - least(30, file_cycles * 5) - least(20, function_cycles))::BIGINT AS health_score FROM n)
+SELECT *, CASE WHEN health_score >= 80 THEN 'Good architecture health' WHEN health_score >= 50 THEN 'Consider refactoring to reduce dependencies' ELSE 'Architecture needs significant refactoring' END AS recommendation FROM s"""
+
 QUERIES = {
     "direct_callers": (direct_callers, f"WITH {CALLS_CTE} SELECT {CALL_COLUMNS} FROM calls WHERE callee = '{START}'"),
     "direct_callees": (direct_callees, f"WITH {CALLS_CTE} SELECT {CALL_COLUMNS} FROM calls WHERE caller = '{START}' AND repo_name = 'm199607'"),
@@ -325,5 +339,5 @@ QUERIES = {
     "inheritance_stats": (inheritance_stats, f"WITH {INH_CTE}, p AS (SELECT parent_name, count(*) AS n FROM inheritance GROUP BY ALL ORDER BY n DESC, parent_name LIMIT 10) SELECT 'total' AS dimension, 'all' AS value, count(*) AS n FROM inheritance UNION ALL SELECT 'relation', relation_type, count(*) FROM inheritance GROUP BY ALL UNION ALL SELECT 'parent', parent_name, n FROM p"),
     "index_stats": (index_stats, "WITH chunks AS (" + views.cte(views.CHUNKS) + ") SELECT 'total' AS dimension, 'all' AS value, count(*) AS n FROM chunks UNION ALL SELECT 'repo', repo_name, count(*) FROM chunks GROUP BY ALL UNION ALL SELECT 'language', language, count(*) FROM chunks GROUP BY ALL UNION ALL SELECT 'type', chunk_type, count(*) FROM chunks GROUP BY ALL"),
     "symbol_stats_grouping_sets": (symbol_stats_grouping_sets, f"WITH {SYMBOLS_CTE} SELECT 'total' AS dimension, 'all' AS value, count(*) AS n FROM symbols UNION ALL SELECT 'symbol_type', chunk_type, count(*) FROM symbols GROUP BY ALL UNION ALL SELECT 'repo_name', repo_name, count(*) FROM symbols GROUP BY ALL UNION ALL SELECT 'language', 'python', count(*) FROM symbols"),
-    "health_score": (health_score, None),
+    "health_score": (health_score, HEALTH_SQL),
 }

@@ -55,7 +55,7 @@ s AS (SELECT vec_id, label, greatest(0, 1 - (1 - list_cosine_similarity(embeddin
 
 def chunk_embeddings(spark, sf_dir):
     """The first four components of each chunk's hash vector, with its length."""
-    vector = search.embed_chunks(views.chunks(spark, sf_dir), "mock")
+    vector = search.embed_chunks(views.chunks(spark, sf_dir, heavy=True), "mock")
     return vector.select(
         "id", F.size("embedding").cast("bigint").alias("dimension"),
         *[F.round(F.get("embedding", F.lit(i)).cast("double"), 4).alias(f"v{i}") for i in (0, 1, 31, 32)],
@@ -89,7 +89,7 @@ EMBEDDING_TEXT_SQL = """concat_ws(chr(10), purpose,
 
 def chunk_texts(spark, sf_dir):
     """Keywords, purpose and the hash of the embedding text of every chunk."""
-    c = views.chunks(spark, sf_dir)
+    c = views.chunks(spark, sf_dir, heavy=True)
     text = names.embedding_text(*[F.col(x) for x in ("chunk_type", "name", "parent_name", "docstring", "signature", "summary", "file_path", "language", "content")])
     return c.select(
         "id", names.qualified_name(F.col("parent_name"), F.col("name")).alias("qualified_name"),
@@ -105,7 +105,7 @@ def chunk_id_hash(spark, sf_dir):
 
 
 def keyword_boost(spark, sf_dir):
-    c = views.chunks(spark, sf_dir)
+    c = views.chunks(spark, sf_dir, heavy=True)
     boost = search.keyword_boost(QUESTION, F.col("name"), F.col("docstring"), F.col("content"))
     return c.select("id", F.round(boost, 6).alias("boost"))
 
@@ -165,7 +165,7 @@ PREVIEW_SQL = """, docstring[1:500] AS docstring,
 
 def chunk_views(spark, sf_dir):
     """Preview of every chunk."""
-    return formatting.view(views.chunks(spark, sf_dir), "preview", ["id"]).drop("parent").withColumn("preview", F.sha2("preview", 256))
+    return formatting.view(views.chunks(spark, sf_dir, heavy=True), "preview", ["id"]).drop("parent").withColumn("preview", F.sha2("preview", 256))
 
 
 def query_expansion(spark, sf_dir):

@@ -111,6 +111,13 @@ def parameter_counts(spark, sf_dir):
     return _code(spark, sf_dir).select("id", mf.parameter_count(F.col("content"), F.col("language")).cast("bigint").alias("parameters"))
 
 
+PARAMETERS_SQL = r"""args AS (SELECT id, language, CASE WHEN language = 'python' THEN regexp_extract(content, 'def\s+[\p{L}\p{N}_]+\s*\(([^)]*)\)', 1)
+   ELSE regexp_extract(content, '[\p{L}\p{N}_]\s*\(([^)]*)\)', 1) END AS args FROM chunks),
+depths AS (SELECT *, list_transform(range(1, length(args) + 1), lambda i: CASE WHEN args[i] = ',' AND
+   length(regexp_replace(args[1:i], '[^\[<(]', '', 'g')) = length(regexp_replace(args[1:i], '[^\]>)]', '', 'g')) THEN chr(1) ELSE args[i] END) AS marked FROM args),
+parts AS (SELECT id, language, args, list_transform(string_split(array_to_string(marked, ''), chr(1)), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13))) AS parts FROM depths)"""
+
+
 def function_hotspots(spark, sf_dir):
     """Ten most complex functions of all texts."""
     hot = metrics.hotspots(metrics.function_metrics(_code(spark, sf_dir)))
@@ -183,6 +190,18 @@ def pattern_examples(spark, sf_dir):
     return places.drop("confidence")
 
 
+def _examples_sql() -> str:
+    """First two matches per chunk and expression, then the first three per pattern."""
+    parts = [
+        f"SELECT '{name}' AS pattern_name, '{_q(r)}' AS r, id, repo_name, file_path, start_line, i, unnest(regexp_extract_all(line, '{_q(r)}')) AS m FROM ln"
+        for name, regexes in fixed.CODE_PATTERNS["testing"].items() for r in regexes
+    ]
+    return f"""WITH {FOLDED_CTE}, ln AS (SELECT id, repo_name, file_path, start_line, i, list_extract(ls, i) AS line FROM (SELECT *, string_split(f, chr(10)) AS ls FROM folded), unnest(range(1, len(ls) + 1)) AS u(i)),
+m AS ({' UNION ALL '.join(parts)}), k AS (SELECT *, row_number() OVER (PARTITION BY r, pattern_name, id ORDER BY i) AS k FROM m),
+r AS (SELECT 'testing' AS category, pattern_name, repo_name, file_path, (start_line + i - 1)::INT AS line_number, m[1:100] AS code_snippet FROM k WHERE k <= 2),
+x AS (SELECT *, row_number() OVER (PARTITION BY pattern_name ORDER BY repo_name, file_path, line_number, code_snippet)::INT AS rank FROM r) SELECT * FROM x WHERE rank <= 3"""
+
+
 def library_usage(spark, sf_dir):
     return conventions.library_report(conventions.library_uses(_code(spark, sf_dir)))
 
@@ -264,20 +283,33 @@ def find_test_methods(spark, sf_dir):
     return usages.test_methods(_code(spark, sf_dir), "FetchOrder").select("repo_name", "file_path", "name", F.col("line").cast("bigint").alias("line"), "match_reason")
 
 
+REPOSITORY_SQL = f"""WITH {FOLDED_CTE}, {LINES_SQL}, {COGNITIVE_SQL}, {PARAMETERS_SQL},
+cnt AS (SELECT id, CASE WHEN trim(args) = '' THEN 0 ELSE len(list_filter(parts, lambda p: p <> '' AND NOT (language = 'python' AND p IN ('self', 'cls')))) END AS parameters FROM parts),
+m AS (SELECT f.*, ({_cyclomatic_sql()}) AS cyc, coalesce(cog.complexity, 0) AS cog, parameters, total_lines, source_lines, comment_lines, blank_lines,
+ chunk_type IN ('function', 'method', 'constructor') AS fn, chunk_type IN ('class', 'interface') AS cls FROM folded f JOIN loc USING (id) LEFT JOIN cog USING (id) JOIN cnt USING (id)),
+{_halstead_sql().split("SELECT id, n1 AS distinct_operators")[0].rstrip()}, vol AS (SELECT id, round_even((b1 + b2) * log2((n1 + n2)::DOUBLE), 2) AS volume FROM n),
+fv AS (SELECT repo_name, volume, row_number() OVER (PARTITION BY repo_name ORDER BY id) AS k FROM m JOIN vol USING (id) WHERE fn), av AS (SELECT repo_name, avg(volume) AS v FROM fv WHERE k <= 100 GROUP BY ALL),
+a AS (SELECT repo_name, count(DISTINCT file_path) FILTER (fn OR cls) AS total_files, count(*) FILTER (fn) AS total_functions, count(*) FILTER (cls) AS total_classes, sum(total_lines)::BIGINT AS total_lines, sum(source_lines)::BIGINT AS source_lines,
+ sum(comment_lines)::BIGINT AS comment_lines, sum(blank_lines)::BIGINT AS blank_lines, coalesce(avg(cyc) FILTER (fn), 0) AS ac, coalesce(avg(cog) FILTER (fn), 0) AS ag,
+ count(*) FILTER (fn AND (cyc > 10 OR cog > 15 OR source_lines > 50 OR parameters > 5)) AS complex_function_count FROM m GROUP BY repo_name)
+SELECT repo_name, total_files, total_functions, total_classes, total_lines, source_lines, comment_lines, blank_lines, round_even(comment_lines / source_lines, 3) AS comment_ratio, round_even(ac, 2) AS avg_cyclomatic,
+ round_even(ag, 2) AS avg_cognitive, complex_function_count, round_even(complex_function_count / total_functions * 100, 1) AS complex_function_percentage,
+ round_even(greatest(0, (171 - 5.2::DOUBLE * ln(greatest(coalesce(v, 0), 1)) - 0.23::DOUBLE * ac - 16.2::DOUBLE * ln(greatest(source_lines / total_files, 1))) * 100 / 171), 1) AS maintainability_index FROM a LEFT JOIN av USING (repo_name)"""
+
 QUERIES = {
     "cyclomatic": (cyclomatic, f"WITH {FOLDED_CTE}, c AS (SELECT id, ({_cyclomatic_sql()})::BIGINT AS cyclomatic FROM folded) SELECT *, CASE WHEN cyclomatic <= 5 THEN 'low' WHEN cyclomatic <= 10 THEN 'moderate' WHEN cyclomatic <= 20 THEN 'high' ELSE 'very_high' END AS rating FROM c"),
     "line_metrics": (line_metrics, f"WITH {CODE_CTE}, {LINES_SQL} SELECT *, CASE WHEN source_lines > 0 THEN round_even(comment_lines / source_lines, 3) ELSE 0 END AS comment_ratio FROM loc"),
     "cognitive": (cognitive, f"WITH {CODE_CTE}, {LINES_SQL}, {COGNITIVE_SQL} SELECT chunks.id, coalesce(complexity, 0) AS complexity, coalesce(nesting_depth_max, 0) AS nesting_depth_max, coalesce(nested_penalties, 0) AS nested_penalties, CASE WHEN coalesce(complexity, 0) <= 5 THEN 'low' WHEN complexity <= 15 THEN 'moderate' WHEN complexity <= 25 THEN 'high' ELSE 'very_high' END AS rating FROM chunks LEFT JOIN cog USING (id)"),
     "halstead": (halstead, f"WITH {FOLDED_CTE}, {_halstead_sql()}"),
-    "parameter_counts": (parameter_counts, None),
+    "parameter_counts": (parameter_counts, f"WITH {CODE_CTE}, {PARAMETERS_SQL} SELECT id, CASE WHEN trim(args) = '' THEN 0 ELSE len(list_filter(parts, lambda p: p <> '' AND NOT (language = 'python' AND p IN ('self', 'cls')))) END AS parameters FROM parts"),
     "function_hotspots": (function_hotspots, f"WITH {FOLDED_CTE}, {LINES_SQL}, {COGNITIVE_SQL}, c AS (SELECT CASE WHEN nullif(parent_name, '') IS NULL THEN name ELSE parent_name || '.' || name END AS name, file_path || ':' || start_line AS file, repo_name, ({_cyclomatic_sql()})::BIGINT AS cyclomatic, complexity AS cognitive, source_lines AS lines FROM folded JOIN cog USING (id) JOIN loc USING (id) WHERE chunk_type IN ('function', 'method', 'constructor') ORDER BY cyclomatic DESC, name, file, repo_name LIMIT 10) SELECT *, CASE WHEN cyclomatic <= 5 THEN 'low' WHEN cyclomatic <= 10 THEN 'moderate' WHEN cyclomatic <= 20 THEN 'high' ELSE 'very_high' END AS rating FROM c"),
-    "repository_metrics": (repository_metrics, None),
+    "repository_metrics": (repository_metrics, REPOSITORY_SQL),
     "secret_scan": (secret_scan, f"WITH {_secret_cte()} SELECT doc_id, i AS line_number, secret_type, severity, CASE WHEN length(m) <= 8 THEN m[1:2] || '***' ELSE m[1:4] || '...' || m[-4:] END AS matched_text, 'SEC-' || upper(secret_type) AS rule_id, round(confidence, 6) AS confidence FROM found WHERE confidence >= 0.5"),
     "secret_severity_summary": (secret_severity_summary, f"WITH {_secret_cte()}, l AS (SELECT unnest(['info', 'low', 'medium', 'high', 'critical']) AS severity, unnest([0, 1, 2, 3, 4])::INT AS severity_rank) SELECT severity, severity_rank, (SELECT count(*) FROM found WHERE found.severity = l.severity AND confidence >= 0.5) AS n FROM l"),
     "secret_scan_result": (secret_scan_result, f"WITH {_secret_cte()}, h AS (SELECT * FROM found WHERE confidence >= 0.5 AND severity IN ('high', 'critical')) SELECT (SELECT count(*) FROM documents) AS total_files_scanned, count(*) AS total_findings, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in fixed.SEVERITIES) + " FROM h"),
     "page_secrets": (page_secrets, f"WITH {_secret_cte().replace('doc_id', 'page_id').replace('string_split(text', 'string_split(html').replace('FROM documents', 'FROM pages')} SELECT page_id, secret_type, count(*) AS n FROM found WHERE confidence >= 0.5 GROUP BY ALL"),
     "pattern_share": (pattern_share, f"WITH {_pattern_cte()} SELECT *, round(occurrence_count / sum(occurrence_count) OVER (PARTITION BY category) * 100, 1) AS percentage, row_number() OVER (PARTITION BY category ORDER BY occurrence_count DESC, pattern_name) = 1 AS recommended FROM pc"),
-    "pattern_examples": (pattern_examples, None),
+    "pattern_examples": (pattern_examples, _examples_sql()),
     "library_usage": (library_usage, f"WITH {_library_cte()} SELECT library, import_count, file_count, call_count, category FROM rep"),
     "top_libraries": (top_libraries, f"WITH {_library_cte()}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY import_count + call_count DESC, library) AS rank FROM rep WHERE category IS NOT NULL) SELECT category, library, import_count, call_count, rank FROM r WHERE rank <= 2"),
     "testing_conventions": (testing_conventions, f"WITH {CODE_CTE} SELECT 'pytest' AS framework, count(*) AS usage_count, ['test_*.py'] AS file_patterns, ['assert'] AS common_assertions, 'pytest-mock' AS mock_library FROM chunks WHERE regexp_matches(file_path, 'test_\\w+\\.py$') AND (SELECT count(*) FROM chunks WHERE regexp_matches(content, 'assert\\s+\\w+')) > 0"),

@@ -171,10 +171,10 @@ def cte(text: str) -> str:
     return text.replace("{array}", "list_value").replace("{{", "{").replace("}}", "}")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunks(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     from codequarry.schema import METADATA, as_struct
 
-    return view(spark, sf_dir, CHUNKS).selectExpr("*", f"CAST(NULL AS {as_struct(METADATA)}) AS metadata")
+    return view(spark, sf_dir, CHUNKS, heavy).selectExpr("*", f"CAST(NULL AS {as_struct(METADATA)}) AS metadata")
 
 
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
