@@ -113,6 +113,11 @@ def normalized(url: Column, method: Column, framework: Column | None = None) ->
     )
 
 
+def same_structure(left: Column, right: Column) -> Column:
+    """Equal static segments at equal positions, parameters elsewhere, whatever their names."""
+    return canonical(left) == canonical(right)
+
+
 def paths_match(left: Column, right: Column, strict: bool = False) -> Column:
     """Two segment arrays could serve one request; ``strict`` also compares parameter names."""
 

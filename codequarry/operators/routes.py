@@ -40,6 +40,31 @@ def api_calls_of(chunks: DataFrame) -> DataFrame:
     )
 
 
+def find_endpoints(endpoints: DataFrame, method: str | None = None, path: str | None = None, repo: str | None = None, language: str | None = None) -> DataFrame:
+    """Endpoints by any of verb, path pattern (``*`` matches anything), repository and language."""
+    found = endpoints
+    if method is not None:
+        found = found.where(F.col("route.method") == method.upper())
+    if path is not None:
+        found = found.where(F.col("route.path_pattern").like(path.replace("*", "%")))
+    for column, value in (("repo_name", repo), ("language", language)):
+        if value is not None:
+            found = found.where(F.col(column) == value)
+    return found.orderBy("route.path_pattern", "route.method", "id")
+
+
+def find_api_calls(api_calls: DataFrame, method: str | None = None, url: str | None = None, repo: str | None = None) -> DataFrame:
+    """Calls by any of verb, address (``*`` matches anything) and repository."""
+    found = api_calls
+    if method is not None:
+        found = found.where(F.col("route.method") == method.upper())
+    if url is not None:
+        found = found.where(F.col("url").like(url.replace("*", "%")))
+    if repo is not None:
+        found = found.where(F.col("repo_name") == repo)
+    return found.orderBy("url", "route.method", "id")
+
+
 def _first(df: DataFrame, keys: list[str], k: int) -> DataFrame:
     """First ``k`` ids per key; the limit is applied before and after the shuffle."""
     w = Window.partitionBy(*keys).orderBy("id")

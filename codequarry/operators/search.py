@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codequarry import fixed_values as fixed
-from codequarry.functions import names, vectors
+from codequarry.functions import embedding, names, vectors
 
 
 def metadata_filter(df: DataFrame, **equal: str | None) -> DataFrame:
@@ -138,19 +138,26 @@ def model_text(query: str, model: str) -> str:
 
 
 def embed_chunks(chunks: DataFrame, model: str = "mock") -> DataFrame:
-    """Embedding rows of chunks. Offline only the hash model exists; it is plain columns."""
-    dimension = fixed.EMBEDDING_DIMENSIONS.get(model, 768)
+    """Embedding rows of chunks: what the model makes of their embedding texts."""
     text = names.embedding_text(
         F.col("chunk_type"), F.col("name"), F.col("parent_name"), F.col("docstring"), F.col("signature"),
         F.col("summary"), F.col("file_path"), F.col("language"), F.col("content"),
     )
-    return chunks.select("id", "repo_name", F.lit(model).alias("model"), vectors.hash_vector(text, dimension).alias("embedding"))
+    return chunks.select("id", "repo_name", F.lit(model).alias("model"), embedding.vectors_of(text, model).alias("embedding"))
 
 
 def embed_query(query: str, model: str = "mock") -> list[float]:
-    return vectors.hash_vector_of(model_text(query, model), fixed.EMBEDDING_DIMENSIONS.get(model, 768))
+    return embedding.vector_of(model_text(query, model), model)
 
 
 def wrong_dimension(embeddings: DataFrame, model: str) -> DataFrame:
     """Rows whose vector length is not the model's; an empty result means the table is sound."""
     return embeddings.where((F.col("model") == model) & (F.size("embedding") != fixed.EMBEDDING_DIMENSIONS.get(model, 768)))
+
+
+def checked(embeddings: DataFrame, model: str) -> DataFrame:
+    """The same table, after making sure that every vector of the model has its length."""
+    bad = wrong_dimension(embeddings, model).count()
+    if bad:
+        raise ValueError(f"{bad} vectors do not have the dimension of {model}")
+    return embeddings

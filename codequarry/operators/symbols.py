@@ -30,6 +30,15 @@ def in_repo(df: DataFrame, repo: str | None) -> DataFrame:
     return df if repo is None else df.where(F.col("repo_name") == repo)
 
 
+def chunk_by_id(chunks: DataFrame, chunk_id: str) -> DataFrame:
+    """One chunk; a stored table skips the row groups whose bloom filter excludes the id."""
+    return chunks.where(F.col("id") == chunk_id)
+
+
+def chunks_by_file(chunks: DataFrame, repo: str, path: str) -> DataFrame:
+    return chunks.where((F.col("repo_name") == repo) & (F.col("file_path") == path)).orderBy("start_line", "id")
+
+
 def lookup(table: DataFrame, name: str, repo: str | None = None) -> DataFrame:
     """Exact match of name or qualified name, exact names first."""
     hit = (F.col("name") == name) | (F.col("qualified_name") == name)

@@ -6,7 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, functions as F
 
-from codequarry.operators import counts, search, snapshots
+from codequarry import fixed_values as fixed
+from codequarry.operators import counts, routes, search, snapshots
 from codequarry.plans.store import Store
 from codequarry import schema
 from codequarry.sources import files as sf, git, parsing
@@ -59,6 +60,21 @@ def index_files(store: Store, files: DataFrame, repos: list[str], model: str = "
     return parsing.counters(tables.files)
 
 
+def link_routes(store: Store, repos: list[str], spec: DataFrame | None = None, min_confidence: float | None = None) -> DataFrame:
+    """Endpoints, API calls and their links of some repositories, stored; returns the linking figures."""
+    chunks = store.read("chunks").where(F.col("repo_name").isin(repos))
+    endpoints, calls = routes.endpoints_of(chunks), routes.api_calls_of(chunks)
+    if spec is not None:
+        endpoints = endpoints.unionByName(spec.select(*endpoints.columns))
+    store.replace_repos("endpoints", counts.keep_one(endpoints, ["id"], [F.col("chunk_id")], last=True), repos)
+    store.replace_repos("api_calls", counts.keep_one(calls, ["id"], [F.col("chunk_id")], last=True), repos)
+    endpoints, calls = store.read("endpoints").where(F.col("repo_name").isin(repos)), store.read("api_calls").where(F.col("repo_name").isin(repos))
+    links = routes.link(calls, endpoints, min_confidence or fixed.ROUTE_MIN_CONFIDENCE).drop("match_details")
+    owned = links.join(calls.select(F.col("id").alias("call_id"), "repo_name"), "call_id")
+    store.replace_repos("route_links", owned, repos)
+    return routes.linking_stats(endpoints, calls, store.read("route_links").where(F.col("repo_name").isin(repos)))
+
+
 def index_repo(store: Store, path: str, repo: str | None = None, incremental: bool = False, model: str = "mock") -> dict:
     """Index one folder; errors are part of the result."""
     if "://" not in path and not os.path.isdir(path):

@@ -23,6 +23,9 @@ TABLES = {
     "class_dependencies": (schema.CLASS_DEPENDENCY, "class_name", "class_name"),
     "embeddings": (schema.EMBEDDING, "id", "id"),
     "manifest": (schema.MANIFEST, "file_path", "file_path"),
+    "endpoints": (schema.ENDPOINT, "file_path", "qualified_name"),
+    "api_calls": (schema.API_CALL, "file_path", "url"),
+    "route_links": (schema.ROUTE_LINK, "call_id", "endpoint_id"),
 }
 # columns asked for by value: a bloom filter per row group lets a scan skip the others
 LOOKUPS = {"chunks": ["id", "name"], "calls": ["caller", "callee"], "inheritance": ["child_name", "parent_name"], "embeddings": ["id"]}
@@ -133,6 +136,25 @@ class Store:
         self._write(table, self.staged(upsert(old, staged, keys, wins, [keys[0]])))
         return {"received": staged.count(), "distinct": staged.select(*keys).distinct().count()}
 
+    def delete_files(self, files: DataFrame) -> None:
+        """Drop everything that came from some files (repo_name, file_path)."""
+        keys = self.staged(files.select("repo_name", "file_path").distinct())
+        chunks = self.staged(self.read("chunks").join(keys, ["repo_name", "file_path"], "left_semi").select("repo_name", "id", "chunk_type", "name"))
+        for table in ("chunks", "calls", "inheritance", "manifest"):
+            self.replace_files(table, self.spark.createDataFrame([], TABLES[table][0]), keys)
+        self.replace_files("embeddings", self.spark.createDataFrame([], schema.EMBEDDING), chunks.select("repo_name", F.col("id").alias("file_path")))
+        classes = chunks.where("chunk_type = 'class'").select("repo_name", F.col("name").alias("file_path"))
+        self.replace_files("class_dependencies", self.spark.createDataFrame([], schema.CLASS_DEPENDENCY), classes)
+
+    def delete_chunks(self, ids: DataFrame) -> None:
+        """Drop chunks and their vectors by id (repo_name, id)."""
+        keys = self.staged(ids.select("repo_name", "id").distinct())
+        chunks = self.read("chunks")
+        files = self.staged(chunks.join(keys, ["repo_name", "id"], "left_semi").select("repo_name", "file_path").distinct())
+        kept = chunks.join(files, ["repo_name", "file_path"], "left_semi").join(keys, ["repo_name", "id"], "left_anti").select(*chunks.columns)
+        self.replace_files("chunks", kept, files)
+        self.replace_files("embeddings", self.spark.createDataFrame([], schema.EMBEDDING), keys.select("repo_name", F.col("id").alias("file_path")))
+
     def clear_repo(self, repo: str) -> None:
         """Drop a repository from every table."""
         escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName

@@ -131,6 +131,16 @@ def _flat(endpoints):
     return endpoints.select(F.col("route.method").alias("method"), F.col("route.path_pattern").alias("path_pattern"), "qualified_name")
 
 
+def find_endpoints(spark, sf_dir):
+    endpoints, _ = _registry(spark, sf_dir)
+    return routes.find_endpoints(endpoints, "get", "/*/items/*", language="typescript").select("id", "qualified_name", "route.path_pattern")
+
+
+def find_api_calls(spark, sf_dir):
+    _, calls = _registry(spark, sf_dir)
+    return routes.find_api_calls(calls, url="/en/*", repo="repo_com").select("id", "url", "caller_qualified_name")
+
+
 def spec_coverage(spark, sf_dir):
     """Secure pages as code, plain pages as the specification."""
     endpoints, calls = _registry(spark, sf_dir)
@@ -390,6 +400,8 @@ QUERIES = {
     "registry_stats": (registry_stats, f"WITH {LINK_CTE} SELECT (SELECT count(*) FROM ep) AS total_endpoints, (SELECT count(*) FROM ac) AS total_calls, count(*) AS total_links, count(*) FILTER (is_ambiguous) AS ambiguous_links, round(avg(conf), 3) AS average_confidence FROM links"),
     "linking_stats": (linking_stats, f"WITH {LINK_CTE} SELECT 'endpoints_found' AS statistic, count(*) AS value FROM ep UNION ALL SELECT 'api_calls_found', count(*) FROM ac UNION ALL SELECT 'links_matched', count(*) FROM links UNION ALL SELECT 'links_confident', count(*) FROM links WHERE NOT is_ambiguous UNION ALL SELECT 'links_ambiguous', count(*) FROM links WHERE is_ambiguous UNION ALL SELECT 'unlinked_calls', count(*) FROM ac WHERE id NOT IN (SELECT call_id FROM links) UNION ALL SELECT 'unlinked_endpoints', count(*) FROM ep WHERE id NOT IN (SELECT endpoint_id FROM links) UNION ALL SELECT 'conflicts_detected', count(*) FROM (SELECT 1 FROM ep GROUP BY method, canonical HAVING count(DISTINCT name) > 1) UNION ALL SELECT 'edges_created', 0"),
     "http_edges": (http_edges, f"WITH {LINK_CTE} SELECT ac.name AS caller, ep.name AS callee, ac.file_path AS caller_file, ac.page_id::INT AS caller_line, ac.repo_name, 'http_request' AS call_type FROM links JOIN ac ON ac.id = call_id JOIN ep ON ep.id = endpoint_id WHERE NOT is_ambiguous"),
+    "find_endpoints": (find_endpoints, f"WITH {LINK_CTE} SELECT id, name AS qualified_name, path_pattern FROM ep WHERE method = 'GET' AND path_pattern LIKE '/%/items/%' AND language = 'typescript'"),
+    "find_api_calls": (find_api_calls, f"WITH {LINK_CTE} SELECT id, path AS url, name AS caller_qualified_name FROM ac WHERE path LIKE '/en/%' AND repo_name = 'repo_com'"),
     "spec_coverage_full_outer": (spec_coverage, f"WITH {SPEC_CTE} SELECT * FROM cov"),
     "spec_coverage_percent": (spec_coverage_percent, f"WITH {SPEC_CTE} SELECT count(*) FILTER (status = 'matching') AS matching_count, count(*) FILTER (status <> 'missing_from_spec') AS total_spec_routes, round_even(matching_count / total_spec_routes * 100, 1) AS coverage_percent FROM cov"),
     "api_diff": (api_diff, f"WITH {NORMAL_CTE}, b AS (SELECT DISTINCT method, path_pattern FROM can WHERE NOT is_endpoint), a AS (SELECT DISTINCT method, path_pattern FROM can WHERE is_endpoint) SELECT method, path_pattern, 'removed' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT method, path_pattern, 'added' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)"),

@@ -232,6 +232,18 @@ def symbol_by_file(spark, sf_dir):
     return symbols.by_file(t, "src1", "src/en/test_mod_0.py").select(_COLS)
 
 
+def chunk_by_id(spark, sf_dir):
+    return symbols.chunk_by_id(views.chunks(spark, sf_dir), "d17").select("id", "name", F.length("content").cast("bigint").alias("length"))
+
+
+def chunks_by_file(spark, sf_dir):
+    return symbols.chunks_by_file(views.chunks(spark, sf_dir), "src2", "src/en/mod_0.py").select("id", "name", "start_line")
+
+
+def vector_metadata(spark, sf_dir):
+    return formatting.vector_metadata(views.chunks(spark, sf_dir))
+
+
 def symbol_fuzzy(spark, sf_dir):
     return symbols.fuzzy(_symbols(spark, sf_dir), "userdata1").select(_COLS)
 
@@ -268,6 +280,9 @@ QUERIES = {
     "symbol_children": (symbol_children, f"WITH {SYMBOL_CTE} SELECT {SYMBOL_COLUMNS} FROM symbols WHERE parent_name = 'Class0'"),
     "symbol_by_type": (symbol_by_type, f"WITH {SYMBOL_CTE} SELECT {SYMBOL_COLUMNS} FROM symbols WHERE symbol_type = 'interface' ORDER BY name, repo_name, file_path, start_line LIMIT 100"),
     "symbol_by_file": (symbol_by_file, f"WITH {SYMBOL_CTE} SELECT {SYMBOL_COLUMNS} FROM symbols WHERE repo_name = 'src1' AND file_path = 'src/en/test_mod_0.py'"),
+    "chunk_by_id": (chunk_by_id, f"WITH {CHUNK_CTE} SELECT id, name, length(content) AS length FROM chunks WHERE id = 'd17'"),
+    "chunks_by_file": (chunks_by_file, f"WITH {CHUNK_CTE} SELECT id, name, start_line FROM chunks WHERE repo_name = 'src2' AND file_path = 'src/en/mod_0.py'"),
+    "vector_metadata": (vector_metadata, f"WITH {CHUNK_CTE} SELECT id, repo_name, file_path, start_line, end_line, chunk_type, name, coalesce(parent_name, '') AS parent_name, language, coalesce(docstring <> '', false) AS has_docstring FROM chunks"),
     "symbol_fuzzy": (symbol_fuzzy, f"WITH {SYMBOL_CTE} SELECT {SYMBOL_COLUMNS} FROM symbols WHERE name = 'userdata1' OR qualified_name = 'userdata1' OR contains(lower(name), 'userdata1') ORDER BY name <> 'userdata1', qualified_name <> 'userdata1', qualified_name, repo_name, file_path, start_line LIMIT 5"),
     "file_suffix_lookup": (file_suffix_lookup, f"WITH {SYMBOL_CTE} SELECT DISTINCT repo_name, file_path FROM symbols WHERE ends_with(file_path, 'fr/mod_0.ts') ORDER BY repo_name, file_path LIMIT 1"),
     "class_members": (class_members, f"WITH {SYMBOL_CTE} SELECT t.repo_name, t.file_path, t.name AS class_name, t.start_line AS class_line, t.symbol_type AS class_type, m.name AS member_name, m.symbol_type AS member_type, m.start_line AS member_line FROM symbols t LEFT JOIN symbols m ON nullif(m.parent_name, '') IS NOT NULL AND m.repo_name = t.repo_name AND m.file_path = t.file_path AND m.parent_name = t.name WHERE t.symbol_type IN ('class', 'interface')"),

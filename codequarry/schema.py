@@ -31,6 +31,17 @@ EMBEDDING = "id string, repo_name string, model string, embedding array<float>"
 MANIFEST = "repo_name string, file_path string, mtime double, size bigint, chunk_ids array<string>"
 ROUTE_PARAMETER = "name string, position int, source string, type_hint string, required boolean"
 
+NORMALIZED_ROUTE = (
+    "method string, path_pattern string, path_segments array<string>, "
+    f"parameters array<{as_struct(ROUTE_PARAMETER)}>, base_path string, query_params array<string>, framework string, original_path string"
+)
+ENDPOINT = f"id string, route {as_struct(NORMALIZED_ROUTE)}, chunk_id string, qualified_name string, file_path string, repo_name string, language string"
+API_CALL = (
+    f"id string, route {as_struct(NORMALIZED_ROUTE)}, url string, chunk_id string, caller_qualified_name string, file_path string, "
+    "repo_name string, line_number int"
+)
+ROUTE_LINK = "call_id string, endpoint_id string, confidence double, is_ambiguous boolean, alternatives int, rank int, repo_name string"
+
 # key columns, and which input wins when two rows share a key
 KEYS = {
     "chunks": (["id"], "last"),

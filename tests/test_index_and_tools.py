@@ -142,6 +142,38 @@ def test_incremental_update_touches_only_changes(spark, tmp_path):
     assert indexing.index_repo(store, str(tmp_path / "missing"))["error"]
 
 
+def test_stored_registry(store):
+    figures = {r["statistic"]: r["value"] for r in indexing.link_routes(store, ["shop"]).collect()}
+    assert (figures["endpoints_found"], figures["api_calls_found"], figures["links_confident"]) == (5, 2, 1)
+    assert store.read("route_links").first()["confidence"] > 0.9
+
+
+def test_deletes(spark, tmp_path):
+    root = str(tmp_path / "p")
+    write(root, "a.py", "def one(): two()\n\ndef other(): pass\n")
+    write(root, "b.py", "class C(D): pass\n")
+    store = Store(spark, str(tmp_path / "s"), buckets=2)
+    indexing.index_repo(store, root)
+    gone = store.read("chunks").where("name = 'other'").select("repo_name", "id")
+    store.delete_chunks(gone)
+    assert sorted(r["name"] for r in store.read("chunks").collect()) == ["C", "one"] and store.read("embeddings").count() == 2
+    store.delete_files(spark.createDataFrame([("p", "b.py")], "repo_name string, file_path string"))
+    assert [r["name"] for r in store.read("chunks").collect()] == ["one"] and store.read("inheritance").isEmpty()
+    assert [r["file_path"] for r in store.read("manifest").collect()] == ["a.py"] and store.read("calls").count() == 1
+
+
+def test_models(spark):
+    from codequarry.functions import embedding
+    from codequarry.operators import search
+
+    assert embedding.dimension("all-MiniLM-L6-v2") == 384 and embedding.is_local("mock") and not embedding.is_local("voyage-code-2")
+    with pytest.raises(ValueError):
+        embedding.vector_of("x", "voyage-code-2")
+    rows = spark.createDataFrame([("a", "r", "mock", [0.5])], "id string, repo_name string, model string, embedding array<float>")
+    with pytest.raises(ValueError):
+        search.checked(rows, "mock")
+
+
 def test_upsert_last_wins(spark, tmp_path):
     store = Store(spark, str(tmp_path), buckets=2)
     row = "child_name string, child_qualified string, parent_name string, relation_type string, file_path string, repo_name string, line_number int"
