@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from codequarry import fixed_values as fixed
 from codequarry.functions import names, routes as rf
+from codequarry.session import cut
 
 
 def endpoints_of(chunks: DataFrame) -> DataFrame:
@@ -185,7 +186,8 @@ def registry_stats(endpoints: DataFrame, api_calls: DataFrame, links: DataFrame)
 
 
 def linking_stats(endpoints: DataFrame, api_calls: DataFrame, links: DataFrame, edges_created: int = 0) -> DataFrame:
-    """The figures of a linking run as (statistic, value) rows."""
+    """The figures of a linking run as (statistic, value) rows; the links are computed once."""
+    links = cut(links.select("call_id", "endpoint_id", "is_ambiguous"))
 
     def row(name: str, df: DataFrame) -> DataFrame:
         return df.agg(F.count("*").alias("value")).select(F.lit(name).alias("statistic"), "value")

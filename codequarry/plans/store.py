@@ -32,7 +32,7 @@ LOOKUPS = {"chunks": ["id", "name"], "calls": ["caller", "callee"], "inheritance
 
 
 class Store:
-    """The tables below one folder."""
+    """The tables below one folder. Choose ``buckets`` so that a bucket of the largest repository is about a gigabyte."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
@@ -63,26 +63,29 @@ class Store:
         """Replace the partitions that occur in ``df``; rows are sorted by the lookup column for min/max skipping."""
         ddl, path_column, lookup = TABLES[table]
         spread = df.withColumn("bucket", self._bucket(path_column))
-        # one task per bucket of a repository: a large repository is many buckets, hence many tasks
-        laid_out = spread.repartition("repo_name", "bucket").sortWithinPartitions("repo_name", "bucket", lookup)
+        # rebalancing merges small buckets into one task and splits a bucket that outgrows a task
+        laid_out = spread.hint("rebalance", F.col("repo_name"), F.col("bucket")).sortWithinPartitions("repo_name", "bucket", lookup)
         writer = laid_out.write.mode("overwrite")
         for column in LOOKUPS.get(table, []):
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.option("partitionOverwriteMode", "dynamic").partitionBy("repo_name", "bucket").parquet(self.path(table))
 
+    def _escaped(self, repo: str) -> str:
+        return self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(repo)
+
     def _partitions(self, table: str, repos: list[str]) -> set[tuple[str, int]]:
-        if not self.exists(table):
-            return set()
-        rows = (
-            self.spark.read.schema(f"{TABLES[table][0]}, bucket int").parquet(self.path(table))
-            .where(F.col("repo_name").isin(repos)).select("repo_name", "bucket").distinct().collect()
-        )
-        return {(r[0], r[1]) for r in rows}
+        """Buckets present for some repositories: a listing of folders, no scan."""
+        found = set()
+        for repo in repos:
+            filesystem, target = self._filesystem(f"{self.path(table)}/repo_name={self._escaped(repo)}")
+            if filesystem.exists(target):
+                names = [status.getPath().getName() for status in filesystem.listStatus(target)]
+                found |= {(repo, int(n.removeprefix("bucket="))) for n in names if n.startswith("bucket=")}
+        return found
 
     def _drop_partitions(self, table: str, partitions: set[tuple[str, int]]) -> None:
-        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
         for repo, bucket in partitions:
-            filesystem, target = self._filesystem(f"{self.path(table)}/repo_name={escape(repo)}/bucket={bucket}")
+            filesystem, target = self._filesystem(f"{self.path(table)}/repo_name={self._escaped(repo)}/bucket={bucket}")
             filesystem.delete(target, True)
 
     def staged(self, df: DataFrame, by: str | None = None) -> DataFrame:
@@ -92,11 +95,11 @@ class Store:
         return self.spark.read.schema(df.schema).parquet(folder)
 
     def replace_repos(self, table: str, df: DataFrame, repos: list[str]) -> None:
-        """All rows of the repositories become ``df``."""
+        """All rows of the repositories become ``df``, which must not read this very table."""
         before = self._partitions(table, repos)
-        staged = self.staged(df)
-        self._write(table, staged)
-        after = {(r[0], r[1]) for r in staged.select("repo_name", self._bucket(TABLES[table][1]).alias("bucket")).distinct().collect()}
+        self._write(table, df)
+        column = TABLES[table][1]
+        after = {(r[0], r[1]) for r in df.select("repo_name", self._bucket(column).alias("bucket")).distinct().collect()} if before else set()
         self._drop_partitions(table, before - after)
 
     def replace_files(self, table: str, df: DataFrame, changed: DataFrame) -> None:
@@ -157,9 +160,8 @@ class Store:
 
     def clear_repo(self, repo: str) -> None:
         """Drop a repository from every table."""
-        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
         for table in TABLES:
-            filesystem, target = self._filesystem(f"{self.path(table)}/repo_name={escape(repo)}")
+            filesystem, target = self._filesystem(f"{self.path(table)}/repo_name={self._escaped(repo)}")
             filesystem.delete(target, True)
 
     def clear_all(self) -> None:

@@ -17,6 +17,7 @@ from codequarry.operators import (
     conventions, counts, diagrams, formatting, graph, impact, inheritance as inh, metrics, ownership, routes, search, security, symbols, usages,
 )
 from codequarry.plans import rendering
+from codequarry.session import cut
 
 CHUNK_TYPES = ["module", "class", "interface", "function", "method", "constructor", "property", "constant", "import", "comment", "documentation"]
 
@@ -315,7 +316,7 @@ def prepare_change(index: Index, symbol_name: str, repo_filter: str | None = Non
 def find_dead_code(index: Index, repo_name: str | None = None, limit: int = 100, include_entry_points: bool = True) -> dict:
     calls, chunks = symbols.in_repo(index.calls, repo_name), symbols.in_repo(index.chunks, repo_name)
     entries = graph.entry_points(chunks)
-    dead = graph.unreachable(calls, entries.select("node").distinct())
+    dead = cut(graph.unreachable(calls, entries.select("node").distinct()))
     home = chunks.groupBy(names.qualified_name(F.col("parent_name"), F.col("name")).alias("node")).agg(F.min("file_path").alias("file"))
     shown = dead.orderBy("node").limit(limit).join(home, "node", "left").select(F.col("node").alias("symbol"), F.coalesce("file", F.lit("unknown")).alias("file"))
     n_dead = _count(dead)
@@ -331,6 +332,7 @@ def find_dead_code(index: Index, repo_name: str | None = None, limit: int = 100,
 def detect_circular_dependencies(index: Index, repo_name: str | None = None, file_level: bool = True, limit: int = 50) -> dict:
     calls = symbols.in_repo(index.calls, repo_name)
     members = graph.cycles(graph.file_edges(calls), "src", "dst", ["repo_name"]) if file_level else graph.cycles(calls, "caller", "callee", ["repo_name"])
+    members = cut(members)
     sizes = members.groupBy("repo_name", "component").agg(F.count("*").alias("size"))
     first = sizes.orderBy("repo_name", "component").limit(limit)
     shown = _rows(members.join(F.broadcast(first), ["repo_name", "component"]).orderBy("repo_name", "component", "node").limit(limit * 100))
@@ -364,6 +366,7 @@ def analyze_api_links(index: Index, repo_name: str | None = None, spec: DataFram
     if spec is not None:
         links = routes.merge_spec_links(links, routes.link(calls, spec, min_confidence))
         known = endpoints.unionByName(spec.select(*endpoints.columns))
+    links = cut(links)
     wide = routes.wide_links(links, calls, known)
     order = ["confidence", "call_id", "endpoint_id"]
     return {
