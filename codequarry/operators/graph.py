@@ -178,9 +178,7 @@ def find_path(calls: DataFrame, source: str, target: str, repo: str | None = Non
         hit = step.where(F.col("node") == target)
         if not hit.isEmpty():
             return hit.select("path", (F.size("path") - 1).alias("length"))
-        for seen in visited:
-            step = step.join(seen, "node", "left_anti")
-        frontier = cut(step)
+        frontier = cut(step.join(_union(visited), "node", "left_anti"))
         if frontier.isEmpty():
             break
         visited.append(frontier.select("node"))
