@@ -106,10 +106,10 @@ def _local_spread(hops: DataFrame, seeds: DataFrame, scope: list[str], seeds_vis
 
     def walk(key: tuple, edges: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
         depths = levels_from(edges["__near"], edges["__far"], starts["node"], seeds_visited)
-        result = pd.DataFrame({"node": list(depths), "depth": list(depths.values())})
-        for column, value in zip(scope, key):
-            result[column] = value
-        return result[columns]
+        # a scope without starts gives an empty frame, which must still have proper column types
+        result = {"node": pd.Series(list(depths), dtype=object), "depth": pd.Series(list(depths.values()), dtype="int32")}
+        result |= {column: pd.Series([value] * len(depths), dtype=object) for column, value in zip(scope, key)}
+        return pd.DataFrame(result)[columns]
 
     if not scope:
         hops, seeds_keyed = hops.withColumn("__all", F.lit(0)), seeds.withColumn("__all", F.lit(0))
@@ -271,10 +271,9 @@ def _local_components(edges: DataFrame, scope: list[str]) -> DataFrame:
 
     def solve(pairs: pd.DataFrame) -> pd.DataFrame:
         labels = strong_labels(pairs["s"].to_numpy(), pairs["t"].to_numpy())
-        result = pd.DataFrame({"node": list(labels), "colour": list(labels.values())})
-        for c in scope:
-            result[c] = pairs[c].iloc[0] if len(pairs) else None
-        return result[columns]
+        result = {"node": pd.Series(list(labels), dtype=object), "colour": pd.Series(list(labels.values()), dtype=object)}
+        result |= {c: pd.Series([pairs[c].iloc[0]] * len(labels), dtype=object) for c in scope}
+        return pd.DataFrame(result)[columns]
 
     grouped = edges.groupBy(*scope) if scope else edges.groupBy(F.lit(0))
     return grouped.applyInPandas(solve, ddl)

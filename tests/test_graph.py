@@ -56,6 +56,17 @@ def test_dead_code(spark, local_edges):
     assert nodes(graph.never_called(c)) == ["main", "orphan"]
 
 
+@pytest.mark.parametrize("local_edges", [0, 1_000_000])
+def test_scopes_without_starts_or_without_edges(spark, local_edges):
+    c = calls(spark, ("A", "B"), repo="r1").union(calls(spark, ("A", "B"), repo="r2"))
+    starts = spark.createDataFrame([("r1", "A"), ("r3", "Z")], "repo_name string, node string")
+    found = graph.reachable(c, starts, ["repo_name"], local_edges=local_edges)
+    assert sorted((r["repo_name"], r["node"], r["depth"]) for r in found.collect()) == [("r1", "A", 0), ("r1", "B", 1), ("r3", "Z", 0)]
+    none = starts.where("repo_name = 'r9'")
+    assert graph.reachable(c, none, ["repo_name"], local_edges=local_edges).isEmpty()
+    assert graph.reachable(c, none.select("node"), local_edges=local_edges).isEmpty()
+
+
 def components(df):
     found = {}
     for r in df.collect():
