@@ -143,13 +143,14 @@ def hybrid_search_filtered(spark, sf_dir):
     return formatting.view(found, "preview", ["id", "score"]).drop("parent").withColumn("score", F.round("score", 6))
 
 
-def _hybrid_sql(where: str, n: int, fetch: int, columns: str) -> str:
+def _hybrid_sql(where: str | None, n: int, fetch: int, columns: str) -> str:
+    """Best vectors first (of the filtered chunks, if there is a filter); hits without a chunk drop out afterwards."""
+    allowed = f"WHERE e.id IN (SELECT id FROM chunks WHERE {where})" if where else ""
     return f"""
 WITH {CHUNK_CTE}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
-s AS (SELECT c.*, greatest(0, 1 - (1 - list_cosine_similarity(e.embedding::DOUBLE[], v)) / 2) AS sim
-      FROM embeddings e JOIN chunks c ON c.id = 'd' || e.vec_id::VARCHAR, q WHERE {where}),
-top AS (SELECT * FROM s ORDER BY sim DESC, id LIMIT {fetch}),
-b AS (SELECT *, least(1, sim + {_boost_sql()}) AS score0 FROM top)
+e AS (SELECT 'd' || vec_id::VARCHAR AS id, greatest(0, 1 - (1 - list_cosine_similarity(embedding::DOUBLE[], v)) / 2) AS sim FROM embeddings, q),
+best AS (SELECT * FROM e {allowed} ORDER BY sim DESC, id LIMIT {fetch}),
+b AS (SELECT c.*, least(1, sim + {_boost_sql()}) AS score0 FROM best JOIN chunks c USING (id))
 SELECT {columns}, round(score0, 6) AS score FROM b WHERE score0 >= 0.35 ORDER BY score0 DESC, id LIMIT {n}
 """
 
@@ -266,7 +267,7 @@ QUERIES = {
     "vector_topk": (vector_topk, VECTOR_SQL + "SELECT vec_id, label, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 20"),
     "vector_topk_filtered": (vector_topk_filtered, VECTOR_SQL + "SELECT vec_id, label, round(score, 6) AS score FROM s WHERE label = 3 AND s.score >= 0.35 ORDER BY s.score DESC, vec_id LIMIT 10"),
     "vector_topk_per_label": (vector_topk_per_label, VECTOR_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT label, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 3"),
-    "hybrid_search": (hybrid_search, _hybrid_sql("true", 10, 30, SUMMARY_SQL)),
+    "hybrid_search": (hybrid_search, _hybrid_sql(None, 10, 30, SUMMARY_SQL)),
     "hybrid_search_filtered": (hybrid_search_filtered, _hybrid_sql("chunk_type = 'class' AND language = 'python'", 5, 15, SUMMARY_SQL + PREVIEW_SQL)),
     "keyword_boost": (keyword_boost, f"WITH {CHUNK_CTE} SELECT id, round({_boost_sql()}, 6) AS boost FROM chunks"),
     "query_expansion": (query_expansion, _expansion_sql()),
