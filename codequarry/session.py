@@ -66,3 +66,9 @@ def cut(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder below the checkpoint folder, for staged tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Remove the tables ``cut`` wrote for this application; frames built on them are gone too."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark, f"cuts-{spark.sparkContext.applicationId}"))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
