@@ -32,24 +32,23 @@ def find_usages(
     defines = (F.col("name") == symbol) | (qualified == symbol)
     mentioning = in_repo(chunks, repo).where(~defines & F.contains("content", F.lit(symbol)))
 
-    def mentions(lines: Column, number: int, category: str, regex: str, flags: str) -> Column:
-        def usage(m: Column) -> Column:
-            if category in ("type_hints", "assignments"):
-                context = rx.let(F.get(lines, m["line"]), lambda l: names.line_context(l, m["column"]))
-            elif category == "imports":
-                context = F.substring(rx.strip(m["matched"]), 1, 80)
-            else:
-                context = rx.strip(m["matched"])
-            return F.struct(F.lit(category).alias("category"), F.lit(number).alias("rule_no"), m["line"].alias("line"), context.alias("context"))
-
-        return F.transform(lf.located(F.col("content"), regex, flags), usage)
-
-    found = rx.let(F.split("content", "\n"), lambda lines: F.flatten(F.array(*[mentions(lines, i, *rule) for i, rule in enumerate(usage_rules(symbol))])))
+    def mentions(number: int, category: str, regex: str, flags: str) -> Column:
+        constant = [F.lit(category).alias("category"), F.lit(number).alias("rule_no")]
+        return F.transform(
+            lf.located(F.col("content"), regex, flags),
+            lambda m: F.struct(*constant, m["line"].alias("line"), m["column"].alias("column"), m["matched"].alias("matched"), F.get(F.split("content", "\n"), m["line"]).alias("text")),
+        )
+
+    found = F.flatten(F.array(*[mentions(i, *rule) for i, rule in enumerate(usage_rules(symbol))]))
     hits = mentioning.select("repo_name", "file_path", "start_line", F.inline(found))
+    context = (
+        F.when(F.col("category").isin("type_hints", "assignments"), names.line_context(F.col("text"), F.col("column")))
+        .when(F.col("category") == "imports", F.substring(rx.strip(F.col("matched")), 1, 80))
+        .otherwise(rx.strip(F.col("matched")))
+    )
     textual = (
-        hits.withColumn("line", F.col("start_line") + F.col("line"))
-        .groupBy("category", "repo_name", "file_path", "line")
-        .agg(F.min_by("context", F.struct("rule_no", "context")).alias("context"))
+        hits.groupBy("category", "repo_name", "file_path", (F.col("start_line") + F.col("line")).alias("line"))
+        .agg(F.min_by(context, F.struct(F.col("rule_no"), context)).alias("context"))
     )
     called = in_repo(calls, repo).where(F.col("callee") == symbol).select(
         F.lit("calls").alias("category"), "repo_name", F.col("caller_file").alias("file_path"), F.col("caller_line").alias("line"), F.col("caller").alias("context")
