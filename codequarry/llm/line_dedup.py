@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from codequarry.llm.common import id_and_text, lower_ascii
-from codequarry.session import shared_folder
+from codequarry.session import cut, shared_folder
 
 RUN = StructType([StructField("key", BinaryType()), StructField("docs", LongType()), StructField("last_id", LongType())])
 EDGE_SPACES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
@@ -81,7 +81,8 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int)
     runs = LineRuns(spark, min_docs)
     for number in range(len(set(bounds or [])), -1, -1):
         runs.add(stored.filter(F.col("batch") == number).select("doc_id", "key"))
-    doomed = stored.join(runs.settled().select("key", "last_id"), "key").filter(F.col("doc_id") != F.col("last_id"))
+    settled = cut(runs.settled().select("key", "last_id"))  # a stored side lets the join split a key that a third of all lines have
+    doomed = stored.join(settled, "key").filter(F.col("doc_id") != F.col("last_id"))
     return doomed.groupBy("doc_id").agg(F.collect_set("line_no").alias("dropped"))
 
 

@@ -9,29 +9,45 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from codequarry.llm.common import id_and_text
-from codequarry.llm.tokens import Encoder, in_byte_batches, loaded
+from codequarry.llm.tokens import PLAIN, Encoder, in_byte_batches, in_byte_letters, is_single, loaded
 from codequarry.session import cut
 
 WORD = re.compile(r"[^ \t-\r]+")
+PART = re.compile(rf"{PLAIN}|[^ \t-\r]+")
 #: length, first rank, pieces in each bin, bins, first bin, first offset
 RUN_FIELDS = 6
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(name: str) -> Encoder:
-    """Ids by words: the tokenizer drops white space and joins nothing across it."""
+def encoder(name: str) -> Callable[[list[str]], list[list[bytes]]]:
+    """Ids by words: the tokenizer drops white space, lower-cases and joins nothing across white space."""
     if name not in _ENCODERS:
         tokenizer = loaded(name)
-        _ENCODERS[name] = Encoder(lambda words: [np.array(e.ids, dtype=np.uint32).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)], WORD)
-    return _ENCODERS[name]
+        tokenize = tokenizer.model.tokenize
+
+        def ids(units: list[str]) -> list[bytes]:
+            parts = [PART.findall(u) for u in units]
+            # lower-case letters in normal form or signs alone are one pre-token: it goes straight to the merges
+            single = [[is_single(p) and p == p.lower() and (p.isascii() or is_normalized("NFC", p)) for p in found] for found in parts]
+            batch = [p for found, flags in zip(parts, single) for p, s in zip(found, flags) if not s]
+            rest = iter(tokenizer.encode_batch_fast(batch, add_special_tokens=False))
+            found_ids = ([i for p, s in zip(found, flags) for i in ([t.id for t in tokenize(in_byte_letters(p))] if s else next(rest).ids)] for found, flags in zip(parts, single))
+            return [array("I", x).tobytes() for x in found_ids]
+
+        _ENCODERS[name] = Encoder(ids, lambda text: text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else WORD.findall(text))
+    known = _ENCODERS[name]
+    # lower case is the tokenizer's own; done first, it lets words meet. Special strings and final sigmas are left alone.
+    return lambda texts: known([t if "<|" in t or "\u03a3" in t else t.lower() for t in texts])
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, separator: int = 0, with_ids: bool = False) -> DataFrame:

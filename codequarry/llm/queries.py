@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codequarry.llm import exact_dedup, line_dedup, packing, tokens
+from codequarry.llm import exact_dedup, jaccard_join, line_dedup, packing, tokens
 from codequarry.llm.common import documents
 
 
@@ -42,6 +42,27 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(documents(spark, sf_dir), width=4, per_cent=85)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i + 3], ' ')) END)) AS g FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 185 * k >= 85 * (x.n + y.n)),
+reach AS (SELECT a AS id, a AS via FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.via),
+comp AS (SELECT id, min(via) AS c FROM reach GROUP BY id)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, w.doc_id) AS component_id
+FROM w LEFT JOIN sizes ON sizes.doc_id = w.doc_id LEFT JOIN comp ON comp.id = w.doc_id
+"""
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), "word_bpe_49k.json", 2048)
 
@@ -51,5 +72,6 @@ QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op6_line_dedup": (op6_line_dedup, OP6_SQL),
+    "op9_ngram_jaccard_join": (op9_ngram_jaccard_join, OP9_SQL),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
 }
