@@ -24,6 +24,6 @@ def lower_ascii(text: Column) -> Column:
 
 def buckets_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """Parts for a shuffle of something about as large as ``df``: what the session says, or more for a large input."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = size if size < 1 << 60 else 0
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // bytes_each))
