@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codequarry.llm import exact_dedup, jaccard_join, line_dedup, packing, tokens
+from codequarry.llm import exact_dedup, jaccard_join, line_dedup, packing, suffix_dedup, tokens
 from codequarry.llm.common import documents
 
 
@@ -42,6 +42,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(documents(spark, sf_dir), 50).drop("kept", "spans")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(documents(spark, sf_dir), width=4, per_cent=85)
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op6_line_dedup": (op6_line_dedup, OP6_SQL),
+    "op7_suffix_dedup": (op7_suffix_dedup, None),
     "op9_ngram_jaccard_join": (op9_ngram_jaccard_join, OP9_SQL),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
 }
