@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codequarry.llm import exact_dedup, jaccard_join, line_dedup, packing, suffix_dedup, tokens
+from codequarry.llm import exact_dedup, jaccard_join, katz, line_dedup, packing, suffix_dedup, tokens
 from codequarry.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir), "byte_bpe_50k.json", 512)
 
 
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(documents(spark, sf_dir), order=2)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -74,6 +78,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: name: (query, SQL or None)
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
+    "op2_katz_backoff": (op2_katz_backoff, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op6_line_dedup": (op6_line_dedup, OP6_SQL),
     "op7_suffix_dedup": (op7_suffix_dedup, None),
