@@ -21,7 +21,7 @@ from codequarry.llm.common import buckets_for, id_and_text
 from codequarry.session import cut
 
 PIECE = 60_000
-FLUSH = 4_000_000
+FLUSH = 1_500_000
 _BASE = 0xD6E8FEB86659FD93
 _VALUE = pk.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -202,54 +202,61 @@ def _beside(texts: DataFrame, answers: DataFrame, parts: int, work, schema: str)
     return both.repartitionById(parts, "part").sortWithinPartitions("kind").select("kind", "payload").mapInArrow(told, schema)
 
 
+def _places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of each range, one range after the other."""
+    return np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+
+
 def _context_packets(held: list[bytes], texts: Iterator[bytes], threshold: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Runs of windows whose landmark is shared, with the bytes they read: by landmark."""
-    size = gram_size(threshold)
-    reach, known = threshold - size, None
+    known = None
     rows: list[tuple] = []
     count = 0
 
     def flush() -> pa.RecordBatch:
-        mark, ids, at, low, high, body = (np.concatenate(x) if k < 5 else [t for y in x for t in y] for k, x in enumerate(zip(*rows)))
+        mark, ids, at, low, high, body = (np.concatenate(x) for x in zip(*rows))
         order = np.argsort(mark, kind="stable")
         who, rank = np.unique(ids, return_inverse=True)
         rank = rank.astype(np.uint32)
+        sizes = high - low + threshold
+        begins = np.cumsum(sizes) - sizes
 
         def payload(part: slice) -> bytes:
             o = order[part]
-            text = np.frombuffer(b"".join([body[i] for i in o]), dtype=np.uint8)
-            return pk.pack(pk.steps(mark[o]), rank[o], pk.steps(who), at[o], low[o].astype(np.uint32), high[o].astype(np.uint32), text)
+            return pk.pack(pk.steps(mark[o]), rank[o], pk.steps(who), at[o], low[o].astype(np.uint32), high[o].astype(np.uint32), body[_places(begins[o], sizes[o])])
 
         return pk.cut_parts(mark[order] << np.uint64(16), parts, payload)
 
     for data in texts:
         if known is None:  # all answers come before the first text
             ids, counts, marks = (np.concatenate(x) for x in zip(*map(pk.unpack, held))) if held else (np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.uint64))
+            held.clear()
             owner = np.repeat(ids, counts)
             order = np.lexsort((marks, owner))
             owner, marks = owner[order], marks[order]
-            known = dict(zip(*(x.tolist() for x in np.unique(owner, return_index=True))))
-            ends = dict(zip(*(x.tolist() for x in np.unique(owner, return_counts=True))))
+            names, starts, counts = np.unique(owner, return_index=True, return_counts=True)
+            known = {name: (a, a + n) for name, a, n in zip(names.tolist(), starts.tolist(), counts.tolist())}
         wanted = [(name, text) for name, text in _texts_in(data) if name in known]
         for owners, offsets, group in in_pieces(wanted, threshold):
             piece, first, last, place, mark = landmarks(group, threshold)
             keep = np.zeros(len(mark), dtype=bool)
             edges = np.searchsorted(piece, np.arange(len(group) + 1))
             for i, name in enumerate(owners):
-                own = marks[known[name] : known[name] + ends[name]]
+                own = marks[slice(*known[name])]
                 found = mark[edges[i] : edges[i + 1]]
                 keep[edges[i] : edges[i + 1]] = own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found
             piece, first, last, place, mark = (x[keep] for x in (piece, first, last, place, mark))
             if len(piece):
-                body = [group[p][a : b + threshold] for p, a, b in zip(piece.tolist(), first.tolist(), last.tolist())]
+                sizes = np.array([len(g) for g in group], dtype=np.int64)
+                read = _places((np.cumsum(sizes) - sizes)[piece] + first, last - first + threshold)
+                body = np.frombuffer(b"".join(group), dtype=np.uint8)[read]
                 rows.append((mark, np.array(owners, np.int64)[piece], place + np.array(offsets, np.int64)[piece], place - last, place - first, body))
                 count += len(piece)
-        if count >= FLUSH // 8:
-            yield flush()
-            rows, count = [], 0
+            if count >= FLUSH // 8:
+                yield flush()
+                rows, count = [], 0
     if count:
         yield flush()
-    assert reach >= 0
 
 
 def _rows_equal(rows: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -299,14 +306,13 @@ def _removals(payloads: list[bytes], threshold: int, parts: int) -> Iterator[pa.
     for data in payloads:
         mark, rank, who, at, low, high, body = pk.unpack(data)
         low, high = low.astype(np.int64), high.astype(np.int64)
-        size = high - low + threshold
         matrix = np.zeros((len(rank), threshold + reach), dtype=np.uint8)
-        row = np.repeat(np.arange(len(rank)), size)
-        col = np.arange(len(body)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(reach - high, size)
-        matrix[row, col] = body
+        matrix.reshape(-1)[_places(np.arange(len(rank)) * (threshold + reach) + reach - high, high - low + threshold)] = body
         for column, value in zip(columns, (np.cumsum(mark), np.cumsum(who)[rank], at, low, high, matrix)):
             column.append(value)
+    payloads.clear()
     mark, ids, at, low, high, matrix = (np.concatenate(x) for x in columns)
+    columns.clear()
     seeds = pk.mix(np.arange(1, -(-matrix.shape[1] // 8) + 4, dtype=np.uint64))
     shape = np.column_stack([_in_digits(matrix), mark, (low << 32 | high).astype(np.uint64)])
     context = _rows_equal(shape, seeds[: shape.shape[1]])
@@ -394,7 +400,7 @@ def without_repeats(docs: DataFrame, threshold: int = 50) -> DataFrame:
         raise ValueError("the threshold must be at least 4 bytes")
     base = id_and_text(docs)
     known = base.filter("doc_id IS NOT NULL")
-    parts = buckets_for(docs)
+    parts = 2 * buckets_for(docs)  # a part holds the bytes around its landmarks
     back = pk.exchanged(_first_digits(known, threshold, parts), parts, lambda x: _shared_digits(x, parts), pk.SCHEMA)
     contexts = _beside(_text_packets(known, parts), back, parts, lambda held, texts: _context_packets(held, texts, threshold, parts), pk.SCHEMA)
     gone = cut(pk.exchanged(contexts, parts, lambda x: _removals(x, threshold, parts), pk.SCHEMA))
