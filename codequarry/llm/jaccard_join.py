@@ -19,8 +19,10 @@ from codequarry.llm.common import buckets_for, id_and_text
 from codequarry.llm.components import components
 from codequarry.session import cut
 
-FLUSH = 4_000_000
+FLUSH = 1_500_000
 BLOCK = 1024
+#: Counts of a set's shingles by hash, for a bound on overlaps; 255 stands for any larger count.
+CELLS = 128
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,20 +77,6 @@ def _sent(docs: DataFrame, width: int, parts: int) -> DataFrame:
         sizes: list[int] = []
         count = 0
 
-        def flush() -> pa.RecordBatch:
-            hashes, owners = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(hashes, kind="stable")
-            hashes, owners, who, size = hashes[order], owners[order].astype(np.uint32), np.array(ids, np.int64), np.array(sizes, np.uint32)
-            by_id = np.argsort(who, kind="stable")
-            rank = np.empty(len(who), np.uint32)
-            rank[by_id] = np.arange(len(who), dtype=np.uint32)
-            who, size = who[by_id], size[by_id]
-
-            def payload(part: slice) -> bytes:
-                return pk.pack(pk.steps(hashes[part]), rank[owners[part]], pk.steps(who), size)
-
-            return pk.cut_parts(hashes, parts, payload)
-
         for names, edges, owners, found in sets_of(batches, width):
             keep = np.zeros(len(names), dtype=bool)
             for i, name in enumerate(names):
@@ -101,19 +89,44 @@ def _sent(docs: DataFrame, width: int, parts: int) -> DataFrame:
                     keep[i] = True
             number = np.cumsum(keep) - 1 + len(ids)
             taken = keep[owners]
-            held.append((found[taken], number[owners[taken]]))
+            held.append((found[taken] >> np.uint64(16), number[owners[taken]]))
             ids += [n for n, k in zip(names, keep) if k]
             sizes += [int(s) for s, k in zip(np.diff(edges), keep) if k]
             count += len(held[-1][0])
             if count >= FLUSH:
-                yield flush()
+                yield _by_shingle(held, ids, sizes, parts)
                 held, ids, sizes, count = [], [], [], 0
         if count:
-            yield flush()
+            yield _by_shingle(held, ids, sizes, parts)
 
     return docs.mapInArrow(send, pk.SCHEMA)
 
 
+def _by_shingle(held: list[tuple[np.ndarray, np.ndarray]], ids: list[int], sizes: list[int], parts: int) -> pa.RecordBatch:
+    """Packets of 48-bit shingle hashes, each with the rank of its document among those named in the packet."""
+    hashes, owners = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(hashes, kind="stable")
+    hashes, owners, who, size = hashes[order], owners[order].astype(np.uint32), np.array(ids, np.int64), np.array(sizes, np.uint32)
+    by_id = np.argsort(who, kind="stable")
+    rank = np.empty(len(who), np.uint32)
+    rank[by_id] = np.arange(len(who), dtype=np.uint32)
+    who, size = who[by_id], size[by_id]
+    return pk.cut_parts(hashes << np.uint64(16), parts, lambda part: pk.pack(pk.steps(hashes[part]), rank[owners[part]], pk.steps(who), size))
+
+
+def _sent_again(sets: DataFrame, parts: int) -> DataFrame:
+    """The same packets from stored sets (rep, n, hashes)."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(h.as_buffer(), np.uint64) for h in batch.column("hashes")]
+            if own:
+                owners = np.repeat(np.arange(len(own)), [len(x) for x in own])
+                yield _by_shingle([(np.concatenate(own), owners)], batch.column("rep").to_pylist(), batch.column("n").to_pylist(), parts)
+
+    return sets.mapInArrow(send, pk.SCHEMA)
+
+
 def _shared(payloads: list[bytes], parts: int) -> Iterator[pa.RecordBatch]:
     """Shingles of a part that two documents have, sent back to the documents with their document frequency."""
     hashes, owners, sizes = [], [], []
@@ -151,7 +164,7 @@ def _candidates(payloads: list[bytes], per_cent: int) -> Iterator[pa.RecordBatch
         ends = np.cumsum(counts, dtype=np.int64)
         for name, n, a, b in zip(who.tolist(), size.tolist(), (ends - counts).tolist(), ends.tolist()):
             found.setdefault(name, [n]).append((hashes[a:b], df[a:b]))
-    columns: list[list] = [[], [], [], [], []]
+    columns: list[list] = [[], [], [], [], [], []]
     for name, (n, *chunks) in found.items():
         hashes, df = (np.concatenate(x) for x in zip(*chunks))
         need = -(-per_cent * n // 100)
@@ -159,12 +172,13 @@ def _candidates(payloads: list[bytes], per_cent: int) -> Iterator[pa.RecordBatch
         if short < 1:
             continue
         order = np.lexsort((hashes, df))[:short]
-        for column, value in zip(columns, (name, n, len(hashes), np.sort(hashes).tobytes(), hashes[order].view(np.int64))):
+        cells = np.minimum(np.bincount((hashes % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+        for column, value in zip(columns, (name, n, len(hashes), np.sort(hashes).tobytes(), hashes[order].view(np.int64), cells.tobytes())):
             column.append(value)
     if columns[0]:
         yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.list_(pa.int64()))],
-            ["doc_id", "n", "shared", "hashes", "short"],
+            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()))],
+            ["rep", "n", "shared", "hashes", "short", "cells"],
         )
 
 
@@ -194,24 +208,29 @@ def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", "ha", "hb").mapInArrow(probed, "a long, b long")
 
 
-def _across(short: DataFrame, labels: DataFrame, per_cent: int) -> DataFrame:
+def _across(short: DataFrame, sets: DataFrame, labels: DataFrame, per_cent: int) -> DataFrame:
     """Pairs from one short list that different components hold and whose sizes allow a link. A long list is dealt out
     by pairs of blocks, so no task sees more than two blocks at once."""
     held = short.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     lists = held.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    dealt = held.join(lists, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    dealt = held.join(lists, "key").join(sets.select("rep", "cells"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     spread = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "shared")
+    cells = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "shared", "cells")
 
     def crossed(batch: pa.Table) -> pa.Table:
         own, i, j = (batch.column(c).to_numpy() for c in ("own", "i", "j"))
         rep, comp, n, shared = (batch.column(c).to_numpy() for c in ("rep", "comp", "n", "shared"))
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        cells = np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
         out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for x in left:
             fit = right[(comp[right] != comp[x]) & ((100 + per_cent) * np.minimum(shared[right], shared[x]) >= per_cent * (n[right] + n[x]))]
             if i[0] == j[0]:
                 fit = fit[rep[fit] > rep[x]]
+            # shingles in common can't exceed, cell by cell, what either set has
+            least = np.minimum(cells[fit], cells[x])
+            most = np.where((least == 255).any(axis=1), np.minimum(shared[fit], shared[x]), least.sum(axis=1, dtype=np.int64))
+            fit = fit[(100 + per_cent) * most >= per_cent * (n[fit] + n[x])]
             out_a.append(np.minimum(rep[fit], rep[x]))
             out_b.append(np.maximum(rep[fit], rep[x]))
         return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
@@ -228,29 +247,34 @@ def similar_groups(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataF
     id, or repeating an id, are kept and a null id links with nothing. Other columns are ignored.
 
     1. One shuffle of all shingles finds those that two documents share; only these go back to their documents, and a
-       document stays a candidate only if it shares as many as any partner needs. The rest of the work has candidates.
+       document stays a candidate only if it shares as many as any partner needs. Candidates do the same once more, one
+       for each set.
     2. Each short list pairs its members with its smallest member; verified pairs give components.
-    3. Members of different components in one list, whose sizes allow it, are verified as well. Pairs inside a
+    3. Members of different components in one list are verified as well if their sizes, and the counts of their shingles
+       by hash, allow enough overlap. Pairs inside a
        component can't change the result and are never made.
     """
     base = id_and_text(docs)
     parts = buckets_for(docs)
     classes = cut(set_classes(base, width))
-    reps = classes.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    reps = cut(classes.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     named = cut(classes.join(reps, "digest", "left"))
     sent = _sent(base, width, parts)
     back = pk.exchanged(sent, parts, lambda found: _shared(found, parts), pk.SCHEMA)
-    found = cut(pk.exchanged(back, parts, lambda found: _candidates(found, per_cent), "doc_id long, n long, shared long, hashes binary, short array<long>"))
+    shape = "rep long, n long, shared long, hashes binary, short array<long>, cells binary"
+    first = cut(pk.exchanged(back, parts, lambda found: _candidates(found, per_cent), shape).select(F.col("rep").alias("doc_id"), "n", "hashes"))
+    # copies that met in different tasks become one set, and sharing is counted anew among what is left
     of = named.filter("rep IS NOT NULL").select("doc_id", "rep").distinct()
-    first = found.join(of, "doc_id").groupBy("rep").agg(F.min_by(F.struct("n", "shared", "hashes", "short"), "doc_id").alias("x"))
-    sets = cut(first.select("rep", "x.*"))
+    chosen = cut(first.select("doc_id").distinct().join(of, "doc_id").groupBy("rep").agg(F.min("doc_id").alias("doc_id")))
+    again = pk.exchanged(_sent_again(first.join(chosen, "doc_id"), parts), parts, lambda found: _shared(found, parts), pk.SCHEMA)
+    sets = cut(pk.exchanged(again, parts, lambda found: _candidates(found, per_cent), shape))
     short = cut(sets.select("rep", "n", "shared", F.explode("short").alias("key")))
     hubs = short.groupBy("key").agg(F.min(F.struct("rep", "n", "shared")).alias("hub"), F.count("*").alias("size")).filter("size > 1").select("key", "hub")
     near = short.withColumn("me", F.struct("rep", "n", "shared")).join(hubs, "key").filter(F.col("me.rep") != F.col("hub.rep")).filter(possible("me", "hub", per_cent))
     stars = cut(near.select(F.col("hub.rep").alias("a"), F.col("me.rep").alias("b")).distinct())
     links = cut(verified(stars, sets, per_cent))
     labels = components(links).select(F.col("id").alias("rep"), F.col("component").alias("comp"))
-    across = _across(short, labels, per_cent).join(stars, ["a", "b"], "left_anti")
+    across = _across(short, sets, labels, per_cent).join(stars, ["a", "b"], "left_anti")
     more = verified(cut(across), sets, per_cent)
     final = components(links.unionByName(more)).withColumnRenamed("id", "rep")
     out = named.join(final, "rep", "left")

@@ -9,7 +9,7 @@ import numpy as np
 
 from codequarry.llm.packets import mix
 
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 19
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
