@@ -357,7 +357,7 @@ def katz_scores(docs: DataFrame, order: int = 2, folds: int = 7, fold: int = 2,
 
     A part of the documents (a few megabytes, see ``buckets_for``) is held in memory at a time.
     """
-    parts = buckets_for(docs)
+    parts = 2 * buckets_for(docs)  # a part holds its tokens as arrays
     flags = F.when(held_out(F.col("doc_id"), folds, fold), 1).otherwise(0) + F.when(F.col("doc_id").isNull(), 2).otherwise(0)
     base = id_and_text(docs).withColumn("flags", flags)
     keep = model_path is not None
