@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
+    return table(spark, sf_dir, "documents")
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:

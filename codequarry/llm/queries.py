@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codequarry.llm import exact_dedup, jaccard_join, katz, line_dedup, packing, suffix_dedup, tokens
-from codequarry.llm.common import documents
+from codequarry.llm import decontamination, exact_dedup, html_text, jaccard_join, katz, line_dedup, packing, suffix_dedup, tokens
+from codequarry.llm.common import documents, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(documents(spark, sf_dir), order=2)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -27,6 +31,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 """
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.deduplicate_lines(documents(spark, sf_dir), min_chars=40, min_docs=5)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -79,7 +87,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_katz_backoff": (op2_katz_backoff, None),
+    "op3_benchmark_decontamination": (op3_benchmark_decontamination, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
+    "op5_html_extraction": (op5_html_extraction, None),
     "op6_line_dedup": (op6_line_dedup, OP6_SQL),
     "op7_suffix_dedup": (op7_suffix_dedup, None),
     "op9_ngram_jaccard_join": (op9_ngram_jaccard_join, OP9_SQL),

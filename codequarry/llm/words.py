@@ -37,12 +37,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, where it starts)."""
+def hashed(data: bytes, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, where it starts); ``gaps`` says which bytes part words, white space always among them."""
     b = np.frombuffer(data, dtype=np.uint8)
     if not len(b):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    space = _SPACE[b]
+    space = gaps[b]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.insert(edge, 0, 0)
@@ -67,7 +67,7 @@ def segments(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-def grouped(texts: list[str]) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
+def grouped(texts: list[str], gaps: np.ndarray = _SPACE) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
     """(numbers of the texts, hashes of their words in order, words in each) for groups of a few megabytes."""
     at, n = 0, len(texts)
     while at < n:
@@ -80,12 +80,12 @@ def grouped(texts: list[str]) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
         found, counts = [], np.zeros(end - at, dtype=np.int64)
         if group:
             sizes = np.array([len(g) + 1 for g in group], dtype=np.int64)
-            hashes, starts = hashed(b" ".join(group))
+            hashes, starts = hashed(b" ".join(group), gaps)
             found.append(hashes)
             counts[: len(group)] = np.bincount(np.searchsorted(np.cumsum(sizes), starts, side="right"), minlength=len(group))
         if last is not None:
             for part in segments(last):
-                found.append(hashed(part)[0])
+                found.append(hashed(part, gaps)[0])
                 counts[-1] += len(found[-1])
         yield range(at, end), np.concatenate(found), counts
         at = end
