@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codequarry.llm import decontamination, exact_dedup, html_text, jaccard_join, katz, line_dedup, packing, suffix_dedup, tokens
+from codequarry.llm import decontamination, exact_dedup, html_text, jaccard_join, katz, line_dedup, packing, quality, suffix_dedup, tokens
 from codequarry.llm.common import documents, table
 
 
@@ -58,6 +58,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(documents(spark, sf_dir), 50).drop("kept", "spans")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(documents(spark, sf_dir), width=4, per_cent=85)
 
@@ -92,6 +96,7 @@ QUERIES = {
     "op5_html_extraction": (op5_html_extraction, None),
     "op6_line_dedup": (op6_line_dedup, OP6_SQL),
     "op7_suffix_dedup": (op7_suffix_dedup, None),
+    "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_ngram_jaccard_join": (op9_ngram_jaccard_join, OP9_SQL),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
 }
