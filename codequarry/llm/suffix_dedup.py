@@ -72,7 +72,8 @@ def landmarks(pieces: list[bytes], threshold: int) -> tuple[np.ndarray, ...]:
     last = np.append(new[1:], len(v)) - 1
     piece = owner[new]
     at = begins[piece]
-    return piece, s[new] - at, s[last] - at, (v[new] & np.uint64(0xFFFF)).astype(np.int64) - at, v[new] >> np.uint64(16)
+    # smallest hashes crowd near zero, so they are hashed once more before they deal rows to parts
+    return piece, s[new] - at, s[last] - at, (v[new] & np.uint64(0xFFFF)).astype(np.int64) - at, pk.mix(v[new] >> np.uint64(16)) >> np.uint64(16)
 
 
 def in_pieces(texts: list[tuple[int, bytes]], threshold: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
