@@ -13,50 +13,46 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codequarry.llm import packets as pk
+from codequarry.llm import packets as pk, words
 from codequarry.llm.common import id_and_text
 
-#: Hashed grams: so many slots, of so many bytes each.
-SLOTS, GRAM = 1 << 18, 5
+#: Words and beginnings of words are hashed to so many slots each; a beginning has so many bytes.
+SLOTS, BEGINNING = 1 << 19, 5
 GROUP_BYTES = 1 << 19
-#: A gram counts once this many training documents hold it.
-LEAST_DOCS = 5
-BORDERS = (3.0, 6.0, 12.0)
+#: A slot counts once this many training documents hold it.
+LEAST_DOCS = 4
+BORDERS = (4.0, 8.0, 16.0)
+#: Weights of slots are found on other folds than the documents they describe.
+FOLDS = 4
 #: Metadata categories are hashed to so many columns.
 CATEGORIES = 64
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _UPPER = np.isin(np.arange(256), np.arange(65, 91))
 _DIGIT = np.isin(np.arange(256), np.arange(48, 58))
 _SIGN = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
+_GAPS = _SPACE | _SIGN | (np.arange(256) < 32)
 
 
-def grams(b: np.ndarray) -> np.ndarray:
-    """The slot of the gram that starts at each byte."""
-    if len(b) < GRAM:
-        b = np.append(b, np.zeros(GRAM - len(b), np.uint8))
-    b = _LOWER[b].astype(np.uint64)
-    h = b[: len(b) - GRAM + 1].copy()
-    for k in range(1, GRAM):
-        h = h * np.uint64(257) + b[k : len(b) - GRAM + 1 + k]
-    return (pk.mix(h) >> np.uint64(46)).astype(np.int64)
-
-
-def text_features(slots: np.ndarray, counts: np.ndarray, z: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
-    """For each of ``n`` texts, from its grams (slot, times): the mean weight, and for each border, on either side, the share
-    and the number of grams beyond it; the extreme weights."""
-    w, c = z[slots], counts.astype(np.float64)
-    total = np.maximum(np.bincount(owners, c, n), 1)
-    columns = [np.bincount(owners, w * c, n) / total]
-    for border in BORDERS:
-        for side in (w >= border, w <= -border):
-            hits = np.bincount(owners, c * side, n)
-            columns += [np.sqrt(hits / total), np.log1p(hits)]
-    low, high = np.zeros(n), np.zeros(n)
-    np.minimum.at(low, owners, w)
-    np.maximum.at(high, owners, w)
-    return np.column_stack([*columns, low, high])
+def slots_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slots of the words, then of their beginnings; where each word starts; whether it repeats one of the two before it)."""
+    whole, starts = words.hashed(data, _GAPS)
+    begin, _ = words.hashed(data, _GAPS, BEGINNING)
+    again = np.zeros(len(whole), dtype=bool)
+    again[1:] |= whole[1:] == whole[:-1]
+    again[2:] |= whole[2:] == whole[:-2]
+    return np.concatenate([whole >> np.uint64(46), (begin >> np.uint64(46)) + np.uint64(SLOTS // 2)]).astype(np.int64), starts, again
+
+
+def text_features(slots: np.ndarray, counts: np.ndarray, weights: list[np.ndarray], owners: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` texts and each table of weights: the mean, the largest, and how many lie beyond each border."""
+    total, columns = np.maximum(np.bincount(owners, counts, n), 1), []
+    for table in weights:
+        w = table[slots]
+        most = np.zeros(n)
+        np.maximum.at(most, owners, w)
+        columns += [np.bincount(owners, w * counts, n) / total, most]
+        columns += [np.log1p(np.bincount(owners, counts * (w >= border), n)) for border in BORDERS]
+    return np.column_stack(columns)
 
 
 def layout(b: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -104,34 +100,54 @@ class Logistic:
         return np.column_stack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones(len(x))]) @ self.beta
 
 
+def slot_weights(good: np.ndarray, bad: np.ndarray, a: int, b: int) -> np.ndarray:
+    """How surely a slot speaks for bad documents: the difference of its shares in standard errors."""
+    p = (good + bad + 0.5) / (a + b + 1)
+    z = (bad / max(b, 1) - good / max(a, 1)) / np.sqrt(p * (1 - np.minimum(p, 0.999)) * (1 / max(a, 1) + 1 / max(b, 1)))
+    return np.where(good + bad >= LEAST_DOCS, np.clip(z, -30, 30), 0.0)
+
+
 class TextView:
-    """Which grams speak for good or bad documents, and a logistic model on what a text has of them."""
+    """Which words speak for which kind of bad document, and a logistic model on what a text has of them."""
 
     def __init__(self, sample: "Sample", rows: np.ndarray, y: np.ndarray):
-        label = np.full(len(sample.x), -1.0)
-        label[rows] = y
-        own = label[sample.owners]
-        good = np.bincount(sample.slots[own == 1], minlength=SLOTS).astype(np.float64)
-        bad = np.bincount(sample.slots[own == 0], minlength=SLOTS).astype(np.float64)
-        a, b = max((y == 1).sum(), 1), max((y == 0).sum(), 1)
-        p = (good + bad + 0.5) / (a + b + 1)
-        z = (good / a - bad / b) / np.sqrt(p * (1 - np.minimum(p, 0.999)) * (1 / a + 1 / b))
-        self.z = np.where(good + bad >= LEAST_DOCS, np.clip(z, -30, 30), 0.0)
-        self.model = Logistic(sample.text(self.z)[rows], y)
+        fold = np.full(len(sample.x), -1)
+        fold[rows] = np.arange(len(rows)) % FOLDS
+        good = np.zeros(len(sample.x), dtype=bool)
+        good[rows] = y == 1
+        x = np.empty((len(sample.x), sample.width))
+        for k in range(FOLDS):
+            tables = self._tables(sample, (fold >= 0) & (fold != k), good)
+            x[fold == k] = sample.text(tables)[fold == k]
+        self.tables = self._tables(sample, fold >= 0, good)
+        self.model = Logistic(x[rows], y)
+
+    @staticmethod
+    def _tables(sample: "Sample", used: np.ndarray, good: np.ndarray) -> list[np.ndarray]:
+        """One table for each known kind; documents that the other view called bad have no kind and count in neither."""
+        def held(which: np.ndarray) -> np.ndarray:
+            return np.bincount(sample.slots[which[sample.owners]], minlength=SLOTS).astype(np.float64)
+
+        fine = used & good
+        base, a = held(fine), int(fine.sum())
+        return [slot_weights(base, held(used & (sample.kind == kind)), a, int((used & (sample.kind == kind)).sum())) for kind in (1, 2)]
 
 
 class Sample:
-    """Documents as counts of gram slots and metadata columns."""
+    """Documents as counts of slots, text and metadata columns; ``kind``: 1 toxic, 2 of low quality, 0 neither or unknown."""
 
-    def __init__(self, rows: list):
+    def __init__(self, rows: list, kind: np.ndarray):
         self.x = np.array([np.frombuffer(r["meta"], np.float64) for r in rows])
-        found = [pk.unpack(bytes(r["grams"])) for r in rows]
+        self.own = np.array([[r["again"]] for r in rows], dtype=np.float64)
+        found = [pk.unpack(bytes(r["slots"])) for r in rows]
         self.slots = np.concatenate([np.cumsum(s) for s, _ in found])
-        self.counts = np.concatenate([c for _, c in found])
+        self.counts = np.concatenate([c for _, c in found]).astype(np.float64)
         self.owners = np.repeat(np.arange(len(rows)), [len(s) for s, _ in found])
+        self.kind = kind
+        self.width = 2 * (2 + len(BORDERS)) + 1
 
-    def text(self, z: np.ndarray) -> np.ndarray:
-        return text_features(self.slots, self.counts, z, self.owners, len(self.x))
+    def text(self, tables: list[np.ndarray]) -> np.ndarray:
+        return np.column_stack([text_features(self.slots, self.counts, tables, self.owners, len(self.x)), self.own])
 
 
 class Model:
@@ -151,7 +167,7 @@ class Model:
             self.meta = Logistic(sample.x[rows[1]], np.append(y[base], list(given[1].values())))
             if k == rounds or not len(pool):
                 break
-            views = self.text.model.logit(sample.text(self.text.z)[pool]), self.meta.logit(sample.x[pool])
+            views = self.text.model.logit(sample.text(self.text.tables)[pool]), self.meta.logit(sample.x[pool])
             for view, logits in enumerate(views):
                 p = 1 / (1 + np.exp(-logits))
                 for sure, label in ((p, 1.0), (1 - p, 0.0)):
@@ -159,7 +175,7 @@ class Model:
                     for i in best[sure[best] >= confident]:
                         given[1 - view].setdefault(int(pool[i]), label)
             self.agreed.append((len(given[0]), len(given[1])))
-        logits = np.column_stack([self.text.model.logit(sample.text(self.text.z)[held]), self.meta.logit(sample.x[held])])
+        logits = np.column_stack([self.text.model.logit(sample.text(self.text.tables)[held]), self.meta.logit(sample.x[held])])
         self.calibrated = [Logistic(logits[:, i : i + 1], y[held], ridge=0.1) for i in (0, 1)]
         self.combined = Logistic(np.column_stack([c.logit(logits[:, i : i + 1]) for i, c in enumerate(self.calibrated)]), y[held], ridge=0.1)
 
@@ -200,57 +216,62 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[slice, list[bytes], np.ndar
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, texts, meta in _groups(batch):
-            packed = []
+            packed, repeats = [], []
             for t in texts:
-                slots, counts = np.unique(grams(np.frombuffer(t, np.uint8)), return_counts=True)
-                packed.append(pk.pack(pk.steps(slots), counts))
+                slots, _, again = slots_of(t)
+                packed.append(pk.pack(*(lambda s, c: (pk.steps(s), c))(*np.unique(slots, return_counts=True))))
+                repeats.append(float(again.mean()) if len(again) else 0.0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(rows.start, rows.stop - rows.start), pa.array(packed, pa.binary()), pa.array([m.tobytes() for m in meta], pa.binary())], ["doc_id", "grams", "meta"],
+                [batch.column("doc_id").slice(rows.start, rows.stop - rows.start), pa.array(packed, pa.binary()), pa.array(repeats), pa.array([m.tobytes() for m in meta], pa.binary())],
+                ["doc_id", "slots", "again", "meta"],
             )
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = 6000, unlabelled: int = 2000, rounds: int = 3, confident: float = 0.98, give: int = 200) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = 12_000, unlabelled: int = 3000, rounds: int = 3, confident: float = 0.98, give: int = 200) -> Model | None:
     """A model from at most ``labelled`` labelled and ``unlabelled`` other documents, chosen by a hash of their ids.
 
     Good is quality 1 and not toxic. Of several labels of a document the worst counts; labels with nulls and labels of
     documents that are not there are left out. Without both good and bad documents there is no model (None).
     """
-    own = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)).alias("y"))
+    own = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(F.col("toxic") != 0, 2).when(F.col("quality") != 1, 1).otherwise(0)).alias("kind"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = own.join(ids, "doc_id", "left_semi").orderBy(*order).limit(labelled)
-    pool = ids.join(own, "doc_id", "left_anti").orderBy(*order).limit(unlabelled).withColumn("y", F.lit(-1))
-    picked = {r["doc_id"]: r["y"] for r in chosen.unionByName(pool).collect()}  # bounded by the two parameters
-    if len({y for y in picked.values() if y >= 0}) < 2:
+    pool = ids.join(own, "doc_id", "left_anti").orderBy(*order).limit(unlabelled).withColumn("kind", F.lit(-1))
+    picked = {r["doc_id"]: r["kind"] for r in chosen.unionByName(pool).collect()}  # bounded by the two parameters
+    if len({k == 0 for k in picked.values() if k >= 0}) < 2:
         return None
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in picked], "doc_id long"))
-    rows = _prepared(docs).join(wanted, "doc_id", "left_semi").mapInArrow(_features, "doc_id long, grams binary, meta binary").collect()
+    rows = _prepared(docs).join(wanted, "doc_id", "left_semi").mapInArrow(_features, "doc_id long, slots binary, again double, meta binary").collect()
     rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
-    y = np.array([picked[r["doc_id"]] for r in rows], dtype=np.float64)
+    kind = np.array([picked[r["doc_id"]] for r in rows])
+    y = np.where(kind < 0, -1.0, np.where(kind == 0, 1.0, 0.0))
     if len(np.unique(y[y >= 0][np.arange((y >= 0).sum()) % 3 != 2])) < 2 or len(np.unique(y[y >= 0][np.arange((y >= 0).sum()) % 3 == 2])) < 2:
         return None
-    return Model(Sample(rows), y, rounds, confident, give)
+    return Model(Sample(rows, np.select([kind == 2, kind == 1], [1, 2], 0)), y, rounds, confident, give)
 
 
 def _scores_of(batch: pa.RecordBatch, model: Model) -> np.ndarray:
     out = [np.empty((0, 3))]
     for _, texts, meta in _groups(batch):
-        slots, counts, owners = [], [], []
-        for i, t in enumerate(texts):
-            own = grams(np.frombuffer(t, np.uint8))
-            slots.append(own)
-            owners.append(np.full(len(own), i))
-        slots = np.concatenate(slots)
-        out.append(model.score(text_features(slots, np.ones(len(slots)), model.text.z, np.concatenate(owners), len(texts)), meta))
+        sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+        slots, starts, again = slots_of(b" ".join(texts)) if len(texts) > 1 else slots_of(texts[0])
+        owner = np.searchsorted(np.cumsum(sizes), starts, side="right")
+        first = np.append(True, owner[1:] != owner[:-1]) if len(owner) else again
+        again &= ~first
+        again[1:] &= ~(first[:-1] & (owner[1:] == owner[:-1])) | (slots[1 : len(owner)] == slots[: max(len(owner) - 1, 0)])
+        repeats = np.bincount(owner, again, len(texts)) / np.maximum(np.bincount(owner, minlength=len(texts)), 1)
+        text = text_features(slots, np.ones(len(slots)), model.text.tables, np.concatenate([owner, owner]), len(texts))
+        out.append(model.score(np.column_stack([text, repeats]), meta))
     return np.concatenate(out)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **training) -> DataFrame:
     """One row per input row: doc_id, text_score, meta_score, score (probability of a good document), kept.
 
-    Every whole text is scored, null counting as empty; ``kept`` is score >= ``threshold``. The text view reads hashed grams
-    of five bytes; the metadata view reads size, layout, language and source (absent columns count as null). Repeated rows
+    Every whole text is scored, null counting as empty; ``kept`` is score >= ``threshold``. The text view reads hashed
+    words and their beginnings; the metadata view reads size, layout, language and source (absent columns count as null). Repeated rows
     score alike, null ids are scored too. Without a model (see ``train``) scores are null and everything is kept.
     """
     model = train(docs, labels, **training)

@@ -37,8 +37,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def hashed(data: bytes, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, where it starts); ``gaps`` says which bytes part words, white space always among them."""
+def hashed(data: bytes, gaps: np.ndarray = _SPACE, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, where it starts); ``gaps`` says which bytes part words, white space always among them. With
+    ``first``, only so many bytes of a word count."""
     b = np.frombuffer(data, dtype=np.uint8)
     if not len(b):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -49,6 +50,7 @@ def hashed(data: bytes, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarr
     if not space[-1]:
         edge = np.append(edge, len(b))
     starts, ends = edge[::2], edge[1::2]
+    ends = ends if first is None else np.minimum(ends, starts + first)
     up, down = powers(len(b) + 1)
     total = np.zeros(len(b) + 1, dtype=np.uint64)
     np.cumsum(_VALUE[b] * down[:-1], out=total[1:])
