@@ -30,6 +30,8 @@ _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _UPPER = np.isin(np.arange(256), np.arange(65, 91))
 _DIGIT = np.isin(np.arange(256), np.arange(48, 58))
 _SIGN = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
+#: Signs that lay out tables, shout, decorate, or end sentences.
+SIGN_KINDS = (b"|", b"!", b"#$%&*=~^+", b".,;:?")
 _GAPS = _SPACE | _SIGN | (np.arange(256) < 32)
 
 
@@ -44,8 +46,10 @@ def slots_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def text_features(slots: np.ndarray, counts: np.ndarray, weights: list[np.ndarray], owners: np.ndarray, n: int) -> np.ndarray:
-    """For each of ``n`` texts and each table of weights: the mean, the largest, and how many lie beyond each border."""
-    total, columns = np.maximum(np.bincount(owners, counts, n), 1), []
+    """For each of ``n`` texts and each table of weights: the mean, the largest, and how many lie beyond each border;
+    before them the size, since a long text reaches borders by chance."""
+    total = np.maximum(np.bincount(owners, counts, n), 1)
+    columns = [np.log1p(total)]
     for table in weights:
         w = table[slots]
         most = np.zeros(n)
@@ -65,7 +69,8 @@ def layout(b: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     starts = np.append(~space[:1], space[:-1] & ~space[1:]) if len(b) else space
     n, lines, words = np.maximum(sizes, 1), share(b == 10) + 1, np.maximum(share(starts), 1)
     repeated = share(np.append(np.zeros(min(len(b), 1), bool), b[1:] == b[:-1])) / n
-    return np.column_stack([np.log1p(sizes), np.log1p(lines), np.log1p(sizes / lines), sizes / words, share(_UPPER[b]) / n, share(_DIGIT[b]) / n, share(_SIGN[b]) / n, share(_SIGN[b]) / words, repeated])
+    kinds = [np.log1p(share(np.isin(b, list(signs)))) - np.log1p(words) for signs in SIGN_KINDS]
+    return np.column_stack([*kinds, np.log1p(sizes), np.log1p(lines), np.log1p(sizes / lines), sizes / words, share(_UPPER[b]) / n, share(_DIGIT[b]) / n, share(_SIGN[b]) / n, share(_SIGN[b]) / words, repeated])
 
 
 def categories(values: list[list]) -> np.ndarray:
@@ -144,7 +149,7 @@ class Sample:
         self.counts = np.concatenate([c for _, c in found]).astype(np.float64)
         self.owners = np.repeat(np.arange(len(rows)), [len(s) for s, _ in found])
         self.kind = kind
-        self.width = 2 * (2 + len(BORDERS)) + 1
+        self.width = 2 * (2 + len(BORDERS)) + 2
 
     def text(self, tables: list[np.ndarray]) -> np.ndarray:
         return np.column_stack([text_features(self.slots, self.counts, tables, self.owners, len(self.x)), self.own])
