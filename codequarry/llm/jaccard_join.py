@@ -114,12 +114,16 @@ def _by_shingle(held: list[tuple[np.ndarray, np.ndarray]], ids: list[int], sizes
     return pk.cut_parts(hashes << np.uint64(16), parts, lambda part: pk.pack(pk.steps(hashes[part]), rank[owners[part]], pk.steps(who), size))
 
 
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(pk.unpack(data)[0])
+
+
 def _sent_again(sets: DataFrame, parts: int) -> DataFrame:
     """The same packets from stored sets (rep, n, hashes)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.frombuffer(h.as_buffer(), np.uint64) for h in batch.column("hashes")]
+            own = [_unpacked(h) for h in batch.column("hashes").to_pylist()]
             if own:
                 owners = np.repeat(np.arange(len(own)), [len(x) for x in own])
                 yield _by_shingle([(np.concatenate(own), owners)], batch.column("rep").to_pylist(), batch.column("n").to_pylist(), parts)
@@ -173,7 +177,7 @@ def _candidates(payloads: list[bytes], per_cent: int) -> Iterator[pa.RecordBatch
             continue
         order = np.lexsort((hashes, df))[:short]
         cells = np.minimum(np.bincount((hashes % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
-        for column, value in zip(columns, (name, n, len(hashes), np.sort(hashes).tobytes(), hashes[order].view(np.int64), cells.tobytes())):
+        for column, value in zip(columns, (name, n, len(hashes), pk.pack(pk.steps(np.sort(hashes))), hashes[order].view(np.int64), cells.tobytes())):
             column.append(value)
     if columns[0]:
         yield pa.RecordBatch.from_arrays(
@@ -193,19 +197,20 @@ def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (batch.column(c) for c in ("ha", "hb"))
+            left, right = (batch.column(c).to_pylist() for c in ("ha", "hb"))
             sizes = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * per_cent
             common = np.zeros(len(sizes), dtype=np.int64)
             for i in range(len(sizes)):
-                x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
+                x, y = _unpacked(left[i]), _unpacked(right[i])
                 x, y = (x, y) if len(x) <= len(y) else (y, x)
                 common[i] = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
             ok = pa.array((100 + per_cent) * common >= sizes)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
-    one = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    other = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", "ha", "hb").mapInArrow(probed, "a long, b long")
+    # only sets that some pair names are moved, to their pairs
+    one = pairs.join(sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha")), "a")
+    other = pairs.join(sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb")), "b")
+    return one.join(other, ["a", "b"]).select("a", "b", "na", "nb", "ha", "hb").mapInArrow(probed, "a long, b long")
 
 
 def _across(short: DataFrame, sets: DataFrame, labels: DataFrame, per_cent: int) -> DataFrame:
