@@ -82,13 +82,18 @@ class Tokens:
 
 
 class Request:
-    """The distinct n-grams of a part in the order they are sent, by place of their counts."""
+    """The distinct n-grams of a part in the order they are sent, by place of their counts.
+
+    What is sent of a hash is as short as its use allows: 48 bits of a context, 40 of an n-gram inside its context, 48 of
+    an n-gram of a hot context.
+    """
 
     def __init__(self, tokens: Tokens, context: np.ndarray, context_count: np.ndarray, hot_from: float, parts: int):
         hot = (context_count > hot_from) | (context == BEGIN)
-        route = np.where(hot, tokens.grams, pk.mix(context))
-        order = np.lexsort((tokens.grams, route))
-        g, r = tokens.grams[order], route[order]
+        route = np.where(hot, tokens.grams, pk.mix(context)) >> np.uint64(16)
+        gram = np.where(hot, np.uint64(0), tokens.grams >> np.uint64(24))
+        order = np.lexsort((gram, route))
+        g, r = gram[order], route[order]
         new = np.concatenate([[True], (g[1:] != g[:-1]) | (r[1:] != r[:-1])]) if len(g) else np.empty(0, bool)
         which = np.cumsum(new) - 1
         self.of = np.empty(len(g), np.int64)  # token -> n-gram
@@ -96,7 +101,7 @@ class Request:
         self.one = order[new]  # n-gram -> one of its tokens
         self.grams, self.route, self.hot, self.context = g[new], r[new], hot[self.one], context[self.one]
         self.counts = np.bincount(which, weights=tokens.train[order], minlength=len(self.one)).astype(np.uint32)
-        self.edges = pk.borders(self.route, parts)
+        self.edges = pk.borders(self.route << np.uint64(16), parts)
 
     def packets(self, lower: np.ndarray, me: int, parts: int) -> pa.RecordBatch:
         found = []
@@ -109,7 +114,7 @@ class Request:
             codes = np.zeros(len(hot), np.uint32)
             codes[hot] = code + 1
             values, value = np.unique(lower[self.one[part]], return_inverse=True)
-            found.append((p, pk.pack(np.array([me, p]), pk.steps(self.route[part]), self.grams[part] >> np.uint64(16), codes, contexts, self.counts[part], value.astype(np.uint32), values)))
+            found.append((p, pk.pack(np.array([me, p]), pk.steps(self.route[part]), self.grams[part], codes, contexts, self.counts[part], value.astype(np.uint32), values)))
         return pk.rows(found)
 
     def answered(self, answers: list[list[np.ndarray]], hot_sums: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +154,7 @@ def _texts(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(send, pk.SCHEMA)
 
 
-def _word_counts(docs: DataFrame, parts: int) -> DataFrame:
+def _word_counts(docs: DataFrame, parts: int, gram_parts: int) -> DataFrame:
     """Packets of words with their training counts and the document parts they occur in, by word."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +174,7 @@ def _word_counts(docs: DataFrame, parts: int) -> DataFrame:
                 w, p, c = w[order], p[order], c[order]
                 new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (p[1:] != p[:-1])]))
                 w, p, c = w[new], p[new].astype(np.uint32), np.add.reduceat(c, new).astype(np.uint32)
-                yield pk.cut_parts(w, parts, lambda part: pk.pack(pk.steps(w[part]), p[part], c[part]))
+                yield pk.cut_parts(w, gram_parts, lambda part: pk.pack(pk.steps(w[part]), p[part], c[part]))
 
     return docs.mapInArrow(send, pk.SCHEMA)
 
@@ -216,6 +221,7 @@ def _totals(payloads: list[bytes], keep: bool, order_of: int) -> Iterator[pa.Rec
         head, route, gram, code, hot, count, value, values = pk.unpack(data)
         route = np.cumsum(route)
         if len(hot):
+            gram = np.where(code > 0, route, gram)
             route = np.where(code > 0, hot[np.maximum(code, 1) - 1], route)
         senders.append((int(head[0]), int(head[1]), len(route), code == 0))
         for column, x in zip(columns, (route, gram, count, values[value], code > 0)):
@@ -300,12 +306,12 @@ def _request(tokens: Tokens, count: np.ndarray, levels: list[Level], parts: int)
     return Request(tokens, context, before, HOT_SHARE * levels[0].tokens / parts, parts)
 
 
-def _asked(held: list[bytes], texts: Iterator[bytes], levels: list[Level], parts: int) -> Iterator[pa.RecordBatch]:
+def _asked(held: list[bytes], texts: Iterator[bytes], levels: list[Level], parts: int, gram_parts: int) -> Iterator[pa.RecordBatch]:
     tokens = Tokens(texts)
     if len(tokens.ids):
-        _, count, p = probabilities(tokens, held, levels, parts)
+        _, count, p = probabilities(tokens, held, levels, gram_parts)
         me = int((pk.by_id(tokens.ids[:1])[0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32))
-        yield _request(tokens, count, levels, parts).packets(p, me, parts)
+        yield _request(tokens, count, levels, gram_parts).packets(p, me, gram_parts)
 
 
 def _scored(held: list[bytes], texts: Iterator[bytes], levels: list[Level], parts: int) -> Iterator[pa.RecordBatch]:
@@ -357,11 +363,12 @@ def katz_scores(docs: DataFrame, order: int = 2, folds: int = 7, fold: int = 2,
 
     A part of the documents (a few megabytes, see ``buckets_for``) is held in memory at a time.
     """
-    parts = 2 * buckets_for(docs)  # a part holds its tokens as arrays
+    gram_parts = buckets_for(docs)
+    parts = 2 * gram_parts  # a part of the documents holds its tokens as arrays
     flags = F.when(held_out(F.col("doc_id"), folds, fold), 1).otherwise(0) + F.when(F.col("doc_id").isNull(), 2).otherwise(0)
     base = id_and_text(docs).withColumn("flags", flags)
     keep = model_path is not None
-    tables = [cut(pk.exchanged(_word_counts(base, parts), parts, lambda x: _unigrams(x, parts, keep), pk.SCHEMA))]
+    tables = [cut(pk.exchanged(_word_counts(base, parts, gram_parts), gram_parts, lambda x: _unigrams(x, parts, keep), pk.SCHEMA))]
     levels = [_level(tables[0])]
 
     def answers() -> DataFrame:
@@ -371,10 +378,10 @@ def katz_scores(docs: DataFrame, order: int = 2, folds: int = 7, fold: int = 2,
         return out.filter(F.col("part") >= 0)
 
     for m in range(2, order + 1):
-        asked = _beside(_texts(base, parts), answers(), parts, lambda held, texts, known=tuple(levels): _asked(held, texts, list(known), parts), pk.SCHEMA)
-        tables.append(cut(pk.exchanged(asked, parts, lambda x, m=m: _totals(x, keep, m), pk.SCHEMA)))
+        asked = _beside(_texts(base, parts), answers(), parts, lambda held, texts, known=tuple(levels): _asked(held, texts, list(known), parts, gram_parts), pk.SCHEMA)
+        tables.append(cut(pk.exchanged(asked, gram_parts, lambda x, m=m: _totals(x, keep, m), pk.SCHEMA)))
         levels.append(_level(tables[-1]))
     if keep:
         for m, table in enumerate(tables, 1):
             table.filter(F.col("part") == MODEL).select("payload").write.parquet(f"{model_path}/order={m}")
-    return _beside(_texts(base, parts), answers(), parts, lambda held, texts: _scored(held, texts, levels, parts), OUT)
+    return _beside(_texts(base, parts), answers(), parts, lambda held, texts: _scored(held, texts, levels, gram_parts), OUT)
