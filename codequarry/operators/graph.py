@@ -431,29 +431,26 @@ def polymorphic_callers(calls: DataFrame, symbol: str, inheritance: DataFrame, r
 # ---- two-hop reports -----------------------------------------------------------
 
 
-def dependency_chain(calls: DataFrame, symbol: str, repo: str | None = None, expand: int = 10, show: int = 20) -> DataFrame:
-    """Direct callees and the callees of the first of them that are not direct themselves."""
+def dependency_chain(calls: DataFrame, symbol: str, repo: str | None = None, show: int | None = None) -> DataFrame:
+    """Direct callees, and the callees of these that are not direct themselves; ``show`` limits what each kind lists."""
     calls = _in_repo(calls, repo)
     direct = calls.where(F.col("caller") == symbol).select(F.col("callee").alias("name")).distinct()
-    first = direct.orderBy("name").limit(expand)
     further = (
-        calls.join(first.withColumnRenamed("name", "caller"), "caller", "left_semi")
+        calls.join(direct.withColumnRenamed("name", "caller"), "caller", "left_semi")
         .select(F.col("callee").alias("name"))
         .distinct()
         .join(direct, "name", "left_anti")
     )
-    return (
-        direct.orderBy("name").limit(show).select(F.lit("direct").alias("kind"), "name")
-        .unionByName(further.orderBy("name").limit(show).select(F.lit("transitive").alias("kind"), "name"))
-    )
+    if show is not None:
+        direct, further = direct.orderBy("name").limit(show), further.orderBy("name").limit(show)
+    return direct.select(F.lit("direct").alias("kind"), "name").unionByName(further.select(F.lit("transitive").alias("kind"), "name"))
 
 
-def dependents(calls: DataFrame, symbol: str, repo: str | None = None, expand: int = 20) -> DataFrame:
-    """Direct call sites, and the call sites of each of the first ``expand`` direct ones (site by site)."""
+def dependents(calls: DataFrame, symbol: str, repo: str | None = None) -> DataFrame:
+    """Direct call sites (hop 1), and the call sites of all their callers (hop 2), each once."""
     calls = _in_repo(calls, repo)
     direct = calls.where(F.col("callee") == symbol)
-    first = direct.orderBy("caller", "caller_file", "caller_line", "repo_name").limit(expand).select(F.col("caller").alias("callee"))
-    second = calls.join(first, "callee")
+    second = calls.join(direct.select(F.col("caller").alias("callee")).distinct(), "callee", "left_semi")
     return (
         direct.select(F.lit(1).alias("hop"), "caller", "callee", "caller_file", "caller_line")
         .unionByName(second.select(F.lit(2).alias("hop"), "caller", "callee", "caller_file", "caller_line"))
@@ -461,7 +458,7 @@ def dependents(calls: DataFrame, symbol: str, repo: str | None = None, expand: i
 
 
 def impact_radius(calls: DataFrame, symbol: str, repo: str | None = None, deep: bool = False) -> DataFrame:
-    reach = dependents(calls, symbol, repo, expand=5)
+    reach = dependents(calls, symbol, repo)
     return (reach if deep else reach.where("hop = 1")).agg(F.count("*").alias("impact_radius"))
 
 

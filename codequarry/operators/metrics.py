@@ -55,11 +55,8 @@ def hotspots(functions: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def repository_metrics(chunks: DataFrame, by_repo: bool = False, volume_sample: int = 100) -> DataFrame:
-    """Sums, averages and the maintainability index, for all chunks or per repository.
-
-    The index uses the mean Halstead volume of the first ``volume_sample`` functions by id.
-    """
+def repository_metrics(chunks: DataFrame, by_repo: bool = False) -> DataFrame:
+    """Sums, averages and the maintainability index, for all chunks or per repository; the index uses the mean Halstead volume of all functions."""
     scope = ["repo_name"] if by_repo else []
     code, language = F.col("content"), F.col("language")
     counted = F.col("chunk_type").isin(*FUNCTION_TYPES)
@@ -91,12 +88,7 @@ def repository_metrics(chunks: DataFrame, by_repo: bool = False, volume_sample:
         chunks.where(counted | typed).select("repo_name", "file_path").distinct()
         .groupBy(*scope).agg(F.count("*").alias("total_files"))
     )
-    first = chunks.where(counted).select("id", "repo_name", "content", "language")
-    if by_repo:
-        first = first.withColumn("n", F.expr("row_number() over (partition by repo_name order by id)")).where(F.col("n") <= volume_sample)
-    else:
-        first = first.orderBy("id").limit(volume_sample)
-    volumes = first.select(*scope, mf.halstead(code, language)["volume"].alias("volume")).groupBy(*scope).agg(F.avg("volume").alias("avg_volume"))
+    volumes = chunks.where(counted).select(*scope, mf.halstead(code, language)["volume"].alias("volume")).groupBy(*scope).agg(F.avg("volume").alias("avg_volume"))
     if by_repo:
         joined = totals.join(files, scope, "left").join(volumes, scope, "left")
     else:

@@ -78,14 +78,14 @@ def hybrid(
 ) -> DataFrame:
     """Vector top-k, over-fetched and re-ranked by keyword boost when the query text is given.
 
-    Phase one scans vectors only and ends in at most 100 ids. Phase two asks the chunk table for
+    Phase one scans vectors only and ends in three times the ids asked for at most. Phase two asks the chunk table for
     those ids by value, so row groups without them are skipped and texts are read for hits only.
     """
     narrow = metadata_filter(chunks, repo_name=repo, chunk_type=chunk_type, language=language)
     candidates = metadata_filter(embeddings, repo_name=repo)
     if chunk_type or language:
         candidates = candidates.join(narrow.select("id"), "id", "left_semi")
-    fetch = min(n_results * 3, 100) if query_text else min(n_results, 100)
+    fetch = n_results * 3 if query_text else n_results
     best = [(r["id"], r["score"]) for r in nearest(candidates.select("id", "embedding"), query, fetch).collect()]
     hits = chunks.sparkSession.createDataFrame(best, "id string, score double")
     found = narrow.where(F.col("id").isin([i for i, _ in best])).join(F.broadcast(hits), "id")

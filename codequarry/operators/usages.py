@@ -66,8 +66,8 @@ def find_usages(
     return usages.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("rank")
 
 
-def usage_totals(usages: DataFrame, limit: int = 50) -> DataFrame:
-    return usages.groupBy("category").agg(F.least(F.count("*"), F.lit(limit)).alias("n"))
+def usage_totals(usages: DataFrame) -> DataFrame:
+    return usages.groupBy("category").agg(F.count("*").alias("n"))
 
 
 def looks_like_test(path: Column) -> Column:

@@ -264,12 +264,12 @@ def understand(index: Index, symbol_name: str, repo_filter: str | None = None, i
         if result["definition"]:
             result["implementation"] = result["definition"]["content"]
     result["hierarchy"] = find_hierarchy(index, symbol_name.split(".")[0], repo_filter)
-    chain = _rows(graph.dependency_chain(index.calls, symbol_name, repo_filter))
+    chain = _rows(graph.dependency_chain(index.calls, symbol_name, repo_filter, show=20))
     result["dependencies"] = {k: [r["name"] for r in chain if r["kind"] == k and (k == "direct" or max_depth > 1)] for k in ("direct", "transitive")}
     if result.get("definition"):
         row = index.chunks.where(F.col("id") == result["definition"]["id"]).select(impact.data_flow(F.col("signature"), F.col("docstring")).alias("f")).first()
         result["data_flow"] = row["f"].asDict(recursive=True)
-    totals = _rows(usages.usage_totals(usages.find_usages(index.chunks, index.calls, symbol_name, repo_filter, limit=None), 100))
+    totals = _rows(usages.usage_totals(usages.find_usages(index.chunks, index.calls, symbol_name, repo_filter, limit=None)))
     found = {r["category"]: r["n"] for r in totals}
     result["usage_summary"] = {k: found.get(k, 0) for k in ("calls", "type_hints", "inheritance", "imports")}
     return result
@@ -284,12 +284,12 @@ def prepare_change(index: Index, symbol_name: str, repo_filter: str | None = Non
     hops = {r["hop"]: r["n"] for r in reach.groupBy("hop").agg(F.count("*").alias("n")).collect()}
     direct, transitive = hops.get(1, 0), hops.get(2, 0)
     first_files = _rows(
-        graph.direct_callers(index.calls, symbol_name, repo_filter).limit(15).groupBy(F.col("caller_file").alias("file"))
-        .agg(F.min(F.struct(F.col("caller").alias("symbol"), F.col("caller_line").alias("line"))).alias("f")).select("file", "f.line", "f.symbol").orderBy("symbol", "file")
+        graph.direct_callers(index.calls, symbol_name, repo_filter).groupBy(F.col("caller_file").alias("file"))
+        .agg(F.min(F.struct(F.col("caller").alias("symbol"), F.col("caller_line").alias("line"))).alias("f")).select("file", "f.line", "f.symbol").orderBy("symbol", "file").limit(15)
     )
     tests = find_tests(index, _base(symbol_name), repo_filter, 10)
     affected_tests = [t["name"] for t in tests["test_methods"]]
-    files = reach.where("hop = 2").select("caller_file").union(index.chunks.sparkSession.createDataFrame([(f["file"],) for f in first_files], "caller_file string"))
+    files = reach.select("caller_file")
     risks = {
         "modify": [], "delete": [f"Deleting will break {direct} direct callers"],
         "rename": [f"Renaming requires updating {direct} call sites"] + ([f"Update {tests['test_methods_count']} tests that reference this symbol"] if tests["test_methods_count"] else []),
@@ -338,9 +338,9 @@ def detect_circular_dependencies(index: Index, repo_name: str | None = None, fil
     shown = _rows(members.join(F.broadcast(first), ["repo_name", "component"]).orderBy("repo_name", "component", "node").limit(limit * 100))
     cycles: dict = {}
     for row in shown:
-        cycles.setdefault((row["repo_name"], row["component"]), []).append(row["node"])
+        cycles.setdefault((row["repo_name"], row["component"], row["size"]), []).append(row["node"])
     return {
-        "level": "file" if file_level else "function", "cycles": [{"repo": k[0], "members": v, "size": len(v)} for k, v in cycles.items()],
+        "level": "file" if file_level else "function", "cycles": [{"repo": k[0], "members": v, "size": k[2]} for k, v in cycles.items()],
         "statistics": {"total_cycles": _count(sizes), "largest": sizes.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]},
     }
 
@@ -382,8 +382,9 @@ def analyze_api_links(index: Index, repo_name: str | None = None, spec: DataFram
 def validate_spec(index: Index, spec: DataFrame, repo_name: str | None = None, limit: int = 50) -> dict:
     flat = [F.col("route.method").alias("method"), F.col("route.path_pattern").alias("path_pattern"), F.col("qualified_name")]
     coverage = routes.spec_coverage(routes.endpoints_of(symbols.in_repo(index.chunks, repo_name)).select(*flat), spec.select(*flat))
-    rows = _rows(coverage.orderBy("status", "method", "path_pattern").limit(limit * 3))
-    return {"summary": _rows(routes.coverage_percent(coverage))[0], **{s: [r for r in rows if r["status"] == s][:limit] for s in ("matching", "missing_from_spec", "missing_from_code")}}
+    coverage = cut(coverage)
+    shown = {s: _rows(coverage.where(F.col("status") == s).orderBy("method", "path_pattern").limit(limit)) for s in ("matching", "missing_from_spec", "missing_from_code")}
+    return {"summary": _rows(routes.coverage_percent(coverage))[0], **shown}
 
 
 # ---- conventions, ownership, security, metrics -----------------------------------------------------------

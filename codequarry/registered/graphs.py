@@ -327,9 +327,9 @@ QUERIES = {
     "di_resolved_callees": (di_resolved_callees, DI_SQL),
     "polymorphic_callees": (polymorphic_callees, f"WITH {POLY_CTE} SELECT {CALL_COLUMNS} FROM c WHERE caller = 'Part5' UNION ALL SELECT c.caller, inh.child_name || '.run', c.caller_file, c.caller_line, c.repo_name, 'virtual' FROM c JOIN inh ON c.callee = inh.parent_name || '.run' WHERE c.caller = 'Part5' AND inh.parent_name IN (SELECT name FROM symbols WHERE chunk_type = 'interface')"),
     "polymorphic_callers": (polymorphic_callers, f"WITH {POLY_CTE} SELECT {CALL_COLUMNS} FROM c WHERE callee = 'Part5.run' UNION ALL SELECT c.caller, 'Part5.run', c.caller_file, c.caller_line, c.repo_name, 'virtual' FROM c JOIN inh ON c.callee = inh.parent_name || '.run' WHERE inh.child_name = 'Part5'"),
-    "dependency_chain": (dependency_chain, f"WITH {CALLS_CTE}, d AS (SELECT DISTINCT callee AS name FROM calls WHERE caller = 'Part5'), f AS (SELECT name FROM d ORDER BY name LIMIT 10), t AS (SELECT DISTINCT callee AS name FROM calls WHERE caller IN (SELECT name FROM f) AND callee NOT IN (SELECT name FROM d)) (SELECT 'direct' AS kind, name FROM d ORDER BY name LIMIT 20) UNION ALL (SELECT 'transitive', name FROM t ORDER BY name LIMIT 20)"),
-    "two_hop_dependents": (two_hop_dependents, f"WITH {CALLS_CTE}, d AS (SELECT * FROM calls WHERE callee = '{START}'), f AS (SELECT caller AS callee FROM d ORDER BY caller, caller_file, caller_line, repo_name LIMIT 20), u AS (SELECT 1::INT AS hop, caller_file FROM d UNION ALL SELECT 2::INT, c.caller_file FROM calls c JOIN f USING (callee)) SELECT hop, count(*) AS sites, count(DISTINCT caller_file) AS files FROM u GROUP BY hop"),
-    "impact_radius": (impact_radius, f"WITH {CALLS_CTE}, d AS (SELECT * FROM calls WHERE callee = '{START}'), f AS (SELECT caller AS callee FROM d ORDER BY caller, caller_file, caller_line, repo_name LIMIT 5) SELECT (SELECT count(*) FROM d) + (SELECT count(*) FROM calls c JOIN f USING (callee)) AS impact_radius"),
+    "dependency_chain": (dependency_chain, f"WITH {CALLS_CTE}, d AS (SELECT DISTINCT callee AS name FROM calls WHERE caller = 'Part5'), t AS (SELECT DISTINCT callee AS name FROM calls WHERE caller IN (SELECT name FROM d) AND callee NOT IN (SELECT name FROM d)) SELECT 'direct' AS kind, name FROM d UNION ALL SELECT 'transitive', name FROM t"),
+    "two_hop_dependents": (two_hop_dependents, f"WITH {CALLS_CTE}, r AS (SELECT 1 AS hop, caller_file FROM calls WHERE callee = '{START}' UNION ALL SELECT 2, caller_file FROM calls WHERE callee IN (SELECT caller FROM calls WHERE callee = '{START}')) SELECT hop, count(*) AS sites, count(DISTINCT caller_file) AS files FROM r GROUP BY hop"),
+    "impact_radius": (impact_radius, f"WITH {CALLS_CTE} SELECT (SELECT count(*) FROM calls WHERE callee = '{START}') + (SELECT count(*) FROM calls WHERE callee IN (SELECT caller FROM calls WHERE callee = '{START}')) AS impact_radius"),
     "callflow_edges": (callflow_edges, f"WITH {CALLS_CTE}, n AS (SELECT 'Part5' AS caller, 0::INT AS depth UNION ALL SELECT DISTINCT callee, 1::INT FROM calls WHERE caller = 'Part5' AND callee <> 'Part5') SELECT caller, callee, caller_file, caller_line, depth FROM calls JOIN n USING (caller)"),
     "modules_calling": (modules_calling, f"WITH {CALLS_CTE}, {SYMBOLS_CTE}, m AS (SELECT name, regexp_extract(file_path, 'src/(.*)[.]py', 1) AS module FROM symbols) SELECT DISTINCT module FROM m WHERE name IN (SELECT caller FROM calls WHERE callee IN (SELECT name FROM m WHERE module = 'supplier_3'))"),
     "implementations_direct": (implementations_direct, f"WITH {INH_CTE} SELECT *, false AS indirect FROM inheritance WHERE parent_name = 'Nation3'"),

@@ -263,7 +263,7 @@ def find_usages(spark, sf_dir):
 
 def usage_totals(spark, sf_dir):
     found = usages.find_usages(_code(spark, sf_dir), views.calls(spark, sf_dir), "OrderService", limit=None)
-    return usages.usage_totals(found, 50)
+    return usages.usage_totals(found)
 
 
 def _usages_cte() -> str:
@@ -288,7 +288,7 @@ cnt AS (SELECT id, CASE WHEN trim(args) = '' THEN 0 ELSE len(list_filter(parts,
 m AS (SELECT f.*, ({_cyclomatic_sql()}) AS cyc, coalesce(cog.complexity, 0) AS cog, parameters, total_lines, source_lines, comment_lines, blank_lines,
  chunk_type IN ('function', 'method', 'constructor') AS fn, chunk_type IN ('class', 'interface') AS cls FROM folded f JOIN loc USING (id) LEFT JOIN cog USING (id) JOIN cnt USING (id)),
 {_halstead_sql().split("SELECT id, n1 AS distinct_operators")[0].rstrip()}, vol AS (SELECT id, round_even((b1 + b2) * log2((n1 + n2)::DOUBLE), 2) AS volume FROM n),
-fv AS (SELECT repo_name, volume, row_number() OVER (PARTITION BY repo_name ORDER BY id) AS k FROM m JOIN vol USING (id) WHERE fn), av AS (SELECT repo_name, avg(volume) AS v FROM fv WHERE k <= 100 GROUP BY ALL),
+av AS (SELECT repo_name, avg(volume) AS v FROM m JOIN vol USING (id) WHERE fn GROUP BY ALL),
 a AS (SELECT repo_name, count(DISTINCT file_path) FILTER (fn OR cls) AS total_files, count(*) FILTER (fn) AS total_functions, count(*) FILTER (cls) AS total_classes, sum(total_lines)::BIGINT AS total_lines, sum(source_lines)::BIGINT AS source_lines,
  sum(comment_lines)::BIGINT AS comment_lines, sum(blank_lines)::BIGINT AS blank_lines, coalesce(avg(cyc) FILTER (fn), 0) AS ac, coalesce(avg(cog) FILTER (fn), 0) AS ag,
  count(*) FILTER (fn AND (cyc > 10 OR cog > 15 OR source_lines > 50 OR parameters > 5)) AS complex_function_count FROM m GROUP BY repo_name)
@@ -316,7 +316,7 @@ QUERIES = {
     "golden_files": (golden_files, GOLDEN_SQL.replace("{code}", CODE_CTE)),
     "momentum": (momentum, "WITH c AS (SELECT event_type, count(*) FILTER (ts > TIMESTAMP '2024-01-16' AND ts <= TIMESTAMP '2024-01-31') AS recent, count(*) FILTER (ts > TIMESTAMP '2024-01-01' AND ts <= TIMESTAMP '2024-01-16') AS previous FROM events GROUP BY ALL) SELECT *, CASE WHEN recent > previous * 1.2 THEN 'increasing' WHEN recent < previous * 0.8 THEN 'decreasing' ELSE 'stable' END AS momentum FROM c"),
     "find_usages": (find_usages, f"WITH {_usages_cte()} SELECT * FROM us"),
-    "usage_totals": (usage_totals, f"WITH {_usages_cte()} SELECT category, least(count(*), 50) AS n FROM us GROUP BY ALL"),
+    "usage_totals": (usage_totals, f"WITH {_usages_cte()} SELECT category, count(*) AS n FROM us GROUP BY ALL"),
     "find_test_files": (find_test_files, f"WITH {CODE_CTE}, r AS (SELECT repo_name, file_path, min(CASE WHEN contains(lower(content), 'orderservice') THEN 2 END) AS r FROM chunks WHERE contains(lower(file_path), 'test_') GROUP BY ALL) SELECT repo_name, file_path, 'content_reference' AS match_reason FROM r WHERE r IS NOT NULL"),
     "find_test_methods": (find_test_methods, f"WITH {CODE_CTE}, t AS (SELECT repo_name, file_path, name, start_line, CASE WHEN regexp_matches(lower(name), 'test.*fetch_order|test.*fetchorder') THEN 1 WHEN (starts_with(lower(name), 'test') OR contains(lower(parent_name), 'test')) AND contains(lower(content), 'fetchorder') THEN 2 END AS r FROM chunks WHERE contains(lower(file_path), 'test_') AND chunk_type IN ('function', 'method')), m AS (SELECT repo_name, file_path, name, min((r, start_line)) AS f FROM t WHERE r IS NOT NULL GROUP BY ALL) SELECT repo_name, file_path, name, f[2]::BIGINT AS line, CASE f[1] WHEN 1 THEN 'method_name_pattern' ELSE 'content_reference' END AS match_reason FROM m"),
 }
