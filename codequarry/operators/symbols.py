@@ -146,8 +146,8 @@ def index_stats(chunks: DataFrame) -> DataFrame:
     )
 
 
-def related(chunks: DataFrame, target: DataFrame, sibling_limit: int = 10, file_limit: int = 5) -> DataFrame:
-    """Parent, siblings and top-level neighbours of the target chunks (a handful of rows)."""
+def related(chunks: DataFrame, target: DataFrame, sibling_limit: int | None = None, file_limit: int | None = None) -> DataFrame:
+    """Parents, siblings and top-level neighbours of the target chunks, ranked by place; the limits only cut what is listed."""
     keys = target.select(
         F.col("id").alias("target_id"), F.col("repo_name").alias("t_repo"), F.col("file_path").alias("t_file"),
         F.col("name").alias("t_name"), F.col("parent_name").alias("t_parent"),
@@ -164,8 +164,10 @@ def related(chunks: DataFrame, target: DataFrame, sibling_limit: int = 10, file_
     ranked = same_file.withColumn("relation", relation).where("relation is not null").withColumn(
         "rank", F.expr("row_number() over (partition by target_id, relation order by start_line, name, id)")
     )
-    cap = F.when(F.col("relation") == "parent", 1).when(F.col("relation") == "sibling", sibling_limit).otherwise(file_limit)
-    return ranked.where(F.col("rank") <= cap).select("target_id", "relation", "rank", "id", "name", "chunk_type", "signature", "start_line")
+    for name, limit in (("sibling", sibling_limit), ("same_file", file_limit)):
+        if limit is not None:
+            ranked = ranked.where((F.col("relation") != name) | (F.col("rank") <= limit))
+    return ranked.select("target_id", "relation", "rank", "id", "name", "chunk_type", "signature", "start_line")
 
 
 def class_members(table: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def get_context(index: Index, symbol_name: str, repo_filter: str | None = None,
         return {"symbol": symbol_name, "found": False, "message": f"Symbol '{symbol_name}' not found"}
     result: dict = {"symbol": symbol_name, "found": True, "matches": matches}
     if include_related:
-        result["related"] = _rows(symbols.related(index.chunks, chunks).orderBy("target_id", "relation", "rank"))
+        result["related"] = _rows(symbols.related(index.chunks, chunks, 10, 5).orderBy("target_id", "relation", "rank"))
     return result
 
 

@@ -259,8 +259,7 @@ def class_members(spark, sf_dir):
 
 def related_chunks(spark, sf_dir):
     c = views.chunks(spark, sf_dir)
-    target = c.where("chunk_type = 'method'").orderBy("repo_name", "file_path", "id").limit(5)
-    return symbols.related(c, target).select("target_id", "relation", F.col("rank").cast("bigint").alias("rank"), "id", "name")
+    return symbols.related(c, c.where("chunk_type = 'method'")).select("target_id", "relation", F.col("rank").cast("bigint").alias("rank"), "id", "name")
 
 
 QUERIES = {
@@ -287,9 +286,10 @@ QUERIES = {
     "symbol_fuzzy": (symbol_fuzzy, f"WITH {SYMBOL_CTE} SELECT {SYMBOL_COLUMNS} FROM symbols WHERE name = 'userdata1' OR qualified_name = 'userdata1' OR contains(lower(name), 'userdata1') ORDER BY name <> 'userdata1', qualified_name <> 'userdata1', qualified_name, repo_name, file_path, start_line LIMIT 5"),
     "file_suffix_lookup": (file_suffix_lookup, f"WITH {SYMBOL_CTE} SELECT DISTINCT repo_name, file_path FROM symbols WHERE ends_with(file_path, 'fr/mod_0.ts') ORDER BY repo_name, file_path LIMIT 1"),
     "class_members": (class_members, f"WITH {SYMBOL_CTE} SELECT t.repo_name, t.file_path, t.name AS class_name, t.start_line AS class_line, t.symbol_type AS class_type, m.name AS member_name, m.symbol_type AS member_type, m.start_line AS member_line FROM symbols t LEFT JOIN symbols m ON nullif(m.parent_name, '') IS NOT NULL AND m.repo_name = t.repo_name AND m.file_path = t.file_path AND m.parent_name = t.name WHERE t.symbol_type IN ('class', 'interface')"),
-    "related_chunks": (related_chunks, f"""WITH {CHUNK_CTE}, t AS (SELECT * FROM chunks WHERE chunk_type = 'method' ORDER BY repo_name, file_path, id LIMIT 5),
-r AS (SELECT t.id AS target_id, c.*, CASE WHEN c.name = t.parent_name THEN 'parent' WHEN c.parent_name = t.parent_name AND c.name <> t.name THEN 'sibling' END AS relation
+    "related_chunks": (related_chunks, f"""WITH {CHUNK_CTE}, t AS (SELECT * FROM chunks WHERE chunk_type = 'method'),
+r AS (SELECT t.id AS target_id, c.*, CASE WHEN nullif(t.parent_name, '') IS NOT NULL AND c.name = t.parent_name THEN 'parent' WHEN nullif(t.parent_name, '') IS NOT NULL AND c.parent_name = t.parent_name AND c.name <> t.name THEN 'sibling'
+  WHEN nullif(t.parent_name, '') IS NULL AND nullif(c.parent_name, '') IS NULL THEN 'same_file' END AS relation
  FROM t JOIN chunks c ON c.repo_name = t.repo_name AND c.file_path = t.file_path AND c.id <> t.id),
 n AS (SELECT *, row_number() OVER (PARTITION BY target_id, relation ORDER BY start_line, name, id) AS rank FROM r WHERE relation IS NOT NULL)
-SELECT target_id, relation, rank, id, name FROM n WHERE rank <= CASE relation WHEN 'parent' THEN 1 ELSE 10 END"""),
+SELECT target_id, relation, rank, id, name FROM n"""),
 }
