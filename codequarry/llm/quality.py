@@ -45,10 +45,10 @@ def slots_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([whole >> np.uint64(46), (begin >> np.uint64(46)) + np.uint64(SLOTS // 2)]).astype(np.int64), starts, again
 
 
-def text_features(slots: np.ndarray, counts: np.ndarray, weights: list[np.ndarray], owners: np.ndarray, n: int) -> np.ndarray:
-    """For each of ``n`` texts and each table of weights: the mean, the largest, and how many lie beyond each border;
-    before them the size, since a long text reaches borders by chance."""
-    total = np.maximum(np.bincount(owners, counts, n), 1)
+def text_features(slots: np.ndarray, counts: np.ndarray, weights: list[np.ndarray], owners: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """For each text, of ``total`` slots, and each table of weights: the mean, the largest, and how many lie beyond each border;
+    before them the size, since a long text reaches borders by chance. Slots without weight may be left out."""
+    n, total = len(total), np.maximum(total, 1)
     columns = [np.log1p(total)]
     for table in weights:
         w = table[slots]
@@ -109,7 +109,7 @@ def slot_weights(good: np.ndarray, bad: np.ndarray, a: int, b: int) -> np.ndarra
     """How surely a slot speaks for bad documents: the difference of its shares in standard errors."""
     p = (good + bad + 0.5) / (a + b + 1)
     z = (bad / max(b, 1) - good / max(a, 1)) / np.sqrt(p * (1 - np.minimum(p, 0.999)) * (1 / max(a, 1) + 1 / max(b, 1)))
-    return np.where(good + bad >= LEAST_DOCS, np.clip(z, -30, 30), 0.0)
+    return np.where(good + bad >= LEAST_DOCS, np.clip(z, -30, 30), 0.0).astype(np.float32)
 
 
 class TextView:
@@ -144,15 +144,28 @@ class Sample:
     def __init__(self, rows: list, kind: np.ndarray):
         self.x = np.array([np.frombuffer(r["meta"], np.float64) for r in rows])
         self.own = np.array([[r["again"]] for r in rows], dtype=np.float64)
-        found = [pk.unpack(bytes(r["slots"])) for r in rows]
-        self.slots = np.concatenate([np.cumsum(s) for s, _ in found])
-        self.counts = np.concatenate([c for _, c in found]).astype(np.float64)
-        self.owners = np.repeat(np.arange(len(rows)), [len(s) for s, _ in found])
+        df = np.zeros(SLOTS, dtype=np.int32)
+        self.total, sizes = np.zeros(len(rows)), np.zeros(len(rows), dtype=np.int64)
+        for i, r in enumerate(rows):
+            slots, counts = pk.unpack(bytes(r["slots"]))
+            df[np.cumsum(slots)] += 1
+            self.total[i] = counts.sum()
+        # rarer slots never get a weight, so what has to be held stays small
+        slots_of_rows, counts_of_rows = [], []
+        for i, r in enumerate(rows):
+            slots, counts = pk.unpack(bytes(r["slots"]))
+            slots = np.cumsum(slots)
+            kept = df[slots] >= LEAST_DOCS
+            slots_of_rows.append(slots[kept].astype(np.int32))
+            counts_of_rows.append(counts[kept].astype(np.float32))
+            sizes[i] = kept.sum()
+        self.slots, self.counts = np.concatenate(slots_of_rows), np.concatenate(counts_of_rows)
+        self.owners = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
         self.kind = kind
         self.width = 2 * (2 + len(BORDERS)) + 2
 
     def text(self, tables: list[np.ndarray]) -> np.ndarray:
-        return np.column_stack([text_features(self.slots, self.counts, tables, self.owners, len(self.x)), self.own])
+        return np.column_stack([text_features(self.slots, self.counts, tables, self.owners, self.total), self.own])
 
 
 class Model:
@@ -232,7 +245,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = 12_000, unlabelled: int = 3000, rounds: int = 3, confident: float = 0.98, give: int = 200) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = 10_000, unlabelled: int = 2000, rounds: int = 3, confident: float = 0.98, give: int = 200) -> Model | None:
     """A model from at most ``labelled`` labelled and ``unlabelled`` other documents, chosen by a hash of their ids.
 
     Good is quality 1 and not toxic. Of several labels of a document the worst counts; labels with nulls and labels of
@@ -267,7 +280,8 @@ def _scores_of(batch: pa.RecordBatch, model: Model) -> np.ndarray:
         again &= ~first
         again[1:] &= ~(first[:-1] & (owner[1:] == owner[:-1])) | (slots[1 : len(owner)] == slots[: max(len(owner) - 1, 0)])
         repeats = np.bincount(owner, again, len(texts)) / np.maximum(np.bincount(owner, minlength=len(texts)), 1)
-        text = text_features(slots, np.ones(len(slots)), model.text.tables, np.concatenate([owner, owner]), len(texts))
+        total = 2.0 * np.bincount(owner, minlength=len(texts))
+        text = text_features(slots, np.ones(len(slots)), model.text.tables, np.concatenate([owner, owner]), total)
         out.append(model.score(np.column_stack([text, repeats]), meta))
     return np.concatenate(out)
 
