@@ -122,8 +122,7 @@ class TextView:
         good[rows] = y == 1
         x = np.empty((len(sample.x), sample.width))
         for k in range(FOLDS):
-            tables = self._tables(sample, (fold >= 0) & (fold != k), good)
-            x[fold == k] = sample.text(tables)[fold == k]
+            x[fold == k] = sample.text(self._tables(sample, (fold >= 0) & (fold != k), good), fold == k)
         self.tables = self._tables(sample, fold >= 0, good)
         self.model = Logistic(x[rows], y)
 
@@ -164,8 +163,11 @@ class Sample:
         self.kind = kind
         self.width = 2 * (2 + len(BORDERS)) + 2
 
-    def text(self, tables: list[np.ndarray]) -> np.ndarray:
-        return np.column_stack([text_features(self.slots, self.counts, tables, self.owners, self.total), self.own])
+    def text(self, tables: list[np.ndarray], which: np.ndarray) -> np.ndarray:
+        """Text columns of the documents that the mask ``which`` names."""
+        taken = which[self.owners]
+        number = np.cumsum(which) - 1
+        return np.column_stack([text_features(self.slots[taken], self.counts[taken], tables, number[self.owners[taken]], self.total[which]), self.own[which]])
 
 
 class Model:
@@ -177,6 +179,8 @@ class Model:
         held = labelled[np.arange(len(labelled)) % 3 == 2]  # for calibration alone
         base = np.setdiff1d(labelled, held)
         pool = np.flatnonzero(y < 0)
+        mask = np.zeros((2, len(y)), dtype=bool)
+        mask[0, pool], mask[1, held] = True, True
         given: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has received
         self.agreed = []
         for k in range(rounds + 1):
@@ -185,7 +189,7 @@ class Model:
             self.meta = Logistic(sample.x[rows[1]], np.append(y[base], list(given[1].values())))
             if k == rounds or not len(pool):
                 break
-            views = self.text.model.logit(sample.text(self.text.tables)[pool]), self.meta.logit(sample.x[pool])
+            views = self.text.model.logit(sample.text(self.text.tables, mask[0])), self.meta.logit(sample.x[pool])
             for view, logits in enumerate(views):
                 p = 1 / (1 + np.exp(-logits))
                 for sure, label in ((p, 1.0), (1 - p, 0.0)):
@@ -193,7 +197,7 @@ class Model:
                     for i in best[sure[best] >= confident]:
                         given[1 - view].setdefault(int(pool[i]), label)
             self.agreed.append((len(given[0]), len(given[1])))
-        logits = np.column_stack([self.text.model.logit(sample.text(self.text.tables)[held]), self.meta.logit(sample.x[held])])
+        logits = np.column_stack([self.text.model.logit(sample.text(self.text.tables, mask[1])), self.meta.logit(sample.x[held])])
         self.calibrated = [Logistic(logits[:, i : i + 1], y[held], ridge=0.1) for i in (0, 1)]
         self.combined = Logistic(np.column_stack([c.logit(logits[:, i : i + 1]) for i, c in enumerate(self.calibrated)]), y[held], ridge=0.1)
 
