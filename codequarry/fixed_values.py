@@ -303,3 +303,23 @@ SPEC_PATHS = [
 ]
 SPEC_NAME_PATTERN = r"(^|/)(openapi|swagger)[^/]*\.ya?ml$"
 SPEC_SKIP_PARTS = ["node_modules", ".git", "dist", "build"]
+
+# ---- usages and tests: (category, pattern, flags), with {s} for the symbol -----------------
+USAGE_PATTERNS = [
+    ("type_hints", r":\s*{s}\b", "i"),
+    ("type_hints", r"->\s*{s}\b", "i"),
+    ("type_hints", r":\s*Optional\[{s}\]", "i"),
+    ("type_hints", r":\s*list\[{s}\]", "i"),
+    ("type_hints", r":\s*List\[{s}\]", "i"),
+    ("type_hints", r":\s*dict\[.*,\s*{s}\]", "i"),
+    ("type_hints", r"<{s}>", "i"),
+    ("inheritance", r"class\s+\w+\s*\({s}[,)]", ""),
+    ("inheritance", r"class\s+\w+\s+extends\s+{s}\b", ""),
+    ("inheritance", r"class\s+\w+.*implements\s+.*{s}\b", ""),
+    ("imports", r"from\s+\S+\s+import\s+.*{s}", ""),
+    ("imports", r"import\s+.*{s}", ""),
+    ("assignments", r"\w+\s*=\s*{s}\(", ""),
+    ("assignments", r"\w+\s*:\s*{s}\s*=", ""),
+    ("assignments", r"new\s+{s}\(", ""),
+]
+TEST_PATH_PARTS = ["test_", "_test.", "test.", ".spec.", "/tests/", "/test/"]

@@ -6,28 +6,21 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from codequarry import fixed_values as fixed
 from codequarry.functions import lines as lf, names, regex as rx
 from codequarry.operators.symbols import in_repo
 
 
 def usage_rules(symbol: str) -> list[tuple[str, str, str]]:
     """(category, pattern, flags) for every way a text can mention the symbol."""
-    s = rx.quote(symbol)
-    return [
-        ("type_hints", rf":\s*{s}\b", "i"), ("type_hints", rf"->\s*{s}\b", "i"), ("type_hints", rf":\s*Optional\[{s}\]", "i"),
-        ("type_hints", rf":\s*list\[{s}\]", "i"), ("type_hints", rf":\s*List\[{s}\]", "i"),
-        ("type_hints", rf":\s*dict\[.*,\s*{s}\]", "i"), ("type_hints", rf"<{s}>", "i"),
-        ("inheritance", rf"class\s+\w+\s*\({s}[,)]", ""), ("inheritance", rf"class\s+\w+\s+extends\s+{s}\b", ""),
-        ("inheritance", rf"class\s+\w+.*implements\s+.*{s}\b", ""),
-        ("imports", rf"from\s+\S+\s+import\s+.*{s}", ""), ("imports", rf"import\s+.*{s}", ""),
-        ("assignments", rf"\w+\s*=\s*{s}\(", ""), ("assignments", rf"\w+\s*:\s*{s}\s*=", ""), ("assignments", rf"new\s+{s}\(", ""),
-    ]
+    quoted = rx.quote(symbol)
+    return [(category, pattern.replace("{s}", quoted), flags) for category, pattern, flags in fixed.USAGE_PATTERNS]
 
 
 def find_usages(
-    chunks: DataFrame, calls: DataFrame, symbol: str, repo: str | None = None, include_definitions: bool = False, limit: int | None = 50
+    chunks: DataFrame, calls: DataFrame, symbol: str, repo: str | None = None, include_definitions: bool = False, limit: int | None = None
 ) -> DataFrame:
-    """One row per usage: category, place, context. A line counts once per category; each category keeps its first ``limit``."""
+    """One row per usage: category, place, context. A line counts once per category; ``limit`` lists the first of each category only."""
     qualified = names.qualified_name(F.col("parent_name"), F.col("name"))
     defines = (F.col("name") == symbol) | (qualified == symbol)
     mentioning = in_repo(chunks, repo).where(~defines & F.contains("content", F.lit(symbol)))
@@ -60,8 +53,11 @@ def find_usages(
                 F.lit("definitions").alias("category"), "repo_name", "file_path", F.col("start_line").alias("line"), F.col("name").alias("context")
             )
         )
-    if limit is None:
-        return usages
+    return usages if limit is None else listed(usages, limit)
+
+
+def listed(usages: DataFrame, limit: int) -> DataFrame:
+    """The first usages of each category."""
     w = Window.partitionBy("category").orderBy("repo_name", "file_path", "line", "context")
     return usages.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("rank")
 
@@ -71,7 +67,7 @@ def usage_totals(usages: DataFrame) -> DataFrame:
 
 
 def looks_like_test(path: Column) -> Column:
-    return rx.any_contains(F.lower(path), ["test_", "_test.", "test.", ".spec.", "/tests/", "/test/"])
+    return rx.any_contains(F.lower(path), fixed.TEST_PATH_PARTS)
 
 
 def _snake(name: str) -> str:

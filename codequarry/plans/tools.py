@@ -162,11 +162,12 @@ def get_class_members(index: Index, class_name: str, repo_filter: str | None = N
 def find_usages(index: Index, symbol_name: str, repo_filter: str | None = None, include_definitions: bool = False, limit: int = 50) -> dict:
     if error := _named(symbol_name):
         return error
-    rows = _rows(usages.find_usages(index.chunks, index.calls, symbol_name, repo_filter, include_definitions, limit).orderBy("category", "repo_name", "file_path", "line"))
+    found = cut(usages.find_usages(index.chunks, index.calls, symbol_name, repo_filter, include_definitions))
+    rows = _rows(usages.listed(found, limit).orderBy("category", "repo_name", "file_path", "line"))
     grouped: dict[str, list] = {}
     for row in rows:
         grouped.setdefault(row.pop("category"), []).append(row)
-    return {"symbol": symbol_name, "total_usages": len(rows), "usages": grouped}
+    return {"symbol": symbol_name, "total_usages": _count(found), "usages": grouped}
 
 
 def find_implementations(index: Index, interface_name: str, repo_filter: str | None = None, include_indirect: bool = False, limit: int = 500) -> dict:
