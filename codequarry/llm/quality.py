@@ -1,17 +1,17 @@
 """Quality classifier by co-training a text view and a page-metadata view.
 
 Each view is a small logistic model. Over some rounds each gives the other the unlabelled documents it is most sure of;
-then both are calibrated on labelled documents that neither was trained on, and combined. Training sees bounded samples;
-scoring reads all documents and is map-only.
+then both are calibrated on labelled documents that neither was trained on, and combined. Training sees a bounded sample of
+the labelled documents and, in each round, all unlabelled ones; scoring reads all documents and is map-only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codequarry.llm import packets as pk, words
 from codequarry.llm.common import id_and_text
@@ -116,88 +116,95 @@ class TextView:
     """Which words speak for which kind of bad document, and a logistic model on what a text has of them."""
 
     def __init__(self, sample: "Sample", rows: np.ndarray, y: np.ndarray):
-        fold = np.full(len(sample.x), -1)
-        fold[rows] = np.arange(len(rows)) % FOLDS
-        good = np.zeros(len(sample.x), dtype=bool)
-        good[rows] = y == 1
-        x = np.empty((len(sample.x), sample.width))
+        fold = np.arange(len(rows)) % FOLDS
+        # documents that the other view called bad have no kind and count in neither table
+        group = np.where(y == 1, 0, np.where(sample.kind[rows] > 0, sample.kind[rows], -1))
+        held = np.array([[sample.held(rows[(fold == k) & (group == g)]) for g in range(3)] for k in range(FOLDS)])
+        sizes = np.array([[((fold == k) & (group == g)).sum() for g in range(3)] for k in range(FOLDS)])
+        x = np.empty((len(rows), sample.width))
         for k in range(FOLDS):
-            x[fold == k] = sample.text(self._tables(sample, (fold >= 0) & (fold != k), good), fold == k)
-        self.tables = self._tables(sample, fold >= 0, good)
-        self.model = Logistic(x[rows], y)
+            x[fold == k] = sample.text(self._tables(held.sum(axis=0) - held[k], sizes.sum(axis=0) - sizes[k]), rows[fold == k])
+        self.tables = self._tables(held.sum(axis=0), sizes.sum(axis=0))
+        self.model = Logistic(x, y)
 
     @staticmethod
-    def _tables(sample: "Sample", used: np.ndarray, good: np.ndarray) -> list[np.ndarray]:
-        """One table for each known kind; documents that the other view called bad have no kind and count in neither."""
-        def held(which: np.ndarray) -> np.ndarray:
-            return np.bincount(sample.slots[which[sample.owners]], minlength=SLOTS).astype(np.float64)
-
-        fine = used & good
-        base, a = held(fine), int(fine.sum())
-        return [slot_weights(base, held(used & (sample.kind == kind)), a, int((used & (sample.kind == kind)).sum())) for kind in (1, 2)]
+    def _tables(held: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """One table for each known kind, from how many good, toxic and low documents hold each slot, and how many there are."""
+        return [slot_weights(held[0].astype(np.float64), held[kind].astype(np.float64), int(sizes[0]), int(sizes[kind])) for kind in (1, 2)]
 
 
 class Sample:
-    """Documents as counts of slots, text and metadata columns; ``kind``: 1 toxic, 2 of low quality, 0 neither or unknown."""
+    """Documents in training as counts of slots, text and metadata columns; ``kind``: 1 toxic, 2 of low quality, 0 neither or unknown."""
+
+    width = 2 * (2 + len(BORDERS)) + 2
 
     def __init__(self, rows: list, kind: np.ndarray):
-        self.x = np.array([np.frombuffer(r["meta"], np.float64) for r in rows])
-        self.own = np.array([[r["again"]] for r in rows], dtype=np.float64)
-        df = np.zeros(SLOTS, dtype=np.int32)
-        self.total, sizes = np.zeros(len(rows)), np.zeros(len(rows), dtype=np.int64)
-        for i, r in enumerate(rows):
+        self.x, self.again, self.total = np.empty((0, 0)), np.empty((0, 1)), np.empty(0)
+        self.slots: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.kind = np.empty(0, np.int64)
+        self.place: dict[int, int] = {}
+        self.add(rows, kind)
+
+    def add(self, rows: list, kind: np.ndarray) -> None:
+        if not rows:
+            return
+        for r in rows:
+            self.place[r["doc_id"]] = len(self.slots)
             slots, counts = pk.unpack(bytes(r["slots"]))
-            df[np.cumsum(slots)] += 1
-            self.total[i] = counts.sum()
-        # rarer slots never get a weight, so what has to be held stays small
-        slots_of_rows, counts_of_rows = [], []
-        for i, r in enumerate(rows):
-            slots, counts = pk.unpack(bytes(r["slots"]))
-            slots = np.cumsum(slots)
-            kept = df[slots] >= LEAST_DOCS
-            slots_of_rows.append(slots[kept].astype(np.int32))
-            counts_of_rows.append(counts[kept].astype(np.float32))
-            sizes[i] = kept.sum()
-        self.slots, self.counts = np.concatenate(slots_of_rows), np.concatenate(counts_of_rows)
-        self.owners = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-        self.kind = kind
-        self.width = 2 * (2 + len(BORDERS)) + 2
+            self.slots.append(np.cumsum(slots).astype(np.int32))
+            self.counts.append(counts.astype(np.float32))
+        x = np.array([np.frombuffer(r["meta"], np.float64) for r in rows])
+        self.x = np.concatenate([self.x, x]) if len(self.x) else x
+        self.again = np.concatenate([self.again, np.array([[r["again"]] for r in rows], dtype=np.float64)])
+        self.total = np.append(self.total, [c.sum(dtype=np.float64) for c in self.counts[len(self.total) :]])
+        self.kind = np.append(self.kind, kind)
+
+    def held(self, which: np.ndarray) -> np.ndarray:
+        """How many of the documents hold each slot."""
+        out = np.zeros(SLOTS, dtype=np.int32)
+        for i in which:
+            out[self.slots[i]] += 1
+        return out
 
     def text(self, tables: list[np.ndarray], which: np.ndarray) -> np.ndarray:
-        """Text columns of the documents that the mask ``which`` names."""
-        taken = which[self.owners]
-        number = np.cumsum(which) - 1
-        return np.column_stack([text_features(self.slots[taken], self.counts[taken], tables, number[self.owners[taken]], self.total[which]), self.own[which]])
+        """Text columns of the documents at the places ``which``, some at a time."""
+        out = [np.empty((0, self.width))]
+        for at in range(0, len(which), 200):
+            own = which[at : at + 200]
+            owners = np.repeat(np.arange(len(own)), [len(self.slots[i]) for i in own])
+            slots, counts = np.concatenate([self.slots[i] for i in own]), np.concatenate([self.counts[i] for i in own])
+            out.append(np.column_stack([text_features(slots, counts, tables, owners, self.total[own]), self.again[own]]))
+        return np.concatenate(out)
 
 
 class Model:
     """Two calibrated views and their combination."""
 
-    def __init__(self, sample: Sample, y: np.ndarray, rounds: int, confident: float, give: int):
-        """``y``: 1 good, 0 bad, -1 unlabelled."""
-        labelled = np.flatnonzero(y >= 0)
-        held = labelled[np.arange(len(labelled)) % 3 == 2]  # for calibration alone
+    def __init__(self, sample: Sample, y: np.ndarray, rounds: int, most_sure: Callable, features: Callable):
+        """``sample``: the labelled documents, ``y``: 1 good, 0 bad. ``most_sure(text view, metadata view, given)``: (view, label,
+        doc_id) of the unlabelled documents that each view is most sure of and the other has not been given; ``features(ids)``: rows for the sample."""
+        labelled = np.arange(len(y))
+        held = labelled[labelled % 3 == 2]  # for calibration alone
         base = np.setdiff1d(labelled, held)
-        pool = np.flatnonzero(y < 0)
-        mask = np.zeros((2, len(y)), dtype=bool)
-        mask[0, pool], mask[1, held] = True, True
-        given: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has received
+        self.given: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has received
         self.agreed = []
         for k in range(rounds + 1):
-            rows = [np.append(base, np.array(list(g), dtype=np.int64)) for g in given]
-            self.text = TextView(sample, rows[0], np.append(y[base], list(given[0].values())))
-            self.meta = Logistic(sample.x[rows[1]], np.append(y[base], list(given[1].values())))
-            if k == rounds or not len(pool):
+            rows = [np.append(base, np.array([sample.place[i] for i in g], dtype=np.int64)) for g in self.given]
+            self.text = TextView(sample, rows[0], np.append(y[base], list(self.given[0].values())))
+            self.meta = Logistic(sample.x[rows[1]], np.append(y[base], list(self.given[1].values())))
+            if k == rounds:
+                break
+            found = most_sure(self.text, self.meta, self.given)
+            for view, label, doc_id in found:
+                self.given[1 - view].setdefault(doc_id, float(label))
+            new = sorted({doc_id for *_, doc_id in found} - sample.place.keys())
+            if new:
+                sample.add(features(new), np.zeros(len(new), dtype=np.int64))
+            self.agreed.append((len(self.given[0]), len(self.given[1])))
+            if not found:
                 break
-            views = self.text.model.logit(sample.text(self.text.tables, mask[0])), self.meta.logit(sample.x[pool])
-            for view, logits in enumerate(views):
-                p = 1 / (1 + np.exp(-logits))
-                for sure, label in ((p, 1.0), (1 - p, 0.0)):
-                    best = np.argsort(-sure, kind="stable")[:give]
-                    for i in best[sure[best] >= confident]:
-                        given[1 - view].setdefault(int(pool[i]), label)
-            self.agreed.append((len(given[0]), len(given[1])))
-        logits = np.column_stack([self.text.model.logit(sample.text(self.text.tables, mask[1])), self.meta.logit(sample.x[held])])
+        logits = np.column_stack([self.text.model.logit(sample.text(self.text.tables, held)), self.meta.logit(sample.x[held])])
         self.calibrated = [Logistic(logits[:, i : i + 1], y[held], ridge=0.1) for i in (0, 1)]
         self.combined = Logistic(np.column_stack([c.logit(logits[:, i : i + 1]) for i, c in enumerate(self.calibrated)]), y[held], ridge=0.1)
 
@@ -249,33 +256,68 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = 10_000, unlabelled: int = 2000, rounds: int = 3, confident: float = 0.98, give: int = 200) -> Model | None:
-    """A model from at most ``labelled`` labelled and ``unlabelled`` other documents, chosen by a hash of their ids.
+def _features_of(docs: DataFrame, ids: list[int]) -> list:
+    """A row of features for each of some documents, by id."""
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"))
+    rows = _prepared(docs).join(wanted, "doc_id", "left_semi").mapInArrow(_features, "doc_id long, slots binary, again double, meta binary").collect()
+    return sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
+
+
+def _most_sure(docs: DataFrame, own: DataFrame, text: TextView, meta: Logistic, given: list[dict[int, float]], confident: float, give: int) -> list[tuple[int, int, int]]:
+    """(view, label, doc_id): of all documents without a label, the ``give`` that a view is most sure of, for each view and label.
+
+    Every document is scored, map-only; what joins and ranks afterwards is ids and logits.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((text.tables, text.model, meta, [np.array(sorted(g), dtype=np.int64) for g in given]))
+
+    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, text_model, meta_model, known = shared.value
+        for batch in batches:
+            ids = np.array(batch.column("doc_id").to_pylist(), dtype=np.int64)
+            logits_of = [np.empty((0, 2)), *(np.column_stack([text_model.logit(x), meta_model.logit(m)]) for x, m in _views_of(batch, tables))]
+            for view, logits in enumerate(np.concatenate(logits_of).T):
+                for label, own_logits in ((1, logits), (0, -logits)):
+                    which = np.flatnonzero((1 / (1 + np.exp(-np.clip(own_logits, -40, 40))) >= confident) & ~np.isin(ids, known[1 - view]))
+                    if len(which):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(which), view, np.int32)), pa.array(np.full(len(which), label, np.int32)), pa.array(ids[which]), pa.array(own_logits[which])],
+                            ["view", "label", "doc_id", "sure"],
+                        )
+
+    scored = _prepared(docs.filter("doc_id IS NOT NULL")).mapInArrow(sure, "view int, label int, doc_id long, sure double")
+    pool = scored.join(own.select("doc_id"), "doc_id", "left_anti").groupBy("doc_id", "view", "label").agg(F.max("sure").alias("sure"))
+    order = Window.partitionBy("view", "label").orderBy(F.desc("sure"), "doc_id")
+    best = pool.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= give).collect()  # four times ``give``
+    shared.unpersist()
+    return [(r["view"], r["label"], r["doc_id"]) for r in sorted(best, key=lambda r: (r["view"], -r["label"], r["place"]))]
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = 12_000, rounds: int = 3, confident: float = 0.98, give: int = 200) -> Model | None:
+    """A model from at most ``labelled`` labelled documents, chosen by a hash of their ids, and all documents without a label:
+    in each round every one of them is scored, and the ``give`` surest of each view and label are taken.
 
     Good is quality 1 and not toxic. Of several labels of a document the worst counts; labels with nulls and labels of
     documents that are not there are left out. Without both good and bad documents there is no model (None).
     """
     own = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(F.col("toxic") != 0, 2).when(F.col("quality") != 1, 1).otherwise(0)).alias("kind"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = own.join(ids, "doc_id", "left_semi").orderBy(*order).limit(labelled)
-    pool = ids.join(own, "doc_id", "left_anti").orderBy(*order).limit(unlabelled).withColumn("kind", F.lit(-1))
-    picked = {r["doc_id"]: r["kind"] for r in chosen.unionByName(pool).collect()}  # bounded by the two parameters
-    if len({k == 0 for k in picked.values() if k >= 0}) < 2:
+    chosen = own.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    picked = {r["doc_id"]: r["kind"] for r in chosen.collect()}  # bounded by ``labelled``
+    if len({k == 0 for k in picked.values()}) < 2:
         return None
-    spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(i,) for i in picked], "doc_id long"))
-    rows = _prepared(docs).join(wanted, "doc_id", "left_semi").mapInArrow(_features, "doc_id long, slots binary, again double, meta binary").collect()
-    rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
+    rows = _features_of(docs, list(picked))
     kind = np.array([picked[r["doc_id"]] for r in rows])
-    y = np.where(kind < 0, -1.0, np.where(kind == 0, 1.0, 0.0))
-    if len(np.unique(y[y >= 0][np.arange((y >= 0).sum()) % 3 != 2])) < 2 or len(np.unique(y[y >= 0][np.arange((y >= 0).sum()) % 3 == 2])) < 2:
+    y = np.where(kind == 0, 1.0, 0.0)
+    third = np.arange(len(y)) % 3 == 2
+    if len(np.unique(y[~third])) < 2 or len(np.unique(y[third])) < 2:
         return None
-    return Model(Sample(rows, np.select([kind == 2, kind == 1], [1, 2], 0)), y, rounds, confident, give)
+    sample = Sample(rows, np.select([kind == 2, kind == 1], [1, 2], 0))
+    del rows
+    return Model(sample, y, rounds, lambda text, meta, given: _most_sure(docs, own, text, meta, given, confident, give), lambda new: _features_of(docs, new))
 
 
-def _scores_of(batch: pa.RecordBatch, model: Model) -> np.ndarray:
-    out = [np.empty((0, 3))]
+def _views_of(batch: pa.RecordBatch, tables: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text columns, metadata columns) for groups of bounded size."""
     for _, texts, meta in _groups(batch):
         sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
         slots, starts, again = slots_of(b" ".join(texts)) if len(texts) > 1 else slots_of(texts[0])
@@ -285,9 +327,12 @@ def _scores_of(batch: pa.RecordBatch, model: Model) -> np.ndarray:
         again[1:] &= ~(first[:-1] & (owner[1:] == owner[:-1])) | (slots[1 : len(owner)] == slots[: max(len(owner) - 1, 0)])
         repeats = np.bincount(owner, again, len(texts)) / np.maximum(np.bincount(owner, minlength=len(texts)), 1)
         total = 2.0 * np.bincount(owner, minlength=len(texts))
-        text = text_features(slots, np.ones(len(slots)), model.text.tables, np.concatenate([owner, owner]), total)
-        out.append(model.score(np.column_stack([text, repeats]), meta))
-    return np.concatenate(out)
+        text = text_features(slots, np.ones(len(slots)), tables, np.concatenate([owner, owner]), total)
+        yield np.column_stack([text, repeats]), meta
+
+
+def _scores_of(batch: pa.RecordBatch, model: Model) -> np.ndarray:
+    return np.concatenate([np.empty((0, 3)), *(model.score(text, meta) for text, meta in _views_of(batch, model.text.tables))])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **training) -> DataFrame:

@@ -275,6 +275,19 @@ def test_quality(spark):
     assert len(model.agreed) == 2 and model.agreed[1] >= model.agreed[0]
 
 
+def test_quality_takes_pseudo_labels_from_all_documents(spark):
+    docs, labels, _ = labelled_corpus(random.Random(9), 400)
+    first = spark.range(10_000, 16_000).orderBy(F.xxhash64("id"), "id").select("id").collect()
+    last = {r.id for r in first[5000:]}  # junk stands beyond any bounded sample by hash; the others tell nothing
+    docs += [(r.id, "SHOUT!! " * 150 if r.id in last else "w1", "en", "s1") for r in first]
+    tags = spark.createDataFrame([(i, q, t) for i, q, t in labels], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(4)
+    model = quality.train(df, tags, rounds=2, give=300)
+    taken = [{i for i, label in g.items() if label == 0 and i in last} for g in model.given]
+    assert max(map(len, taken)) >= 500  # each round gives 300 that were not given before
+    assert not {i for i, *_ in labels} & (set(model.given[0]) | set(model.given[1]))
+
+
 def test_quality_without_two_classes_keeps_all(spark):
     df = frame(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
