@@ -84,19 +84,21 @@ class Tokens:
 class Request:
     """The distinct n-grams of a part in the order they are sent, by place of their counts.
 
-    What is sent of a hash is as short as its use allows: 48 bits of a context, 40 of an n-gram inside its context, 48 of
+    An n-gram whose context training has never seen is not sent: it has no count, and its context leaves the shorter
+    history as it is. What is sent of a hash is as short as its use allows: 48 bits of a context, 40 of an n-gram inside its context, 48 of
     an n-gram of a hot context.
     """
 
     def __init__(self, tokens: Tokens, context: np.ndarray, context_count: np.ndarray, hot_from: float, parts: int):
         hot = (context_count > hot_from) | (context == BEGIN)
+        sent = np.flatnonzero((context_count > 0) | hot)
         route = np.where(hot, tokens.grams, pk.mix(context)) >> np.uint64(16)
         gram = np.where(hot, np.uint64(0), tokens.grams >> np.uint64(24))
-        order = np.lexsort((gram, route))
+        order = sent[np.lexsort((gram[sent], route[sent]))]
         g, r = gram[order], route[order]
         new = np.concatenate([[True], (g[1:] != g[:-1]) | (r[1:] != r[:-1])]) if len(g) else np.empty(0, bool)
         which = np.cumsum(new) - 1
-        self.of = np.empty(len(g), np.int64)  # token -> n-gram
+        self.of = np.full(len(context), len(order[new]), np.int64)  # token -> n-gram, or the place after the last
         self.of[order] = which
         self.one = order[new]  # n-gram -> one of its tokens
         self.grams, self.route, self.hot, self.context = g[new], r[new], hot[self.one], context[self.one]
@@ -118,8 +120,9 @@ class Request:
         return pk.rows(found)
 
     def answered(self, answers: list[list[np.ndarray]], hot_sums: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The counts of the n-grams and, for each, the sums of its context: CUTOFF numbers of n-grams, tokens, shorter probabilities."""
-        counts, sums = np.zeros(len(self.one), np.int64), np.zeros((len(self.one), CUTOFF + 2))
+        """The counts of the n-grams and, for each, the sums of its context: CUTOFF numbers of n-grams, tokens, shorter probabilities.
+        Zeros follow, for the n-grams that are not sent."""
+        counts, sums = np.zeros(len(self.one) + 1, np.int64), np.zeros((len(self.one) + 1, CUTOFF + 2))
         for (_, p), count, *own in answers:
             part = slice(self.edges[p], self.edges[p + 1])
             counts[part] = count

@@ -13,7 +13,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.katz_scores(documents(spark, sf_dir), order=2)
+    return katz.katz_scores(documents(spark, sf_dir), order=3)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from codequarry.llm import decontamination, exact_dedup, html_text, jaccard_join, katz, line_dedup, packing, quality, suffix_dedup, tokens
+from codequarry.llm import decontamination, exact_dedup, html_text, jaccard_join, katz, line_dedup, packing, quality, queries, suffix_dedup, tokens
 
 SCHEMA = "doc_id long, text string"
 
@@ -183,6 +183,23 @@ def test_katz(spark, order, tmp_path):
         assert spark.read.parquet(str(tmp_path / f"m{len(own)}")).count() > 0
 
 
+def test_katz_query_scores_trigrams(spark, tmp_path):
+    rng = random.Random(4)
+    docs = [(i, prose(rng, rng.randint(0, 60), 60)) for i in range(80)]
+    frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in queries.op2_katz_backoff(spark, str(tmp_path)).collect())
+    assert np.allclose([g[6] for g in got], [w[6] for w in sorted(brute.katz(docs, 3, katz.discounts))], rtol=1e-9)
+
+
+def test_katz_sends_no_unseen_contexts():
+    tokens = katz.Tokens(iter([katz.pk.pack(np.array([7]), np.array([1], np.uint8), np.array([7]), np.frombuffer(b"a b c d", dtype=np.uint8))]))
+    context = tokens.step()
+    request = katz.Request(tokens, context, np.array([0, 3, 0, 0, 2]), 100.0, 2)
+    assert len(request.one) == 3 and request.of.tolist().count(3) == 2  # the first word, "b" after a seen "a", the end
+    counts, sums = request.answered([], (np.array([katz.BEGIN]), np.ones((1, 7))))
+    assert counts[request.of].tolist() == [0] * 5 and not sums[3].any()
+
+
 def test_katz_beats_the_baseline_on_held_out_texts(spark):
     rng = random.Random(5)
     docs = [(i, " ".join(x for _ in range(30) for x in rng.choice([("a", "b"), ("c", "d"), ("e", "f")]))) for i in range(120)]
