@@ -140,7 +140,9 @@ def _shared(payloads: list[bytes], parts: int) -> Iterator[pa.RecordBatch]:
         owners.append(np.cumsum(who)[rank])
         sizes.append(size[rank])
     hashes, owners, sizes = np.concatenate(hashes), np.concatenate(owners), np.concatenate(sizes)
-    order = np.argsort(hashes, kind="stable")
+    # a row that several tasks read is sent by each of them, and counts once
+    order = np.lexsort((owners, hashes))
+    order = order[np.append(True, (np.diff(hashes[order]) != 0) | (np.diff(owners[order]) != 0))]
     hashes, owners, sizes = hashes[order], owners[order], sizes[order]
     starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
     counts = np.diff(np.append(starts, len(hashes)))

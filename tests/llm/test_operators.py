@@ -171,6 +171,12 @@ def test_long_lists_are_dealt_by_blocks(spark, monkeypatch):
     assert got == brute.similar(docs, 2, 90)
 
 
+def test_rows_repeated_in_several_tasks_count_once():
+    hashes = np.arange(1, 101, dtype=np.uint64)
+    row = jaccard_join._by_shingle([(hashes, np.zeros(100, np.int64))], [5], [100], 1).column("payload").to_pylist()
+    assert sum(batch.num_rows for batch in jaccard_join._shared(row + row, 1)) == 0  # one document shares nothing with itself
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_katz(spark, order, tmp_path):
     rng = random.Random(3)
