@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 SCHEMA = "part int, payload binary"
 _DTYPES = ["uint64", "int64", "uint32", "int32", "uint16", "uint8", "float64"]
@@ -83,3 +84,27 @@ def exchanged(packets: DataFrame, parts: int, work: Callable[[list[bytes]], Iter
             yield from work(found)
 
     return packets.repartitionById(parts, "part").select("payload").mapInArrow(gathered, schema)
+
+
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each hash: the same borders as ``borders``."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def beside(streamed: DataFrame, held: DataFrame, parts: int, work: Callable[[list[bytes], Iterator[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``work(payloads of held, payloads of streamed)`` for each part that has any; what is streamed passes by once."""
+    both = held.select("part", "payload").withColumn("late", F.lit(0)).unionByName(streamed.select("part", "payload").withColumn("late", F.lit(1)))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[bytes] = []
+        rest = ((late, data.as_py()) for batch in batches for late, data in zip(batch.column("late").to_pylist(), batch.column("payload")))
+        first = None
+        for late, data in rest:
+            if late:
+                first = data
+                break
+            kept.append(data)
+        if first is not None:
+            yield from work(kept, chain([first], (data for _, data in rest)))
+
+    return both.repartitionById(parts, "part").sortWithinPartitions("late").select("late", "payload").mapInArrow(told, schema)

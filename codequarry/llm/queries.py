@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codequarry.llm import decontamination, exact_dedup, html_text, jaccard_join, katz, line_dedup, packing, quality, suffix_dedup, tokens
+from codequarry.llm import decontamination, exact_dedup, html_text, jaccard_join, katz, line_dedup, packing, quality, substring_dedup, suffix_dedup, tokens
 from codequarry.llm.common import documents, table
 
 
@@ -87,6 +87,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), "word_bpe_49k.json", 2048)
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(documents(spark, sf_dir), 50, with_text=False).drop("kept", "spans")
+
+
 #: name: (query, SQL or None)
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
@@ -99,4 +103,5 @@ QUERIES = {
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_ngram_jaccard_join": (op9_ngram_jaccard_join, OP9_SQL),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
+    "op13_substring_dedup": (op13_substring_dedup, None),
 }
