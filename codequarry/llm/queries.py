@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codequarry.llm import decontamination, exact_dedup, html_text, jaccard_join, katz, line_dedup, packing, quality, spelling, substring_dedup, suffix_dedup, tokens
+from codequarry.llm import alignment, decontamination, exact_dedup, html_text, jaccard_join, katz, line_dedup, packing, quality, spelling, substring_dedup, suffix_dedup, tokens
 from codequarry.llm.common import documents, table
 
 
@@ -87,6 +87,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), "word_bpe_49k.json", 2048)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(documents(spark, sf_dir), "byte_bpe_50k.json", "piece_bpe_32k.model")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
@@ -107,6 +111,7 @@ QUERIES = {
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_ngram_jaccard_join": (op9_ngram_jaccard_join, OP9_SQL),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
+    "op11_cross_tokenizer_alignment": (op11_cross_tokenizer_alignment, None),
     "op12_spelling_variants": (op12_spelling_variants, None),
     "op13_substring_dedup": (op13_substring_dedup, None),
 }
