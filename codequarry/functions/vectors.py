@@ -35,7 +35,8 @@ def cosine_to(embedding: Column, query: list[float], scaled: bool = False) -> Co
             result = np.maximum(0.0, 1.0 - (1.0 - result) / 2.0)
         return pa.array(result, mask=missing)
 
-    return score(embedding)
+    # else a filter on the score is pushed below the projection and every vector is scored twice
+    return score.asNondeterministic()(embedding)
 
 
 def similarity_to(embedding: Column, query: list[float]) -> Column:

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codequarry import fixed_values as fixed
 from codequarry.functions import embedding, names, vectors
+from codequarry.operators.vector_index import VectorIndex
+
+#: As many ids are pushed to the scan as values (``spark.sql.parquet.pushdown.inFilterThreshold`` in the session).
+ASKED_BY_VALUE = 100
 
 
 def metadata_filter(df: DataFrame, **equal: str | None) -> DataFrame:
@@ -75,26 +79,45 @@ def hybrid(
     language: str | None = None,
     query_text: str | None = None,
     threshold: float = fixed.SIMILARITY_THRESHOLD,
+    index: VectorIndex | None = None,
+    probes: int = 8,
 ) -> DataFrame:
     """Vector top-k, over-fetched and re-ranked by keyword boost when the query text is given.
 
-    Phase one scans vectors only and ends in three times the ids asked for at most. Phase two asks the chunk table for
-    those ids by value, so row groups without them are skipped and texts are read for hits only.
+    Phase one scans vectors only, or the nearest lists of ``index``, and ends in three times the ids asked for at most.
+    Phase two asks the chunk table for those ids, so row groups without them are skipped and texts are read for hits only.
+    Hits that have no chunk, or whose chunk a filter drops, take no places: then phase one runs again on ids of chunks.
     """
     narrow = metadata_filter(chunks, repo_name=repo, chunk_type=chunk_type, language=language)
     candidates = metadata_filter(embeddings, repo_name=repo)
     if chunk_type or language:
         candidates = candidates.join(narrow.select("id"), "id", "left_semi")
     fetch = n_results * 3 if query_text else n_results
-    best = [(r["id"], r["score"]) for r in nearest(candidates.select("id", "embedding"), query, fetch).collect()]
+    if index is not None and not (chunk_type or language):
+        equal = None if repo is None else "repo_name = '" + repo.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        scored = index.nearest(query, fetch, probes, where=equal)
+    else:
+        scored = nearest(candidates.select("id", "embedding"), query, fetch)
+    best = [(r["id"], r["score"]) for r in scored.select("id", "score").collect()]
+    known = _with_ids(narrow.select("id"), [i for i, _ in best])
+    if len(best) == fetch and known.distinct().count() < len({i for i, _ in best}):
+        held = candidates.select("id", "embedding").join(narrow.select("id").distinct(), "id", "left_semi")
+        best = [(r["id"], r["score"]) for r in nearest(held, query, fetch).collect()]
     hits = chunks.sparkSession.createDataFrame(best, "id string, score double")
-    found = narrow.where(F.col("id").isin([i for i, _ in best])).join(F.broadcast(hits), "id")
+    found = _with_ids(narrow, [i for i, _ in best]).join(F.broadcast(hits), "id")
     score = F.col("score")
     if query_text:
         score = F.least(F.lit(1.0), score + keyword_boost(query_text, F.col("name"), F.col("docstring"), F.col("content")))
     return found.withColumn("score", score).where(F.col("score") >= threshold).orderBy(F.col("score").desc(), "id").limit(n_results)
 
 
+def _with_ids(df: DataFrame, ids: list[str]) -> DataFrame:
+    """Rows with some ids. A page of ids is asked for by value, so row groups are skipped; more ids are a join."""
+    if len(ids) <= ASKED_BY_VALUE:
+        return df.where(F.col("id").isin(ids))
+    return df.join(F.broadcast(df.sparkSession.createDataFrame([(i,) for i in set(ids)], "id string")), "id", "left_semi")
+
+
 # ---- query text, rewritten once on the driver -----------------------------------------
 
 

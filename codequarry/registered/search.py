@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codequarry import fixed_values as fixed
 from codequarry.functions import names, vectors
-from codequarry.operators import formatting, search, symbols
+from codequarry.operators import formatting, search, symbols, vector_index
 from codequarry.registered import views
+from codequarry.session import shared_folder
 
 QUESTION = "the order data flow to api"
 CHUNK_CTE = f"chunks AS ({views.cte(views.CHUNKS)})"
@@ -44,6 +47,43 @@ def vector_topk_per_label(spark, sf_dir):
     return ranked.where("rank <= 3").select("label", "rank", "vec_id", _round())
 
 
+def _vector_index(spark, sf_dir) -> vector_index.VectorIndex:
+    folder = shared_folder(spark, f"vector-index-{uuid.uuid4().hex}")
+    return vector_index.VectorIndex.build(views.read(spark, sf_dir, "embeddings"), folder, "vec_id")
+
+
+def _query_set(spark, sf_dir) -> DataFrame:
+    return views.read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
+
+
+def vector_index_topk(spark, sf_dir):
+    """The rows of ``vector_topk`` from inverted lists, reading only those that may hold one of them."""
+    found = _vector_index(spark, sf_dir).nearest(_query_vector(spark, sf_dir), 20, probes=4, exact=True)
+    return found.select("vec_id", "label", _round())
+
+
+def vector_index_many(spark, sf_dir):
+    """The ten nearest vectors of each query of a set, exact, from inverted lists."""
+    return _vector_index(spark, sf_dir).nearest_many(_query_set(spark, sf_dir), 10, probes=4, exact=True).select("query", "rank", "vec_id", _round())
+
+
+def vector_index_recall(spark, sf_dir):
+    """Whether every vector lies in one list, and whether the search without proof, with the fewest lists that reach it on
+    the set, finds nine of ten of what a full scan finds."""
+    items, queries, index = views.read(spark, sf_dir, "embeddings"), _query_set(spark, sf_dir), _vector_index(spark, sf_dir)
+    probes = index.probes_for(items, queries, 10, 0.9)
+    found = vector_index.recall(index.nearest_many(queries, 10, probes), vector_index.exact_many(items, queries, 10, "vec_id"), "vec_id")
+    stored = index.vectors.agg(F.count("*").alias("vectors"), (F.count("*") == F.countDistinct("vec_id")).alias("one_list_each"))
+    return found.select("queries", "wanted", (F.col("recall") >= 0.9).alias("recall_reached")).join(stored, how="cross")
+
+
+VECTOR_MANY_SQL = """
+WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query, vec_id, greatest(0, 1 - (1 - list_cosine_similarity(embedding::DOUBLE[], v)) / 2) AS score FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10
+"""
+
 VECTOR_SQL = """
 WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
 s AS (SELECT vec_id, label, greatest(0, 1 - (1 - list_cosine_similarity(embedding::DOUBLE[], v)) / 2) AS score FROM embeddings, q)
@@ -264,6 +304,9 @@ def related_chunks(spark, sf_dir):
 
 QUERIES = {
     "vector_topk": (vector_topk, VECTOR_SQL + "SELECT vec_id, label, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 20"),
+    "vector_index_topk": (vector_index_topk, VECTOR_SQL + "SELECT vec_id, label, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 20"),
+    "vector_index_many": (vector_index_many, VECTOR_MANY_SQL),
+    "vector_index_recall": (vector_index_recall, "SELECT count(*) FILTER (WHERE vec_id % 50 = 0) AS queries, 10 * count(*) FILTER (WHERE vec_id % 50 = 0) AS wanted, true AS recall_reached, count(*) AS vectors, true AS one_list_each FROM embeddings"),
     "vector_topk_filtered": (vector_topk_filtered, VECTOR_SQL + "SELECT vec_id, label, round(score, 6) AS score FROM s WHERE label = 3 AND s.score >= 0.35 ORDER BY s.score DESC, vec_id LIMIT 10"),
     "vector_topk_per_label": (vector_topk_per_label, VECTOR_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT label, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 3"),
     "hybrid_search": (hybrid_search, _hybrid_sql(None, 10, 30, SUMMARY_SQL)),
