@@ -84,10 +84,11 @@ class VectorIndex:
     centroids: np.ndarray
     reach: np.ndarray
     sizes: np.ndarray
+    columns: str
 
     @property
     def vectors(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/vectors")
+        return self.spark.read.schema(self.columns).parquet(f"{self.root}/vectors")
 
     # ---- building -----------------------------------------------------------------------
 
@@ -99,7 +100,8 @@ class VectorIndex:
         rows = embeddings.where(F.col("embedding").isNotNull()).orderBy(F.xxhash64(key), key).limit(min(sample, 64 * lists)).select("embedding").toArrow()
         picked, usable = unit_rows(rows.column(0).combine_chunks()) if rows.num_rows else (np.zeros((0, 1)), np.zeros(0, bool))
         centroids = fit_centroids(picked[usable], lists) if usable.any() else np.zeros((0, 1))
-        index = cls(spark, root.rstrip("/"), key, centroids, np.ones(len(centroids)), np.zeros(len(centroids), np.int64))
+        index = cls(spark, root.rstrip("/"), key, centroids, np.ones(len(centroids)), np.zeros(len(centroids), np.int64), "")
+        index.columns = index.assigned(embeddings).schema.toDDL()
         index._append(embeddings, "overwrite")
         return index
 
@@ -107,7 +109,7 @@ class VectorIndex:
     def load(cls, spark: SparkSession, root: str, key: str = "id") -> VectorIndex:
         rows = spark.read.parquet(f"{root.rstrip('/')}/lists").orderBy("list").collect()  # one row per list
         centroids = np.array([r["centroid"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-        return cls(spark, root.rstrip("/"), key, centroids, np.array([r["reach"] for r in rows]), np.array([r["n"] for r in rows], dtype=np.int64))
+        return cls(spark, root.rstrip("/"), key, centroids, np.array([r["reach"] for r in rows]), np.array([r["n"] for r in rows], dtype=np.int64), spark.read.parquet(f"{root.rstrip('/')}/columns").first()[0])
 
     def add(self, embeddings: DataFrame) -> None:
         """Assign more rows to the lists there are; keys must be new."""
@@ -119,6 +121,7 @@ class VectorIndex:
         self.reach, self.sizes = np.ones(len(self.centroids)), np.zeros(len(self.centroids), np.int64)
         for r in self.vectors.where(F.col("list") >= 0).groupBy("list").agg(F.min("cosine").alias("reach"), F.count("*").alias("n")).collect():
             self.reach[r["list"]], self.sizes[r["list"]] = r["reach"], r["n"]
+        self.spark.createDataFrame([(self.columns,)], "ddl string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/columns")
         rows = [(i, c.tolist(), float(r), int(n)) for i, (c, r, n) in enumerate(zip(self.centroids, self.reach, self.sizes))]
         self.spark.createDataFrame(rows, "list int, centroid array<double>, reach double, n long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/lists")
 
