@@ -28,7 +28,8 @@ from codequarry.llm.common import buckets_for
 from codequarry.llm.tokens import byte_letters
 from codequarry.session import cut
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20
+ENCODED = 8192  # units encoded at once, since their ids are Python numbers first
 UNIT = re.compile(r"(?<=\S)(?= )")
 _SIDES: dict[str, Side] = {}
 
@@ -86,7 +87,7 @@ class Aligned:
         self.good = np.ones(len(units), dtype=bool)
         flat, parents, ends = [], [], []
         for one in (first, second):
-            lists = pa.array(one.encode(units), pa.list_(pa.int32()))
+            lists = pa.concat_arrays([pa.array(one.encode(units[at : at + ENCODED]), pa.list_(pa.int32())) for at in range(0, max(len(units), 1), ENCODED)])
             ids, parent = pc.list_flatten(lists), pc.cast(pc.list_parent_indices(lists), pa.int64())
             self._check(raw, pc.take(one.bytes, ids), lists)
             # ends inside the unit: the running sum less what the units before it sum up to
@@ -183,6 +184,7 @@ def _chunks(docs: DataFrame, first: str, second: str) -> DataFrame:
             if size > CHUNK_BYTES:
                 yield _chunk(f"{task}-{next(number)}", rows, *sides)
                 rows, size = [], 0
+                pa.default_memory_pool().release_unused()
         if rows:
             yield _chunk(f"{task}-{next(number)}", rows, *sides)
 
