@@ -8,11 +8,9 @@ reliable checkpoint, so a lost executor never replays the whole walk.
 
 from __future__ import annotations
 
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from codequarry.operators.contraction import distances, strong_components, union
 from codequarry.session import cut
 
 CALL_ORDER = ["callee", "caller_file", "caller_line", "repo_name", "call_type"]
@@ -22,14 +20,6 @@ def _in_repo(df: DataFrame, repo: str | None) -> DataFrame:
     return df if repo is None else df.where(F.col("repo_name") == repo)
 
 
-# graphs up to this many edges, counted first, are walked or split in tasks that hold one scope each
-LOCAL_EDGES = 1_000_000
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def direct_callers(calls: DataFrame, symbol: str, repo: str | None = None) -> DataFrame:
     """One row per call site, ordered by caller."""
     return _in_repo(calls, repo).where(F.col("callee") == symbol).orderBy("caller", "caller_file", "caller_line", "repo_name")
@@ -49,24 +39,20 @@ def spread(
     payload: list[str] | None = None,
     seeds_visited: bool = False,
     carry: list[str] | None = None,
-    local_edges: int = LOCAL_EDGES,
 ) -> DataFrame:
     """Breadth-first levels from ``seeds`` (column ``node``) along ``near`` -> ``far``.
 
     Columns: scope, carry, ``node``, ``depth``; with ``payload`` also ``via``, the smallest
     (near, payload) of the edges that reach the node at its depth. With ``scope`` every graph is
     walked separately; ``carry`` names seed columns (such as the start) whose walks over one graph
-    are kept apart. A full walk over a graph of a checked size runs inside tasks, a scope each.
+    are kept apart. A bounded walk reads the edges as they are; a full one contracts them first (``distances``).
     """
     scope, carry = scope or [], carry or []
     key = [*scope, *carry, "node"]
+    if payload is None and max_depth is None and not carry and seeds_visited:
+        return distances(edges.select(*scope, F.col(near).alias("s"), F.col(far).alias("t")), seeds, scope)
     hops = edges.select(*scope, F.col(near).alias("__near"), F.col(far).alias("__far"))
-    if payload is None:
-        # parallel edges say nothing new to a walk without payload
-        hops = cut(hops.distinct())
-        if max_depth is None and not carry and hops.count() <= local_edges:
-            return _local_spread(hops, seeds.select(*key).distinct(), scope, seeds_visited)
-    else:
+    if payload is not None:
         via = F.struct(F.col(near).alias("near"), *[F.col(c) for c in payload])
         hops = edges.select(*scope, F.col(near).alias("__near"), F.col(far).alias("__far"), via.alias("__via"))
     found = [] if payload is None else ["via"]
@@ -85,51 +71,18 @@ def spread(
         reached = hops.join(near_side, [*scope, "__near"]).withColumnRenamed("__far", "node")
         step = reached.groupBy(*key).agg(F.min("__via").alias("via")) if found else reached.select(*key).distinct()
         if levels:
-            step = step.join(_union(levels).select(*key), key, "left_anti")
+            step = step.join(union(levels).select(*key), key, "left_anti")
         frontier = cut(step.select(*key, F.lit(depth).alias("depth"), *found))
         if frontier.isEmpty():
             break
         levels.append(frontier)
         if len(levels) >= 8:
-            levels = [cut(_union(levels))]
+            levels = [cut(union(levels))]
             if payload is None and not carry:
                 # edges into visited nodes lead nowhere new
                 seen = levels[0].select(*scope, F.col("node").alias("__far"))
                 hops = cut(hops.join(seen, [*scope, "__far"], "left_anti"))
-    return _union(levels) if levels else frontier
-
-
-def _local_spread(hops: DataFrame, seeds: DataFrame, scope: list[str], seeds_visited: bool) -> DataFrame:
-    """The walk over an edge table of checked size; edges and starts of a scope meet in one task."""
-    ddl = ", ".join([*[f"{c} {t}" for c, t in seeds.dtypes], "depth int"])
-    columns = [*seeds.columns, "depth"]
-
-    def walk(key: tuple, edges: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        depths = levels_from(edges["__near"], edges["__far"], starts["node"], seeds_visited)
-        # a scope without starts gives an empty frame, which must still have proper column types
-        result = {"node": pd.Series(list(depths), dtype=object), "depth": pd.Series(list(depths.values()), dtype="int32")}
-        result |= {column: pd.Series([value] * len(depths), dtype=object) for column, value in zip(scope, key)}
-        return pd.DataFrame(result)[columns]
-
-    if not scope:
-        hops, seeds_keyed = hops.withColumn("__all", F.lit(0)), seeds.withColumn("__all", F.lit(0))
-        return hops.groupBy("__all").cogroup(seeds_keyed.groupBy("__all")).applyInPandas(lambda l, r: walk((), l, r), ddl)
-    return hops.groupBy(*scope).cogroup(seeds.groupBy(*scope)).applyInPandas(walk, ddl)
-
-
-def levels_from(sources, targets, starts, starts_visited: bool) -> dict:
-    """Distance of every node some start leads to."""
-    following: dict = {}
-    for s, t in zip(sources, targets):
-        following.setdefault(s, []).append(t)
-    depths = dict.fromkeys(starts, 0) if starts_visited else {}
-    frontier, depth = list(starts), 0
-    while frontier:
-        depth += 1
-        reached = [t for s in frontier for t in following.get(s, ())]
-        frontier = [t for t in dict.fromkeys(reached) if t not in depths]
-        depths.update(dict.fromkeys(frontier, depth))
-    return depths
+    return union(levels) if levels else frontier
 
 
 def transitive_callers(calls: DataFrame, symbol: str, max_depth: int, repo: str | None = None) -> DataFrame:
@@ -178,7 +131,7 @@ def find_path(calls: DataFrame, source: str, target: str, repo: str | None = Non
         hit = step.where(F.col("node") == target)
         if not hit.isEmpty():
             return hit.select("path", (F.size("path") - 1).alias("length"))
-        frontier = cut(step.join(_union(visited), "node", "left_anti"))
+        frontier = cut(step.join(union(visited), "node", "left_anti"))
         if frontier.isEmpty():
             break
         visited.append(frontier.select("node"))
@@ -216,9 +169,9 @@ def entry_points(chunks: DataFrame) -> DataFrame:
     return chunks.where(flag).select(qualified_name(F.col("parent_name"), F.col("name")).alias("node"), "repo_name", "file_path")
 
 
-def reachable(calls: DataFrame, entries: DataFrame, scope: list[str] | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def reachable(calls: DataFrame, entries: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Everything some entry point leads to, entries included, with its distance."""
-    return spread(calls, entries, "caller", "callee", scope=scope, seeds_visited=True, local_edges=local_edges)
+    return spread(calls, entries, "caller", "callee", scope=scope, seeds_visited=True)
 
 
 def unreachable(calls: DataFrame, entries: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -226,133 +179,12 @@ def unreachable(calls: DataFrame, entries: DataFrame, scope: list[str] | None =
     return all_symbols(calls, scope).join(reachable(calls, entries, scope), key, "left_anti")
 
 
-def cycles(edges: DataFrame, src: str, dst: str, scope: list[str] | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """Strongly connected components with more than one node: scope, ``node``, ``component`` (its smallest node).
-
-    Peeling first drops edges that cannot lie on a cycle. A remainder of a checked size is solved
-    scope by scope inside tasks. A larger one stays distributed: (1) give each node the largest
-    label that reaches it, (2) walk back from each label's owner inside its colour, which is that
-    owner's component, (3) repeat on what is left.
-    """
+def cycles(edges: DataFrame, src: str, dst: str, scope: list[str] | None = None) -> DataFrame:
+    """Strongly connected components with more than one node: scope, ``node``, ``component`` (its smallest node)."""
     scope = scope or []
-    key = [*scope, "node"]
-    left = edges.select(*scope, F.col(src).alias("s"), F.col(dst).alias("t")).where("s <> t").distinct()
-    left = cut(left)
-    done: list[DataFrame] = []
-    while True:
-        left, size = _peel(left, scope, local_edges)
-        if size <= local_edges:
-            done.append(_local_components(left, scope))
-            break
-        colour = _largest_reaching(left, scope)
-        here = left.join(colour.select(*scope, F.col("node").alias("s"), F.col("colour").alias("cs")), [*scope, "s"]).join(
-            colour.select(*scope, F.col("node").alias("t"), F.col("colour").alias("ct")), [*scope, "t"]
-        )
-        inner = cut(here.where("cs = ct").select(*scope, F.col("cs").alias("colour"), "s", "t"))
-        owners = colour.where("node = colour").select(*scope, "colour", "node")
-        members = cut(spread(inner, owners, "t", "s", scope=[*scope, "colour"], seeds_visited=True, local_edges=local_edges).select(*scope, "colour", "node"))
-        done.append(members)
-        gone = members.select(*key)
-        left = cut(
-            left.join(gone.withColumnRenamed("node", "s"), [*scope, "s"], "left_anti").join(
-                gone.withColumnRenamed("node", "t"), [*scope, "t"], "left_anti"
-            )
-        )
-    members = _union(done)
+    members = strong_components(edges.select(*scope, F.col(src).alias("s"), F.col(dst).alias("t")), scope)
     named = members.groupBy(*scope, "colour").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
-    return members.join(named, [*scope, "colour"]).select(*key, "component")
-
-
-def _local_components(edges: DataFrame, scope: list[str]) -> DataFrame:
-    """Components of an edge table of checked size, one task per scope; ``colour`` labels them."""
-    columns = [*scope, "colour", "node"]
-    types = dict(edges.dtypes)
-    ddl = ", ".join(f"{c} {types.get(c, types['s'])}" for c in columns)
-
-    def solve(pairs: pd.DataFrame) -> pd.DataFrame:
-        labels = strong_labels(pairs["s"].to_numpy(), pairs["t"].to_numpy())
-        result = {"node": pd.Series(list(labels), dtype=object), "colour": pd.Series(list(labels.values()), dtype=object)}
-        result |= {c: pd.Series([pairs[c].iloc[0]] * len(labels), dtype=object) for c in scope}
-        return pd.DataFrame(result)[columns]
-
-    grouped = edges.groupBy(*scope) if scope else edges.groupBy(F.lit(0))
-    return grouped.applyInPandas(solve, ddl)
-
-
-def strong_labels(sources, targets) -> dict:
-    """Component label of every node of an edge list (iterative depth-first search with low links)."""
-    following: dict = {}
-    for s, t in zip(sources, targets):
-        following.setdefault(s, []).append(t)
-        following.setdefault(t, [])
-    order: dict = {}
-    low: dict = {}
-    label: dict = {}
-    open_nodes: list = []
-    for root in following:
-        if root in order:
-            continue
-        work = [(root, iter(following[root]))]
-        order[root] = low[root] = len(order)
-        open_nodes.append(root)
-        while work:
-            node, rest = work[-1]
-            child = next(rest, None)
-            if child is None:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == order[node]:
-                    while True:
-                        member = open_nodes.pop()
-                        label[member] = node
-                        if member == node:
-                            break
-            elif child not in order:
-                order[child] = low[child] = len(order)
-                open_nodes.append(child)
-                work.append((child, iter(following[child])))
-            elif child not in label:
-                low[node] = min(low[node], order[child])
-    return label
-
-
-def _peel(edges: DataFrame, scope: list[str], enough: int = 0) -> tuple[DataFrame, int]:
-    """Keep edges whose source is entered and whose target is left again, until nothing changes
-    or at most ``enough`` edges are left."""
-    size = edges.count()
-    while size > enough:
-        entered = edges.select(*scope, F.col("t").alias("s")).distinct()
-        left_again = edges.select(*scope, F.col("s").alias("t")).distinct()
-        edges = cut(edges.join(entered, [*scope, "s"], "left_semi").join(left_again, [*scope, "t"], "left_semi"))
-        now = edges.count()
-        if now == size:
-            break
-        size = now
-    return edges, size
-
-
-def _largest_reaching(edges: DataFrame, scope: list[str]) -> DataFrame:
-    """Per node the largest node id that reaches it; only changed nodes send in the next round."""
-    key = [*scope, "node"]
-    nodes = edges.select(*scope, F.col("s").alias("node")).union(edges.select(*scope, F.col("t").alias("node"))).distinct()
-    colour = cut(nodes.select(*key, F.col("node").alias("colour"), F.lit(True).alias("changed")))
-    while True:
-        senders = colour.where("changed").select(*scope, F.col("node").alias("s"), F.col("colour").alias("offer"))
-        offers = (
-            edges.join(senders, [*scope, "s"]).groupBy(*scope, F.col("t").alias("node")).agg(F.max("offer").alias("offer"))
-        )
-        colour = cut(
-            colour.select(*key, "colour")
-            .join(offers, key, "left")
-            .select(
-                *key,
-                F.greatest("colour", F.coalesce("offer", "colour")).alias("colour"),
-                F.coalesce(F.col("offer") > F.col("colour"), F.lit(False)).alias("changed"),
-            )
-        )
-        if colour.where("changed").isEmpty():
-            return colour.drop("changed")
+    return members.join(named, [*scope, "colour"]).select(*scope, "node", "component")
 
 
 def file_edges(calls: DataFrame) -> DataFrame:

@@ -48,23 +48,21 @@ def test_path(spark):
     assert graph.find_path(c, "D", "X").isEmpty()
 
 
-@pytest.mark.parametrize("local_edges", [0, 1_000_000])
-def test_dead_code(spark, local_edges):
+def test_dead_code(spark):
     c = calls(spark, ("main", "used"), ("used", "helper"), ("orphan", "helper"), ("loop1", "loop2"), ("loop2", "loop1"))
-    assert nodes(graph.reachable(c, seeds(spark, "main", "main", "absent"), local_edges=local_edges)) == ["absent", "helper", "main", "used"]
+    assert nodes(graph.reachable(c, seeds(spark, "main", "main", "absent"))) == ["absent", "helper", "main", "used"]
     assert nodes(graph.unreachable(c, seeds(spark, "main"))) == ["loop1", "loop2", "orphan"]
     assert nodes(graph.never_called(c)) == ["main", "orphan"]
 
 
-@pytest.mark.parametrize("local_edges", [0, 1_000_000])
-def test_scopes_without_starts_or_without_edges(spark, local_edges):
+def test_scopes_without_starts_or_without_edges(spark):
     c = calls(spark, ("A", "B"), repo="r1").union(calls(spark, ("A", "B"), repo="r2"))
     starts = spark.createDataFrame([("r1", "A"), ("r3", "Z")], "repo_name string, node string")
-    found = graph.reachable(c, starts, ["repo_name"], local_edges=local_edges)
+    found = graph.reachable(c, starts, ["repo_name"])
     assert sorted((r["repo_name"], r["node"], r["depth"]) for r in found.collect()) == [("r1", "A", 0), ("r1", "B", 1), ("r3", "Z", 0)]
     none = starts.where("repo_name = 'r9'")
-    assert graph.reachable(c, none, ["repo_name"], local_edges=local_edges).isEmpty()
-    assert graph.reachable(c, none.select("node"), local_edges=local_edges).isEmpty()
+    assert graph.reachable(c, none, ["repo_name"]).isEmpty()
+    assert graph.reachable(c, none.select("node")).isEmpty()
 
 
 def components(df):
@@ -74,13 +72,12 @@ def components(df):
     return {(repo, frozenset(m)) for (repo, _), m in found.items()}
 
 
-@pytest.mark.parametrize("local_edges", [0, 1_000_000])
-def test_cycles(spark, local_edges):
+def test_cycles(spark):
     one = calls(spark, ("A", "B"), ("B", "C"), ("C", "A"), ("D", "E"), ("S", "S"), ("E", "A"), ("A", "X"), repo="r1")
     two = calls(spark, ("A", "B"), ("B", "A"), ("P", "Q"), ("Q", "P"), ("B", "P"), repo="r2")
-    found = graph.cycles(one.union(two), "caller", "callee", ["repo_name"], local_edges=local_edges)
+    found = graph.cycles(one.union(two), "caller", "callee", ["repo_name"])
     assert components(found) == {("r1", frozenset("ABC")), ("r2", frozenset("AB")), ("r2", frozenset("PQ"))}
-    assert graph.cycles(calls(spark, ("A", "B")), "caller", "callee", ["repo_name"], local_edges=local_edges).isEmpty()
+    assert graph.cycles(calls(spark, ("A", "B")), "caller", "callee", ["repo_name"]).isEmpty()
 
 
 def closure(edges):
@@ -95,22 +92,86 @@ def closure(edges):
     return reach
 
 
-@pytest.mark.parametrize("local_edges", [0, 1_000_000])
-def test_cycles_and_reachability_against_brute_force(spark, local_edges):
+def test_cycles_and_reachability_against_brute_force(spark):
     rng = random.Random(7)
     edges = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(90)]
     reach = closure(edges)
     expected = {frozenset(m for m in reach if m in reach[n] and n in reach[m]) for n in reach if n in reach[n]}
     c = calls(spark, *edges)
-    assert {m for _, m in components(graph.cycles(c, "caller", "callee", ["repo_name"], local_edges=local_edges))} == {m for m in expected if len(m) > 1}
+    assert {m for _, m in components(graph.cycles(c, "caller", "callee", ["repo_name"]))} == {m for m in expected if len(m) > 1}
     start = edges[0][0]
-    assert set(nodes(graph.reachable(c, seeds(spark, start), local_edges=local_edges))) == reach[start] | {start}
-
-
-def test_strong_labels_survive_long_chains():
-    n = 50_000
-    labels = graph.strong_labels(list(range(n)), [*range(1, n), 0])
-    assert len(set(labels.values())) == 1 and len(labels) == n
+    assert set(nodes(graph.reachable(c, seeds(spark, start)))) == reach[start] | {start}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_and_distances_of_random_graphs(spark, seed):
+    """Chains, trees in both directions, rings with tails and dense parts, in two scopes."""
+    rng = random.Random(seed)
+    edges = []
+    for repo in ("r1", "r2"):
+        n = rng.randint(20, 50)
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.choice([n // 2, n, 2 * n]))]
+        at = n
+        for _ in range(rng.randint(2, 5)):
+            size, shape = rng.randint(2, 12), rng.choice(["chain", "ring", "in", "out"])
+            own = list(range(at, at + size))
+            at += size
+            pairs += list(zip(own, own[1:])) if shape in ("chain", "ring") else []
+            pairs += [(own[-1], own[0])] if shape == "ring" else []
+            pairs += [(own[k], own[(k - 1) // 2]) if shape == "in" else (own[(k - 1) // 2], own[k]) for k in range(1, size)] if shape in ("in", "out") else []
+            pairs += [(rng.randrange(at), rng.choice(own)), (rng.choice(own), rng.randrange(at))][: rng.randint(0, 2)]
+        edges += [(repo, f"n{a:03d}", f"n{b:03d}") for a, b in pairs]
+    df = spark.createDataFrame([(a, b, "f", 1, repo, "d") for repo, a, b in edges], CALL)
+    want = set()
+    for repo in ("r1", "r2"):
+        own = [(a, b) for r, a, b in edges if r == repo]
+        reach = closure(own)
+        want |= {(repo, frozenset(m for m in reach if m in reach[x] and x in reach[m])) for x in reach if x in reach[x]}
+    found = graph.cycles(df, "caller", "callee", ["repo_name"])
+    assert components(found) == {(r, m) for r, m in want if len(m) > 1}
+    assert all(row["component"] == min(m) for row in found.collect() for r, m in want if r == row["repo_name"] and row["node"] in m)
+    starts = [(r, f"n{rng.randrange(40):03d}") for r in ("r1", "r1", "r2")]
+    depth = {(r, x): 0 for r, x in starts}
+    frontier = list(depth)
+    while frontier:
+        step = [(r, b) for r, x in frontier for q, a, b in edges if (q, a) == (r, x)]
+        frontier = [k for k in dict.fromkeys(step) if k not in depth]
+        depth.update(dict.fromkeys(frontier, max(depth.values()) + 1))
+    got = graph.reachable(df, spark.createDataFrame(starts, "repo_name string, node string"), ["repo_name"]).collect()
+    assert len(got) == len(depth) and {(r["repo_name"], r["node"]): r["depth"] for r in got} == depth
+
+
+def counted(monkeypatch):
+    """How many tables a walk writes."""
+    from codequarry.operators import contraction
+
+    written, real = [], contraction.cut
+
+    def cut(df):
+        written.append(1)
+        return real(df)
+
+    monkeypatch.setattr(contraction, "cut", cut)
+    return written
+
+
+def test_long_chains_and_rings_take_few_rounds(spark, monkeypatch):
+    n = 5000
+    written = counted(monkeypatch)
+    chain = spark.range(n).selectExpr("concat('n', lpad(id, 5, '0')) AS caller", "concat('n', lpad(id + 1, 5, '0')) AS callee", "'r' AS repo_name")
+    found = graph.reachable(chain, seeds(spark, "n00003"))
+    assert found.count() == n - 2 and found.where("node = 'n05000'").first()["depth"] == n - 3
+    assert len(written) < 30
+    written.clear()
+    ring = chain.union(spark.createDataFrame([("n05000", "n00010", "r"), ("n05000", "x", "r")], "caller string, callee string, repo_name string"))
+    members = graph.cycles(ring, "caller", "callee", ["repo_name"])
+    assert members.count() == n - 9 and members.select("component").distinct().collect()[0][0] == "n00010"
+    assert len(written) < 80
+    written.clear()
+    lone = chain.where("caller >= 'n00010'").union(spark.createDataFrame([("n05000", "n00010", "r")], "caller string, callee string, repo_name string"))
+    assert graph.cycles(lone, "caller", "callee", ["repo_name"]).count() == n - 9
+    assert graph.reachable(lone, seeds(spark, "n00010")).agg({"depth": "max"}).first()[0] == n - 10
+    assert len(written) < 80
 
 
 def test_injection(spark):
