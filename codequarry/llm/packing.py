@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from codequarry.llm.caches import cache, claim
 from codequarry.llm.common import id_and_text
 from codequarry.llm.tokens import PLAIN, Encoder, in_byte_batches, in_byte_letters, is_single, loaded
 from codequarry.session import cut
@@ -26,7 +27,7 @@ WORD = re.compile(r"[^ \t-\r]+")
 PART = re.compile(rf"{PLAIN}|[^ \t-\r]+")
 #: length, first rank, pieces in each bin, bins, first bin, first offset
 RUN_FIELDS = 6
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = cache("packing")
 
 
 def encoder(name: str) -> Callable[[list[str]], list[list[bytes]]]:
@@ -55,6 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, separator: int = 0, w
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing")
         encode, end, width = encoder(tokenizer), np.array([separator], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             ids = iter(batch.column("doc_id").to_pylist())

@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F
 
 from codequarry.llm import packets as pk, words
+from codequarry.llm.caches import claim
 from codequarry.llm.common import id_and_text
 
 #: Words and beginnings of words are hashed to so many slots each; a beginning has so many bytes.
@@ -24,6 +26,8 @@ LEAST_DOCS = 4
 BORDERS = (4.0, 8.0, 16.0)
 #: Weights of slots are found on other folds than the documents they describe.
 FOLDS = 4
+#: Candidates for pseudo-labels are ranked in so many shares first.
+SHARES = 64
 #: Metadata categories are hashed to so many columns.
 CATEGORIES = 64
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -50,10 +54,12 @@ def text_features(slots: np.ndarray, counts: np.ndarray, weights: list[np.ndarra
     before them the size, since a long text reaches borders by chance. Slots without weight may be left out."""
     n, total = len(total), np.maximum(total, 1)
     columns = [np.log1p(total)]
+    runs = np.flatnonzero(np.append(True, owners[1:] != owners[:-1]))  # slots of a text lie together, in one or two runs
     for table in weights:
         w = table[slots]
         most = np.zeros(n)
-        np.maximum.at(most, owners, w)
+        if len(w):
+            np.maximum.at(most, owners[runs], np.maximum.reduceat(w, runs))
         columns += [np.bincount(owners, w * counts, n) / total, most]
         columns += [np.log1p(np.bincount(owners, counts * (w >= border), n)) for border in BORDERS]
     return np.column_stack(columns)
@@ -214,28 +220,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.column_stack([*views, self.combined.logit(np.column_stack(views))]), -40, 40)))
 
 
-def _prepared_columns(docs: DataFrame) -> list[Column]:
-    """Text, language and source; null where a table lacks them."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return [text, *(F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source"))]
-
-
 def _prepared(docs: DataFrame) -> DataFrame:
-    view = (c.alias(name) for c, name in zip(_prepared_columns(docs), ("text", "meta_lang", "meta_source")))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *view)
+    """Id, text, language and source; null where a table lacks them."""
+    meta = (F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *(c.alias(n) for c, n in zip(meta, ("meta_lang", "meta_source"))))
 
 
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[slice, list[bytes], np.ndarray]]:
     """(rows, texts as bytes, metadata columns) for groups of bounded size."""
-    texts = batch.column("text").cast(pa.binary()).to_pylist()
+    texts = batch.column("text").cast(pa.binary())
     lang, source = (batch.column(f"meta_{c}").to_pylist() for c in ("lang", "source"))
-    at = 0
+    at, lengths = 0, pc.binary_length(texts).to_pylist()
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) < GROUP_BYTES):
-            size += len(texts[end])
+        while end < len(texts) and (end == at or size + lengths[end] < GROUP_BYTES):
+            size += lengths[end]
             end += 1
-        own = texts[at:end]
+        own = texts.slice(at, end - at).to_pylist()
         sizes = np.array([len(t) for t in own], dtype=np.int64)
         b = np.frombuffer(b"".join(own), dtype=np.uint8)
         yield slice(at, end), own, np.column_stack([layout(b, np.cumsum(sizes) - sizes, sizes), categories([lang[at:end], source[at:end]])])
@@ -271,6 +272,7 @@ def _most_sure(docs: DataFrame, own: DataFrame, text: TextView, meta: Logistic,
     shared = docs.sparkSession.sparkContext.broadcast((text.tables, text.model, meta, [np.array(sorted(g), dtype=np.int64) for g in given]))
 
     def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         tables, text_model, meta_model, known = shared.value
         for batch in batches:
             ids = np.array(batch.column("doc_id").to_pylist(), dtype=np.int64)
@@ -286,8 +288,10 @@ def _most_sure(docs: DataFrame, own: DataFrame, text: TextView, meta: Logistic,
 
     scored = _prepared(docs.filter("doc_id IS NOT NULL")).mapInArrow(sure, "view int, label int, doc_id long, sure double")
     pool = scored.join(own.select("doc_id"), "doc_id", "left_anti").groupBy("doc_id", "view", "label").agg(F.max("sure").alias("sure"))
-    order = Window.partitionBy("view", "label").orderBy(F.desc("sure"), "doc_id")
-    best = pool.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= give).collect()  # four times ``give``
+    # the surest of each share first, so that no task ranks all documents of a view and label
+    own_order, order = (Window.partitionBy("view", "label", *share).orderBy(F.desc("sure"), "doc_id") for share in (["share"], []))
+    shares = pool.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))).withColumn("place", F.row_number().over(own_order)).filter(F.col("place") <= give)
+    best = shares.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= give).collect()  # four times ``give``
     shared.unpersist()
     return [(r["view"], r["label"], r["doc_id"]) for r in sorted(best, key=lambda r: (r["view"], -r["label"], r["place"]))]
 
@@ -350,6 +354,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
             found = _scores_of(batch, shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[:, i]) for i in range(3))], ["doc_id", "text_score", "meta_score", "score"])
@@ -363,14 +368,14 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    n = len(docs.columns)
+    names = [c if c in docs.columns else None for c in ("lang", "source")]
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
-            view = pa.RecordBatch.from_arrays(batch.columns[n:], ["text", "meta_lang", "meta_source"])
-            own = pa.RecordBatch.from_arrays(batch.columns[:n], batch.schema.names[:n])
-            yield own.filter(pa.array(_scores_of(view, shared.value)[:, 2] >= threshold))
+            nothing = pa.nulls(batch.num_rows, pa.string())
+            meta = [nothing if c is None else batch.column(c).cast(pa.string()) for c in names]
+            view = pa.RecordBatch.from_arrays([pc.fill_null(batch.column("text"), ""), *meta], ["text", "meta_lang", "meta_source"])
+            yield batch.filter(pa.array(_scores_of(view, shared.value)[:, 2] >= threshold))
 
-    # what scoring reads stands beside the row under names of its own
-    view = _prepared_columns(docs)
-    return docs.select("*", *(c.alias(f"__view_{i}") for i, c in enumerate(view))).mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(kept, docs.schema)

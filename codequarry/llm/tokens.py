@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from codequarry.llm.caches import cache, claim
 from codequarry.llm.common import id_and_text
 
 BATCH_BYTES = 1 << 20
@@ -116,7 +117,7 @@ def spaced(text: str) -> list[str]:
     return units
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = cache("token counts")
 
 
 def counter(name: str) -> Callable[[list[str]], list[int]]:
@@ -150,6 +151,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token counts")
         count = counter(tokenizer)
         for batch in batches:
             texts = batch.column("text").to_pylist()
