@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from codequarry.llm import packets as pk, words
 from codequarry.llm.caches import claim
 from codequarry.llm.common import id_and_text
+from codequarry.session import cut
 
 #: Words and beginnings of words are hashed to so many slots each; a beginning has so many bytes.
 SLOTS, BEGINNING = 1 << 19, 5
@@ -146,8 +147,7 @@ class Sample:
 
     def __init__(self, rows: list, kind: np.ndarray):
         self.x, self.again, self.total = np.empty((0, 0)), np.empty((0, 1)), np.empty(0)
-        self.slots: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
+        self.packed: list[bytes] = []  # a tenth of the driver's memory that arrays would take
         self.kind = np.empty(0, np.int64)
         self.place: dict[int, int] = {}
         self.add(rows, kind)
@@ -156,21 +156,24 @@ class Sample:
         if not rows:
             return
         for r in rows:
-            self.place[r["doc_id"]] = len(self.slots)
-            slots, counts = pk.unpack(bytes(r["slots"]))
-            self.slots.append(np.cumsum(slots).astype(np.int32))
-            self.counts.append(counts.astype(np.float32))
+            self.place[r["doc_id"]] = len(self.packed)
+            self.packed.append(bytes(r["slots"]))
         x = np.array([np.frombuffer(r["meta"], np.float64) for r in rows])
         self.x = np.concatenate([self.x, x]) if len(self.x) else x
         self.again = np.concatenate([self.again, np.array([[r["again"]] for r in rows], dtype=np.float64)])
-        self.total = np.append(self.total, [c.sum(dtype=np.float64) for c in self.counts[len(self.total) :]])
+        self.total = np.append(self.total, [self.slots(i)[1].sum(dtype=np.float64) for i in range(len(self.total), len(self.packed))])
         self.kind = np.append(self.kind, kind)
 
+    def slots(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(slots in order, their counts) of a document."""
+        slots, counts = pk.unpack(self.packed[i])
+        return np.cumsum(slots), counts
+
     def held(self, which: np.ndarray) -> np.ndarray:
         """How many of the documents hold each slot."""
         out = np.zeros(SLOTS, dtype=np.int32)
         for i in which:
-            out[self.slots[i]] += 1
+            out[self.slots(i)[0]] += 1
         return out
 
     def text(self, tables: list[np.ndarray], which: np.ndarray) -> np.ndarray:
@@ -178,8 +181,9 @@ class Sample:
         out = [np.empty((0, self.width))]
         for at in range(0, len(which), 200):
             own = which[at : at + 200]
-            owners = np.repeat(np.arange(len(own)), [len(self.slots[i]) for i in own])
-            slots, counts = np.concatenate([self.slots[i] for i in own]), np.concatenate([self.counts[i] for i in own])
+            found = [self.slots(i) for i in own]
+            owners = np.repeat(np.arange(len(own)), [len(slots) for slots, _ in found])
+            slots, counts = np.concatenate([slots for slots, _ in found]), np.concatenate([counts for _, counts in found]).astype(np.float64)
             out.append(np.column_stack([text_features(slots, counts, tables, owners, self.total[own]), self.again[own]]))
         return np.concatenate(out)
 
@@ -288,12 +292,13 @@ def _most_sure(docs: DataFrame, own: DataFrame, text: TextView, meta: Logistic,
 
     scored = _prepared(docs.filter("doc_id IS NOT NULL")).mapInArrow(sure, "view int, label int, doc_id long, sure double")
     pool = scored.join(own.select("doc_id"), "doc_id", "left_anti").groupBy("doc_id", "view", "label").agg(F.max("sure").alias("sure"))
-    # the surest of each share first, so that no task ranks all documents of a view and label
-    own_order, order = (Window.partitionBy("view", "label", *share).orderBy(F.desc("sure"), "doc_id") for share in (["share"], []))
-    shares = pool.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))).withColumn("place", F.row_number().over(own_order)).filter(F.col("place") <= give)
-    best = shares.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= give).collect()  # four times ``give``
+    # the surest of each share first, so that no task ranks all documents of a view and label; then four short lists
+    order = Window.partitionBy("view", "label", "share").orderBy(F.desc("sure"), "doc_id")
+    shares = pool.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= give)
+    shares = cut(shares.select("view", "label", "doc_id", "sure"))
+    best = [r for view in (0, 1) for label in (1, 0) for r in shares.filter((F.col("view") == view) & (F.col("label") == label)).orderBy(F.desc("sure"), "doc_id").limit(give).collect()]
     shared.unpersist()
-    return [(r["view"], r["label"], r["doc_id"]) for r in sorted(best, key=lambda r: (r["view"], -r["label"], r["place"]))]
+    return [(r["view"], r["label"], r["doc_id"]) for r in best]
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = 12_000, rounds: int = 3, confident: float = 0.98, give: int = 200) -> Model | None:
