@@ -95,6 +95,158 @@ def _braces(spark, sf_dir):
     return views.view(spark, sf_dir, JAVA).unionByName(views.view(spark, sf_dir, TYPESCRIPT))
 
 
+def _forms(table: str, key: str, texts: list[str], suffix: str, language: str) -> str:
+    """A view in which each row of a table is one of some source texts; @K@ stands for the row's key."""
+    cases = " ".join(f"WHEN {i} THEN '{t.replace('{', '{{').replace('}', '}}')}'" for i, t in enumerate(texts))
+    return f"""SELECT concat('f', CAST({key} % 7 AS STRING)) AS repo_name, concat('src/form', CAST({key} AS STRING), '{suffix}') AS file_path,
+      replace(CASE {key} % {len(texts)} {cases} END, '@K@', CAST({key} AS STRING)) AS content, '{language}' AS language FROM {{{table}}}"""
+
+
+# forms in which line by line reading fails: one line for all, enums and records, long strings, anonymous classes, interfaces with code
+JAVA_FORMS = [
+    "class A@K@ { int x = first(); void a() { b@K@(); } void c() { d(1); } static { e(); } }",
+    """enum Color@K@ { RED(1) { int w() { return mix(); } }, GREEN(2); Color@K@ next() { return values()[1]; } }
+record Point@K@(int a) { Point@K@ { check(a); } int sum() { return add(a); } }""",
+    '''class T@K@ {
+  String s = """
+    class Fake { void no() { nope(); } }
+    """;
+  String run() { return s.trim(); }
+}''',
+    """class R@K@ { Runnable make() {
+    return new Runnable() { public void run() { go@K@(); } };
+  }
+}""",
+    """interface I@K@ extends Base { default void q() { w(); } void z(); int K = 3; }
+class G@K@<T extends I@K@> { <U extends List<U>> Map<String, U> gen(U u) throws X { return u.<U>make(); } }""",
+    """class O@K@ {
+  // void gone() { no(); }
+  class Inner { Inner(int a) { super(a); this.set(a); } }
+  void last() { String c = "}"; int[] all = {1, 2}; if (c > 1) { hit(all); } }
+}""",
+]
+TYPESCRIPT_FORMS = [
+    "class Q@K@ { a() { return `x ${f(`in ${g()} {`)} }`; } static b<T>(x: T): T { return h(x); } }",
+    """export const one@K@ = async (x) => { await two(); }; const three@K@ = y => four(y)
+function five@K@() { const six@K@ = () => seven(); return six@K@() }""",
+    """const obj@K@ = { ten() { eleven(); }, twelve: () => { thirteen(); } };
+function re@K@(s) { if (/}{/.test(s)) { hit(s); } return s; }""",
+    """interface S@K@ { area(): number; name: string }
+abstract class V@K@ extends W<X> { abstract z(): void; private p = () => { k(); }; constructor(private a: B) { super(a); this.run(); } }""",
+    """type U@K@ = { a: string }
+export default function eight@K@() { nine(`
+}`); }""",
+    """foo(function() { bar(); });
+class Y@K@ { get v() { return 1 } async *w() { yield make(); } }""",
+]
+#: chunk_type, name, parent_name, first and last line of what each form declares; caller, callee, line and kind of its calls
+JAVA_UNITS = [
+    [("class", "A@K@", None, 1, 1), ("method", "a", "A@K@", 1, 1), ("method", "c", "A@K@", 1, 1)],
+    [("method", "w", None, 1, 1), ("method", "next", None, 1, 1), ("method", "sum", None, 2, 2)],
+    [("class", "T@K@", None, 1, 6), ("method", "run", "T@K@", 5, 5)],
+    [("class", "R@K@", None, 1, 4), ("method", "make", "R@K@", 1, 3), ("method", "run", "R@K@", 2, 2)],
+    [("interface", "I@K@", None, 1, 1), ("method", "q", "I@K@", 1, 1), ("method", "z", "I@K@", 1, 1), ("class", "G@K@", None, 2, 2), ("method", "gen", "G@K@", 2, 2)],
+    [("class", "O@K@", None, 1, 5), ("class", "Inner", "O@K@", 3, 3), ("constructor", "Inner", "Inner", 3, 3), ("method", "last", "O@K@", 4, 4)],
+]
+JAVA_SITES = [
+    [("A@K@.a", "b@K@", 1, "direct"), ("A@K@.c", "d", 1, "direct")],
+    [("w", "mix", 1, "direct"), ("next", "values", 1, "direct"), ("sum", "add", 2, "direct")],
+    [("T@K@.run", "s.trim", 5, "method")],
+    [("R@K@.make", "Runnable.<init>", 2, "constructor"), ("R@K@.make", "go@K@", 2, "direct"), ("R@K@.run", "go@K@", 2, "direct")],
+    [("I@K@.q", "w", 1, "direct"), ("G@K@.gen", "make", 2, "direct")],
+    [("Inner.Inner", "this.set", 3, "method"), ("O@K@.last", "hit", 4, "direct")],
+]
+TYPESCRIPT_UNITS = [
+    [("class", "Q@K@", None, 1, 1), ("method", "a", "Q@K@", 1, 1), ("method", "b", "Q@K@", 1, 1)],
+    [("function", "one@K@", None, 1, 1), ("function", "three@K@", None, 1, 1), ("function", "five@K@", None, 2, 2), ("function", "six@K@", None, 2, 2)],
+    [("function", "re@K@", None, 2, 2)],
+    [("interface", "S@K@", None, 1, 1), ("method", "area", "S@K@", 1, 1), ("class", "V@K@", None, 2, 2), ("method", "z", "V@K@", 2, 2), ("method", "constructor", "V@K@", 2, 2)],
+    [("class", "U@K@", None, 1, 1), ("function", "eight@K@", None, 2, 3)],
+    [("class", "Y@K@", None, 2, 2), ("method", "v", "Y@K@", 2, 2), ("method", "w", "Y@K@", 2, 2)],
+]
+TYPESCRIPT_SITES = [
+    [("Q@K@.a", "f", 1, "direct"), ("Q@K@.a", "g", 1, "direct"), ("Q@K@.b", "h", 1, "direct")],
+    [("one@K@", "two", 1, "direct"), ("three@K@", "four", 1, "direct"), ("five@K@", "seven", 2, "direct"), ("five@K@", "six@K@", 2, "direct"), ("six@K@", "seven", 2, "direct")],
+    [("re@K@", "test", 2, "direct"), ("re@K@", "hit", 2, "direct")],
+    [("V@K@.constructor", "this.run", 2, "method")],
+    [("eight@K@", "nine", 2, "direct")],
+    [("Y@K@.w", "make", 2, "direct")],
+]
+
+
+def _form_files(spark, sf_dir):
+    java = views.view(spark, sf_dir, _forms("part", "p_partkey", JAVA_FORMS, ".java", "java"))
+    return java.unionByName(views.view(spark, sf_dir, _forms("customer", "c_custkey", TYPESCRIPT_FORMS, ".ts", "typescript")))
+
+
+def parse_forms_chunks(spark, sf_dir):
+    """Declarations of six forms per language that lines alone do not tell apart."""
+    return parsing.tables_of(brace_code.parse_braces(_form_files(spark, sf_dir))).chunks.select("repo_name", "file_path", "chunk_type", "name", "parent_name", "start_line", "end_line")
+
+
+def parse_forms_calls(spark, sf_dir):
+    """Calls of the same forms: declarations are none, calls inside templates and anonymous classes are."""
+    return parsing.tables_of(brace_code.parse_braces(_form_files(spark, sf_dir))).calls
+
+
+def _form_rows(found: list[list[tuple]], columns: str) -> str:
+    rows = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in (i, *row)) + ")" for i, rows in enumerate(found) for row in rows)
+    return f"(VALUES {rows}) AS v(form, {columns})"
+
+
+def _forms_sql(chosen: str, java: list, typescript: list, columns: str) -> str:
+    parts = [
+        f"SELECT 'f' || (k % 7) AS repo_name, 'src/form' || k || '{suffix}' AS file_path, {chosen} FROM (SELECT {key} AS k FROM {table}) JOIN {_form_rows(found, columns)} ON form = k % 6"
+        for table, key, suffix, found in (("part", "p_partkey", ".java", java), ("customer", "c_custkey", ".ts", typescript))
+    ]
+    return " UNION ALL ".join(parts)
+
+
+FORM_CHUNKS_SQL = _forms_sql(
+    "chunk_type, replace(name, '@K@', k::VARCHAR) AS name, replace(parent_name, '@K@', k::VARCHAR) AS parent_name, start_line::INT AS start_line, end_line::INT AS end_line",
+    JAVA_UNITS, TYPESCRIPT_UNITS, "chunk_type, name, parent_name, start_line, end_line",
+)
+FORM_CALLS_SQL = "SELECT caller, callee, file_path AS caller_file, caller_line, repo_name, call_type FROM (" + _forms_sql(
+    "replace(caller, '@K@', k::VARCHAR) AS caller, replace(callee, '@K@', k::VARCHAR) AS callee, line::INT AS caller_line, call_type", JAVA_SITES, TYPESCRIPT_SITES, "caller, callee, line, call_type",
+) + ")"
+
+BROKEN_PYTHON = ['''import os
+
+def good@K@(a):
+    return helper(a)
+
+def bad@K@(:
+    pass
+
+@app.get("/keep/@K@")
+def kept@K@():
+    return os.go()
+
+x = [1, 2
+class Keep@K@(Base):
+    def run(self):
+        return self.go()
+
+def tail@K@():
+    """a
+def hidden():
+    b"""
+    return end()''']
+PARTIAL_UNITS = [[
+    ("function", "good@K@", None, 3, 4), ("function", "kept@K@", None, 10, 11), ("class", "Keep@K@", None, 14, 16), ("method", "run", "Keep@K@", 15, 16), ("function", "tail@K@", None, 18, 22),
+]]
+
+
+def parse_partial(spark, sf_dir):
+    """What the sound blocks of broken Python files hold; the files keep their error."""
+    parsed = python_code.parse_python(views.view(spark, sf_dir, _forms("supplier", "s_suppkey", BROKEN_PYTHON, ".py", "python")))
+    chunks = parsed.select(F.inline("chunks"), F.col("error").isNotNull().alias("broken"))
+    return chunks.select("repo_name", "file_path", "chunk_type", "name", "parent_name", "start_line", "end_line", F.array_join("imports", ";").alias("imports"), "broken")
+
+
+PARTIAL_SQL = f"""SELECT 'f' || (k % 7) AS repo_name, 'src/form' || k || '.py' AS file_path, chunk_type, replace(name, '@K@', k::VARCHAR) AS name, replace(parent_name, '@K@', k::VARCHAR) AS parent_name,
+ start_line::INT AS start_line, end_line::INT AS end_line, 'import os' AS imports, true AS broken FROM (SELECT s_suppkey AS k FROM supplier) JOIN {_form_rows(PARTIAL_UNITS, "chunk_type, name, parent_name, start_line, end_line")} ON true"""
+
 CHUNK_COLUMNS = ["repo_name", "file_path", "chunk_type", "name", "parent_name", "start_line", "end_line", "signature", "docstring"]
 
 
@@ -316,6 +468,9 @@ QUERIES = {
     "parse_python_chunks": (parse_python_chunks, PYTHON_SQL),
     "parse_python_calls": (parse_python_calls, PYTHON_CALLS_SQL),
     "parse_brace_chunks": (parse_brace_chunks, BRACE_SQL.replace("{{", "{")),
+    "parse_forms_chunks": (parse_forms_chunks, FORM_CHUNKS_SQL),
+    "parse_forms_calls": (parse_forms_calls, FORM_CALLS_SQL),
+    "parse_partial": (parse_partial, PARTIAL_SQL),
     "parse_brace_calls": (parse_brace_calls, BRACE_CALLS_SQL),
     "parse_inheritance": (parse_inheritance, INHERITANCE_SQL),
     "parse_dependencies": (parse_dependencies, f"WITH c AS ({_C}) SELECT 'Customer' || k AS class_name, unnest(['orders', 'ledger']) AS field_name, unnest(['OrderRepo', 'Ledger']) AS field_type, unnest(['field', 'constructor']) AS injection_type, repo_name FROM c"),

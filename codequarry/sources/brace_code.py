@@ -1,139 +1,42 @@
 """Java, TypeScript and JavaScript files to chunks, calls and base classes.
 
-No syntax tree: lines are rows, block depth is a running sum, a declaration ends where its depth
-returns, and its class is the last one opened at its level. All windows are keyed by file, so one
-exchange by file serves the whole plan; a group is never more than one file.
+A lexer reads each file inside its row, in Arrow batches: declarations, calls, comments. What they mean (routes, injected
+fields, components, ids) is columns. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from codequarry.functions import names, regex as rx
 from codequarry.schema import CALL_SITE, METADATA, as_struct
+from codequarry.sources import brace_lexer
 
 FILE = ["repo_name", "file_path"]
-# one left-to-right pass: literals keep their quotes only, comments vanish
-LITERAL_OR_COMMENT = r"""(["'`])(?:\\.|(?!\1)[^\\])*\1|//.*|/\*.*?\*/"""
-NOT_NAMES = [
-    "if", "for", "while", "switch", "catch", "return", "function", "throw", "new", "else", "do", "try", "synchronized", "typeof",
-    "await", "case", "assert", "import", "with", "instanceof", "in", "of", "super",
-]
-ANNOTATIONS = r"(?:@[\w.]+(?:\([^)]*\))?\s+)*"
-JAVA_MODIFIERS = r"(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|sealed|strictfp)\s+)*"
-JAVA_NOT_TYPES = ["public", "private", "protected", "static", "final", "abstract", "new", "return", "else", "throw"]
-JAVA_TYPE = rf"^\s*{ANNOTATIONS}{JAVA_MODIFIERS}(class|interface)\s+(\w+)"
-JAVA_METHOD = rf"^\s*{ANNOTATIONS}{JAVA_MODIFIERS}(?:<[^(]*?>\s*)?([\w.]+(?:<[^(]*>)?(?:\[\])*)\s+(\w+)\s*\("
-JAVA_CONSTRUCTOR = rf"^\s*{ANNOTATIONS}{JAVA_MODIFIERS}(\w+)\s*\("
-TS_EXPORT = r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?"
-TS_TYPE = TS_EXPORT + r"(?:abstract\s+)?(class|interface)\s+([\w$]+)"
-TS_ALIAS = TS_EXPORT + r"type\s+([\w$]+)\s*(?:<[^=]*>)?\s*="
-TS_FUNCTION = TS_EXPORT + r"(?:async\s+)?function\s*\*?\s*([\w$]+)"
-TS_ARROW = TS_EXPORT + r"(?:const|let|var)\s+([\w$]+)\s*(?::.*?)?=\s*(?:async\s*)?(?:<[^(]*>)?(?:\(.*|[\w$]+\s*=>.*)$"
-TS_METHOD = r"^\s*(?:@[\w.]+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|async|readonly|override|get|set|abstract)\s+)*\*?([A-Za-z_$#][\w$]*)\s*(?:<[^(]*>)?\("
-TS_EXPORTED = r"^\s*export\s+default\s+([\w$]+)\s*;?\s*$"
-CALL = r"(?:\bnew\s+)?[A-Za-z_$][\w$]*(?:\s*\??\.\s*[A-Za-z_$][\w$]*)*\s*(?:<[\w\s,.<>\[\]]*>)?\s*\("
-
-
-def code_lines(files: DataFrame) -> DataFrame:
-    """Lines with comments and literals blanked, and the block depth before and after each."""
-    by_file = Window.partitionBy(*FILE).orderBy("i")
-    lines = files.select(*FILE, "language", F.posexplode(F.split("content", "\n")).alias("i", "raw"))
-    short = lines.withColumn("bare", F.regexp_replace("raw", LITERAL_OR_COMMENT, "$1$1"))
-    opens, closes = F.contains("bare", F.lit("/*")), F.contains("bare", F.lit("*/"))
-    mark = F.when(F.instr("bare", "/*") > F.instr("bare", "*/"), 1).when(closes, 0)
-    before = F.last(mark, ignorenulls=True).over(by_file.rowsBetween(Window.unboundedPreceding, -1))
-    commented = F.coalesce(before, F.lit(0)) == 1
-    code = (
-        F.when(commented & ~closes, "")
-        .when(commented, F.regexp_replace("bare", r"^.*?\*/", ""))
-        .when(opens, F.regexp_replace("bare", r"/\*.*$", ""))
-        .otherwise(F.col("bare"))
-    )
-    measured = short.withColumn("code", code)
-    net = F.regexp_count("code", F.lit(r"\{")) - F.regexp_count("code", F.lit(r"\}"))
-    after = F.sum(net).over(by_file.rowsBetween(Window.unboundedPreceding, 0))
-    return measured.withColumn("after", after).select(*FILE, "language", "i", "raw", "code", (F.col("after") - net).alias("before"), "after")
-
+UNITS = as_struct(
+    "i int, end int, kind string, name string, parent_name string, parent_type string, parent_line int, header string, signature string, annotations string, docstring string, body string, own string"
+)
+READ = f"repo_name string, file_path string, language string, content string, units array<{UNITS}>, calls array<{as_struct(CALL_SITE)}>"
 
-def _group(regex: str, number: int) -> Column:
-    return F.nullif(F.regexp_extract("code", regex, number), F.lit(""))
 
+def units(files: DataFrame) -> DataFrame:
+    """Each file with its declarations and calls; a file is read inside its row."""
 
-def _declarations(lines: DataFrame) -> DataFrame:
-    """What each line may declare: kind and name, before its place is known."""
-    java = F.col("language") == "java"
-    java_name, ts_name = _group(JAVA_METHOD, 2), _group(TS_METHOD, 1)
-    statement = rx.matches(F.col("code"), r"^\s*(return|throw|new|else|case|package|import|await|yield)\b")
-    arrow = F.contains("code", F.lit("=>")) | F.endswith(F.rtrim("code"), F.lit("("))
-    kinds = [
-        (java & _group(JAVA_TYPE, 2).isNotNull(), _group(JAVA_TYPE, 1), _group(JAVA_TYPE, 2)),
-        (~java & _group(TS_TYPE, 2).isNotNull(), _group(TS_TYPE, 1), _group(TS_TYPE, 2)),
-        (~java & _group(TS_ALIAS, 1).isNotNull(), F.lit("alias"), _group(TS_ALIAS, 1)),
-        (~java & _group(TS_FUNCTION, 1).isNotNull(), F.lit("function"), _group(TS_FUNCTION, 1)),
-        (~java & _group(TS_ARROW, 1).isNotNull() & arrow, F.lit("function"), _group(TS_ARROW, 1)),
-        (~java & _group(TS_EXPORTED, 1).isNotNull(), F.lit("import"), _group(TS_EXPORTED, 1)),
-        (java & ~statement & java_name.isNotNull() & ~java_name.isin(*NOT_NAMES) & ~_group(JAVA_METHOD, 1).isin(*JAVA_NOT_TYPES), F.lit("method"), java_name),
-        (java & ~statement & _group(JAVA_CONSTRUCTOR, 1).isNotNull() & ~_group(JAVA_CONSTRUCTOR, 1).isin(*NOT_NAMES), F.lit("constructor"), _group(JAVA_CONSTRUCTOR, 1)),
-        (~java & ~statement & ts_name.isNotNull() & ~ts_name.isin(*NOT_NAMES), F.lit("method"), ts_name),
-    ]
-    kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for condition, k, n in reversed(kinds):
-        kind, name = F.when(condition, k).otherwise(kind), F.when(condition, n).otherwise(name)
-    return lines.withColumn("kind", kind).withColumn("name", name)
-
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # some files at a time: a file's declarations repeat its text once for every level of nesting
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                found = [brace_lexer.file_units(t, l) for t, l in zip(some.column("content").to_pylist(), some.column("language").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([u for u, _ in found], schema.field("units").type), pa.array([c for _, c in found], schema.field("calls").type)], schema=schema)
 
-def units(files: DataFrame) -> DataFrame:
-    """Declarations with their last line and class, and each file's lines, one row per file."""
-    marked = _declarations(code_lines(files))
-    has_block = F.regexp_count("code", F.lit(r"\{")) > 0
-    closed = F.when(F.col("after") < F.col("before"), F.sequence(F.col("after"), F.col("before") - 1)).when(
-        has_block & (F.col("after") == F.col("before")), F.array("after")
-    )
-    # events per nesting level: a declaration, then the closing of a block on the same line
-    events = F.concat(
-        F.when(F.col("kind").isNotNull(), F.array(F.struct(F.col("before").alias("level"), F.lit(0).alias("what")))).otherwise(F.array().cast("array<struct<level:bigint,what:int>>")),
-        F.transform(F.coalesce(closed, F.array().cast("array<bigint>")), lambda l: F.struct(l.alias("level"), F.lit(1).alias("what"))),
-    )
-    placed = marked.select("*", F.inline_outer(events))
-    backward = Window.partitionBy(*FILE, "level").orderBy(F.col("i").desc(), F.col("what").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    block_end = F.last(F.when(F.col("what") == 1, F.col("i")), ignorenulls=True).over(backward)
-    # a declaration without a block of its own ends on its line or at the first semicolon
-    ended = placed.withColumn("block_end", block_end).where((F.col("what") == 0) | F.col("what").isNull() | (F.col("kind").isNull()))
-    per_line = ended.groupBy(*FILE, "language", "i").agg(
-        F.first("raw").alias("raw"), F.first("code").alias("code"), F.first("before").alias("level"), F.first("kind").alias("kind"), F.first("name").alias("name"),
-        F.max(F.when(F.col("what") == 0, F.col("block_end"))).alias("block_end"),
-    )
-    follow = Window.partitionBy(*FILE).orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    next_open = F.last(F.when(F.contains("code", F.lit("{")), F.col("i")), ignorenulls=True).over(follow)
-    next_stop = F.last(F.when(F.contains("code", F.lit(";")), F.col("i")), ignorenulls=True).over(follow)
-    with_end = per_line.withColumn("open_line", next_open).withColumn("stop_line", next_stop)
-    blockless = F.col("open_line").isNull() | (F.coalesce("stop_line", "open_line") < F.col("open_line"))
-    end = F.when(blockless, F.coalesce("stop_line", "i")).otherwise(F.greatest(F.coalesce("block_end", "i"), F.col("i")))
-    sized = with_end.withColumn("end", F.when(F.col("kind").isNotNull(), end))
-    # the class of a member: the last one opened one level up and not ended yet
-    levels = sized.withColumn("is_class", F.coalesce(F.col("kind").isin("class", "interface"), F.lit(False)))
-    scope_rows = levels.select(
-        *levels.columns,
-        F.explode(F.when(F.col("is_class"), F.array(F.struct(F.col("level").alias("scope"), F.lit(False).alias("opens")), F.struct((F.col("level") + 1).alias("scope"), F.lit(True).alias("opens")))).otherwise(
-            F.array(F.struct(F.col("level").alias("scope"), F.lit(False).alias("opens"))))).alias("s"),
-    )
-    forward = Window.partitionBy(*FILE, "s.scope").orderBy("i", F.col("s.opens")).rowsBetween(Window.unboundedPreceding, -1)
-    holder = F.last(F.when(F.col("s.opens"), F.struct("name", "kind", "i", "end")), ignorenulls=True).over(forward)
-    owned = scope_rows.withColumn("holder", holder).where("not s.opens")
-    inside = F.col("holder").isNotNull() & (F.col("i") <= F.col("holder.end")) & (F.col("i") > F.col("holder.i"))
-    member = F.col("kind").isin("method", "constructor")
-    valid = F.col("kind").isNotNull() & (~member | inside) & (F.coalesce(F.col("kind") != "constructor", F.lit(True)) | (F.col("name") == F.col("holder.name")))
-    final = owned.select(
-        *FILE, "language", "i", "raw", "code", "end", "level",
-        F.when(valid, F.col("kind")).alias("kind"), "name", F.when(inside, F.col("holder.name")).alias("parent_name"),
-        F.when(inside, F.col("holder.kind")).alias("parent_type"), F.when(inside, F.col("holder.i")).alias("parent_line"), "open_line",
-    )
-    return final.groupBy(*FILE, "language").agg(
-        F.sort_array(F.collect_list(F.struct("i", "raw", "code"))).alias("text"),
-        F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct(
-            F.col("i"), F.col("end"), F.col("kind"), F.col("name"), F.col("parent_name"), F.col("parent_type"), F.col("parent_line"), F.col("open_line"))))).alias("units"),
-    )
+    wanted = files.select(*[F.col(c).cast("string").alias(c) for c in (*FILE, "language", "content")])
+    schema = to_arrow_schema(wanted.sparkSession.createDataFrame([], READ).schema)
+    return wanted.mapInArrow(read, READ)
 
 
 def _first(text: Column, regex: str, group: int = 1) -> Column:
@@ -159,9 +62,6 @@ def _joined_path(*parts: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(pieces, "/"))
 
 
-PRECEDING = r"(?s)(?:/\*\*((?:(?!\*/).)*)\*/\s*)?((?:@[\w.]+(?:\((?:[^()]|\([^()]*\))*\))?\s*)*)$"
-
-
 def _handlers(whole: Column) -> Column:
     """Express registrations of a file: verb, path and the handler named last."""
     variable = r"(?:app|router|server|[A-Za-z_$][\w$]*(?:[Rr]outer|[Aa]pp|[Aa]pi))"
@@ -192,31 +92,9 @@ def _outgoing(body: Column) -> Column:
 
 def parse_braces(files: DataFrame) -> DataFrame:
     """One row per file (columns repo_name, file_path, content, language) with chunks, calls and bases."""
-    parsed = units(files).withColumn("units", F.filter("units", lambda u: u.isNotNull()))
-    raw, code = F.transform("text", lambda t: t["raw"]), F.transform("text", lambda t: t["code"])
+    detailed = units(files).withColumn("raw", F.split("content", "\n"))
     java = F.col("language") == "java"
-    whole = F.array_join(raw, "\n")
-
-    def piece(lines: Column, start: Column, end: Column) -> Column:
-        return F.array_join(F.slice(lines, start + 1, F.greatest(end - start + 1, F.lit(0))), "\n")
-
-    def enrich(u: Column) -> Column:
-        start = F.greatest(u["i"] - 40, F.lit(0))
-        above = piece(F.col("raw"), start, u["i"] - 1)
-        last = F.when(u["open_line"] <= u["end"], u["open_line"]).otherwise(u["end"])
-        head_end = F.least(last, u["i"] + 9)
-        header = F.regexp_extract(piece(F.col("code"), u["i"], head_end), r"(?s)^([^{;]*)", 1)
-        signature = F.regexp_replace(piece(F.col("raw"), u["i"], head_end), r"(?s)(\{[^{]*|;[^;{]*)$", "")
-        return F.struct(
-            u["i"].alias("i"), u["end"].alias("end"), u["kind"].alias("kind"), u["name"].alias("name"), u["parent_name"].alias("parent_name"), u["parent_type"].alias("parent_type"),
-            u["parent_line"].alias("parent_line"), u["open_line"].alias("open_line"), header.alias("header"), rx.strip(signature).alias("signature"),
-            F.concat(F.regexp_extract(above, PRECEDING, 2), F.regexp_extract(F.get(F.col("raw"), u["i"]), rf"^\s*({ANNOTATIONS})", 1)).alias("annotations"),
-            F.nullif(F.array_join(F.filter(F.transform(F.split(F.regexp_extract(above, PRECEDING, 1), "\n"), lambda l: rx.strip(F.regexp_replace(rx.strip(l), r"^\*+", ""))), lambda l: l != ""), "\n"), F.lit("")).alias("docstring"),
-            piece(F.col("raw"), u["i"], u["end"]).alias("body"),
-        )
-
-    detailed = parsed.select(*FILE, "language", raw.alias("raw"), code.alias("code"), whole.alias("whole"), "units").withColumn("units", F.transform("units", enrich))
-    detailed = detailed.withColumn("handlers", F.when(~java, _handlers(F.col("whole"))).otherwise(_handlers(F.lit("")))).withColumn(
+    detailed = detailed.withColumn("handlers", F.when(~java, _handlers(F.col("content"))).otherwise(_handlers(F.lit("")))).withColumn(
         "imports", F.filter(F.transform("raw", lambda l: rx.strip(l)), lambda l: F.startswith(l, F.lit("import ")))
     )
 
@@ -240,14 +118,14 @@ def parse_braces(files: DataFrame) -> DataFrame:
             framework = F.when(java, F.lit(None).cast("string")).when(member | is_controller, "nestjs").otherwise("express")
             route = F.when(method.isNotNull(), F.struct(method.alias("method"), path.alias("path"), framework.alias("framework"), (u["i"] + 1).alias("line"), F.lit(None).cast("boolean").alias("is_mount")))
             function = ~java & u["kind"].isin("function", "method")
-            jsx = rx.matches(u["body"], r"(return|=>)\s*\(?\s*<(>|[A-Za-z])")
+            jsx = rx.matches(u["own"], r"(return|=>)\s*\(?\s*<(>|[A-Za-z])")
             typed = F.get(F.col("raw"), u["i"]).rlike(r":\s*(React\.)?(FC|FunctionComponent)\b")
             react = function & u["name"].rlike("^[A-Z]") & (jsx | typed)
             props = F.coalesce(
                 _first(F.get(F.col("raw"), u["i"]), r"(?:FC|FunctionComponent)<([^>]+)>"), _first(u["signature"], r"\(\s*(?:\{[^}]*\}|\w+)\s*\??:\s*([A-Za-z_]\w*)")
             )
             dependencies = F.when(java & (u["kind"] == "class"), _dependencies(u))
-            outgoing = F.when(function, _outgoing(u["body"]))
+            outgoing = F.when(function, _outgoing(u["own"]))
             meta = F.struct(
                 route.alias("route"), F.when(F.size(dependencies) > 0, dependencies).alias("dependencies"), F.when(F.size(outgoing) > 0, outgoing).alias("outgoing_api_calls"),
                 F.when(react, F.lit(True)).alias("is_react_component"), F.when(react, props).alias("props_interface"),
@@ -262,31 +140,9 @@ def parse_braces(files: DataFrame) -> DataFrame:
                 meta.alias("metadata"), F.lit(None).cast("string").alias("summary"),
             )
 
-        parent_unit = F.get(F.filter("units", lambda o: o["i"] == u["parent_line"]), F.lit(0))
+        parent_unit = F.get(F.filter("units", lambda o: (o["i"] == u["parent_line"]) & (o["name"] == u["parent_name"])), F.lit(0))
         return rx.let(F.struct(parent_unit["annotations"].alias("annotations")), build)
 
-    def site(u: Column) -> Column:
-        caller = names.qualified_name(F.when(u["kind"].isin("method", "constructor"), u["parent_name"]), u["name"])
-
-        def in_line(line: Column, offset: Column) -> Column:
-            number = u["i"] + offset
-            header = number <= u["open_line"]
-            text = F.when(number == u["open_line"], F.regexp_replace(line, r"^[^{]*\{", "")).when(header, "").otherwise(line)
-            matches = F.transform(F.regexp_extract_all(text, F.lit(CALL), F.lit(0)), lambda m: F.regexp_replace(F.regexp_replace(m, r"\s*(<[^(]*>)?\s*\($", ""), r"\s*\??\.\s*", "."))
-
-            def call(m: Column) -> Column:
-                created = m.rlike(r"^new\s")
-                target = F.regexp_replace(m, r"^new\s+", "")
-                callee = F.when(created, F.concat(target, F.when(java, ".<init>").otherwise(".constructor"))).otherwise(target)
-                kind = F.when(created, "constructor").when(F.contains(target, F.lit(".")), "method").otherwise("direct")
-                return F.struct(caller.alias("caller"), callee.alias("callee"), (number + 1).cast("int").alias("line"), kind.alias("call_type"))
-
-            return F.transform(F.filter(matches, lambda m: ~m.isin(*NOT_NAMES)), call)
-
-        inside = F.slice(F.col("code"), u["i"] + 1, u["end"] - u["i"] + 1)
-        no_sites = F.array().cast(f"array<{as_struct(CALL_SITE)}>")
-        return F.when(u["open_line"] <= u["end"], F.flatten(F.transform(inside, in_line))).otherwise(no_sites)
-
     def bases(u: Column) -> Column:
         plain = F.regexp_replace(F.regexp_replace(u["header"], r"<[^<>]*>", ""), r"<[^<>]*>", "")
         lists = [("extends", r"(?s)\bextends\s+(.*?)(?=\bimplements\b|$(?![\s\S]))"), ("implements", r"(?s)\bimplements\s+(.*)$")]
@@ -297,10 +153,9 @@ def parse_braces(files: DataFrame) -> DataFrame:
 
         return F.concat(*[relation(*l) for l in lists])
 
-    callable_units = F.filter("units", lambda u: u["kind"].isin("function", "method", "constructor"))
     types = F.filter("units", lambda u: u["kind"].isin("class", "interface"))
     return detailed.select(
-        *FILE, F.transform("units", chunk).alias("chunks"), F.flatten(F.transform(callable_units, site)).alias("calls"),
+        *FILE, F.transform("units", chunk).alias("chunks"), "calls",
         F.flatten(F.transform(types, bases)).alias("bases"), F.lit(None).cast("string").alias("error"),
     )
 
@@ -311,8 +166,8 @@ STEREOTYPES = r"@(Component|Service|Repository|Controller|RestController|Configu
 def _dependencies(u: Column) -> Column:
     """Injected fields of a class, and the constructor parameters of a stereotyped one."""
     field = r"@(?:Autowired|Inject)\b\s*(?:(?:private|protected|public|final|static)\s+)*([\w.]+(?:<[^;=]*>)?)\s+(\w+)\s*[;=]"
-    fields = F.arrays_zip(*[F.regexp_extract_all(u["body"], F.lit(field), F.lit(g)) for g in (1, 2)])
-    built = F.call_function("regexp_extract", u["body"], F.concat(F.lit(r"(?:public|protected|private|\n)\s+"), u["name"], F.lit(r"\s*\(([^)]*)\)\s*(?:throws[^{]*)?\{")), F.lit(1))
+    fields = F.arrays_zip(*[F.regexp_extract_all(u["own"], F.lit(field), F.lit(g)) for g in (1, 2)])
+    built = F.call_function("regexp_extract", u["own"], F.concat(F.lit(r"(?:public|protected|private|\n)\s+"), u["name"], F.lit(r"\s*\(([^)]*)\)\s*(?:throws[^{]*)?\{")), F.lit(1))
     parameter = r"(?:final\s+)?([\w.]+(?:<[^,)]*>)?)\s+(\w+)\s*(?:,|$)"
     parameters = F.arrays_zip(*[F.regexp_extract_all(F.when(u["annotations"].rlike(STEREOTYPES), built).otherwise(""), F.lit(parameter), F.lit(g)) for g in (1, 2)])
 

@@ -7,6 +7,7 @@ around it (ids, routes into metadata, flattening) is columns.
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -88,15 +89,80 @@ def base_classes(node: ast.ClassDef) -> list[dict]:
     ]
 
 
+QUOTED = re.compile(r"""#.*|(\"{3}|'{3})|"(?:\\.|[^"\\])*"?|'(?:\\.|[^'\\])*'?|[(\[{]|[)\]}]""")
+OPENS = re.compile(r"(?:async\s+def|def|class|import|from)\b|@")
+CONTINUES = re.compile(r"(?:elif|else|except|finally|case)\b|[)\]}#]")
+
+
+def top_blocks(lines: list[str]) -> list[tuple[int, int]]:
+    """(first line, line after the last) of the top-level blocks of a text that may be broken.
+
+    A block starts at a line without indentation, outside of brackets and long strings. What opens a definition starts one
+    inside brackets too, since some bracket before it was never closed; a long string that never ends is taken as opened by
+    mistake. Decorators belong to what follows, ``else`` and its like to what is before.
+    """
+    starts: list[int] = []
+    depth, quote, opened, i = 0, "", 0, 0
+    while i < len(lines):
+        line = lines[i]
+        first = line[:1]
+        if not quote and first and not first.isspace():
+            if depth and OPENS.match(line):
+                depth = 0
+            decorated = bool(starts) and lines[starts[-1]].startswith("@") and all(x[:1] in ("@", "#", "") or x[:1].isspace() for x in lines[starts[-1] : i])
+            if not depth and not CONTINUES.match(line) and not decorated:
+                starts.append(i)
+        at = 0
+        while at < len(line):
+            if quote:
+                end = line.find(quote, at)
+                if end < 0:
+                    break
+                at, quote = end + 3, ""
+                continue
+            found = QUOTED.search(line, at)
+            if not found:
+                break
+            at = found.end()
+            if found.group(1):
+                quote, opened = found.group(1), i
+            elif found.group() in "([{":
+                depth += 1
+            elif found.group() in ")]}":
+                depth = max(depth - 1, 0)
+        i += 1
+        if i == len(lines) and quote:
+            i, quote, depth = opened + 1, "", 0
+            starts = [s for s in starts if s <= opened]
+    return list(zip(starts, [*starts[1:], len(lines)]))
+
+
+def readable_nodes(lines: list[str]) -> list[ast.stmt]:
+    """The statements of all top-level blocks that parse by themselves, at their own lines."""
+    nodes: list[ast.stmt] = []
+    for start, end in top_blocks(lines):
+        try:
+            body = ast.parse("\n".join(lines[start:end])).body
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            continue
+        for node in body:
+            ast.increment_lineno(node, start)
+        nodes += body
+    return nodes
+
+
 def parse(text: str) -> dict:
-    """Units, calls, bases and imports of one text; an unreadable text gives its error."""
+    """Units, calls, bases and imports of one text. A text with a syntax error gives the error, and what its sound blocks hold."""
     result: dict = {"units": [], "calls": [], "bases": [], "imports": [], "error": None}
     try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
+        nodes = ast.parse(text).body
+    except SyntaxError as error:
+        result["error"] = f"SyntaxError: {error}"
+        nodes = readable_nodes(text.split("\n"))
+    except (ValueError, RecursionError, MemoryError) as error:
         return result | {"error": f"{type(error).__name__}: {error}"}
     lines = text.split("\n")
-    for node in tree.body:
+    for node in nodes:
         if isinstance(node, (ast.Import, ast.ImportFrom)):
             result["imports"].append(ast.unparse(node))
         elif isinstance(node, FUNCTIONS):
