@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from codequarry.llm import packets as pk
+from codequarry.llm import caches, packets as pk
 from codequarry.llm.common import buckets_for
 from codequarry.llm.tokens import byte_letters
 from codequarry.session import cut
@@ -31,7 +31,8 @@ from codequarry.session import cut
 CHUNK_BYTES = 4 << 20
 ENCODED = 8192  # units encoded at once, since their ids are Python numbers first
 UNIT = re.compile(r"(?<=\S)(?= )")
-_SIDES: dict[str, Side] = {}
+#: A pickled tokenizer would forget how it treats special strings, so each process loads its own.
+_SIDES: dict[str, Side] = caches.Local()
 
 
 class Side:

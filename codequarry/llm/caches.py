@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+
+class Local(dict):
+    """What one process holds: it does not travel with the functions that use it."""
+
+    def __reduce__(self):
+        return dict, ()
+
+
 _CACHES: dict[str, dict] = {}
 
 
 def cache(owner: str) -> dict:
     """The cache of an operator in this process."""
-    return _CACHES.setdefault(owner, {})
+    return _CACHES.setdefault(owner, Local())
 
 
 def claim(owner: str) -> None:

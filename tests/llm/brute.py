@@ -162,3 +162,79 @@ def katz(docs, order, discounts):
         for h in list(follow[m])[:30]:
             assert abs(sum(p(m, h, w) for w in context(1, ())[0]) + p(m, h, "\0unknown") - 1) < 1e-9
     return out
+
+
+def repeated_words(docs, size):
+    """Sorted rows (doc_id, words, removed, sha256 of the rest, spans); rows with a null id stay whole and remove nothing."""
+    split = [(name, re.findall(r"[^\x20\x09-\x0D]+", text or "")) for name, text in docs]
+    first = {}
+    for name, w in split:
+        for i in range(len(w) - size + 1):
+            if name is not None:
+                k = tuple(w[i : i + size])
+                first[k] = min(first.get(k, name), name)
+    out = []
+    for name, w in split:
+        gone = np.zeros(len(w), dtype=bool)
+        for i in range(len(w) - size + 1):
+            if name is not None and first[tuple(w[i : i + size])] < name:
+                gone[i : i + size] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        out.append((name, len(w), int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest(), kept, list(zip(edges[::2].tolist(), edges[1::2].tolist()))))
+    return sorted(out, key=str)
+
+
+def spellings(docs, least, min_count, ratio, every):
+    """Sorted rows (word, form, root, n, n_near, form_n) by comparing all words with all words."""
+    counts = Counter()
+    for name, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lower(run)
+            h = zlib.crc32(f"{'' if name is None else name}:{run}".encode())
+            if h % every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += len(run) >= least
+    counts = {w: n for w, n in counts.items() if n >= min_count}
+
+    def one_edit(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    near = {w: [x for x in counts if one_edit(w, x)] for w in counts}
+    form = {}
+    for w, n in counts.items():
+        best = min(near[w], key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best and counts[best] >= ratio * n else None
+    out = []
+    for w, n in counts.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n, len(near[w]), counts.get(form[w])))
+    return sorted(out, key=str)
+
+
+def aligned(docs, encode_a, encode_b):
+    """Sorted rows as the alignment returns them; encoders give (id, bytes) pairs of space + text."""
+    links, rows = [], []
+    for name, text in docs:
+        whole = (" " + text).encode() if text else b""
+        a, b = (encode(text) if text else [] for encode in (encode_a, encode_b))
+        if b"".join(x for _, x in a) != whole or b"".join(x for _, x in b) != whole:
+            a, b = [], []
+        ends = [np.cumsum([len(x) for _, x in side]).tolist() for side in (a, b)]
+        own = [(i, j) for i in range(len(a)) for j in range(len(b)) if ends[0][i] - len(a[i][1]) < ends[1][j] and ends[1][j] - len(b[j][1]) < ends[0][i]]
+        groups, start = [], 0
+        for cut in sorted(set(ends[0]) & set(ends[1])):
+            groups.append("|".join(",".join(str(k) for (k, _), e in zip(side, e_side) if start < e <= cut) for side, e_side in zip((a, b), ends)))
+            start = cut
+        links.append([(a[i][0], b[j][0]) for i, j in own])
+        rows.append((name, len(a), len(b), len(groups), len(own), hashlib.sha256(";".join(groups).encode()).hexdigest() if a else ""))
+    counts = Counter(x for own in links for x in own)
+    best = {}
+    for (_, b), n in counts.items():
+        best[b] = max(best.get(b, 0), n)
+    return sorted(((*row[:5], sum(counts[x] == best[x[1]] for x in own), sum(counts[x] for x in own), row[5]) for row, own in zip(rows, links)), key=str)

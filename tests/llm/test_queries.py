@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
-from codequarry.llm import decontamination, exact_dedup, html_text, jaccard_join, katz, line_dedup, packing, quality, queries, suffix_dedup, tokens
+from codequarry.llm import (
+    alignment, decontamination, exact_dedup, html_text, jaccard_join, katz, line_dedup, packing, quality, queries, spelling, substring_dedup, suffix_dedup, tokens,
+)
 
 SF = "/root/testdata/sf0.001"
 supplied = pytest.mark.skipif(not os.path.isdir(SF), reason="supplied tables are not here")
@@ -37,12 +39,15 @@ def test_same_rows_as_sql(spark, engine, name):
 
 
 @supplied
-def test_ten_queries_and_their_columns(spark):
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
-    columns = {n: set(q(spark, SF).columns) for n, (q, _) in queries.QUERIES.items() if n[:4] in ("op1_", "op2_", "op5_", "op7_")}
+def test_queries_and_their_columns(spark):
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
+    columns = {n: set(q(spark, SF).columns) for n, (q, _) in queries.QUERIES.items() if n.split("_")[0] in ("op1", "op2", "op5", "op7", "op11", "op12", "op13")}
     assert columns["op1_token_counts"] == {"doc_id", "n_bytes", "n_tokens", "over_limit"}
     assert columns["op2_katz_backoff"] == {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"}
     assert columns["op5_html_extraction"] == {"page_id", "url", "text", "n_chars"}
+    assert columns["op11_cross_tokenizer_alignment"] == {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"}
+    assert columns["op12_spelling_variants"] == {"word", "form", "root", "n", "n_near", "form_n"}
+    assert columns["op13_substring_dedup"] == {"doc_id", "n_words", "n_removed", "kept_sha256"}
     assert columns["op7_suffix_dedup"] == {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"}
 
 
@@ -57,6 +62,8 @@ OPERATORS = {
     "quality": (lambda d, s: quality.quality_scores(d, s.createDataFrame([(i, i % 2, 0) for i in range(1, 9)], LABELS)), True),
     "jaccard": (lambda d, s: jaccard_join.similar_groups(d), True),
     "packing": (lambda d, s: packing.pack(d), None),
+    "alignment": (lambda d, s: alignment.alignments(d), True),
+    "substrings": (lambda d, s: substring_dedup.without_repeats(d, 10), True),
 }
 CLASHES = "hash body part payload key docs last_id line_no batch keep_id n rep digest short hashes comp length rank salt piece kind flags meta_lang y block __body"
 
@@ -89,6 +96,13 @@ def test_awkward_tables(spark, name):
     assert len(operator(two_nulls, spark).collect()) == (0 if name == "leaks" else 2)
 
 
+def test_awkward_tables_of_words(spark):
+    df, _ = awkward(spark)
+    docs = [(r.doc_id, r.text) for r in df.collect()]
+    assert sorted((tuple(r) for r in spelling.variants(df, least=3).collect()), key=str) == brute.spellings(docs, 3, 2, 10, 31) != []
+    assert spelling.variants(spark.createDataFrame([(None, None), (1, None)], "doc_id long, text string")).collect() == []
+
+
 def test_awkward_pages(spark):
     rows = [(1, "u", None), (None, None, ""), (2, None, "<p>x" * 3000), (2, None, "<p>x" * 3000), (3, "u", "<div>" * 3000 + "deep")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("mine")).withColumn("n_chars", F.lit(1))
