@@ -40,11 +40,13 @@ def climbed(parents: DataFrame, scope: list[str]) -> Climb:
         )
     )
     tops, levels = [], []
-    size, reach = now.count(), 1
-    still = now.where("open")
+    still, reach = now.where("open"), 1
     tops.append(now.where("not open"))
-    while reach < size and not still.isEmpty():
-        levels.append(still.select(*scope, "node", F.col("root").alias("up")))
+    size, before = still.count(), -1
+    # the top of what is open below a root closes in each round; once nothing closes, only rings and what hangs on them are open
+    while size and (size != before or reach < size):
+        if size != before:
+            levels.append(still.select(*scope, "node", F.col("root").alias("up")))
         ahead = union([*tops, still]).select(
             *scope, F.col("node").alias("root"), F.col("root").alias("far"), F.col("steps").alias("more"), F.col("low").alias("lower"), F.col("open").alias("further"),
         )
@@ -55,7 +57,8 @@ def climbed(parents: DataFrame, scope: list[str]) -> Climb:
         )
         tops.append(now.where("not open"))
         still, reach = now.where("open"), reach * 2
-    # whoever has as many ancestors as there are nodes climbs around a ring, and all ring nodes are such ancestors
+        size, before = still.count(), size
+    # ``reach`` steps up from any open node lies a ring node, and every ring node is met; the way there covers the ring
     on_ring = still.select(*scope, F.col("root").alias("node")).distinct()
     rings = still.join(on_ring, [*scope, "node"], "left_semi").select(*scope, "node", "low")
     return Climb(union(tops).select(*scope, "node", "root", "steps"), levels, rings)
@@ -177,12 +180,24 @@ def _coloured(left: DataFrame, scope: list[str]) -> DataFrame:
         here = here.join(colour.select(*scope, F.col("node").alias("t"), F.col("colour").alias("ct")), [*scope, "t"])
         inner = cut(here.where("cs = ct").select(*scope, F.col("cs").alias("colour"), F.col("t").alias("s"), F.col("s").alias("t")))
         owners = colour.where("node = colour").select(*scope, "colour", "node")
-        members = cut(distances(inner, owners, [*scope, "colour"]).select(*scope, "colour", "node"))
+        members = cut(_levels(inner, owners, [*scope, "colour"]))
         done.append(members.select(*scope, "node", "colour"))
         gone = members.select(*scope, "node").distinct()
         left = left.join(gone.withColumnRenamed("node", "s"), [*scope, "s"], "left_anti").join(gone.withColumnRenamed("node", "t"), [*scope, "t"], "left_anti")
 
 
+def _levels(edges: DataFrame, seeds: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, node): what seeds lead to, level by level; as many rounds as the colours took to spread."""
+    frontier = cut(seeds.select(*scope, "node").distinct())
+    seen = [frontier]
+    while True:
+        step = edges.join(frontier.select(*scope, F.col("node").alias("s")), [*scope, "s"]).select(*scope, F.col("t").alias("node")).distinct()
+        frontier = cut(step.join(union(seen), [*scope, "node"], "left_anti"))
+        if frontier.isEmpty():
+            return union(seen)
+        seen = [*seen, frontier] if len(seen) < 8 else [cut(union([*seen, frontier]))]
+
+
 def largest_reaching(edges: DataFrame, scope: list[str]) -> DataFrame:
     """Per node the largest node name that reaches it; only changed nodes send in the next round."""
     key = [*scope, "node"]

@@ -96,10 +96,10 @@ def _braces(spark, sf_dir):
 
 
 def _forms(table: str, key: str, texts: list[str], suffix: str, language: str) -> str:
-    """A view in which each row of a table is one of some source texts; @K@ stands for the row's key."""
-    cases = " ".join(f"WHEN {i} THEN '{t.replace('{', '{{').replace('}', '}}')}'" for i, t in enumerate(texts))
+    """A view in which each row of a table is one of some source texts; @K@ stands for the row's key (@D@ for a dollar, which SQL texts expand)."""
+    cases = " ".join(f"WHEN {i} THEN '{t.replace('$', '@D@').replace('{', '{{').replace('}', '}}')}'" for i, t in enumerate(texts))
     return f"""SELECT concat('f', CAST({key} % 7 AS STRING)) AS repo_name, concat('src/form', CAST({key} AS STRING), '{suffix}') AS file_path,
-      replace(CASE {key} % {len(texts)} {cases} END, '@K@', CAST({key} AS STRING)) AS content, '{language}' AS language FROM {{{table}}}"""
+      replace(replace(CASE {key} % {len(texts)} {cases} END, '@K@', CAST({key} AS STRING)), '@D@', '$') AS content, '{language}' AS language FROM {{{table}}}"""
 
 
 # forms in which line by line reading fails: one line for all, enums and records, long strings, anonymous classes, interfaces with code
