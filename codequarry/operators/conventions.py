@@ -9,7 +9,7 @@ from codequarry.functions import lines as lf, names, regex as rx
 
 
 def pattern_hits(chunks: DataFrame, category: str | None = None, places: bool = False) -> DataFrame:
-    """Per chunk and pattern the number of matches, and on demand the first two places; a narrow projection."""
+    """Per chunk and pattern the number of matches, and on demand all places; a narrow projection."""
     per_pattern = []
     for group, patterns in fixed.CODE_PATTERNS.items():
         if category is not None and group != category:
@@ -20,7 +20,7 @@ def pattern_hits(chunks: DataFrame, category: str | None = None, places: bool =
                 total = total + rx.count(F.col("content"), regex)
             fields = [F.lit(group).alias("category"), F.lit(name).alias("pattern_name"), total.alias("n")]
             if places:
-                fields.append(F.flatten(F.array(*[F.slice(lf.located(F.col("content"), r), 1, 2) for r in regexes])).alias("places"))
+                fields.append(F.flatten(F.array(*[lf.located(F.col("content"), r) for r in regexes])).alias("places"))
             per_pattern.append(F.struct(*fields))
     return chunks.select("id", "repo_name", "file_path", "start_line", F.inline(F.array(*per_pattern))).where("n > 0")
 

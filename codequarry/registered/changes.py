@@ -267,7 +267,7 @@ def data_flow(spark, sf_dir):
 def explore_tokens(spark, sf_dir):
     """Token estimate of exploring each symbol at each level."""
     calls = views.calls(spark, sf_dir)
-    sizes = calls.groupBy(F.col("callee").alias("name")).agg(F.least(F.count("*"), F.lit(10)).alias("callers"))
+    sizes = calls.groupBy(F.col("callee").alias("name")).agg(F.count("*").alias("callers"))
     level = F.explode(F.array(F.lit("summary"), F.lit("preview"), F.lit("full"))).alias("detail")
     return sizes.select("name", "callers", level).select("name", "detail", impact.explore_tokens(F.col("detail"), F.lit(True), F.col("callers"), F.lit(0), F.lit(5)).alias("tokens"))
 
@@ -414,7 +414,7 @@ QUERIES = {
     "risk_levels": (risk_levels, f"WITH {IMPACT_CTE}, s AS (SELECT repo_name, count(*) AS changed_files, coalesce((SELECT count(*) FROM modified m WHERE m.repo_name = c.repo_name), 0) AS modified_symbols, coalesce((SELECT count(*) FROM impacted i WHERE i.repo_name = c.repo_name), 0) AS impacted_callers FROM changed c GROUP BY repo_name), p AS (SELECT *, CASE WHEN changed_files > 10 THEN 3 WHEN changed_files > 5 THEN 2 WHEN changed_files > 2 THEN 1 ELSE 0 END + CASE WHEN modified_symbols > 20 THEN 3 WHEN modified_symbols > 10 THEN 2 WHEN modified_symbols > 5 THEN 1 ELSE 0 END + CASE WHEN impacted_callers > 50 THEN 4 WHEN impacted_callers > 20 THEN 3 WHEN impacted_callers > 10 THEN 2 WHEN impacted_callers > 5 THEN 1 ELSE 0 END AS points FROM s) SELECT repo_name, changed_files, modified_symbols, impacted_callers, CASE WHEN points >= 8 THEN 'high' WHEN points >= 4 THEN 'medium' ELSE 'low' END AS risk_level FROM p"),
     "change_risk": (change_risk, f"WITH {CALLS_CTE}, d AS (SELECT callee, count(*) AS direct FROM calls GROUP BY ALL), t AS (SELECT c.callee, sum(d.direct)::BIGINT AS transitive FROM calls c JOIN d ON d.callee = c.caller GROUP BY ALL), j AS (SELECT d.callee, direct, coalesce(transitive, 0) AS transitive, CASE WHEN d.callee LIKE 'Part%' THEN 'signature' ELSE 'modify' END AS change_type FROM d LEFT JOIN t USING (callee)), r AS (SELECT *, (direct + transitive * 0.5) * CASE change_type WHEN 'signature' THEN 1.5 ELSE 1 END * 1.5 AS i FROM j) SELECT callee, direct, transitive, change_type, CASE WHEN i <= 3 THEN 'low' WHEN i <= 10 THEN 'medium' WHEN i <= 25 THEN 'high' ELSE 'critical' END AS risk_level FROM r"),
     "data_flow": (data_flow, FLOW_SQL),
-    "explore_tokens": (explore_tokens, f"WITH {CALLS_CTE}, s AS (SELECT callee AS name, least(count(*), 10) AS callers FROM calls GROUP BY ALL), l AS (SELECT *, unnest(['summary', 'preview', 'full']) AS detail FROM s) SELECT name, detail, 200 + CASE detail WHEN 'summary' THEN 50 WHEN 'preview' THEN 200 ELSE 500 END + 30 * callers AS tokens FROM l"),
+    "explore_tokens": (explore_tokens, f"WITH {CALLS_CTE}, s AS (SELECT callee AS name, count(*) AS callers FROM calls GROUP BY ALL), l AS (SELECT *, unnest(['summary', 'preview', 'full']) AS detail FROM s) SELECT name, detail, 200 + CASE detail WHEN 'summary' THEN 50 WHEN 'preview' THEN 200 ELSE 500 END + 30 * callers AS tokens FROM l"),
     "token_budget_fit": (token_budget_fit, BUDGET_SQL),
     "grouped_results": (grouped_results, f"WITH {CHUNK_CTE} SELECT file_path AS \"group\", count(*) OVER (PARTITION BY file_path) AS count, id, file_path || ':' || start_line || '-' || end_line AS location FROM chunks"),
     "codeowners_rules": (codeowners_rules, f"WITH {OWNER_CTE} SELECT repo_name, line_number, pattern, owners FROM rules"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codequarry import fixed_values as fixed
 from codequarry.functions import names, vectors
-from codequarry.operators import formatting, search, symbols, vector_index
+from codequarry.operators import formatting, search, symbols, text_index, vector_index
 from codequarry.registered import views
 from codequarry.session import shared_folder
 
@@ -123,8 +123,7 @@ EMBEDDING_TEXT_SQL = """concat_ws(chr(10), purpose,
    CASE WHEN docstring <> '' THEN 'Description: ' || trim(docstring, ' ' || chr(9) || chr(10) || chr(13)) END,
    'Signature: ' || nullif(signature, ''),
    'Keywords: ' || nullif(array_to_string(kw, ' '), ''), 'File: ' || split_part(file_path, '/', -1), 'Language: ' || language,
-   'Code:' || chr(10) || CASE WHEN length(content) > 2000 THEN content[1:1500] || chr(10) || '... (truncated) ...' || chr(10) || content[-400:]
-   ELSE content END)"""
+   'Code:' || chr(10) || content)"""
 
 
 def chunk_texts(spark, sf_dir):
@@ -260,6 +259,52 @@ def symbol_text_search(spark, sf_dir):
     return symbols.text_search(_symbols(spark, sf_dir), 'fetch order OR "the record"', symbol_type="method").select(_COLS)
 
 
+INDEX_QUERY = "fetch AND order OR NEAR(save record, 1) NOT qualified_name:class0*"
+
+
+def _indexed(spark, sf_dir):
+    table = _symbols(spark, sf_dir)
+    return table, text_index.TextIndex.build(table, shared_folder(spark, f"text-index-{uuid.uuid4().hex}"), "chunk_id", ["name", "qualified_name"])
+
+
+def symbol_index_search(spark, sf_dir):
+    """All symbols that match a query with AND, OR, NOT, NEAR and a field, with their scores."""
+    table, index = _indexed(spark, sf_dir)
+    return text_index.indexed_search(table, index, INDEX_QUERY, None).select("chunk_id", "name", _round())
+
+
+def symbol_index_phrases(spark, sf_dir):
+    """The fifty best for a prefix, or a phrase in brackets with a word."""
+    table, index = _indexed(spark, sf_dir)
+    return text_index.indexed_search(table, index, '(("the record" class1) OR hand*)', 50, symbol_type="method").select("chunk_id", "name", _round())
+
+
+def _bm25_sql(leaves: dict[str, str], where: str) -> str:
+    """``leaves``: a name for each phrase and how often it occurs in a token list ``x``."""
+    counts = ", ".join(f"{expr.replace('@x', 'tn')} + {expr.replace('@x', 'tq')} AS {name}" for name, expr in leaves.items())
+    idf = ", ".join(f"greatest(ln((count(*) - count(*) FILTER ({n} > 0) + 0.5) / (count(*) FILTER ({n} > 0) + 0.5)), 1e-6) AS i_{n}" for n in leaves)
+    score = " + ".join(f"i_{n} * {n} * 2.2 / ({n} + 1.2 * (0.25 + 0.75 * size / mean))" for n in leaves)
+    listed = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    return f"""WITH {SYMBOL_CTE}, t AS (SELECT *, {listed('name')} AS tn, {listed('qualified_name')} AS tq FROM symbols),
+f AS (SELECT *, len(tn) + len(tq) AS size, {counts} FROM t), g AS (SELECT avg(size) AS mean, {idf} FROM f)
+SELECT chunk_id, name, round({score}, 6) AS score FROM f, g WHERE {where}"""
+
+
+def _times(word: str) -> str:
+    return f"len(list_filter(@x, lambda x: x = '{word}'))"
+
+
+INDEX_SQL = _bm25_sql(
+    {f"w_{w}": _times(w) for w in ("fetch", "order", "save", "record")},
+    "w_fetch > 0 AND w_order > 0 OR (list_position(tn, 'record') - list_position(tn, 'save') BETWEEN 0 AND 2 OR list_position(tq, 'record') - list_position(tq, 'save') BETWEEN 0 AND 2)"
+    " AND len(list_filter(tq, lambda x: starts_with(x, 'class0'))) = 0",
+)
+PHRASE_SQL = _bm25_sql(
+    {"p": "(contains(' ' || array_to_string(@x, ' ') || ' ', ' the record '))::INT", "c": _times("class1"), "h": "len(list_filter(@x, lambda x: starts_with(x, 'hand')))"},
+    "symbol_type = 'method' AND (p > 0 AND c > 0 OR h > 0) ORDER BY score DESC, chunk_id LIMIT 50",
+)
+
+
 def symbol_children(spark, sf_dir):
     return symbols.children(_symbols(spark, sf_dir), "Class0").select(_COLS)
 
@@ -319,6 +364,8 @@ QUERIES = {
     "chunk_views": (chunk_views, f"WITH {CHUNK_CTE}, v AS (SELECT {SUMMARY_SQL} {PREVIEW_SQL} FROM chunks) SELECT * REPLACE (sha256(preview) AS preview) FROM v"),
     "symbol_lookup_exact": (symbol_lookup_exact, f"WITH {SYMBOL_CTE} SELECT {SYMBOL_COLUMNS} FROM symbols WHERE name = 'main' OR qualified_name = 'main'"),
     "symbol_prefix_search": (symbol_prefix_search, f"WITH {SYMBOL_CTE}, t AS (SELECT *, {TOKENS_SQL} AS tk FROM symbols) SELECT {SYMBOL_COLUMNS}, len(tk) AS token_count FROM t WHERE len(list_filter(tk, lambda x: starts_with(x, 'fetch'))) > 0 ORDER BY list_contains(tk, 'fetch') DESC, len(tk), qualified_name, repo_name, file_path, start_line LIMIT 50"),
+    "symbol_index_search": (symbol_index_search, INDEX_SQL),
+    "symbol_index_phrases": (symbol_index_phrases, PHRASE_SQL),
     "symbol_text_search": (symbol_text_search, f"WITH {SYMBOL_CTE}, t AS (SELECT *, {TOKENS_SQL} AS tk FROM symbols) SELECT {SYMBOL_COLUMNS} FROM t WHERE symbol_type = 'method' AND ((list_contains(tk, 'fetch') AND list_contains(tk, 'order')) OR contains(' ' || array_to_string(tk, ' ') || ' ', ' the record ')) ORDER BY len(tk), qualified_name, repo_name, file_path, start_line LIMIT 50"),
     "symbol_children": (symbol_children, f"WITH {SYMBOL_CTE} SELECT {SYMBOL_COLUMNS} FROM symbols WHERE parent_name = 'Class0'"),
     "symbol_by_type": (symbol_by_type, f"WITH {SYMBOL_CTE} SELECT {SYMBOL_COLUMNS} FROM symbols WHERE symbol_type = 'interface' ORDER BY name, repo_name, file_path, start_line LIMIT 100"),

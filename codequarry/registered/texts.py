@@ -191,14 +191,13 @@ def pattern_examples(spark, sf_dir):
 
 
 def _examples_sql() -> str:
-    """First two matches per chunk and expression, then the first three per pattern."""
+    """All matches, then the first three per pattern."""
     parts = [
         f"SELECT '{name}' AS pattern_name, '{_q(r)}' AS r, id, repo_name, file_path, start_line, i, unnest(regexp_extract_all(line, '{_q(r)}')) AS m FROM ln"
         for name, regexes in fixed.CODE_PATTERNS["testing"].items() for r in regexes
     ]
     return f"""WITH {FOLDED_CTE}, ln AS (SELECT id, repo_name, file_path, start_line, i, list_extract(ls, i) AS line FROM (SELECT *, string_split(f, chr(10)) AS ls FROM folded), unnest(range(1, len(ls) + 1)) AS u(i)),
-m AS ({' UNION ALL '.join(parts)}), k AS (SELECT *, row_number() OVER (PARTITION BY r, pattern_name, id ORDER BY i) AS k FROM m),
-r AS (SELECT 'testing' AS category, pattern_name, repo_name, file_path, (start_line + i - 1)::INT AS line_number, m[1:100] AS code_snippet FROM k WHERE k <= 2),
+m AS ({' UNION ALL '.join(parts)}), r AS (SELECT 'testing' AS category, pattern_name, repo_name, file_path, (start_line + i - 1)::INT AS line_number, m[1:100] AS code_snippet FROM m),
 x AS (SELECT *, row_number() OVER (PARTITION BY pattern_name ORDER BY repo_name, file_path, line_number, code_snippet)::INT AS rank FROM r) SELECT * FROM x WHERE rank <= 3"""
 
 

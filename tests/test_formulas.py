@@ -11,6 +11,17 @@ def value(spark, column):
     return spark.range(1).select(column.alias("v")).first()["v"]
 
 
+def test_long_texts_are_embedded_window_by_window():
+    from codequarry.functions import embedding
+
+    for n in (0, 1, 1999, 2000, 2001, 3800, 3801, 9000):
+        text = "".join(chr(97 + i % 26) for i in range(n))
+        parts = embedding.windows(text)
+        assert parts[0] + "".join(p[embedding.SHARED :] for p in parts[1:]) == text and all(len(p) <= embedding.WINDOW for p in parts)
+    found = embedding.encoded(["a" * 10, "a" * 2000 + "b" * 1800, ""], lambda parts: [[p.count("a"), p.count("b")] for p in parts])
+    assert found[0] == [1.0, 0.0] and found[1][1] > 0.5 and found[2] == [0.0, 0.0] and embedding.encoded([], list) == []
+
+
 @pytest.mark.parametrize(
     ("name", "expected"),
     [("validate_user_input", ["validate", "user", "input"]), ("validateUserInput", ["validate", "user", "input"]), ("UserAuthenticationService", ["user", "authentication", "service"]),
@@ -20,10 +31,11 @@ def test_keywords(spark, name, expected):
     assert value(spark, names.keywords(F.lit(name))) == expected
 
 
-def test_embedding_text_is_cut_in_the_middle(spark):
+def test_embedding_text_is_whole_unless_a_cut_is_asked_for(spark):
     code = "x = 1\n" * 1000
     args = [F.lit(v) for v in ("method", "run", "Job", " Doc. ", None, None, "a/b.py", "python", code)]
-    text = value(spark, names.embedding_text(*args))
+    assert value(spark, names.embedding_text(*args)).endswith("Code:\n" + code)
+    text = value(spark, names.embedding_text(*args, cut=True))
     assert text.startswith("Method for run in Job\nDescription: Doc.\nKeywords: run\nFile: b.py\nLanguage: python\nCode:\n")
     assert text.endswith("\n... (truncated) ...\n" + code[-400:]) and code[:1500] in text
 
