@@ -118,3 +118,40 @@ def test_methods(chunks: DataFrame, symbol: str, repo: str | None = None) -> Dat
             F.when(F.col("first.reason_no") == 1, "method_name_pattern").otherwise("content_reference").alias("match_reason"),
         )
     )
+
+
+IDENTIFIER = r"[A-Za-z_$][A-Za-z0-9_$]*"
+
+
+def affected_tests(chunks: DataFrame, modified: DataFrame, per_symbol: int | None = None) -> DataFrame:
+    """Tests of many modified symbols (columns repo_name, name) in one join: repo_name, tests_symbol, file_path, name,
+    qualified_name, line, match_reason; ``per_symbol`` keeps the first ones of each symbol only.
+
+    A test is found by its name (``test``, ``should`` or ``it``, then somewhere the words of the symbol, however they are
+    joined), or by an identifier of its code that equals the symbol, letter case aside. Both are keys: no text meets more
+    than the symbols it names.
+    """
+    tests = chunks.where(looks_like_test(F.col("file_path")) & F.col("chunk_type").isin("function", "method"))
+    words = F.filter(F.split(names.snake_case(F.col("name")), "[_-]+"), lambda w: w != "")
+    n = F.size("words")
+    runs = F.flatten(F.transform(F.sequence(F.lit(2), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.array_join(F.slice("words", i, j - i + 1), ""))))
+    by_name = F.when((n >= 2) & F.get("words", F.lit(0)).isin("test", "should", "it"), runs).otherwise(F.array().cast("array<string>"))
+    is_test = rx.any_prefix(F.lower("name"), ["test", "it_", "should_"]) | F.coalesce(F.contains(F.lower("parent_name"), F.lit("test")), F.lit(False))
+    used = F.when(is_test, F.transform(F.regexp_extract_all("content", F.lit(f"({IDENTIFIER})")), F.lower)).otherwise(F.array().cast("array<string>"))
+    keys = F.array_distinct(F.concat(F.transform(by_name, lambda k: F.struct(F.lit(1).alias("reason_no"), k.alias("key"))), F.transform(used, lambda k: F.struct(F.lit(2).alias("reason_no"), k.alias("key")))))
+    posted = tests.withColumn("words", words).select(
+        "repo_name", "file_path", "name", F.col("start_line").alias("line"), names.qualified_name(F.col("parent_name"), F.col("name")).alias("qualified_name"), F.inline(keys),
+    )
+    symbol = modified.select("repo_name", F.col("name").alias("tests_symbol")).where("tests_symbol <> ''").distinct()
+    joined = F.array(
+        F.struct(F.lit(1).alias("reason_no"), F.replace(names.snake_case(F.col("tests_symbol")), F.lit("_"), F.lit("")).alias("key")),
+        F.struct(F.lit(2).alias("reason_no"), F.lower("tests_symbol").alias("key")),
+    )
+    found = posted.join(symbol.select("repo_name", "tests_symbol", F.inline(joined)), ["repo_name", "reason_no", "key"])
+    # tests of one name in one file count once, by the strongest reason
+    best = found.groupBy("repo_name", "tests_symbol", "file_path", "name").agg(F.min(F.struct("reason_no", "line", "qualified_name")).alias("first"))
+    reason = F.when(F.col("first.reason_no") == 1, "method_name_pattern").otherwise("content_reference")
+    if per_symbol is not None:
+        order = Window.partitionBy("repo_name", "tests_symbol").orderBy("first.reason_no", "file_path", "first.line", "name")
+        best = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_symbol)
+    return best.select("repo_name", "tests_symbol", "file_path", "name", "first.qualified_name", "first.line", reason.alias("match_reason"))

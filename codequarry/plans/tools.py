@@ -212,11 +212,9 @@ def diff_impact(index: Index, changed: DataFrame, include_tests: bool = True) ->
         "impacted_callers": _rows(impacted.orderBy("repo_name", "caller", "caller_line").limit(50)),
     }
     if include_tests:
-        tests: list[dict] = []
-        for row in modified.select("repo_name", "name").distinct().orderBy("repo_name", "name").limit(20).collect():
-            hits = usages.test_methods(index.chunks, row["name"], row["repo_name"]).orderBy("file_path", "line").limit(5)
-            tests += [{**t, "tests_symbol": row["name"]} for t in _rows(hits)]
-        result["affected_tests"] = tests[:20]
+        tests = cut(usages.affected_tests(index.chunks, modified))
+        result["total_affected_tests"] = _count(tests)
+        result["affected_tests"] = _rows(tests.orderBy("repo_name", "tests_symbol", "match_reason", "file_path", "line", "name").limit(20))
     return result
 
 
@@ -306,7 +304,7 @@ def prepare_change(index: Index, symbol_name: str, repo_filter: str | None = Non
         "symbol": symbol_name, "change_type": change_type, "direct_dependents": direct, "transitive_dependents": transitive, "affected_tests": affected_tests,
         "affected_files": [{**f, "reason": f"calls {symbol_name}"} for f in first_files], "breaking_risks": risks, "recommended_review": list(dict.fromkeys(review))[:10],
         "impact_summary": {
-            "total_affected_symbols": direct + transitive, "total_affected_files": files.distinct().count(), "total_affected_tests": len(affected_tests), "risk_level": level,
+            "total_affected_symbols": direct + transitive, "total_affected_files": files.distinct().count(), "total_affected_tests": tests["test_methods_count"], "risk_level": level,
         },
     }
 

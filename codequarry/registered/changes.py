@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codequarry import fixed_values as fixed
 from codequarry.functions import names, routes as rf
-from codequarry.operators import counts, formatting, graph, impact, ownership, routes, search, snapshots, symbols
+from codequarry.operators import counts, formatting, graph, impact, ownership, routes, search, snapshots, symbols, usages
 from codequarry.registered import views
 
 ROUTES_CTE = f"raw AS ({views.cte(views.ROUTES)})"
@@ -231,6 +231,24 @@ def diff_impact(spark, sf_dir):
     return impact.impacted_callers(calls, impact.modified_symbols(syms, changed))
 
 
+def affected_tests(spark, sf_dir):
+    """Tests of all symbols that a large change touches: named orders and the first word of every second text."""
+    chunks = views.chunks(spark, sf_dir, heavy=True)
+    symbol = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("fetchOrder"), F.col("doc_id") + 1)).otherwise(F.regexp_extract("text", "[A-Za-z]+", 0))
+    modified = views.read(spark, sf_dir, "documents").select(F.col("source").alias("repo_name"), symbol.alias("name"))
+    return usages.affected_tests(chunks, modified).drop("qualified_name")
+
+
+AFFECTED_SQL = f"""WITH chunks AS ({views.cte(views.CHUNKS)}),
+m AS (SELECT DISTINCT source AS repo_name, CASE WHEN doc_id % 2 = 0 THEN 'fetchOrder' || (doc_id + 1) ELSE regexp_extract(text, '[A-Za-z]+') END AS sym FROM documents),
+t AS (SELECT *, regexp_extract(name, '[0-9]+$') AS k, list_distinct(list_transform(regexp_extract_all(content, '[A-Za-z_$][A-Za-z0-9_$]*'), lambda x: lower(x))) AS ids FROM chunks
+ WHERE chunk_type IN ('function', 'method') AND contains(lower(file_path), 'test_') AND starts_with(name, 'test_')),
+h AS (SELECT repo_name, sym AS tests_symbol, file_path, name, start_line AS line, CASE WHEN list_contains(['fetch', 'fetchorder', 'fetchorder' || k, 'order', 'order' || k, k], lower(sym)) THEN 1 WHEN list_contains(ids, lower(sym)) THEN 2 END AS r
+ FROM t JOIN m USING (repo_name) WHERE sym <> ''),
+f AS (SELECT repo_name, tests_symbol, file_path, name, min((r, line)) AS f FROM h WHERE r IS NOT NULL GROUP BY ALL)
+SELECT repo_name, tests_symbol, file_path, name, f[2] AS line, CASE f[1] WHEN 1 THEN 'method_name_pattern' ELSE 'content_reference' END AS match_reason FROM f"""
+
+
 def risk_levels(spark, sf_dir):
     calls, syms, changed = _changed(spark, sf_dir)
     modified = impact.modified_symbols(syms, changed)
@@ -410,6 +428,7 @@ QUERIES = {
     "snapshot_diff": (snapshot_diff, f"WITH {SNAP_CTE} SELECT * FROM diff WHERE change IS NOT NULL"),
     "chunk_upsert_last_wins": (chunk_upsert_last_wins, "WITH b AS (SELECT doc_id AS id, 0 AS side, n_chars AS size, sha256(text) AS hash FROM documents UNION ALL SELECT conv_id, 1, length(text), sha256(text) FROM conversations) SELECT id, max((side, size, hash))[2] AS size, max((side, size, hash))[3] AS hash FROM b GROUP BY id"),
     "files_of_chunks": (files_of_chunks, f"WITH {CHUNK_CTE} SELECT repo_name, file_path, string_agg(id, ',' ORDER BY id) AS chunk_ids FROM chunks GROUP BY ALL"),
+    "affected_tests": (affected_tests, AFFECTED_SQL),
     "diff_impact": (diff_impact, f"WITH {IMPACT_CTE} SELECT * FROM impacted"),
     "risk_levels": (risk_levels, f"WITH {IMPACT_CTE}, s AS (SELECT repo_name, count(*) AS changed_files, coalesce((SELECT count(*) FROM modified m WHERE m.repo_name = c.repo_name), 0) AS modified_symbols, coalesce((SELECT count(*) FROM impacted i WHERE i.repo_name = c.repo_name), 0) AS impacted_callers FROM changed c GROUP BY repo_name), p AS (SELECT *, CASE WHEN changed_files > 10 THEN 3 WHEN changed_files > 5 THEN 2 WHEN changed_files > 2 THEN 1 ELSE 0 END + CASE WHEN modified_symbols > 20 THEN 3 WHEN modified_symbols > 10 THEN 2 WHEN modified_symbols > 5 THEN 1 ELSE 0 END + CASE WHEN impacted_callers > 50 THEN 4 WHEN impacted_callers > 20 THEN 3 WHEN impacted_callers > 10 THEN 2 WHEN impacted_callers > 5 THEN 1 ELSE 0 END AS points FROM s) SELECT repo_name, changed_files, modified_symbols, impacted_callers, CASE WHEN points >= 8 THEN 'high' WHEN points >= 4 THEN 'medium' ELSE 'low' END AS risk_level FROM p"),
     "change_risk": (change_risk, f"WITH {CALLS_CTE}, d AS (SELECT callee, count(*) AS direct FROM calls GROUP BY ALL), t AS (SELECT c.callee, sum(d.direct)::BIGINT AS transitive FROM calls c JOIN d ON d.callee = c.caller GROUP BY ALL), j AS (SELECT d.callee, direct, coalesce(transitive, 0) AS transitive, CASE WHEN d.callee LIKE 'Part%' THEN 'signature' ELSE 'modify' END AS change_type FROM d LEFT JOIN t USING (callee)), r AS (SELECT *, (direct + transitive * 0.5) * CASE change_type WHEN 'signature' THEN 1.5 ELSE 1 END * 1.5 AS i FROM j) SELECT callee, direct, transitive, change_type, CASE WHEN i <= 3 THEN 'low' WHEN i <= 10 THEN 'medium' WHEN i <= 25 THEN 'high' ELSE 'critical' END AS risk_level FROM r"),
