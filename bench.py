@@ -16,7 +16,7 @@ from codequarry.registered import catalog  # noqa: E402
 HEADLINES = [
     "vector_topk", "hybrid_search", "keyword_boost", "callees_bfs_depth3", "reachable_from_entries", "cycles_scc", "secret_scan", "line_metrics", "cyclomatic",
     "cognitive", "halstead", "route_normalize", "route_match_score", "snapshot_diff", "calls_first_wins", "pattern_share", "library_usage", "find_usages",
-    "codeowners_last_match", "diff_impact", "chunk_texts",
+    "codeowners_last_match", "diff_impact", "chunk_texts", "parse_python_chunks", "parse_brace_chunks", "implementations_transitive", "golden_files", "affected_tests",
 ]
 
 

@@ -47,7 +47,7 @@ def index(store):
 
 
 def test_tables_after_full_index(store):
-    assert store.read("chunks").where("repo_name = 'shop'").count() == 18
+    assert store.read("chunks").where("repo_name = 'shop'").count() == 19
     assert store.read("chunks").where("file_path like '%skip%'").isEmpty()
     assert store.read("embeddings").count() == store.read("chunks").count()
     paths = {r["file_path"] for r in store.read("manifest").where("repo_name = 'shop'").collect()}

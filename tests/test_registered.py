@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 QUICK = [
     "vector_topk_per_label", "hybrid_search", "keyword_boost", "chunk_texts", "symbol_prefix_search", "callees_bfs_depth3", "dead_code", "cycles_scc", "di_resolved_callees",
     "line_metrics", "halstead", "secret_scan", "pattern_share", "find_usages", "golden_files", "route_normalize", "route_match_score", "spec_coverage_full_outer", "snapshot_diff",
-    "chunk_upsert_last_wins", "codeowners_last_match", "reviewers_topk", "parse_python_chunks", "parse_brace_chunks", "diagram_sequence",
+    "chunk_upsert_last_wins", "codeowners_last_match", "reviewers_topk", "parse_python_chunks", "parse_brace_chunks", "diagram_sequence", "vector_index_many",
+    "vector_index_recall", "symbol_index_search", "symbol_index_phrases", "parse_forms_chunks", "parse_forms_calls", "parse_partial", "affected_tests",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="supplied tables are not here")
 
