@@ -183,8 +183,8 @@ def hybrid_search_filtered(spark, sf_dir):
 
 
 def _hybrid_sql(where: str | None, n: int, fetch: int, columns: str) -> str:
-    """Best vectors first (of the filtered chunks, if there is a filter); hits without a chunk drop out afterwards."""
-    allowed = f"WHERE e.id IN (SELECT id FROM chunks WHERE {where})" if where else ""
+    """Best vectors first, of chunks that are there and pass the filter: what has no chunk takes no place."""
+    allowed = f"WHERE e.id IN (SELECT id FROM chunks WHERE {where or 'true'})"
     return f"""
 WITH {CHUNK_CTE}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
 e AS (SELECT 'd' || vec_id::VARCHAR AS id, greatest(0, 1 - (1 - list_cosine_similarity(embedding::DOUBLE[], v)) / 2) AS sim FROM embeddings, q),
