@@ -200,7 +200,6 @@ SECRET_SKIP_DIRECTORIES = [
     "node_modules", ".git", "__pycache__", ".venv", "venv", "dist", "build", "target", ".idea", ".vscode",
 ]
 SECRET_MAX_BYTES = 1_000_000
-SECRET_MAX_FILES = 5000
 
 # ---- conventions: category -> pattern name -> regular expressions -------------------
 CODE_PATTERNS = {

@@ -41,10 +41,11 @@ def by_severity(findings: DataFrame) -> DataFrame:
     return levels.join(counted, "severity", "left").select("severity", "severity_rank", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-def scannable(files: DataFrame, root_relative: str = "file_path", size: str = "length", hidden_files: bool = True) -> DataFrame:
-    """Files worth scanning: no skipped or hidden directory, no binary suffix, no lock file, at most 1 MB.
+def scannable(files: DataFrame, root_relative: str = "file_path", size: str = "length", hidden_files: bool = True, max_bytes: int | None = None) -> DataFrame:
+    """Files worth scanning: no skipped or hidden directory, no binary suffix, no lock file, of any size.
 
-    ``hidden_files`` keeps files such as ``.env``; without it they are skipped like hidden directories.
+    ``hidden_files`` keeps files such as ``.env``; without it they are skipped like hidden directories. ``max_bytes``
+    leaves out larger files, as ``fixed_values.SECRET_MAX_BYTES`` does in the published tool.
     """
     path = F.col(root_relative)
     parts = F.split(path, "/")
@@ -52,7 +53,7 @@ def scannable(files: DataFrame, root_relative: str = "file_path", size: str = "l
     checked = directories if hidden_files else parts
     skipped = F.exists(checked, lambda p: p.isin(*fixed.SECRET_SKIP_DIRECTORIES) | F.startswith(p, F.lit(".")))
     return files.where(
-        (F.col(size) <= fixed.SECRET_MAX_BYTES)
+        (F.lit(True) if max_bytes is None else F.col(size) <= max_bytes)
         & ~skipped
         & ~rx.any_suffix(F.lower(path), fixed.SECRET_SKIP_EXTENSIONS)
         & ~names.file_name(path).isin(*fixed.SECRET_SKIP_FILES)

@@ -237,8 +237,16 @@ def test_prefilter_never_hides_a_rule(spark):
 
 def test_scannable_files(spark):
     df = spark.createDataFrame([("a.py", 10), ("b.png", 10), ("x/yarn.lock", 10), (".git/c", 10), (".env", 10), ("d.py", 2_000_000)], "file_path string, length long")
-    assert sorted(r["file_path"] for r in security.scannable(df).collect()) == [".env", "a.py"]
-    assert [r["file_path"] for r in security.scannable(df, hidden_files=False).collect()] == ["a.py"]
+    assert sorted(r["file_path"] for r in security.scannable(df).collect()) == [".env", "a.py", "d.py"]
+    assert sorted(r["file_path"] for r in security.scannable(df, max_bytes=1_000_000).collect()) == [".env", "a.py"]
+    assert sorted(r["file_path"] for r in security.scannable(df, hidden_files=False).collect()) == ["a.py", "d.py"]
+
+
+def test_secrets_of_large_files_are_found_at_their_lines(spark):
+    key = "AKIA" + "QWERTYUIOPASDFGH"
+    text = "x = 1\n" * 200_000 + f"aws_access_key_id = '{key}'\n" + "y = 2\n" * 60_000
+    found = security.scan(spark.createDataFrame([("big.py", len(text), text)], "file_path string, length long, content string"), "content", ["file_path"]).collect()
+    assert {r["line_number"] for r in found} == {200_001} and len(text) > 1_500_000
 
 
 def test_risk_levels(spark):
