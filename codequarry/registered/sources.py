@@ -88,11 +88,11 @@ FROM {supplier}
 
 
 def _python(spark, sf_dir):
-    return views.view(spark, sf_dir, PYTHON)
+    return views.sources(spark, sf_dir, PYTHON)
 
 
 def _braces(spark, sf_dir):
-    return views.view(spark, sf_dir, JAVA).unionByName(views.view(spark, sf_dir, TYPESCRIPT))
+    return views.sources(spark, sf_dir, JAVA).unionByName(views.sources(spark, sf_dir, TYPESCRIPT))
 
 
 def _forms(table: str, key: str, texts: list[str], suffix: str, language: str) -> str:
@@ -175,8 +175,8 @@ TYPESCRIPT_SITES = [
 
 
 def _form_files(spark, sf_dir):
-    java = views.view(spark, sf_dir, _forms("part", "p_partkey", JAVA_FORMS, ".java", "java"))
-    return java.unionByName(views.view(spark, sf_dir, _forms("customer", "c_custkey", TYPESCRIPT_FORMS, ".ts", "typescript")))
+    java = views.sources(spark, sf_dir, _forms("part", "p_partkey", JAVA_FORMS, ".java", "java"))
+    return java.unionByName(views.sources(spark, sf_dir, _forms("customer", "c_custkey", TYPESCRIPT_FORMS, ".ts", "typescript")))
 
 
 def parse_forms_chunks(spark, sf_dir):
@@ -239,7 +239,7 @@ PARTIAL_UNITS = [[
 
 def parse_partial(spark, sf_dir):
     """What the sound blocks of broken Python files hold; the files keep their error."""
-    parsed = python_code.parse_python(views.view(spark, sf_dir, _forms("supplier", "s_suppkey", BROKEN_PYTHON, ".py", "python")))
+    parsed = python_code.parse_python(views.sources(spark, sf_dir, _forms("supplier", "s_suppkey", BROKEN_PYTHON, ".py", "python")))
     chunks = parsed.select(F.inline("chunks"), F.col("error").isNotNull().alias("broken"))
     return chunks.select("repo_name", "file_path", "chunk_type", "name", "parent_name", "start_line", "end_line", F.array_join("imports", ";").alias("imports"), "broken")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.functions.partitions import widened
+from codequarry.functions.partitions import dealt, widened
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -164,6 +164,11 @@ def view(spark: SparkSession, sf_dir: str, text: str, heavy: bool = False) -> Da
     return spark.sql(text.replace("{array}", "array"), **used)
 
 
+def sources(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """Source texts written from narrow tables: their rows are dealt out before the texts exist, since each is parsed."""
+    return spark.sql(text.replace("{array}", "array"), **{t: dealt(read(spark, sf_dir, t)) for t in TABLES if "{" + t + "}" in text})
+
+
 def cte(text: str) -> str:
     """The view text for the checking engine."""
     for table in TABLES:

@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
-from codequarry.sources import parsing
+from codequarry.registered import sources
+from codequarry.sources import parsing, python_code
 from tests.samples import JAVA, PY, TS
 
 
@@ -93,3 +95,19 @@ def test_errors_are_rows(tables):
     assert files["empty.py"] == (None, 0) and files["comment.py"] == (None, 0) and files["empty.js"] == (None, 0)
     row = parsing.counters(tables.files).first()
     assert (row["processed"], row["skipped"]) == (8, 2)
+
+
+@pytest.mark.parametrize("files", [sources._python, sources._braces, sources._form_files])
+def test_texts_of_one_row_group_are_parsed_by_all_tasks(spark, files):
+    shares = [r["count"] for r in files(spark, "/root/testdata/sf0.01").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) >= spark.sparkContext.defaultParallelism
+    assert max(shares) <= 2 * sum(shares) / spark.sparkContext.defaultParallelism
+
+
+def test_blocks_of_prose_are_not_read_as_code(monkeypatch):
+    read = []
+    real = python_code.ast.parse
+    monkeypatch.setattr(python_code.ast, "parse", lambda text: read.append(text) or real(text))
+    found = python_code.parse("1 + = first line\nsecond line\nclassy defect\nx = 1; import os\ndef f():\n    return g()\n")
+    assert found["error"] and found["imports"] == ["import os"] and [u["name"] for u in found["units"]] == ["f"]
+    assert len(read) == 3  # the whole text and the two blocks that declare something
