@@ -23,6 +23,10 @@ from codequarry.session import cut
 SAMPLE = 32_768
 #: Vectors of one list that one task scores; a longer list is dealt out to several tasks.
 ROWS_PER_TASK = 65_536
+#: Queries of one block of a full scan; a task meets one block with one share of the vectors.
+QUERIES_PER_TASK = 16_384
+#: Scores that are held at once, whatever the numbers of queries, vectors and lists.
+SCORES = 1 << 21
 #: Lists without a centroid: vectors that have no direction (null, empty, all zeros, another dimension).
 NOWHERE = -1
 ROUNDING = 1e-6
@@ -43,6 +47,37 @@ def unit_rows(column: pa.Array, dimension: int | None = None) -> tuple[np.ndarra
     return out / np.where(usable, norms, 1.0)[:, None], usable
 
 
+def tiles(rows: int, width: int) -> Iterator[slice]:
+    """Slices of ``rows`` whose scores against ``width`` others are few enough to hold."""
+    step = max(1, SCORES // max(width, 1))
+    return (slice(at, at + step) for at in range(0, rows, step))
+
+
+def nearest_centroids(rows: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the nearest centroid, cosine to it) of each unit row."""
+    own, best = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+    for part in tiles(len(rows), len(centroids)):
+        cosines = rows[part] @ centroids.T
+        own[part] = np.argmax(cosines, axis=1)
+        best[part] = cosines[np.arange(len(cosines)), own[part]]
+    return own, best
+
+
+def best_of(queries: np.ndarray, rows: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the best ``k`` unit rows for each unit query; equal scores go by ``order``."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for part in tiles(len(queries), len(rows)):
+        scores = np.maximum(0.0, 1.0 - (1.0 - queries[part] @ rows.T) / 2.0)
+        floor = np.partition(scores, -k, axis=1)[:, -k] if k < len(rows) else np.zeros(len(scores))
+        at, row = np.nonzero(scores >= floor[:, None])
+        value = scores[at, row]
+        sorted_ = np.lexsort((order[row], -value, at))
+        at, row, value = at[sorted_], row[sorted_], value[sorted_]
+        top = np.arange(len(at)) - np.searchsorted(at, at) < k
+        found.append((at[top] + part.start, row[top], value[top]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means; starts are spread out: each next one is the sample row farthest from all before it."""
     chosen = [0]
@@ -55,7 +90,7 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 12) -> np.ndarra
         nearest = np.maximum(nearest, sample @ sample[far])
     centroids = sample[chosen]
     for _ in range(rounds):
-        own = np.argmax(sample @ centroids.T, axis=1)
+        own, _ = nearest_centroids(sample, centroids)
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, sample)
         norms = np.sqrt(np.einsum("ij,ij->i", sums, sums))
@@ -135,9 +170,7 @@ class VectorIndex:
             if not len(centroids):
                 usable[:] = False
                 return pa.StructArray.from_arrays([pa.array(np.full(len(rows), NOWHERE, np.int32)), pa.array(np.zeros(len(rows)))], ["list", "cosine"])
-            cosines = rows @ centroids.T
-            own = np.argmax(cosines, axis=1)
-            best = cosines[np.arange(len(rows)), own]
+            own, best = nearest_centroids(rows, centroids)
             return pa.StructArray.from_arrays([pa.array(np.where(usable, own, NOWHERE).astype(np.int32)), pa.array(best)], ["list", "cosine"])
 
         return embeddings.withColumn("placed", place("embedding")).select(*embeddings.columns, "placed.list", "placed.cosine")
@@ -176,10 +209,10 @@ class VectorIndex:
             first = first.unionByName(self._met(self._routed(rest, probes, beyond=True), k))
         return ranked(first, self.key, k)
 
-    def probes_for(self, embeddings: DataFrame, queries: DataFrame, k: int = 10, wanted: float = 0.9) -> int:
+    def probes_for(self, embeddings: DataFrame, queries: DataFrame, k: int = 10, wanted: float = 0.9, truth: DataFrame | None = None) -> int:
         """The fewest lists (1, 2, 4, ...) with which ``nearest_many`` finds the share ``wanted`` of what a full scan of the
-        indexed rows finds for some sample queries."""
-        truth = cut(exact_many(embeddings, queries, k, self.key))
+        indexed rows finds for some sample queries; ``truth`` is that scan's result, if it is there already."""
+        truth = cut(exact_many(embeddings, queries, k, self.key)) if truth is None else truth
         probes = 1
         while probes < len(self.centroids):
             share = recall(self.nearest_many(queries, k, probes), truth, self.key).first()["recall"]
@@ -193,19 +226,21 @@ class VectorIndex:
         centroids, sizes, reach = self.centroids, self.sizes, self.reach
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows, usable = unit_rows(batch.column("embedding"), centroids.shape[1])
-                order = np.argsort(-np.where(sizes > 0, rows @ centroids.T, -2.0), axis=1, kind="stable")
-                wanted = np.zeros(order.shape, dtype=bool)
-                np.put_along_axis(wanted, order[:, :probes], True, axis=1)
-                if beyond:
-                    floor = batch.column("floor").to_numpy()
-                    wanted = ~wanted & (highest_cosines(rows, centroids, reach, sizes) >= floor[:, None] - ROUNDING)
-                wanted &= usable[:, None] & (sizes > 0)
-                at, own = np.nonzero(wanted)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("query").take(pa.array(at)), batch.column("embedding").take(pa.array(at)), pa.array(own.astype(np.int32))], ["query", "embedding", "list"],
-                )
+            for whole in batches:
+                for part in tiles(whole.num_rows, len(centroids)):
+                    batch = whole.slice(part.start, part.stop - part.start)
+                    rows, usable = unit_rows(batch.column("embedding"), centroids.shape[1])
+                    order = np.argsort(-np.where(sizes > 0, rows @ centroids.T, -2.0), axis=1, kind="stable")
+                    wanted = np.zeros(order.shape, dtype=bool)
+                    np.put_along_axis(wanted, order[:, :probes], True, axis=1)
+                    if beyond:
+                        floor = batch.column("floor").to_numpy()
+                        wanted = ~wanted & (highest_cosines(rows, centroids, reach, sizes) >= floor[:, None] - ROUNDING)
+                    wanted &= usable[:, None] & (sizes > 0)
+                    at, own = np.nonzero(wanted)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("query").take(pa.array(at)), batch.column("embedding").take(pa.array(at)), pa.array(own.astype(np.int32))], ["query", "embedding", "list"],
+                    )
 
         if not len(centroids):
             return queries.where("false").select("query", "embedding", F.lit(0).alias("list"))
@@ -218,29 +253,26 @@ class VectorIndex:
         shares = np.maximum(1, -(-self.sizes // ROWS_PER_TASK))
         share_of = F.element_at(F.array(*[F.lit(int(s)) for s in shares]), F.col("list") + 1) if len(shares) and shares.max() > 1 else F.lit(1)
         asked = routed.withColumn("share", F.explode(F.sequence(F.lit(0), share_of - 1)))
-        key, dimension = self.key, self.centroids.shape[1]
-        stored = self.vectors.where("list >= 0").select(key, "embedding", "list").withColumn("share", F.pmod(F.xxhash64(key), share_of).cast("int"))
-        types = dict(stored.dtypes) | {"query": dict(routed.dtypes)["query"]}
-
-        def score(asked: pa.Table, stored: pa.Table) -> pa.Table:
-            found: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
-            if asked.num_rows and stored.num_rows:
-                rows, _ = unit_rows(stored.column("embedding").combine_chunks(), dimension)
-                names, queries = stored.column(key).combine_chunks(), asked.column("query").combine_chunks()
-                order = np.argsort(pc.sort_indices(names).to_numpy(), kind="stable")
-                for at in range(0, asked.num_rows, 64):
-                    wanted, _ = unit_rows(asked.column("embedding").slice(at, 64).combine_chunks(), dimension)
-                    scores = np.maximum(0.0, 1.0 - (1.0 - wanted @ rows.T) / 2.0)
-                    for i, own in enumerate(scores):
-                        best = np.lexsort((order, -own))[:k]
-                        found.append((queries.slice(at + i, 1).take(pa.array(np.zeros(len(best), np.int64))), names.take(pa.array(best)), own[best]))
-            schema = pa.schema([("query", asked.schema.field("query").type), (key, stored.schema.field(key).type), ("score", pa.float64())])
-            if not found:
-                return schema.empty_table()
-            return pa.Table.from_arrays([pa.chunked_array([f[0] for f in found]), pa.chunked_array([f[1] for f in found]), pa.array(np.concatenate([f[2] for f in found]))], schema=schema)
-
-        grouped = asked.groupBy("list", "share").cogroup(stored.groupBy("list", "share"))
-        return grouped.applyInArrow(score, f"query {types['query']}, {key} {types[key]}, score double")
+        stored = self.vectors.where("list >= 0").select(self.key, "embedding", "list").withColumn("share", F.pmod(F.xxhash64(self.key), share_of).cast("int"))
+        return met(asked, stored, ["list", "share"], k, self.key, self.centroids.shape[1])
+
+
+def met(asked: DataFrame, stored: DataFrame, group: list[str], k: int, key: str, dimension: int) -> DataFrame:
+    """(query, ``key``, score): the best k of the stored vectors of each group for each query asked there."""
+    types = dict(stored.dtypes) | {"query": dict(asked.dtypes)["query"]}
+
+    def score(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        schema = pa.schema([("query", asked.schema.field("query").type), (key, stored.schema.field(key).type), ("score", pa.float64())])
+        if not asked.num_rows or not stored.num_rows:
+            return schema.empty_table()
+        rows, there = unit_rows(stored.column("embedding").combine_chunks(), dimension)
+        wanted, usable = unit_rows(asked.column("embedding").combine_chunks(), dimension)
+        names, queries = stored.column(key).combine_chunks().filter(pa.array(there)), asked.column("query").combine_chunks().filter(pa.array(usable))
+        order = np.argsort(pc.sort_indices(names).to_numpy(), kind="stable")
+        at, row, value = best_of(wanted[usable], rows[there], order, k)
+        return pa.Table.from_arrays([queries.take(pa.array(at)), names.take(pa.array(row)), pa.array(value)], schema=schema)
+
+    return asked.groupBy(*group).cogroup(stored.groupBy(*group)).applyInArrow(score, f"query {types['query']}, {key} {types[key]}, score double")
 
 
 def ranked(found: DataFrame, key: str, k: int) -> DataFrame:
@@ -248,33 +280,16 @@ def ranked(found: DataFrame, key: str, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def exact_many(embeddings: DataFrame, queries: DataFrame, k: int, key: str = "id", block: int = 4096) -> DataFrame:
-    """(query, ``key``, score, rank) by a full scan: blocks of queries meet every vector, tasks keep the best k of each."""
-    rows = queries.select("query", "embedding").toArrow()
-    if rows.num_rows > block:
-        raise ValueError(f"at most {block} queries are broadcast at once; send them in blocks")
-    wanted, usable = unit_rows(rows.column("embedding").combine_chunks()) if rows.num_rows else (np.zeros((0, 1)), np.zeros(0, bool))
-    names, wanted = rows.column("query").combine_chunks().filter(pa.array(usable)) if rows.num_rows else None, wanted[usable]
-    types = dict(queries.dtypes) | dict(embeddings.dtypes)
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, there = unit_rows(batch.column("embedding"), wanted.shape[1])
-            scores = np.maximum(0.0, 1.0 - (1.0 - wanted @ own.T) / 2.0)
-            scores[:, ~there] = -1.0
-            keys = batch.column(key)
-            order = np.argsort(pc.sort_indices(keys).to_numpy(), kind="stable")
-            top = np.stack([np.lexsort((order, -s))[:k] for s in scores]) if len(scores) else np.empty((0, 0), np.int64)
-            at = np.repeat(np.arange(len(scores)), top.shape[1])
-            flat = top.reshape(-1)
-            value = scores[at, flat]
-            keep = value >= 0
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(at[keep])), keys.take(pa.array(flat[keep])), pa.array(value[keep])], ["query", key, "score"])
-
-    if not rows.num_rows or not usable.any():
-        return queries.sparkSession.createDataFrame([], f"query {types['query']}, {key} {types[key]}, score double, rank int")
-    scored = embeddings.select(key, "embedding").mapInArrow(best, f"query {types['query']}, {key} {types[key]}, score double")
-    return ranked(scored, key, k)
+def exact_many(embeddings: DataFrame, queries: DataFrame, k: int, key: str = "id", block: int = QUERIES_PER_TASK) -> DataFrame:
+    """(query, ``key``, score, rank) by brute force: each block of queries meets each share of the vectors in one group, so
+    the work is queries times vectors, dealt out, and a task holds one block and one share."""
+    longest = queries.agg(F.max(F.size("embedding"))).first()[0]
+    n, cores = embeddings.count(), embeddings.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-queries.count() // block))
+    shares = max(1, -(-n // ROWS_PER_TASK), min(cores, -(-n // 4096)))
+    asked = queries.select("query", "embedding", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    stored = embeddings.select(key, "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64(key), F.lit(shares)).cast("int").alias("share"))
+    return ranked(met(asked, stored, ["block", "share"], k, key, max(longest or 0, 1)), key, k)
 
 
 def recall(found: DataFrame, truth: DataFrame, key: str = "id") -> DataFrame:

@@ -10,7 +10,7 @@ from codequarry import fixed_values as fixed
 from codequarry.functions import names, vectors
 from codequarry.operators import formatting, search, symbols, text_index, vector_index
 from codequarry.registered import views
-from codequarry.session import shared_folder
+from codequarry.session import cut, shared_folder
 
 QUESTION = "the order data flow to api"
 CHUNK_CTE = f"chunks AS ({views.cte(views.CHUNKS)})"
@@ -71,8 +71,9 @@ def vector_index_recall(spark, sf_dir):
     """Whether every vector lies in one list, and whether the search without proof, with the fewest lists that reach it on
     the set, finds nine of ten of what a full scan finds."""
     items, queries, index = views.read(spark, sf_dir, "embeddings"), _query_set(spark, sf_dir), _vector_index(spark, sf_dir)
-    probes = index.probes_for(items, queries, 10, 0.9)
-    found = vector_index.recall(index.nearest_many(queries, 10, probes), vector_index.exact_many(items, queries, 10, "vec_id"), "vec_id")
+    truth = cut(vector_index.exact_many(items, queries, 10, "vec_id"))
+    probes = index.probes_for(items, queries, 10, 0.9, truth)
+    found = vector_index.recall(index.nearest_many(queries, 10, probes), truth, "vec_id")
     stored = index.vectors.agg(F.count("*").alias("vectors"), (F.count("*") == F.countDistinct("vec_id")).alias("one_list_each"))
     return found.select("queries", "wanted", (F.col("recall") >= 0.9).alias("recall_reached")).join(stored, how="cross")
 

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,28 @@ def test_hits_without_a_chunk_take_no_place(spark, tmp_path):
     index = VectorIndex.build(vectors, str(tmp_path / "ix"), lists=3)
     assert [r["id"] for r in search.hybrid(chunks, vectors, [1.0, 0.0], 5, index=index).collect()] == want
     assert search.hybrid(chunks, vectors, [1.0, 0.0], 60).count() == 10  # more ids than are asked for by value
+
+
+def test_scores_are_held_in_tiles(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows, _ = vector_index.unit_rows(pa.array(rng.integers(-2, 3, (300, 3)).astype(float).tolist()))
+    order = rng.permutation(300)
+    scores = np.maximum(0.0, 1.0 - (1.0 - rows[:50] @ rows.T) / 2.0)
+    largest = []
+    real = np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *more, **named: largest.append(a.size) or real(a, *more, **named))
+    monkeypatch.setattr(vector_index, "SCORES", 1000)
+    at, row, value = vector_index.best_of(rows[:50], rows, order, 7)
+    assert max(largest) <= 1000
+    assert at.tolist() == np.repeat(np.arange(50), 7).tolist()
+    for i in range(50):  # integer vectors give many ties
+        assert np.allclose(value[at == i], np.sort(scores[i])[::-1][:7])
+        assert all(order[a] < order[b] or x > y for a, b, x, y in zip(row[at == i], row[at == i][1:], value[at == i], value[at == i][1:]))
+    assert len(vector_index.best_of(rows[:2], rows[:3], order[:3], 7)[0]) == 6
+
+
+def test_a_full_scan_takes_any_number_of_queries(spark):
+    point = F.transform(F.array(F.lit(0.0), F.lit(1.5)), lambda x: F.cos(F.col("id") / 1000 - x).cast("float"))
+    queries = spark.range(4200).select(F.col("id").alias("query"), point.alias("embedding"))
+    found = vector_index.exact_many(spark.range(4200).select("id", point.alias("embedding")), queries, 1, block=1000)
+    assert found.where("query = id and rank = 1").count() == 4200
