@@ -231,9 +231,11 @@ def polymorphic_callees(
     """Resolved callees of a symbol, and for interface methods the same method of each implementation."""
     mine = resolve_callees(direct_callees(calls, symbol, repo), dependencies)
     holder, method = F.regexp_extract("callee", r"^(.*)\.[^.]*$", 1), F.substring_index("callee", ".", -1)
+    # what one symbol calls is few: it picks interfaces and implementations before anything is shuffled or made distinct
+    called = F.broadcast(mine.where(holder != "").select(holder.alias("parent_name")).distinct())
     interfaces = symbols.where(F.col("symbol_type") == "interface")
-    interface_names = interfaces.select(F.col("name").alias("parent_name")).union(interfaces.select("qualified_name")).distinct()
-    parents = _in_repo(inheritance, repo).join(interface_names, "parent_name", "left_semi").select("parent_name", "child_name")
+    interface_names = interfaces.select(F.col("name").alias("parent_name")).union(interfaces.select("qualified_name")).join(called, "parent_name", "left_semi").distinct()
+    parents = _in_repo(inheritance, repo).join(called, "parent_name", "left_semi").join(interface_names, "parent_name", "left_semi").select("parent_name", "child_name")
     virtual = (
         mine.where(holder != "")
         .withColumn("parent_name", holder)
@@ -254,7 +256,7 @@ def polymorphic_callers(calls: DataFrame, symbol: str, inheritance: DataFrame, r
     holder, method = symbol.rsplit(".", 1)
     parents = _in_repo(inheritance, repo).where((F.col("child_name") == holder) & (F.col("relation_type") == "implements"))
     methods = parents.select(F.concat("parent_name", F.lit("." + method)).alias("callee"))
-    through = _in_repo(calls, repo).join(methods, "callee").select(
+    through = _in_repo(calls, repo).join(F.broadcast(methods), "callee").select(
         "caller", F.lit(symbol).alias("callee"), "caller_file", "caller_line", "repo_name", F.lit("virtual").alias("call_type")
     )
     return mine.unionByName(through)

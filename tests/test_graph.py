@@ -209,3 +209,16 @@ def test_transitive_implementations_list_a_child_under_every_parent(spark):
 def test_file_edges_use_the_callee_home(spark):
     c = calls(spark, ("A", "B"), ("B", "A"), ("B", "external"))
     assert {(r["src"], r["dst"]) for r in graph.file_edges(c).collect()} == {("A.py", "B.py"), ("B.py", "A.py")}
+
+
+def test_one_symbols_interfaces_are_picked_before_the_shuffle(spark):
+    calls = spark.createDataFrame([("A", "I.run", "f", 1, "r", "direct"), ("A", "C.run", "f", 2, "r", "direct"), ("B", "J.run", "f", 3, "r", "direct")], "caller string, callee string, caller_file string, caller_line int, repo_name string, call_type string")
+    edges = spark.createDataFrame([("X", "I"), ("Y", "I"), ("X", "I"), ("Z", "J"), ("W", "C")], "child_name string, parent_name string").selectExpr("*", "'r' as repo_name").distinct()
+    symbols = spark.createDataFrame([("I", "I", "interface"), ("J", "J", "interface"), ("C", "C", "class")], "name string, qualified_name string, symbol_type string")
+    none = spark.createDataFrame([], "repo_name string, class_name string, field_name string, field_type string")
+    found = graph.polymorphic_callees(calls, "A", none, symbols, edges)
+    assert sorted((r["callee"], r["call_type"]) for r in found.collect()) == [("C.run", "direct"), ("I.run", "direct"), ("X.run", "virtual"), ("Y.run", "virtual")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(plan) if "Aggregate [child_name" in line)
+    assert "Join LeftSemi" in " ".join(line for line in plan[at + 1 : at + 4] if depth(line) > depth(plan[at]))
