@@ -20,6 +20,12 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _met(rows: DataFrame, others: DataFrame, end: str, scope: list[str], how: str = "inner") -> DataFrame:
+    """Join by (scope, end). A hash leads the sort: a scope is the same for many rows, so sorting by it compares whole names."""
+    key = F.xxhash64(*scope, end)
+    return rows.withColumn("__hash", key).join(others.withColumn("__hash", key), ["__hash", *scope, end], how).drop("__hash")
+
+
 @dataclass
 class Climb:
     """``tops``: scope, node, root (its first ancestor outside the trees), steps. ``levels[k]``: scope, node, up: the ancestor
@@ -64,39 +70,69 @@ def climbed(parents: DataFrame, scope: list[str]) -> Climb:
     return Climb(union(tops).select(*scope, "node", "root", "steps"), levels, rings)
 
 
+def _numbered(edges: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Distinct edges (s, t) between numbers, and the numbers: (scope, node, id). Rounds then move two longs a row, not names."""
+    ends = edges.select(*scope, F.col("s").alias("node")).union(edges.select(*scope, F.col("t").alias("node"))).distinct()
+    numbers = cut(ends.withColumn("id", F.monotonically_increasing_id()))
+    s = numbers.select(*scope, F.col("node").alias("s"), F.col("id").alias("from"))
+    t = numbers.select(*scope, F.col("node").alias("t"), F.col("id").alias("to"))
+    pairs = _met(_met(edges, s, "s", scope), t, "t", scope).select(F.col("from").alias("s"), F.col("to").alias("t"))
+    return cut(pairs.distinct()), numbers
+
+
 def distances(edges: DataFrame, seeds: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """(scope, node, depth): the fewest edges (scope, s, t) from a seed (scope, node) to each node it leads to; seeds have 0."""
+    """(scope, node, depth): the fewest edges (scope, s, t) from a seed (scope, node) to each node it leads to; seeds have 0.
+
+    Edges from nodes that nothing enters lead nowhere, and nodes that nothing leaves are met last, in one join. Only what
+    is between takes part in the rounds.
+    """
     scope = scope or []
     starts = cut(seeds.select(*scope, "node").distinct())
+    hops = edges.select(*scope, "s", "t").where("s <> t")
+    entered = hops.select(*scope, F.col("t").alias("s")).union(starts.select(*scope, F.col("node").alias("s"))).distinct()
     # nothing is learnt from edges into seeds
-    hops = cut(edges.select(*scope, "s", "t").where("s <> t").distinct().join(starts.withColumnRenamed("node", "t"), [*scope, "t"], "left_anti"))
-    entered = hops.groupBy(*scope, F.col("t").alias("node")).agg(F.count("*").alias("n"), F.min("s").alias("up"))
-    trees = climbed(entered.where("n = 1").select(*scope, "node", "up"), scope)
-    above = trees.tops.select(*scope, F.col("node").alias("s"), "root", "steps")
-    several = entered.where("n > 1").select(*scope, F.col("node").alias("t"))
-    single = entered.where("n = 1").select(*scope, F.col("node").alias("s"), F.lit(True).alias("single"))
+    hops = cut(_met(_met(hops, entered, "s", scope, "left_semi"), starts.withColumnRenamed("node", "t"), "t", scope, "left_anti"))
+    between = _met(hops, hops.select(*scope, F.col("s").alias("t")).distinct(), "t", scope, "left_semi")
+    inner, numbers = _numbered(cut(between), scope)
+    first = cut(numbers.join(starts, [*scope, "node"], "left_semi").select(F.col("id").alias("node")))
+    depths = _depths(inner, first).where("depth > 0").withColumnRenamed("node", "id")
+    known = starts.withColumn("depth", F.lit(0)).unionByName(numbers.join(depths, "id").select(*scope, "node", "depth"))
+    known = cut(known)
+    last = _met(hops, known.select(*scope, F.col("node").alias("s"), "depth"), "s", scope)
+    last = last.groupBy(*scope, F.col("t").alias("node")).agg((F.min("depth") + 1).alias("depth"))
+    last = _met(last, known.select(*scope, "node"), "node", scope, "left_anti")
+    return known.unionByName(last)
+
+
+def _depths(hops: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, depth) over distinct edges (s, t) between numbers, none of them into ``starts``."""
+    entered = hops.groupBy(F.col("t").alias("node")).agg(F.count("*").alias("n"), F.min("s").alias("up"))
+    trees = climbed(entered.where("n = 1").select("node", "up"), [])
+    above = trees.tops.select(F.col("node").alias("s"), "root", "steps")
+    several = entered.where("n > 1").select(F.col("node").alias("t"))
+    single = entered.where("n = 1").select(F.col("node").alias("s"), F.lit(True).alias("single"))
     # a tree node without a root hangs on a ring that nothing enters
     core = (
-        hops.join(several, [*scope, "t"], "left_semi").join(above, [*scope, "s"], "left").join(single, [*scope, "s"], "left")
+        hops.join(several, "t", "left_semi").join(above, "s", "left").join(single, "s", "left")
         .where("root is not null or single is null")
-        .groupBy(*scope, F.coalesce("root", "s").alias("s"), "t").agg(F.min(F.coalesce("steps", F.lit(0)) + 1).alias("w"))
+        .groupBy(F.coalesce("root", "s").alias("s"), "t").agg(F.min(F.coalesce("steps", F.lit(0)) + 1).alias("w"))
     )
     core = cut(core)
     known = starts.withColumn("depth", F.lit(0))
     frontier, levels = known, [known]
     while True:
-        offers = frontier.select(*scope, F.col("node").alias("s"), "depth").join(core, [*scope, "s"]).groupBy(*scope, F.col("t").alias("node")).agg(F.min(F.col("depth") + F.col("w")).alias("depth"))
-        old = known.select(*scope, "node", F.col("depth").alias("before"))
-        frontier = cut(offers.join(old, [*scope, "node"], "left").where("before is null or depth < before").select(*scope, "node", "depth"))
+        offers = frontier.withColumnRenamed("node", "s").join(core, "s").groupBy(F.col("t").alias("node")).agg(F.min(F.col("depth") + F.col("w")).alias("depth"))
+        old = known.select("node", F.col("depth").alias("before"))
+        frontier = cut(offers.join(old, "node", "left").where("before is null or depth < before").select("node", "depth"))
         if frontier.isEmpty():
             break
         levels.append(frontier)
-        known = union(levels).groupBy(*scope, "node").agg(F.min("depth").alias("depth"))
+        known = union(levels).groupBy("node").agg(F.min("depth").alias("depth"))
         if len(levels) >= 8:
             known = cut(known)
             levels = [known]
-    below = trees.tops.join(known.select(*scope, F.col("node").alias("root"), "depth"), [*scope, "root"]).select(*scope, "node", (F.col("depth") + F.col("steps")).cast("int").alias("depth"))
-    return known.select(*scope, "node", F.col("depth").cast("int").alias("depth")).unionByName(below)
+    below = trees.tops.join(known.select(F.col("node").alias("root"), "depth"), "root").select("node", (F.col("depth") + F.col("steps")).cast("int").alias("depth"))
+    return known.select("node", F.col("depth").cast("int").alias("depth")).unionByName(below)
 
 
 @dataclass
@@ -111,7 +147,7 @@ def _trimmed(edges: DataFrame, scope: list[str]) -> DataFrame:
     """Edges whose source is entered and whose target is left again: others lie on no ring."""
     entered = edges.select(*scope, F.col("t").alias("s")).distinct()
     left_again = edges.select(*scope, F.col("s").alias("t")).distinct()
-    return cut(edges.join(entered, [*scope, "s"], "left_semi").join(left_again, [*scope, "t"], "left_semi"))
+    return cut(_met(_met(edges, entered, "s", scope, "left_semi"), left_again, "t", scope, "left_semi"))
 
 
 def _contracted(edges: DataFrame, scope: list[str], backwards: bool) -> tuple[DataFrame, Step]:
@@ -146,25 +182,31 @@ def _expanded(members: DataFrame, step: Step, scope: list[str]) -> DataFrame:
 def strong_components(edges: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """(scope, node, colour): nodes of strongly connected components of two nodes or more; a colour names a component.
 
-    Trees below single entries, then trees above single exits, are contracted in turn, with a trim before each, while that
+    A first trim, before anything is made distinct, leaves the edges that can lie on a ring; these are numbered. Trees below single entries, then trees above single exits, are contracted in turn, with a trim before each, while that
     takes a tenth of the edges. Of what is left every node takes the largest name that reaches it; walking back from the
     owners of these names inside their colours gives one component for each of them, all in one join a round.
     """
     scope = scope or []
-    left = cut(edges.select(*scope, "s", "t").where("s <> t").distinct())
+    left, numbers = _numbered(_trimmed(edges.select(*scope, "s", "t").where("s <> t"), scope), scope)
+    members = cut(_components(left).select(F.col("node").alias("id"), "colour"))
+    return numbers.join(members, "id").select(*scope, "node", "colour")
+
+
+def _components(left: DataFrame) -> DataFrame:
+    """(node, colour) over distinct edges (s, t) between numbers."""
     size, backwards, idle = left.count(), False, 0
     steps: list[Step] = []
     rings: list[DataFrame] = []
     while size and idle < 2:
-        left, step = _contracted(_trimmed(left, scope), scope, backwards)
+        left, step = _contracted(_trimmed(left, []), [], backwards)
         steps.append(step)
-        rings.append(step.trees.rings.select(*scope, "node", F.col("low").alias("colour")))
+        rings.append(step.trees.rings.select("node", F.col("low").alias("colour")))
         before, size = size, left.count()
         idle = idle + 1 if size > 0.9 * before else 0
         backwards = not backwards
-    members = _coloured(left, scope) if size else edges.select(*scope, F.col("s").alias("node"), F.col("s").alias("colour")).where("false")
+    members = _coloured(left, []) if size else left.select(F.col("s").alias("node"), F.col("s").alias("colour")).where("false")
     for step, ring in zip(reversed(steps), reversed(rings)):
-        members = _expanded(members, step, scope).unionByName(ring)
+        members = _expanded(members, step, []).unionByName(ring)
     return members
 
 

@@ -222,3 +222,30 @@ def test_one_symbols_interfaces_are_picked_before_the_shuffle(spark):
     depth = lambda line: len(line) - len(line.lstrip(" :+-"))
     at = next(i for i, line in enumerate(plan) if "Aggregate [child_name" in line)
     assert "Join LeftSemi" in " ".join(line for line in plan[at + 1 : at + 4] if depth(line) > depth(plan[at]))
+
+
+def test_rounds_hold_only_what_lies_between(spark, monkeypatch):
+    """Edges on no ring, or from nodes that nothing leads to, are gone before the first table; rounds move numbers, not names."""
+    from codequarry.operators import contraction
+
+    written = []
+
+    def counted(df):
+        result = cut(df)
+        written.append((result.count(), {f.dataType.simpleString() for f in result.schema}))
+        return result
+
+    cut = contraction.cut
+    monkeypatch.setattr(contraction, "cut", counted)
+    ring = [("a", "b"), ("b", "c"), ("c", "a")]
+    rows = [("r", s, t) for s, t in [*ring, *((f"in{i}", "a") for i in range(500)), *((f"out{i}", f"sink{i}") for i in range(500))]]
+    edges = spark.createDataFrame(rows, "scope string, s string, t string")
+    members = contraction.strong_components(edges, ["scope"]).collect()
+    assert {r["node"] for r in members} == {"a", "b", "c"} and len({r["colour"] for r in members}) == 1
+    assert max(n for n, _ in written) <= 6
+    assert sum("string" in types for _, types in written) <= 2
+    written.clear()
+    seeds = spark.createDataFrame([("r", "in7"), ("r", "elsewhere")], "scope string, node string")
+    found = {r["node"]: r["depth"] for r in contraction.distances(edges, seeds, ["scope"]).collect()}
+    assert found == {"in7": 0, "elsewhere": 0, "a": 1, "b": 2, "c": 3}
+    assert max(n for n, _ in written) <= 6
