@@ -175,8 +175,11 @@ def reachable(calls: DataFrame, entries: DataFrame, scope: list[str] | None = No
 
 
 def unreachable(calls: DataFrame, entries: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """Symbols that no entry point leads to: marks of both kinds meet in one aggregate."""
     key = [*(scope or []), "node"]
-    return all_symbols(calls, scope).join(reachable(calls, entries, scope), key, "left_anti")
+    marks = [calls.select(*key[:-1], F.col(c).alias("node"), F.lit(False).alias("met")) for c in ("caller", "callee")]
+    marks.append(reachable(calls, entries, scope).select(*key, F.lit(True).alias("met")))
+    return union(marks).groupBy(*key).agg(F.max("met").alias("met")).where("not met").select(*key)
 
 
 def cycles(edges: DataFrame, src: str, dst: str, scope: list[str] | None = None) -> DataFrame:
@@ -191,7 +194,7 @@ def file_edges(calls: DataFrame) -> DataFrame:
     """Call edges between files: the callee's file is where it appears as a caller (the first by name)."""
     homes = calls.groupBy("repo_name", F.col("caller").alias("callee")).agg(F.min("caller_file").alias("callee_file"))
     return (
-        calls.select("repo_name", "callee", "caller_file").distinct()
+        calls.select("repo_name", "callee", "caller_file")
         .join(homes, ["repo_name", "callee"])
         .where("caller_file <> callee_file")
         .select("repo_name", F.col("caller_file").alias("src"), F.col("callee_file").alias("dst"))
@@ -199,6 +202,11 @@ def file_edges(calls: DataFrame) -> DataFrame:
     )
 
 
+def file_cycles(calls: DataFrame) -> DataFrame:
+    """Components of files that call each other; their edges are few and read several times, so they are written first."""
+    return cycles(cut(file_edges(calls)), "src", "dst", ["repo_name"])
+
+
 def call_node(calls: DataFrame, symbol: str, repo: str | None = None) -> DataFrame:
     """Callers and callees of one symbol as rows with a side and a position, plus its reference file."""
     callers = direct_callers(calls, symbol, repo).select(F.lit("caller").alias("side"), F.col("caller").alias("other"), "caller_file", "caller_line", "repo_name")

@@ -330,7 +330,7 @@ def find_dead_code(index: Index, repo_name: str | None = None, limit: int = 100,
 
 def detect_circular_dependencies(index: Index, repo_name: str | None = None, file_level: bool = True, limit: int = 50) -> dict:
     calls = symbols.in_repo(index.calls, repo_name)
-    members = graph.cycles(graph.file_edges(calls), "src", "dst", ["repo_name"]) if file_level else graph.cycles(calls, "caller", "callee", ["repo_name"])
+    members = graph.file_cycles(calls) if file_level else graph.cycles(calls, "caller", "callee", ["repo_name"])
     members = cut(members)
     sizes = members.groupBy("repo_name", "component").agg(F.count("*").alias("size"))
     first = sizes.orderBy("repo_name", "component").limit(limit)

@@ -115,7 +115,7 @@ def cycles_scc(spark, sf_dir):
 
 
 def file_cycles(spark, sf_dir):
-    return graph.cycles(graph.file_edges(_calls(spark, sf_dir)), "src", "dst", ["repo_name"])
+    return graph.file_cycles(_calls(spark, sf_dir))
 
 
 def file_edges(spark, sf_dir):
