@@ -240,7 +240,7 @@ PARTIAL_UNITS = [[
 def parse_partial(spark, sf_dir):
     """What the sound blocks of broken Python files hold; the files keep their error."""
     parsed = python_code.parse_python(views.sources(spark, sf_dir, _forms("supplier", "s_suppkey", BROKEN_PYTHON, ".py", "python")))
-    chunks = parsed.select(F.inline("chunks"), F.col("error").isNotNull().alias("broken"))
+    chunks = parsed.select(F.inline_outer("chunks"), F.col("error").isNotNull().alias("broken")).where("id is not null")
     return chunks.select("repo_name", "file_path", "chunk_type", "name", "parent_name", "start_line", "end_line", F.array_join("imports", ";").alias("imports"), "broken")
 
 

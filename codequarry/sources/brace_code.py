@@ -66,11 +66,8 @@ def _handlers(whole: Column) -> Column:
     """Express registrations of a file: verb, path and the handler named last."""
     variable = r"(?:app|router|server|[A-Za-z_$][\w$]*(?:[Rr]outer|[Aa]pp|[Aa]pi))"
     regex = rf"\b({variable})\.(get|post|put|delete|patch|options|head|all)\(\s*[\"'`]([^\"'`]+)[\"'`]\s*,(?:[^;{{}}]*?,)?\s*(\w+)\s*\)"
-    text = whole
-    return F.transform(
-        F.arrays_zip(F.regexp_extract_all(text, F.lit(regex), F.lit(2)), F.regexp_extract_all(text, F.lit(regex), F.lit(3)), F.regexp_extract_all(text, F.lit(regex), F.lit(4))),
-        lambda z: F.struct(F.upper(z["0"]).alias("method"), z["1"].alias("path"), z["2"].alias("handler")),
-    )
+    found = F.regexp_extract_all(whole, F.lit(regex), F.lit(0))
+    return F.transform(found, lambda m: F.struct(F.upper(F.regexp_extract(m, regex, 2)).alias("method"), F.regexp_extract(m, regex, 3).alias("path"), F.regexp_extract(m, regex, 4).alias("handler")))
 
 
 OUTGOING = r"([A-Za-z_$][\w$]*(?:\.[\w$]+)*)\s*(?:<[^<>()]*>)?\(\s*[\"'`]([^\"'`]+)[\"'`](?:\s*,\s*\{[^}]*?\bmethod\s*:\s*[\"'`](\w+)[\"'`])?"
@@ -78,18 +75,22 @@ OUTGOING = r"([A-Za-z_$][\w$]*(?:\.[\w$]+)*)\s*(?:<[^<>()]*>)?\(\s*[\"'`]([^\"'`
 
 def _outgoing(body: Column) -> Column:
     """HTTP calls of a function body with verb and address."""
-    found = F.arrays_zip(*[F.regexp_extract_all(body, F.lit(OUTGOING), F.lit(g)) for g in (1, 2, 3)])
+    found = F.transform(F.regexp_extract_all(body, F.lit(OUTGOING), F.lit(0)), lambda m: F.struct(*[F.regexp_extract(m, OUTGOING, g).alias(str(g)) for g in (1, 2, 3)]))
 
     def verb(z: Column) -> Column:
-        name, last = z["0"], F.lower(F.substring_index(z["0"], ".", -1))
-        return F.when(name == "fetch", F.coalesce(F.upper(F.nullif(z["2"], F.lit(""))), F.lit("GET"))).when(
+        name, last = z["1"], F.lower(F.substring_index(z["1"], ".", -1))
+        return F.when(name == "fetch", F.coalesce(F.upper(F.nullif(z["3"], F.lit(""))), F.lit("GET"))).when(
             F.contains(name, F.lit(".")) & last.isin("get", "post", "put", "delete", "patch"), F.upper(last)
         )
 
-    calls = F.transform(found, lambda z: F.struct(verb(z).alias("method"), F.regexp_replace(z["1"], r"\$\{([^}]+)\}", r"{$1}").alias("url")))
+    calls = F.transform(found, lambda z: F.struct(verb(z).alias("method"), F.regexp_replace(z["2"], r"\$\{([^}]+)\}", r"{$1}").alias("url")))
     return F.filter(calls, lambda c: c["method"].isNotNull())
 
 
+def _unless_empty(array: Column) -> Column:
+    return rx.let(array, lambda a: F.when(F.size(a) > 0, a))
+
+
 def parse_braces(files: DataFrame) -> DataFrame:
     """One row per file (columns repo_name, file_path, content, language) with chunks, calls and bases."""
     detailed = units(files).withColumn("raw", F.split("content", "\n"))
@@ -116,7 +117,7 @@ def parse_braces(files: DataFrame) -> DataFrame:
                 F.when(java, _joined_path(base, spring_path)).when(~java & member, _joined_path(controller, nest_path)).when(is_controller, own_controller).otherwise(handled["path"])
             )
             framework = F.when(java, F.lit(None).cast("string")).when(member | is_controller, "nestjs").otherwise("express")
-            route = F.when(method.isNotNull(), F.struct(method.alias("method"), path.alias("path"), framework.alias("framework"), (u["i"] + 1).alias("line"), F.lit(None).cast("boolean").alias("is_mount")))
+            route = rx.let(method, lambda m: F.when(m.isNotNull(), F.struct(m.alias("method"), path.alias("path"), framework.alias("framework"), (u["i"] + 1).alias("line"), F.lit(None).cast("boolean").alias("is_mount"))))
             function = ~java & u["kind"].isin("function", "method")
             jsx = rx.matches(u["own"], r"(return|=>)\s*\(?\s*<(>|[A-Za-z])")
             typed = F.get(F.col("raw"), u["i"]).rlike(r":\s*(React\.)?(FC|FunctionComponent)\b")
@@ -124,12 +125,12 @@ def parse_braces(files: DataFrame) -> DataFrame:
             props = F.coalesce(
                 _first(F.get(F.col("raw"), u["i"]), r"(?:FC|FunctionComponent)<([^>]+)>"), _first(u["signature"], r"\(\s*(?:\{[^}]*\}|\w+)\s*\??:\s*([A-Za-z_]\w*)")
             )
-            dependencies = F.when(java & (u["kind"] == "class"), _dependencies(u))
-            outgoing = F.when(function, _outgoing(u["own"]))
-            meta = F.struct(
-                route.alias("route"), F.when(F.size(dependencies) > 0, dependencies).alias("dependencies"), F.when(F.size(outgoing) > 0, outgoing).alias("outgoing_api_calls"),
-                F.when(react, F.lit(True)).alias("is_react_component"), F.when(react, props).alias("props_interface"),
-            ).cast(as_struct(METADATA))
+            component = rx.let(react, lambda r: F.when(r, F.struct(F.lit(True).alias("is"), props.alias("props"))))
+            dependencies = F.when(java & (u["kind"] == "class"), _unless_empty(_dependencies(u)))
+            outgoing = F.when(function, _unless_empty(_outgoing(u["own"])))
+            meta = rx.let(component, lambda c: F.struct(
+                route.alias("route"), dependencies.alias("dependencies"), outgoing.alias("outgoing_api_calls"), c["is"].alias("is_react_component"), c["props"].alias("props_interface"),
+            ).cast(as_struct(METADATA)))
             kind = F.when(u["kind"] == "alias", "class").otherwise(u["kind"])
             parent = F.when(member | u["kind"].isin("class", "interface"), u["parent_name"])
             return F.struct(
@@ -156,7 +157,7 @@ def parse_braces(files: DataFrame) -> DataFrame:
     types = F.filter("units", lambda u: u["kind"].isin("class", "interface"))
     return detailed.select(
         *FILE, F.transform("units", chunk).alias("chunks"), "calls",
-        F.flatten(F.transform(types, bases)).alias("bases"), F.lit(None).cast("string").alias("error"),
+        F.flatten(F.transform(types, bases)).alias("bases"), F.lit(None).cast("string").alias("error"), F.size("units").alias("n_chunks"),
     )
 
 
@@ -166,10 +167,11 @@ STEREOTYPES = r"@(Component|Service|Repository|Controller|RestController|Configu
 def _dependencies(u: Column) -> Column:
     """Injected fields of a class, and the constructor parameters of a stereotyped one."""
     field = r"@(?:Autowired|Inject)\b\s*(?:(?:private|protected|public|final|static)\s+)*([\w.]+(?:<[^;=]*>)?)\s+(\w+)\s*[;=]"
-    fields = F.arrays_zip(*[F.regexp_extract_all(u["own"], F.lit(field), F.lit(g)) for g in (1, 2)])
+    fields = F.transform(F.regexp_extract_all(u["own"], F.lit(field), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, field, 1).alias("0"), F.regexp_extract(m, field, 2).alias("1")))
     built = F.call_function("regexp_extract", u["own"], F.concat(F.lit(r"(?:public|protected|private|\n)\s+"), u["name"], F.lit(r"\s*\(([^)]*)\)\s*(?:throws[^{]*)?\{")), F.lit(1))
     parameter = r"(?:final\s+)?([\w.]+(?:<[^,)]*>)?)\s+(\w+)\s*(?:,|$)"
-    parameters = F.arrays_zip(*[F.regexp_extract_all(F.when(u["annotations"].rlike(STEREOTYPES), built).otherwise(""), F.lit(parameter), F.lit(g)) for g in (1, 2)])
+    listed = F.when(u["annotations"].rlike(STEREOTYPES), built).otherwise("")
+    parameters = rx.let(listed, lambda text: F.arrays_zip(*[F.regexp_extract_all(text, F.lit(parameter), F.lit(g)) for g in (1, 2)]))
 
     def entry(kind: str):
         return lambda z: F.struct(z["1"].alias("name"), z["0"].alias("type"), F.lit(kind).alias("injection_type"))

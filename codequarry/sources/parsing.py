@@ -21,7 +21,7 @@ class ParsedTables:
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """One row per file (columns repo_name, file_path, content, language): chunks, calls, bases, error.
+    """One row per file (columns repo_name, file_path, content, language): chunks, calls, bases, error, n_chunks.
 
     Unreadable texts keep a row with their error, so nothing is lost silently.
     """
@@ -33,18 +33,22 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 
 def tables_of(parsed: DataFrame) -> ParsedTables:
-    """Flat tables; ``parsed`` should be written or persisted, since each table reads it."""
+    """Flat tables; ``parsed`` should be written or persisted, since each table reads it.
+
+    Arrays that are built by columns open with ``inline_outer``: before ``inline`` the planner would put a filter on the size of the
+    array, pushed down to where the whole array is built once more for it.
+    """
     calls = parsed.select("repo_name", "file_path", F.inline("calls")).select(
         "caller", "callee", F.col("file_path").alias("caller_file"), F.col("line").alias("caller_line"), "repo_name", "call_type"
     )
-    inheritance = parsed.select("repo_name", "file_path", F.inline("bases")).select(
+    inheritance = parsed.select("repo_name", "file_path", F.inline_outer("bases")).where("child_name is not null").select(
         "child_name", "child_qualified", "parent_name", "relation_type", "file_path", "repo_name", "line_number"
     )
-    chunks = parsed.select(F.inline("chunks"))
+    chunks = parsed.select(F.inline_outer("chunks")).where("id is not null")
     dependencies = chunks.select("repo_name", F.col("name").alias("class_name"), F.inline("metadata.dependencies")).select(
         "class_name", F.col("name").alias("field_name"), F.col("type").alias("field_type"), "injection_type", "repo_name"
     )
-    files = parsed.select("repo_name", "file_path", "error", F.coalesce(F.size("chunks"), F.lit(0)).alias("n_chunks"))
+    files = parsed.select("repo_name", "file_path", "error", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
     return ParsedTables(chunks, calls, inheritance, dependencies, files)
 
 

@@ -111,3 +111,15 @@ def test_blocks_of_prose_are_not_read_as_code(monkeypatch):
     found = python_code.parse("1 + = first line\nsecond line\nclassy defect\nx = 1; import os\ndef f():\n    return g()\n")
     assert found["error"] and found["imports"] == ["import os"] and [u["name"] for u in found["units"]] == ["f"]
     assert len(read) == 3  # the whole text and the two blocks that declare something
+
+
+def test_units_are_built_once(spark):
+    """The planner would put a filter on the size of an array before it opens it, and build the whole array again for that."""
+    files = spark.createDataFrame([("r", "A.java", "class A extends B { void a() { b(); } }", "java"), ("r", "a.py", "class A(B):\n    def a(self): b()", "python"), ("r", "e.py", "", "python")], "repo_name string, file_path string, content string, language string")
+    tables = parsing.tables_of(parsing.parse_files(files))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(tables.chunks.select("id")).count("sha2(") == 2  # one for each parser
+    assert plan(tables.inheritance).count("flatten(") == 1
+    assert "sha2(" not in plan(parsing.counters(tables.files))
+    assert sorted(r["name"] for r in tables.chunks.collect()) == ["A", "A", "a", "a"] and tables.inheritance.count() == 2
+    assert parsing.counters(tables.files).collect()[0].asDict() == {"repo_name": "r", "processed": 3, "skipped": 0, "chunks": 4}
