@@ -20,35 +20,81 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from codequarry.llm.caches import cache, claim
 from codequarry.llm.common import id_and_text
-from codequarry.llm.tokens import PLAIN, Encoder, in_byte_batches, in_byte_letters, is_single, loaded
+from codequarry.llm.tokens import CACHED_CHARS, CACHED_UNITS, PLAIN, SIGNS, in_byte_batches, in_byte_letters, is_single, loaded
 from codequarry.session import cut
 
 WORD = re.compile(r"[^ \t-\r]+")
 PART = re.compile(rf"{PLAIN}|[^ \t-\r]+")
 #: length, first rank, pieces in each bin, bins, first bin, first offset
 RUN_FIELDS = 6
-_ENCODERS: dict[str, Encoder] = cache("packing")
+_ENCODERS: dict[str, Words] = cache("packing")
+
+
+class Words(dict):
+    """Ids of words as bytes. A word not known is encoded when it is first asked for: texts meet the table once for each word.
+
+    Short words are remembered: at most two generations of ``bound`` words, and those of one batch.
+    """
+
+    def __init__(self, tokenizer, bound: int = CACHED_UNITS):
+        super().__init__()
+        self.tokenizer, self.bound = tokenizer, bound
+        self.tokenize = tokenizer.model.tokenize
+        self.older: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encoded(word)
+        if len(word) <= CACHED_CHARS:
+            self[word] = ids
+        return ids
+
+    def encoded(self, word: str) -> bytes:
+        """A word of lower-case ASCII letters is one pre-token, and one sign behind it another; others are looked at part by part."""
+        if word.isascii():
+            if word.isalpha() and word.islower():
+                return array("I", [t.id for t in self.tokenize(word)]).tobytes()
+            stem, sign = word[:-1], word[-1]
+            if sign in SIGNS and stem.isalpha() and stem.islower():
+                if sign not in self.signs:
+                    self.signs[sign] = self.by_parts(sign)
+                return (self.get(stem) or array("I", [t.id for t in self.tokenize(stem)]).tobytes()) + self.signs[sign]
+        return self.by_parts(word)
+
+    def by_parts(self, word: str) -> bytes:
+        if "\u0130" in word:  # its lower case ends in a mark, which joins signs behind it
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        ids: list[int] = []
+        for p in PART.findall(word):
+            # lower-case letters in normal form or signs alone are one pre-token: it goes straight to the merges
+            if is_single(p) and p == p.lower() and (p.isascii() or is_normalized("NFC", p)):
+                ids += [t.id for t in self.tokenize(in_byte_letters(p))]
+            else:
+                ids += self.tokenizer.encode(p, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def turn(self) -> None:
+        """The older generation goes when the present one is full."""
+        if len(self) > self.bound:
+            self.older = dict(self)
+            self.clear()
 
 
 def encoder(name: str) -> Callable[[list[str]], list[list[bytes]]]:
     """Ids by words: the tokenizer drops white space, lower-cases and joins nothing across white space."""
     if name not in _ENCODERS:
-        tokenizer = loaded(name)
-        tokenize = tokenizer.model.tokenize
+        _ENCODERS[name] = Words(loaded(name))
+    known = _ENCODERS[name]
 
-        def ids(units: list[str]) -> list[bytes]:
-            parts = [PART.findall(u) for u in units]
-            # lower-case letters in normal form or signs alone are one pre-token: it goes straight to the merges
-            single = [[is_single(p) and p == p.lower() and (p.isascii() or is_normalized("NFC", p)) for p in found] for found in parts]
-            batch = [p for found, flags in zip(parts, single) for p, s in zip(found, flags) if not s]
-            rest = iter(tokenizer.encode_batch_fast(batch, add_special_tokens=False))
-            found_ids = ([i for p, s in zip(found, flags) for i in ([t.id for t in tokenize(in_byte_letters(p))] if s else next(rest).ids)] for found, flags in zip(parts, single))
-            return [array("I", x).tobytes() for x in found_ids]
+    def ids(texts: list[str]) -> list[list[bytes]]:
+        known.turn()
+        # lower case is the tokenizer's own; done first, it lets words meet. Special strings and final sigmas are left alone.
+        lower = (t if "<|" in t or "\u03a3" in t else t.lower() for t in texts)
+        return [list(map(known.__getitem__, t.split() if not any(c in t for c in "\x1c\x1d\x1e\x1f") else WORD.findall(t))) for t in lower]
 
-        _ENCODERS[name] = Encoder(ids, lambda text: text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else WORD.findall(text))
-    known = _ENCODERS[name]
-    # lower case is the tokenizer's own; done first, it lets words meet. Special strings and final sigmas are left alone.
-    return lambda texts: known([t if "<|" in t or "\u03a3" in t else t.lower() for t in texts])
+    return ids
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, separator: int = 0, with_ids: bool = False) -> DataFrame:

@@ -316,3 +316,17 @@ def test_quality_without_two_classes_keeps_all(spark):
     none = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert [r.kept for r in quality.quality_scores(df, none).collect()] == [True, True]
     assert quality.good_documents(df, none.limit(0)).count() == 2
+
+
+def test_words_are_encoded_as_the_whole_text():
+    """A capital I with a dot is a letter whose lower case ends in a mark; words are encoded at their first lookup and remembered twice over."""
+    tokenizer = tokens.loaded("word_bpe_49k.json")
+    texts = ["Σ İ( İ.x", "İ\"Σ <| İ;", "one. one, ONE one! one.. o.n (one) été. " + "x" * 100 + ".", "", "a<|endoftext|>. b"]
+    known = packing.Words(tokenizer, bound=2)
+    for _ in range(3):
+        known.turn()
+        for text in texts:
+            want = tokenizer.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(b"".join(map(known.__getitem__, text.split())), "<u4").tolist() == want
+            assert np.frombuffer(b"".join(packing.encoder("word_bpe_49k.json")([text])[0]), "<u4").tolist() == want
+    assert known.older and "x" * 100 + "." not in known
