@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether the shuffle files of an execution go when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app_name: str = "codequarry", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume; extra ``conf`` wins."""
@@ -53,18 +56,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, drop_shuffles: bool = False) -> DataFrame:
     """Materialize ``df`` as a table in the shared folder and drop its lineage.
 
     Unlike a checkpointed RDD a written table has a size, so the planner broadcasts a small
     frontier and shuffles only when it has to; and an executor lost later costs nothing.
+    With ``drop_shuffles`` the shuffle files of the write go as soon as the table is there, not when the driver collects garbage.
     """
     spark = df.sparkSession
     folder = shared_folder(spark, f"cuts-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}")
-    df.write.parquet(folder)
+    if drop_shuffles:
+        before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.parquet(folder)
+        finally:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    else:
+        df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def drop_cut(table: DataFrame) -> None:
+    """Remove a table that ``cut`` wrote, before the application ends; frames built on it are gone too."""
+    spark = table.sparkSession
+    for folder in {os.path.dirname(f) for f in table.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder below the checkpoint folder, for staged tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)

@@ -1,5 +1,7 @@
 """Corpus operators against plain versions."""
 
+import glob
+import os
 import random
 import zlib
 
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 import brute
 from codequarry.llm import decontamination, exact_dedup, html_text, jaccard_join, katz, line_dedup, packing, quality, queries, suffix_dedup, tokens
+from codequarry.session import SHUFFLE_CLEANUP, shared_folder
 
 SCHEMA = "doc_id long, text string"
 
@@ -206,6 +209,17 @@ def test_katz_sends_no_unseen_contexts():
     assert counts[request.of].tolist() == [0] * 5 and not sums[3].any()
 
 
+def test_katz_leaves_small_tables(spark):
+    rng = random.Random(6)
+    docs = [(i, " ".join(f"word{int(rng.paretovariate(0.6)) % 20000}" for _ in range(400))) for i in range(200)]
+    cuts = shared_folder(spark, f"cuts-{spark.sparkContext.applicationId}").removeprefix("file:")
+    before = set(glob.glob(f"{cuts}/*/*.parquet"))
+    katz.katz_scores(frame(spark, docs), 3)
+    left = sum(os.path.getsize(f) for f in set(glob.glob(f"{cuts}/*/*.parquet")) - before)
+    assert left < 0.45 * sum(len(t) for _, t in docs), left
+    assert spark.conf.get(SHUFFLE_CLEANUP, "false") == "false"
+
+
 def test_katz_beats_the_baseline_on_held_out_texts(spark):
     rng = random.Random(5)
     docs = [(i, " ".join(x for _ in range(30) for x in rng.choice([("a", "b"), ("c", "d"), ("e", "f")]))) for i in range(120)]
