@@ -310,7 +310,7 @@ SELECT caller, callee, file_path AS caller_file, caller_line, repo_name, call_ty
 
 
 def parse_inheritance(spark, sf_dir):
-    files = python_code.parse_python(_python(spark, sf_dir)).unionByName(brace_code.parse_braces(_braces(spark, sf_dir)))
+    files = python_code.parse_python(_python(spark, sf_dir), ["bases"]).unionByName(brace_code.parse_braces(_braces(spark, sf_dir), ["bases"]))
     return parsing.tables_of(files).inheritance
 
 

@@ -21,6 +21,8 @@ CHUNK = (
     "content string, signature string, docstring string, parent_name string, parent_type string, language string, "
     f"imports array<string>, metadata {as_struct(METADATA)}, summary string"
 )
+#: What a parser can be asked for; numbers of chunks and errors are always told. Columns not asked for are null.
+PARTS = ("chunks", "calls", "bases", "dependencies")
 CALL = "caller string, callee string, caller_file string, caller_line int, repo_name string, call_type string"
 INHERITANCE = (
     "child_name string, child_qualified string, parent_name string, relation_type string, file_path string, "

@@ -6,14 +6,14 @@ fields, components, ids) is columns. Nothing is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from codequarry.functions import names, regex as rx
-from codequarry.schema import CALL_SITE, METADATA, as_struct
+from codequarry.schema import BASE_CLASS, CALL_SITE, CHUNK, METADATA, PARTS, as_struct
 from codequarry.sources import brace_lexer
 
 FILE = ["repo_name", "file_path"]
@@ -23,20 +23,21 @@ UNITS = as_struct(
 READ = f"repo_name string, file_path string, language string, content string, units array<{UNITS}>, calls array<{as_struct(CALL_SITE)}>"
 
 
-def units(files: DataFrame) -> DataFrame:
-    """Each file with its declarations and calls; a file is read inside its row."""
+def units(files: DataFrame, wanted: Sequence[str] = PARTS) -> DataFrame:
+    """Each file with its declarations and calls, as far as ``wanted``; a file is read inside its row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # some files at a time: a file's declarations repeat its text once for every level of nesting
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)
-                found = [brace_lexer.file_units(t, l) for t, l in zip(some.column("content").to_pylist(), some.column("language").to_pylist())]
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([u for u, _ in found], schema.field("units").type), pa.array([c for _, c in found], schema.field("calls").type)], schema=schema)
+                found = [brace_lexer.file_units(t, l, wanted) for t, l in zip(some.column("content").to_pylist(), some.column("language").to_pylist())]
+                own = some.columns if "chunks" in wanted else [*some.columns[:3], pa.nulls(some.num_rows, pa.string())]  # only chunks read whole texts again
+                yield pa.RecordBatch.from_arrays([*own, pa.array([u for u, _ in found], schema.field("units").type), pa.array([c for _, c in found], schema.field("calls").type)], schema=schema)
 
-    wanted = files.select(*[F.col(c).cast("string").alias(c) for c in (*FILE, "language", "content")])
-    schema = to_arrow_schema(wanted.sparkSession.createDataFrame([], READ).schema)
-    return wanted.mapInArrow(read, READ)
+    texts = files.select(*[F.col(c).cast("string").alias(c) for c in (*FILE, "language", "content")])
+    schema = to_arrow_schema(texts.sparkSession.createDataFrame([], READ).schema)
+    return texts.mapInArrow(read, READ)
 
 
 def _first(text: Column, regex: str, group: int = 1) -> Column:
@@ -91,9 +92,10 @@ def _unless_empty(array: Column) -> Column:
     return rx.let(array, lambda a: F.when(F.size(a) > 0, a))
 
 
-def parse_braces(files: DataFrame) -> DataFrame:
-    """One row per file (columns repo_name, file_path, content, language) with chunks, calls and bases."""
-    detailed = units(files).withColumn("raw", F.split("content", "\n"))
+def parse_braces(files: DataFrame, wanted: Sequence[str] = PARTS) -> DataFrame:
+    """One row per file (columns repo_name, file_path, content, language) with chunks, calls and bases, as far as ``wanted``. With
+    dependencies and no chunks, chunks are the classes with their dependencies only."""
+    detailed = units(files, wanted).withColumn("raw", F.split("content", "\n"))
     java = F.col("language") == "java"
     detailed = detailed.withColumn("handlers", F.when(~java, _handlers(F.col("content"))).otherwise(_handlers(F.lit("")))).withColumn(
         "imports", F.filter(F.transform("raw", lambda l: rx.strip(l)), lambda l: F.startswith(l, F.lit("import ")))
@@ -155,9 +157,21 @@ def parse_braces(files: DataFrame) -> DataFrame:
         return F.concat(*[relation(*l) for l in lists])
 
     types = F.filter("units", lambda u: u["kind"].isin("class", "interface"))
+    def dependent(u: Column) -> Column:
+        id_ = names.short_hash(F.col("repo_name"), F.col("file_path"), u["name"], u["kind"], u["i"] + 1)
+        meta = F.struct(_unless_empty(_dependencies(u)).alias("dependencies"))
+        return F.struct(id_.alias("id"), F.col("repo_name"), u["name"].alias("name"), meta.alias("metadata"))
+
+    if "chunks" in wanted:
+        chunks = F.transform("units", chunk)
+    elif "dependencies" in wanted:
+        chunks = F.transform(F.filter("units", lambda u: java & (u["kind"] == "class")), dependent)
+    else:
+        chunks = F.lit(None).cast(f"array<{as_struct(CHUNK)}>")
+    found = F.flatten(F.transform(types, bases)) if "bases" in wanted else F.lit(None).cast(f"array<{as_struct(BASE_CLASS)}>")
     return detailed.select(
-        *FILE, F.transform("units", chunk).alias("chunks"), "calls",
-        F.flatten(F.transform(types, bases)).alias("bases"), F.lit(None).cast("string").alias("error"), F.size("units").alias("n_chunks"),
+        *FILE, chunks.alias("chunks"), "calls",
+        found.alias("bases"), F.lit(None).cast("string").alias("error"), F.size("units").alias("n_chunks"),
     )
 
 

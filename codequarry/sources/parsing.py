@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from codequarry.functions import names
+from codequarry.schema import PARTS
 from codequarry.sources.brace_code import parse_braces
 from codequarry.sources.python_code import parse_python
 
@@ -20,14 +22,14 @@ class ParsedTables:
     files: DataFrame
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """One row per file (columns repo_name, file_path, content, language): chunks, calls, bases, error, n_chunks.
+def parse_files(files: DataFrame, wanted: Sequence[str] = PARTS) -> DataFrame:
+    """One row per file (columns repo_name, file_path, content, language): chunks, calls, bases as far as ``wanted``, error, n_chunks.
 
     Unreadable texts keep a row with their error, so nothing is lost silently.
     """
     readable = files.where("content is not null")
-    python = parse_python(readable.where("language = 'python'"))
-    braces = parse_braces(readable.where("language in ('java', 'typescript', 'javascript')"))
+    python = parse_python(readable.where("language = 'python'"), wanted)
+    braces = parse_braces(readable.where("language in ('java', 'typescript', 'javascript')"), wanted)
     broken = files.where("content is null").select("repo_name", "file_path", F.lit("not valid UTF-8").alias("error"))
     return python.unionByName(braces).unionByName(broken, allowMissingColumns=True)
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry.registered import sources
-from codequarry.sources import parsing, python_code
+from codequarry.sources import brace_code, brace_lexer, parsing, python_code
 from tests.samples import JAVA, PY, TS
 
 
@@ -123,3 +123,20 @@ def test_units_are_built_once(spark):
     assert "sha2(" not in plan(parsing.counters(tables.files))
     assert sorted(r["name"] for r in tables.chunks.collect()) == ["A", "A", "a", "a"] and tables.inheritance.count() == 2
     assert parsing.counters(tables.files).collect()[0].asDict() == {"repo_name": "r", "processed": 3, "skipped": 0, "chunks": 4}
+
+
+def test_parsers_build_what_is_asked_for(spark, monkeypatch):
+    files = sources._form_files(spark, "/root/testdata/sf0.001").unionByName(sources._braces(spark, "/root/testdata/sf0.001")).unionByName(sources._python(spark, "/root/testdata/sf0.001"))
+    whole = parsing.tables_of(parsing.parse_files(files))
+    part = lambda *wanted: parsing.tables_of(parsing.parse_files(files, wanted))
+    assert sorted(whole.inheritance.collect()) == sorted(part("bases").inheritance.collect())
+    assert sorted(whole.calls.collect()) == sorted(part("calls").calls.collect())
+    assert sorted(whole.files.collect(), key=str) == sorted(part().files.collect(), key=str)
+    braces = files.where("language <> 'python'")
+    found = parsing.tables_of(brace_code.parse_braces(braces, ["dependencies"])).class_dependencies.collect()
+    assert found and sorted(found) == sorted(parsing.tables_of(brace_code.parse_braces(braces)).class_dependencies.collect())
+    for name in ("unit", "call_sites"):
+        monkeypatch.setattr(python_code, name, None)
+    read = python_code.parse("class A(B):\n    def a(self): b()", ["bases"])
+    assert [b["parent_name"] for b in read["bases"]] == ["B"] and read["n_chunks"] == 2
+    assert brace_lexer.file_units("class A extends B { void a() { b(); } }", "java", ["bases"])[1] == []
