@@ -322,7 +322,7 @@ SELECT child_name, child_name AS child_qualified, parent_name, relation_type, fi
 
 
 def parse_dependencies(spark, sf_dir):
-    return parsing.tables_of(brace_code.parse_braces(_braces(spark, sf_dir))).class_dependencies
+    return parsing.tables_of(brace_code.parse_braces(_braces(spark, sf_dir), ["dependencies"])).class_dependencies
 
 
 def parse_counters(spark, sf_dir):
