@@ -329,7 +329,7 @@ def parse_counters(spark, sf_dir):
     """Processed and skipped files when documents pose as Python: prose does not parse, and says so."""
     docs = views.texts(spark, sf_dir, "documents")
     prose = docs.select(F.col("source").alias("repo_name"), F.concat(F.lit("d"), "doc_id", F.lit(".py")).alias("file_path"), F.concat(F.lit("1 + = "), "text").alias("content"), F.lit("python").alias("language"))
-    parsed = parsing.parse_files(_python(spark, sf_dir).unionByName(prose))
+    parsed = parsing.parse_files(_python(spark, sf_dir).unionByName(prose), [])
     return parsing.counters(parsing.tables_of(parsed).files)
 
 
